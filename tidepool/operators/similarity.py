@@ -133,21 +133,22 @@ def _new_state(mode: str, k: int, qids: np.ndarray):
     return _TopK(qids, k) if mode == "topk" else _Max(qids)
 
 
-def _score_block(state, q, qn, qids, x, xids, earlier_only: bool) -> None:
+def _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only: bool) -> None:
     if len(xids) == 0 or len(qids) == 0:
         return
     xn = _norms(x)
     s = _scores(q, x, qn, xn)
     if earlier_only:
-        s = np.where(xids[None, :] < qids[:, None], s, -np.inf)
+        s = np.where(xord[None, :] < qord[:, None], s, -np.inf)
     state.add(s, xids)
 
 
-def _prepare(df: DataFrame, id_col: str, v_col: str) -> DataFrame:
-    """(id, v) with zero and NULL vectors removed; v as ARRAY<DOUBLE>."""
+def _prepare(df: DataFrame, id_col: str, v_col: str, ord_col: str | None = None) -> DataFrame:
+    """(id, v, ord) with zero and NULL vectors removed; v as ARRAY<DOUBLE>."""
     v = F.col(v_col).cast("array<double>")
+    ordc = F.col(ord_col) if ord_col else F.col(id_col)
     return (
-        df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+        df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), ordc.cast("long").alias("ord"))
         .where(F.col("v").isNotNull() & nonzero("v"))
     )
 
@@ -167,12 +168,13 @@ def _pack(df: DataFrame, nblocks: int, blk_col: str) -> DataFrame:
     def pack(tbl: pa.Table) -> pa.Table:
         n = tbl.num_rows
         ids = tbl.column("id").to_numpy().astype(np.int64)
+        ords = tbl.column("ord").to_numpy().astype(np.int64)
         mat = _matrix(tbl.column("v"), n)
         blk = tbl.column(blk_col)[0].as_py()
         return pa.table(
             {
                 blk_col: pa.array([blk], pa.int32()),
-                "ids": pa.array([ids.tobytes()], pa.binary()),
+                "ids": pa.array([np.concatenate([ids, ords]).tobytes()], pa.binary()),
                 "mat": pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
                 "n": pa.array([n], pa.int32()),
             }
@@ -185,9 +187,9 @@ def _pack(df: DataFrame, nblocks: int, blk_col: str) -> DataFrame:
 
 
 def _unpack(ids_b: bytes, mat_b: bytes, n: int):
-    ids = np.frombuffer(ids_b, dtype=np.int64)
+    both = np.frombuffer(ids_b, dtype=np.int64)
     mat = np.frombuffer(mat_b, dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
-    return ids, mat
+    return both[:n], both[n:], mat
 
 
 def _blocked(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only: bool,
@@ -214,11 +216,11 @@ def _blocked(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_on
             for i in range(rb.num_rows):
                 qb = cols["qblk"][i]
                 if qb not in states:
-                    qids, q = _unpack(cols["q_ids"][i], cols["q_mat"][i], cols["q_n"][i])
-                    states[qb] = (_new_state(mode, k, qids), q, _norms(q), qids)
-                state, q, qn, qids = states[qb]
-                xids, x = _unpack(cols["x_ids"][i], cols["x_mat"][i], cols["x_n"][i])
-                _score_block(state, q, qn, qids, x, xids, earlier_only)
+                    qids, qord, q = _unpack(cols["q_ids"][i], cols["q_mat"][i], cols["q_n"][i])
+                    states[qb] = (_new_state(mode, k, qids), q, _norms(q), qids, qord)
+                state, q, qn, qids, qord = states[qb]
+                xids, xord, x = _unpack(cols["x_ids"][i], cols["x_mat"][i], cols["x_n"][i])
+                _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only)
         for state, *_ in states.values():
             yield state.batch()
 
@@ -229,18 +231,20 @@ def _broadcast(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_
     tbl = queries.toArrow()  # size checked by the caller
     n = tbl.num_rows
     qids = tbl.column("id").to_numpy().astype(np.int64)
+    qord = tbl.column("ord").to_numpy().astype(np.int64)
     q = _matrix(tbl.column("v"), n)
-    bq = index.sparkSession.sparkContext.broadcast((qids, q))
+    bq = index.sparkSession.sparkContext.broadcast((qids, qord, q))
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
 
     def kernel(batches):
-        qids_, q_ = bq.value
+        qids_, qord_, q_ = bq.value
         qn = _norms(q_)
         state = _new_state(mode, k, qids_)
         for rb in batches:
             xids = rb.column(0).to_numpy().astype(np.int64)
             x = _matrix(rb.column(1), rb.num_rows)
-            _score_block(state, q_, qn, qids_, x, xids, earlier_only)
+            xord = rb.column(2).to_numpy().astype(np.int64)
+            _score_block(state, q_, qn, qids_, qord_, x, xids, xord, earlier_only)
         yield state.batch()
 
     return index.mapInArrow(kernel, schema)
@@ -284,15 +288,17 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, *, index_id: str = "id",
 
 def max_similarity(index: DataFrame, queries: DataFrame, *, earlier_only: bool = False,
                    index_id: str = "id", index_v: str = "v", query_id: str = "id",
-                   query_v: str = "v", strategy: str = "auto") -> DataFrame:
+                   query_v: str = "v", ord_col: str | None = None,
+                   strategy: str = "auto") -> DataFrame:
     """A2: best cosine of each query row against the index; 0.0 when none.
 
-    ``earlier_only`` limits candidates to index ids below the query's id (J5).
+    ``earlier_only`` limits candidates to index rows whose order value (``ord_col``,
+    default the id) is below the query's (J5).
     Every query row is returned, including zero or NULL query vectors (0.0).
     """
     all_q = queries.select(F.col(query_id).cast("long").alias("qid")).distinct()
-    x = _prepare(index, index_id, index_v)
-    q = _prepare(queries, query_id, query_v)
+    x = _prepare(index, index_id, index_v, ord_col)
+    q = _prepare(queries, query_id, query_v, ord_col)
     cand = _plan(x, q, "max", 1, earlier_only, strategy)
     if cand is None:
         return all_q.withColumn("score", F.lit(0.0))
@@ -303,16 +309,17 @@ def max_similarity(index: DataFrame, queries: DataFrame, *, earlier_only: bool =
 
 
 def near_duplicates(vectors: DataFrame, new_ids: DataFrame, threshold: float,
-                    *, strategy: str = "auto") -> DataFrame:
+                    *, ord_col: str | None = None, strategy: str = "auto") -> DataFrame:
     """New rows whose best cosine against every row with a smaller id meets
     ``threshold``. Store rows have smaller ids than every new row, so "store or
     earlier in the load" is exactly ``other.id < new.id``.
 
     ``vectors``: (id, v) of the store and the new rows; ``new_ids``: (id).
-    Returns ``(id, score)``.
+    When ids do not carry the order, ``ord_col`` does: store rows get a value
+    below every new row's. Returns ``(id, score)``.
     """
     queries = vectors.join(new_ids.select(F.col("id").cast("long")), "id", "left_semi")
-    best = max_similarity(vectors, queries, earlier_only=True, strategy=strategy)
+    best = max_similarity(vectors, queries, earlier_only=True, ord_col=ord_col, strategy=strategy)
     return best.where(F.col("score") >= F.lit(threshold)).select(
         F.col("qid").alias("id"), "score"
     )

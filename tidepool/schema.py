@@ -38,14 +38,14 @@ RECORD_SCHEMA = T.StructType(
         T.StructField("source", T.StringType(), False),
         T.StructField("created_at", T.TimestampNTZType(), False),
         T.StructField("updated_at", T.TimestampNTZType(), False),
-        T.StructField("embedding", T.ArrayType(T.DoubleType(), False), True),
+        T.StructField("embedding", T.ArrayType(T.DoubleType(), True), True),
     ]
 )
 
 VECTOR_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType(), False),
-        T.StructField("v", T.ArrayType(T.DoubleType(), False), False),
+        T.StructField("v", T.ArrayType(T.DoubleType(), True), False),
     ]
 )
 
