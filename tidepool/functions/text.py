@@ -23,7 +23,8 @@ def ustrip(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
-    return ustrip(c) == F.lit("")
+    """Only whitespace (or empty): the left trim consumes everything."""
+    return F.ltrim(_c(c), F.lit(WS)) == F.lit("")
 
 
 def embedding_text(instruction: Column | str, input_value: Column | str) -> Column:

@@ -1,19 +1,20 @@
 """Dense, ordered id assignment without a single-task window.
 
-Rows are range-partitioned and sorted on the order key, staged with a reliable
-checkpoint (so recomputation after a lost executor sees the same partitions),
-counted per partition, and offset by a running sum over the small count table
-(one row per partition, broadcast). ``id = start + offset + position``.
+Rows are range-partitioned and sorted on the order key, tagged with their
+partition and position, and staged as a written table (so a lost executor
+cannot change the numbering on recomputation). The per-partition counts form
+a table of at most ``num_partitions`` rows; its running sums become a literal
+offset map. ``id = start + offset[partition] + position``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import checkpoint_root
+from tidepool.session import stage
 
 
 def assign_ids(
@@ -22,10 +23,12 @@ def assign_ids(
     start: int,
     id_col: str = "id",
     num_partitions: int | None = None,
-) -> DataFrame:
-    """Number rows ``start, start+1, ...`` in order of ``order_cols`` (unique)."""
+) -> tuple[DataFrame, int]:
+    """Number rows ``start, start+1, ...`` in order of ``order_cols`` (unique).
+
+    Returns the numbered rows and their count.
+    """
     spark = df.sparkSession
-    checkpoint_root(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(max(1, n), *order_cols)
@@ -33,22 +36,23 @@ def assign_ids(
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    staged = ranged.checkpoint(eager=True)
-    counts = staged.groupBy("_pid").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")
-    )
-    # The count table has one row per partition: its size is bounded by n.
-    running = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(
-        "_pid", "_m0", (F.sum("_n").over(running) - F.col("_n")).alias("_off")
-    )
-    numbered = staged.join(F.broadcast(offsets), "_pid").withColumn(
-        id_col,
-        (F.lit(int(start)) + F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"),
+    staged = stage(ranged, "ids")
+    # At most n rows: one per range partition.
+    counts = sorted(
+        (r["_pid"], r["_n"], r["_m0"])
+        for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")).collect()
     )
-    return numbered.drop("_pid", "_mid", "_m0", "_off")
+    base, total = {}, 0
+    for pid, cnt, m0 in counts:
+        base[pid] = int(start) + total - int(m0)
+        total += int(cnt)
+    if not base:
+        return staged.drop("_pid", "_mid").withColumn(id_col, F.lit(None).cast("long")), 0
+    offset = F.create_map(*[x for pid, b in sorted(base.items()) for x in (F.lit(pid), F.lit(b))])
+    numbered = staged.withColumn(id_col, (F.element_at(offset, F.col("_pid")) + F.col("_mid")).cast("long"))
+    return numbered.drop("_pid", "_mid"), total
 
 
 def number_lines(lines: DataFrame, order_cols: Sequence[str], col: str = "line_no") -> DataFrame:
     """0-based position of each line in file order (S1 line numbers)."""
-    return assign_ids(lines, order_cols, 0, id_col=col)
+    return assign_ids(lines, order_cols, 0, id_col=col)[0]

@@ -153,13 +153,16 @@ def _prepare(df: DataFrame, id_col: str, v_col: str, ord_col: str | None = None)
     )
 
 
-def _dim(df: DataFrame) -> int:
-    row = df.select(F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")).first()
-    if row is None or row.lo is None:
-        return 0
+def _stats(df: DataFrame) -> tuple[int, int]:
+    """(row count, dimension) in one pass; all vectors must share the dimension."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("lo"), F.max(F.size("v")).alias("hi")
+    ).first()
+    if row is None or not row.n:
+        return 0, 0
     if row.lo != row.hi:
         raise ValueError(f"vectors of different dimension: {row.lo} and {row.hi}")
-    return int(row.lo)
+    return int(row.n), int(row.lo)
 
 
 def _pack(df: DataFrame, nblocks: int, blk_col: str) -> DataFrame:
@@ -227,8 +230,7 @@ def _blocked(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_on
     return pairs.mapInArrow(kernel, schema)
 
 
-def _broadcast(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only: bool) -> DataFrame:
-    tbl = queries.toArrow()  # size checked by the caller
+def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only: bool) -> DataFrame:
     n = tbl.num_rows
     qids = tbl.column("id").to_numpy().astype(np.int64)
     qord = tbl.column("ord").to_numpy().astype(np.int64)
@@ -243,6 +245,8 @@ def _broadcast(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_
         for rb in batches:
             xids = rb.column(0).to_numpy().astype(np.int64)
             x = _matrix(rb.column(1), rb.num_rows)
+            if x.shape[0] and x.shape[1] != q_.shape[1]:
+                raise ValueError(f"index dimension {x.shape[1]} differs from query dimension {q_.shape[1]}")
             xord = rb.column(2).to_numpy().astype(np.int64)
             _score_block(state, q_, qn, qids_, qord_, x, xids, xord, earlier_only)
         yield state.batch()
@@ -252,17 +256,26 @@ def _broadcast(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_
 
 def _plan(index, queries, mode, k, earlier_only, strategy):
     ship_package(index.sparkSession)
-    dim = _dim(index)
-    nq = queries.count()
-    if dim == 0 or nq == 0:
+    if strategy != "blocked":
+        # Fetch at most BROADCAST_ROWS + 1 query rows: the size check never
+        # pulls more than the bound to the driver.
+        head = queries.limit(BROADCAST_ROWS + 1).toArrow()
+        n = head.num_rows
+        if n == 0:
+            return None
+        dim = len(head.column("v")[0]) if n else 0
+        if strategy == "broadcast" or (n <= BROADCAST_ROWS and n * dim * 8 <= BROADCAST_BYTES):
+            # The index is only scanned; its dimension is checked in the kernel.
+            return _broadcast(index, head, mode, k, earlier_only)
+    nq, qdim = _stats(queries)
+    if nq == 0:
+        return None
+    nx, dim = _stats(index)
+    if nx == 0:
         return None
-    qdim = _dim(queries)
     if qdim != dim:
         raise ValueError(f"query dimension {qdim} differs from index dimension {dim}")
-    small = nq <= BROADCAST_ROWS and nq * dim * 8 <= BROADCAST_BYTES
-    if strategy == "broadcast" or (strategy == "auto" and small):
-        return _broadcast(index, queries, mode, k, earlier_only)
-    return _blocked(index, queries, mode, k, earlier_only, dim, nq, index.count())
+    return _blocked(index, queries, mode, k, earlier_only, dim, nq, nx)
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, *, index_id: str = "id",

@@ -19,12 +19,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.session import spread
+
 FIXED_TS = "2020-01-01 00:00:00"
 STORE_ORDER = -1  # order value of store rows in the near-duplicate scenario
 
 
+# Text-heavy tables: spread over the cores when the file has fewer splits.
+SPREAD = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, SPREAD[name]) if name in SPREAD else df
 
 
 def fx_src(spark: SparkSession, sf_dir: str) -> DataFrame:

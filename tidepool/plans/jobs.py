@@ -42,7 +42,7 @@ from tidepool.schema import (
     SEARCH_K,
     VALID,
 )
-from tidepool.session import checkpoint_root
+from tidepool.session import checkpoint_root, stage
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
 from tidepool.sources.store import Store, backfill_vectors
 
@@ -84,12 +84,12 @@ def import_lines(
     near-duplicate count is 0, the import itself goes on.
     """
     order_cols = list(order_cols)
-    cls = line_status(lines, order_cols)
+    # Classified lines feed both the accepted rows and the per-line status.
+    cls = line_status(lines, order_cols).persist()
     valid = cls.where(F.col("status") == F.lit(VALID))
     firsts = first_wins(valid, order_cols)
     new = anti_join_keys(firsts, records.select(*KEY))
-    added = assign_ids(new, order_cols, high_water + 1)  # staged: stable on recompute
-    n_added = added.count()
+    added, n_added = assign_ids(new, order_cols, high_water + 1)  # staged: stable on recompute
 
     flags = added.select(*order_cols, F.lit(True).alias("_added"))
     status = (
@@ -110,8 +110,8 @@ def import_lines(
         near = spark.createDataFrame([], "id long, score double")
     else:
         texts = added.select("id", embedding_text("instruction", "input").alias("text"))
-        embedded = apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode)
-        embedded = embedded.checkpoint(eager=True)
+        # The model call is the expensive step: run it once, keep the result.
+        embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode), "embedded")
         new_vecs = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
         pool = vectors.select("id", "v").unionByName(new_vecs)
         near = near_duplicates(pool, new_vecs.select("id"), threshold, strategy=strategy)
@@ -142,7 +142,7 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
     res = import_lines(read_lines(spark, path), store.records(), store.vectors(),
                        snap.high_water, as_of, **kw)
-    report = res.report.checkpoint(eager=True)
+    report = stage(res.report, "import-report")
     store.publish(res.records, res.vectors, res.high_water, batch=batch)
     return report
 
@@ -181,7 +181,7 @@ def embed_pending(records: DataFrame, vectors: DataFrame, *, embedder: Embedder
     with report columns succeeded, total."""
     pending = records.where(F.col("embedding").isNull())
     texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
-    embedded = apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode)
+    embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode), "embedded")
     good = embedded.where(F.col("v").isNotNull()).select("id", "v")
     r2, v2 = save_embeddings(records, vectors, good)
     report = embedded.agg(

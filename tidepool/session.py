@@ -92,3 +92,31 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(target)
     _SHIPPED.add(key)
+
+
+def spread(df, *keys: str):
+    """Give a small input at least one partition per core.
+
+    A large input already has a partition per file split, so this never adds
+    a shuffle of big data: it only hash-partitions an input whose partition
+    count is below the cluster's default parallelism (e.g. one row group).
+    """
+    if os.environ.get("TIDEPOOL_NO_SPREAD"):
+        return df
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
+def stage(df, name: str):
+    """Cut lineage: write ``df`` as Parquet under the shared work folder and read it back.
+
+    One job computes the data once (``checkpoint()`` without a cache computes it
+    twice: once for the action, once for the checkpoint files). The written
+    table survives lost executors; later stages read it instead of recomputing.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
