@@ -153,3 +153,20 @@ def test_incremental_stream_equals_single_import(spark, tmp_root):
     b = sorted(tuple(r) for r in one.records().select(*cols).collect())
     assert a == b and st.current().batch == 2
     assert st.records().where(F.col("embedding").isNotNull()).count() == len(a)
+
+
+def test_import_appends_and_compacts(spark, tmp_root):
+    recs = records_df(spark, [(1, "a", "", "b", "", None)])
+    st = S.Store(spark, tmp_root + "/s")
+    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 1, dim=26)
+    src = tmp_root + "/in.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "c", "output": "d"}) + "\n")
+    jobs.import_jsonl(st, src, AS_OF)
+    snap = st.current()
+    assert len(snap.records) == 2 and snap.high_water == 2
+    assert sorted(r.id for r in st.records().collect()) == [1, 2]
+    assert st.key_hashes().count() == 2
+    st.compact()
+    assert len(st.current().records) == 1
+    assert sorted(r.id for r in st.records().collect()) == [1, 2]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import is_blank
@@ -17,23 +17,34 @@ from tidepool.functions.vector import nonzero
 from tidepool.schema import FIELDS, RECORD_SCHEMA
 
 
-def append(records: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Add rows (id, four fields, optional embedding) stamped ``as_of``."""
+def stamp_new(new: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """New rows (id, four fields, optional embedding) as records stamped ``as_of``."""
     ts = F.lit(as_of).cast("timestamp_ntz")
     emb = F.col("embedding") if "embedding" in new.columns else F.lit(None)
-    rows = new.select(
+    return new.select(
         F.col("id").cast("long"), *FIELDS,
         ts.alias("created_at"), ts.alias("updated_at"),
         emb.cast("array<double>").alias("embedding"),
     )
-    return records.select(*RECORD_SCHEMA.fieldNames()).unionByName(rows)
+
+
+def append(records: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The store's records plus the new rows."""
+    return records.select(*RECORD_SCHEMA.fieldNames()).unionByName(stamp_new(new, as_of))
 
 
 def _last_per_id(changes: DataFrame, order_col: str | None) -> DataFrame:
+    """The last change per id by ``order_col``, as an aggregate with a map-side
+    partial (an id edited a million times costs one row per task)."""
+    cols = [c for c in changes.columns if c not in ("id",)]
     if order_col is None:
-        return changes
-    w = Window.partitionBy("id").orderBy(F.col(order_col).desc())
-    return changes.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        # No change order given: ids should be unique; duplicates resolve to
+        # one deterministic change so a record is never multiplied by the join.
+        pick = F.max(F.struct(*cols))
+    else:
+        pick = F.max_by(F.struct(*cols), F.col(order_col))
+    last = changes.groupBy("id").agg(pick.alias("_last"))
+    return last.select("id", *[F.col("_last").getField(c).alias(c) for c in cols])
 
 
 def update(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt.datetime,

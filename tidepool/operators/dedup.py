@@ -36,7 +36,9 @@ def first_wins(rows: DataFrame, order_cols: Sequence[str], carry: Sequence[str]
     the input costs one row per task, not a third of the data in one task.
     """
     packed = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in carry])
-    firsts = rows.groupBy(*KEY).agg(F.min(packed).alias("_first"))
+    # The key hash leads the grouping: the sort behind the aggregate orders on a
+    # 64-bit prefix and compares the texts only when hashes are equal.
+    firsts = rows.groupBy(key_hash().alias("_h"), *KEY).agg(F.min(packed).alias("_first"))
     return firsts.select(
         *KEY,
         *[F.col("_first").getField(c).alias(c) for c in order_cols],
@@ -44,16 +46,18 @@ def first_wins(rows: DataFrame, order_cols: Sequence[str], carry: Sequence[str]
     )
 
 
-def anti_join_keys(rows: DataFrame, store: DataFrame) -> DataFrame:
+def anti_join_keys(rows: DataFrame, store: DataFrame, store_hashes: DataFrame | None = None) -> DataFrame:
     """Rows whose triple is not in ``store``.
 
     A hash prefilter keeps the store's long texts out of most of the shuffle:
     rows whose key hash is absent from the store are new without a text compare;
     only rows with a matching hash are checked against the store's full triples,
-    so a hash collision can never drop a row.
+    so a hash collision can never drop a row. ``store_hashes`` (column ``_h``)
+    lets a store that keeps its hashes skip reading its texts here.
     """
     h = key_hash()
-    store_h = store.select(h.alias("_h")).distinct()
+    hashes = store_hashes if store_hashes is not None else store.select(h.alias("_h"))
+    store_h = hashes.distinct()
     cand = rows.withColumn("_h", h)
     sure_new = cand.join(store_h, "_h", "left_anti")
     maybe = cand.join(store_h, "_h", "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions.text import embedding_text, is_blank, ustrip
 from tidepool.functions.vector import nonzero
-from tidepool.operators.changes import append, apply_changes, save_embeddings
+from tidepool.operators.changes import apply_changes, save_embeddings, stamp_new
 from tidepool.operators.dedup import anti_join_keys, first_wins
 from tidepool.operators.embed import (
     LETTERS,
@@ -44,7 +44,7 @@ from tidepool.schema import (
 )
 from tidepool.session import checkpoint_root, stage
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
-from tidepool.sources.store import Store, backfill_vectors
+from tidepool.sources.store import Store, backfill_vectors, missing_vectors
 
 
 @dataclass
@@ -57,6 +57,8 @@ class ImportResult:
     vectors: DataFrame  # the store's vectors after the import
     report: DataFrame  # added, duplicate, invalid, near_duplicate
     high_water: int
+    new_records: DataFrame  # only the rows added (what an append publishes)
+    new_vectors: DataFrame  # only the vector rows added
 
 
 def line_status(lines: DataFrame, order_cols=ORDER_COLS) -> DataFrame:
@@ -77,6 +79,7 @@ def import_lines(
     threshold: float = NEAR_DUPLICATE_THRESHOLD,
     mode: str = PER_ROW,
     strategy: str = "auto",
+    store_hashes: DataFrame | None = None,
 ) -> ImportResult:
     """J-IMPORT over a lines DataFrame ``(order cols..., line)``.
 
@@ -88,7 +91,7 @@ def import_lines(
     cls = line_status(lines, order_cols).persist()
     valid = cls.where(F.col("status") == F.lit(VALID))
     firsts = first_wins(valid, order_cols)
-    new = anti_join_keys(firsts, records.select(*KEY))
+    new = anti_join_keys(firsts, records.select(*KEY), store_hashes)
     added, n_added = assign_ids(new, order_cols, high_water + 1)  # staged: stable on recompute
 
     flags = added.select(*order_cols, F.lit(True).alias("_added"))
@@ -117,10 +120,10 @@ def import_lines(
         near = near_duplicates(pool, new_vecs.select("id"), threshold, strategy=strategy)
 
     with_emb = added.join(embedded.select("id", F.col("v").alias("embedding")), "id", "left")
-    records2 = append(records, with_emb, as_of)
-    vectors2 = vectors.select("id", "v").unionByName(
-        embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
-    )
+    new_records = stamp_new(with_emb, as_of)
+    records2 = records.select(*new_records.columns).unionByName(new_records)
+    new_vectors = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
+    vectors2 = vectors.select("id", "v").unionByName(new_vectors)
     kinds = status.select(F.col("status").alias("k")).unionByName(
         near.select(F.lit("near").alias("k"))
     )
@@ -130,7 +133,8 @@ def import_lines(
         F.count_if(F.col("k").isin(*INVALID_STATUSES)).alias("invalid"),
         F.count_if(F.col("k") == F.lit("near")).alias("near_duplicate"),
     )
-    return ImportResult(status, added, embedded, near, records2, vectors2, report, high_water + n_added)
+    return ImportResult(status, added, embedded, near, records2, vectors2, report,
+                        high_water + n_added, new_records, new_vectors)
 
 
 def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None = None,
@@ -141,9 +145,9 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
     snap = store.current() or store.create(kw.get("dim", LETTERS))
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
     res = import_lines(read_lines(spark, path), store.records(), store.vectors(),
-                       snap.high_water, as_of, **kw)
+                       snap.high_water, as_of, store_hashes=store.key_hashes(), **kw)
     report = stage(res.report, "import-report")
-    store.publish(res.records, res.vectors, res.high_water, batch=batch)
+    store.append(res.new_records, res.new_vectors, res.high_water, batch=batch)
     return report
 
 
@@ -169,9 +173,8 @@ def open_store(store: Store, dim: int) -> Store:
     snap = store.create(dim)
     records = store.records()
     vectors = store.vectors()
-    filled = backfill_vectors(records, vectors)
-    if filled.count() != vectors.count():
-        store.publish(records, filled, snap.high_water)
+    if not missing_vectors(records, vectors).isEmpty():
+        store.publish(records, backfill_vectors(records, vectors), snap.high_water)
     return store
 
 

@@ -2,14 +2,18 @@
 
 Layout under ``root``::
 
-    records/v=<n>/   RECORD_SCHEMA
+    records/v=<n>/   RECORD_SCHEMA + _key_hash (64-bit hash of the triple)
     vectors/v=<n>/   VECTOR_SCHEMA (id, v): non-zero vectors only
-    _CURRENT         {"version": n, "high_water": h, "batch": b, "dim": d}
+    _CURRENT         {"version", "high_water", "batch", "dim",
+                      "records": [folders], "vectors": [folders]}
 
-A job writes both tables of a new version and then replaces ``_CURRENT``
-(written to a temporary name, then renamed). Readers resolve the pointer, so a
-job that fails leaves the previous version in place. ``high_water`` is the
-largest id ever assigned: ids are never reused after a delete.
+A version is the list of folders named in ``_CURRENT``. An import only appends:
+it writes the new rows into one new folder per table and adds it to the lists,
+so its cost follows the size of the import, not of the store. Updates, deletes
+and ``compact()`` rewrite the tables into a single folder. ``_CURRENT`` is
+replaced last (temporary name, then rename): a failed job leaves the previous
+version readable. ``high_water`` is the largest id ever assigned, so ids are
+never reused after a delete.
 
 S3 key scan, S4 listing, S5 lookup, S7 create, E1 migration and E2 backfill.
 """
@@ -17,16 +21,18 @@ S3 key scan, S4 listing, S5 lookup, S7 create, E1 migration and E2 backfill.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import preview
 from tidepool.functions.vector import nonzero
-from tidepool.operators.dedup import distinct_keys
+from tidepool.operators.dedup import distinct_keys, key_hash
 from tidepool.schema import MIGRATION_DEFAULTS, RECORD_SCHEMA, VECTOR_SCHEMA
 
+MAX_FOLDERS = 64  # appended folders per table before an import compacts
+
 
 def _hpath(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -73,6 +79,8 @@ class Snapshot:
     high_water: int
     batch: int
     dim: int
+    records: list[str] = field(default_factory=list)
+    vectors: list[str] = field(default_factory=list)
 
 
 def migrate(df: DataFrame) -> DataFrame:
@@ -84,15 +92,18 @@ def migrate(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORD_SCHEMA.fields])
 
 
-def backfill_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vectors of records that hold a non-zero embedding but have no vector
-    row; existing vector rows are kept untouched."""
-    missing = (
+def missing_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Records that hold a non-zero embedding but have no vector row."""
+    return (
         records.where(F.col("embedding").isNotNull() & nonzero("embedding"))
         .select("id", F.col("embedding").alias("v"))
         .join(vectors.select("id"), "id", "left_anti")
     )
-    return vectors.select("id", "v").unionByName(missing)
+
+
+def backfill_vectors(records: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Add the missing vector rows; existing vector rows are kept untouched."""
+    return vectors.select("id", "v").unionByName(missing_vectors(records, vectors))
 
 
 def listing(records: DataFrame) -> DataFrame:
@@ -122,20 +133,37 @@ class Store:
         if text is None:
             return None
         d = json.loads(text)
-        return Snapshot(int(d["version"]), int(d["high_water"]), int(d.get("batch", -1)), int(d["dim"]))
+        return Snapshot(int(d["version"]), int(d["high_water"]), int(d.get("batch", -1)), int(d["dim"]),
+                        list(d.get("records", [])), list(d.get("vectors", [])))
 
     def exists(self) -> bool:
         return self.current() is not None
 
+    def _point(self, snap: Snapshot) -> Snapshot:
+        _write_text_atomic(self.spark, f"{self.root}/_CURRENT", json.dumps({
+            "version": snap.version, "high_water": snap.high_water, "batch": snap.batch,
+            "dim": snap.dim, "records": snap.records, "vectors": snap.vectors,
+        }))
+        return snap
+
     # -- read ----------------------------------------------------------
-    def records(self) -> DataFrame:
+    def _paths(self, names: list[str]) -> list[str]:
+        return [f"{self.root}/{n}" for n in names]
+
+    def _raw_records(self) -> DataFrame:
         snap = self._require()
-        df = self.spark.read.parquet(f"{self.root}/records/v={snap.version}")
-        return migrate(df)
+        return self.spark.read.option("mergeSchema", "true").parquet(*self._paths(snap.records))
+
+    def records(self) -> DataFrame:
+        return migrate(self._raw_records())
+
+    def key_hashes(self) -> DataFrame:
+        """The stored 64-bit key hash of every record: 8 bytes a row to read."""
+        return self._raw_records().select(F.col("_key_hash").alias("_h"))
 
     def vectors(self) -> DataFrame:
         snap = self._require()
-        return self.spark.read.schema(VECTOR_SCHEMA).parquet(f"{self.root}/vectors/v={snap.version}")
+        return self.spark.read.schema(VECTOR_SCHEMA).parquet(*self._paths(snap.vectors))
 
     def keys(self) -> DataFrame:
         """S3 / A3."""
@@ -148,28 +176,45 @@ class Store:
         return snap
 
     # -- write ---------------------------------------------------------
+    def _write(self, records: DataFrame, vectors: DataFrame, version: int) -> tuple[str, str]:
+        r_name, v_name = f"records/v={version}", f"vectors/v={version}"
+        # Sorted by id inside files: point lookups prune row groups by min/max.
+        (migrate(records).withColumn("_key_hash", key_hash()).sortWithinPartitions("id")
+         .write.mode("overwrite").parquet(f"{self.root}/{r_name}"))
+        (vectors.select("id", "v").sortWithinPartitions("id")
+         .write.mode("overwrite").parquet(f"{self.root}/{v_name}"))
+        return r_name, v_name
+
     def publish(self, records: DataFrame, vectors: DataFrame, high_water: int,
                 batch: int | None = None, dim: int | None = None) -> Snapshot:
-        """Write both tables as the next version, then move the pointer."""
+        """Rewrite both tables as the next version, then move the pointer."""
         prev = self.current()
         version = (prev.version + 1) if prev else 0
-        dim = dim if dim is not None else (prev.dim if prev else 0)
-        batch = batch if batch is not None else (prev.batch if prev else -1)
-        # Sorted by id inside files: point lookups prune row groups by min/max.
-        migrate(records).sortWithinPartitions("id").write.mode("overwrite").parquet(
-            f"{self.root}/records/v={version}"
-        )
-        vectors.select("id", "v").sortWithinPartitions("id").write.mode("overwrite").parquet(
-            f"{self.root}/vectors/v={version}"
-        )
-        snap = Snapshot(version, int(high_water), int(batch), int(dim))
-        _write_text_atomic(
-            self.spark,
-            f"{self.root}/_CURRENT",
-            json.dumps({"version": version, "high_water": snap.high_water,
-                        "batch": snap.batch, "dim": snap.dim}),
-        )
-        return snap
+        r_name, v_name = self._write(records, vectors, version)
+        return self._point(Snapshot(
+            version, int(high_water),
+            int(batch if batch is not None else (prev.batch if prev else -1)),
+            int(dim if dim is not None else (prev.dim if prev else 0)),
+            [r_name], [v_name],
+        ))
+
+    def append(self, new_records: DataFrame, new_vectors: DataFrame, high_water: int,
+               batch: int | None = None) -> Snapshot:
+        """Add rows with new ids as one more folder per table (an import)."""
+        prev = self._require()
+        if len(prev.records) >= MAX_FOLDERS:
+            prev = self.compact()
+        version = prev.version + 1
+        r_name, v_name = self._write(new_records, new_vectors, version)
+        return self._point(Snapshot(
+            version, int(high_water), int(batch if batch is not None else prev.batch), prev.dim,
+            prev.records + [r_name], prev.vectors + [v_name],
+        ))
+
+    def compact(self) -> Snapshot:
+        """Rewrite the current version into one folder per table."""
+        snap = self._require()
+        return self.publish(self.records(), self.vectors(), snap.high_water, snap.batch, snap.dim)
 
     def create(self, dim: int) -> Snapshot:
         """Empty tables when the store is absent; a no-op otherwise."""

@@ -40,8 +40,9 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
             *ORDER_COLS, "line"
         )
         res = jobs.import_lines(staged, store.records(), store.vectors(), snap.high_water,
-                                as_of or dt.datetime.now().replace(microsecond=0), **kw)
-        store.publish(res.records, res.vectors, res.high_water, batch=batch_id)
+                                as_of or dt.datetime.now().replace(microsecond=0),
+                                store_hashes=store.key_hashes(), **kw)
+        store.append(res.new_records, res.new_vectors, res.high_water, batch=batch_id)
 
     query = (
         lines.writeStream.foreachBatch(one_batch)
