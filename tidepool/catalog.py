@@ -288,7 +288,7 @@ def q_cosine_top_k_batch(spark, sf):
     v = fx.fx_vec(spark, sf)
     queries = v.where(F.col("kind").isin("near", "far"))
     index = v.where(F.col("kind") == "base")
-    return _topk_out(top_k(index, queries, SEARCH_K, strategy="blocked"))
+    return _topk_out(top_k(index, queries, SEARCH_K, strategy="grid"))
 
 
 def q_max_similarity(spark, sf):

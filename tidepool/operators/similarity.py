@@ -9,13 +9,15 @@ Two physical plans share one NumPy kernel:
 * **broadcast scan** - when the query side is small (row and byte count checked
   at run time) its matrix is broadcast and every index partition is scored in
   place: no shuffle of the index at all;
-* **blocked** - otherwise both sides are hashed into blocks of bounded size,
-  packed into one binary matrix per block (``applyInArrow``), index blocks are
-  paired with every query block through an equi-join on the block id, and each
-  task keeps a running top-k / max per query across the index blocks it sees.
-  A final ``row_number`` / ``max`` per query makes the result exact whatever
-  the partitioning. Work is O(|Q| |X| d) as for any exact search; the shuffle is
-  O(|X| * query blocks) and no task ever holds more than two blocks.
+* **grid** - otherwise queries are hashed into R row groups and index rows
+  into C column groups, sized so that one group fits a bounded number of bytes.
+  Each query row is sent to the C cells of its row group, each index row to the
+  R cells of its column group, and ``cogroup(...).applyInArrow`` scores one cell
+  (a bounded query table against a bounded index table) in sub-blocks, keeping
+  a running top-k / max per query. A final ``row_number`` / ``max`` over the
+  cells gives the exact answer. Work is O(|Q| |X| d) as for any exact search;
+  the shuffle is O(|Q| C + |X| R) vectors, about the square root of the pair
+  count, and no row pair is ever materialised.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 from tidepool.functions.vector import nonzero
 from tidepool.session import ship_package
 
-BLOCK_BYTES = 4 << 20  # bytes of one packed block matrix
-MAX_BLOCK_ROWS = 2048  # bounds the score matrix of one block pair (32 MiB)
+CELL_BYTES = 64 << 20  # vector bytes of one side of one grid cell
+MAX_BLOCK_ROWS = 2048  # sub-block rows: bounds one score matrix (32 MiB)
 BROADCAST_ROWS = 4096  # query rows that may be broadcast
 BROADCAST_BYTES = 32 << 20
 
@@ -39,8 +41,8 @@ _TOPK_SCHEMA = "qid long, id long, score double"
 _MAX_SCHEMA = "qid long, score double"
 
 
-def _block_rows(dim: int) -> int:
-    return int(max(64, min(MAX_BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dim)))))
+def _cell_rows(dim: int) -> int:
+    return int(max(64, CELL_BYTES // (8 * max(1, dim))))
 
 
 def _matrix(col: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
@@ -165,69 +167,48 @@ def _stats(df: DataFrame) -> tuple[int, int]:
     return int(row.n), int(row.lo)
 
 
-def _pack(df: DataFrame, nblocks: int, blk_col: str) -> DataFrame:
-    """One row per block: ids and the row-major matrix as raw bytes."""
-
-    def pack(tbl: pa.Table) -> pa.Table:
-        n = tbl.num_rows
-        ids = tbl.column("id").to_numpy().astype(np.int64)
-        ords = tbl.column("ord").to_numpy().astype(np.int64)
-        mat = _matrix(tbl.column("v"), n)
-        blk = tbl.column(blk_col)[0].as_py()
-        return pa.table(
-            {
-                blk_col: pa.array([blk], pa.int32()),
-                "ids": pa.array([np.concatenate([ids, ords]).tobytes()], pa.binary()),
-                "mat": pa.array([np.ascontiguousarray(mat).tobytes()], pa.binary()),
-                "n": pa.array([n], pa.int32()),
-            }
-        )
-
-    blocked = df.withColumn(blk_col, F.pmod(F.xxhash64("id"), F.lit(nblocks)).cast("int"))
-    return blocked.groupBy(blk_col).applyInArrow(
-        pack, f"{blk_col} int, ids binary, mat binary, n int"
-    )
-
-
-def _unpack(ids_b: bytes, mat_b: bytes, n: int):
-    both = np.frombuffer(ids_b, dtype=np.int64)
-    mat = np.frombuffer(mat_b, dtype=np.float64).reshape(n, -1) if n else np.zeros((0, 0))
-    return both[:n], both[n:], mat
-
-
-def _blocked(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only: bool,
-             dim: int, nq: int, nx: int) -> DataFrame:
-    rows = _block_rows(dim)
-    nqb = max(1, math.ceil(nq / rows))
-    nxb = max(1, math.ceil(nx / rows))
-    qp = _pack(queries, nqb, "qblk").select(
-        "qblk", F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"), F.col("n").alias("q_n")
-    )
-    xp = _pack(index, nxb, "xblk").select(
-        "xblk", F.col("ids").alias("x_ids"), F.col("mat").alias("x_mat"), F.col("n").alias("x_n")
-    )
-    # Every index block meets every query block: replicate the index blocks once
-    # per query block and equi-join on the query block id.
-    xrep = xp.withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
-    pairs = xrep.join(qp, "qblk")
+def _grid(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only: bool,
+          dim: int, nq: int, nx: int) -> DataFrame:
+    rows = _cell_rows(dim)
+    r = max(1, math.ceil(nq / rows))  # query row groups
+    c = max(1, math.ceil(nx / rows))  # index column groups
+    qg = F.pmod(F.xxhash64("id"), F.lit(r))
+    xg = F.pmod(F.xxhash64("id", F.lit("x")), F.lit(c))
+    qrep = queries.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(c - 1)))).withColumn(
+        "cell", (qg * F.lit(c) + F.col("cg")).cast("long")).select("cell", "id", "v", "ord")
+    xrep = index.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn(
+        "cell", (F.col("qg") * F.lit(c) + xg).cast("long")).select("cell", "id", "v", "ord")
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
-
-    def kernel(batches):
-        states: dict[int, tuple] = {}
-        for rb in batches:
-            cols = rb.to_pydict()
-            for i in range(rb.num_rows):
-                qb = cols["qblk"][i]
-                if qb not in states:
-                    qids, qord, q = _unpack(cols["q_ids"][i], cols["q_mat"][i], cols["q_n"][i])
-                    states[qb] = (_new_state(mode, k, qids), q, _norms(q), qids, qord)
-                state, q, qn, qids, qord = states[qb]
-                xids, xord, x = _unpack(cols["x_ids"][i], cols["x_mat"][i], cols["x_n"][i])
-                _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only)
-        for state, *_ in states.values():
-            yield state.batch()
-
-    return pairs.mapInArrow(kernel, schema)
+    sub = MAX_BLOCK_ROWS
+
+    def score_cell(qt: pa.Table, xt: pa.Table) -> pa.Table:
+        nq_, nx_ = qt.num_rows, xt.num_rows
+        if nq_ == 0 or nx_ == 0:
+            return pa.Table.from_batches([], schema=_arrow_schema(mode))
+        qids = qt.column("id").to_numpy().astype(np.int64)
+        qord = qt.column("ord").to_numpy().astype(np.int64)
+        q = _matrix(qt.column("v"), nq_)
+        xids = xt.column("id").to_numpy().astype(np.int64)
+        xord = xt.column("ord").to_numpy().astype(np.int64)
+        x = _matrix(xt.column("v"), nx_)
+        out = []
+        for i in range(0, nq_, sub):
+            qs = q[i:i + sub]
+            state = _new_state(mode, k, qids[i:i + sub])
+            qn = _norms(qs)
+            for j in range(0, nx_, sub):
+                _score_block(state, qs, qn, qids[i:i + sub], qord[i:i + sub],
+                             x[j:j + sub], xids[j:j + sub], xord[j:j + sub], earlier_only)
+            out.append(state.batch())
+        return pa.Table.from_batches(out)
+
+    return qrep.groupBy("cell").cogroup(xrep.groupBy("cell")).applyInArrow(score_cell, schema)
+
+
+def _arrow_schema(mode: str) -> pa.Schema:
+    if mode == "topk":
+        return pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    return pa.schema([("qid", pa.int64()), ("score", pa.float64())])
 
 
 def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only: bool) -> DataFrame:
@@ -256,7 +237,7 @@ def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only:
 
 def _plan(index, queries, mode, k, earlier_only, strategy):
     ship_package(index.sparkSession)
-    if strategy != "blocked":
+    if strategy not in ("grid", "blocked"):
         # Fetch at most BROADCAST_ROWS + 1 query rows: the size check never
         # pulls more than the bound to the driver.
         head = queries.limit(BROADCAST_ROWS + 1).toArrow()
@@ -275,7 +256,7 @@ def _plan(index, queries, mode, k, earlier_only, strategy):
         return None
     if qdim != dim:
         raise ValueError(f"query dimension {qdim} differs from index dimension {dim}")
-    return _blocked(index, queries, mode, k, earlier_only, dim, nq, nx)
+    return _grid(index, queries, mode, k, earlier_only, dim, nq, nx)
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, *, index_id: str = "id",
