@@ -228,3 +228,31 @@ def test_partitioning_does_not_change_result(spark):
             base = (rep, got)
         assert (rep, got) == base
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_embed_pending_modes(spark):
+    from tidepool.operators.embed import FAIL_STOP, flaky, letter_histogram
+
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 9)])
+    vecs = spark.createDataFrame([], "id long, v array<double>")
+    emb = flaky(letter_histogram, 4)
+    r, v, rep, _ = jobs.embed_pending(recs, vecs, embedder=emb)
+    assert rep.first().asDict() == {"succeeded": 6, "total": 8}
+    r, v, rep, _ = jobs.embed_pending(recs, vecs, embedder=emb, mode=FAIL_STOP)
+    assert rep.first().asDict() == {"succeeded": 3, "total": 8}
+    assert sorted(x.id for x in r.where("embedding IS NOT NULL").collect()) == [1, 2, 3]
+    assert sorted(x.id for x in v.collect()) == [1, 2, 3]
+
+
+def test_search_drops_blank_queries_and_joins_after_top_k(spark):
+    recs = records_df(spark, [(1, "aaa", "", "x", "", None), (2, "bbb", "", "y", "", None)])
+    vecs = spark.createDataFrame([], "id long, v array<double>")
+    r, v, _, _ = jobs.embed_pending(recs, vecs)
+    # An orphan vector (no record) still takes a place in the top-k.
+    from tidepool.operators.embed import LETTERS
+    orphan = spark.createDataFrame([(99, [1.0, 1.0] + [0.0] * (LETTERS - 2))], "id long, v array<double>")
+    q = spark.createDataFrame([(1, "  ab  "), (2, "   ")], "qid long, text string")
+    got = jobs.search(r, v.unionByName(orphan), q, k=1).collect()
+    assert [(x.qid, x.rank) for x in got] == []  # the best match is the orphan
+    got = jobs.search(r, v.unionByName(orphan), q, k=2).collect()
+    assert [(x.qid, x.rank, x.id) for x in got] == [(1, 2, 1)]

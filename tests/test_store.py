@@ -170,3 +170,18 @@ def test_import_appends_and_compacts(spark, tmp_root):
     st.compact()
     assert len(st.current().records) == 1
     assert sorted(r.id for r in st.records().collect()) == [1, 2]
+
+
+def test_replayed_stream_batch_is_skipped(spark, tmp_root):
+    from tidepool.streaming.incremental import import_stream
+
+    os.makedirs(f"{tmp_root}/in/0")
+    with open(f"{tmp_root}/in/0/a.jsonl", "w") as f:
+        f.write(json.dumps({"instruction": "a", "output": "b"}) + "\n")
+    st = S.Store(spark, tmp_root + "/st")
+    st.create(26)
+    snap = st.current()
+    # Pretend batch 0 was already published (a replay after a failure).
+    st._point(S.Snapshot(snap.version, snap.high_water, 0, snap.dim, snap.records, snap.vectors))
+    import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF)
+    assert st.records().count() == 0
