@@ -185,3 +185,23 @@ def test_replayed_stream_batch_is_skipped(spark, tmp_root):
     st._point(S.Snapshot(snap.version, snap.high_water, 0, snap.dim, snap.records, snap.vectors))
     import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF)
     assert st.records().count() == 0
+
+
+def test_update_trims_trailing_newlines_when_asked(spark):
+    recs = records_df(spark, [(1, "a", "", "b", "", None)])
+    vec = spark.createDataFrame([], "id long, v array<double>")
+    ch = spark.createDataFrame([(1, "q\n\n", "", "x\n", "s\n")], "id long, instruction string, input string, output string, source string")
+    r, _ = C.update(recs, vec, ch, AS_OF, trim_newlines=True)
+    row = r.first()
+    assert (row.instruction, row.output, row.source) == ("q", "x", "s")
+    r, _ = C.update(recs, vec, ch, AS_OF)
+    assert r.first().instruction == "q\n\n"
+
+
+def test_lookup_small_and_large_id_sets(spark, monkeypatch):
+    recs = records_df(spark, [(i, "a", "", "b", "", None) for i in range(1, 30)])
+    ids = spark.createDataFrame([(3,), (5,), (99,), (5,)], "id long")
+    assert sorted(r.id for r in S.lookup(recs, ids).collect()) == [3, 5]
+    monkeypatch.setattr(S, "IN_LIST_MAX", 1)
+    assert sorted(r.id for r in S.lookup(recs, ids).collect()) == [3, 5]
+    assert S.lookup(recs, spark.createDataFrame([], "id long")).count() == 0

@@ -12,14 +12,19 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import is_blank
+from tidepool.functions.text import is_blank, trim_trailing_newlines
 from tidepool.functions.vector import nonzero
 from tidepool.schema import FIELDS, RECORD_SCHEMA
 
 
+def ts_literal(as_of: dt.datetime) -> F.Column:
+    """A wall-clock TIMESTAMP_NTZ literal, independent of any time zone setting."""
+    return F.lit(as_of.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def stamp_new(new: DataFrame, as_of: dt.datetime) -> DataFrame:
     """New rows (id, four fields, optional embedding) as records stamped ``as_of``."""
-    ts = F.lit(as_of).cast("timestamp_ntz")
+    ts = ts_literal(as_of)
     emb = F.col("embedding") if "embedding" in new.columns else F.lit(None)
     return new.select(
         F.col("id").cast("long"), *FIELDS,
@@ -48,11 +53,16 @@ def _last_per_id(changes: DataFrame, order_col: str | None) -> DataFrame:
 
 
 def update(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt.datetime,
-           order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+           order_col: str | None = None, trim_newlines: bool = False) -> tuple[DataFrame, DataFrame]:
     """Replace the four text fields of matching ids, clear the embedding,
     set updated_at, keep created_at, drop the vector row. A change with a blank
     instruction or output is refused; an unknown id is a no-op. With several
-    changes per id the last by ``order_col`` wins."""
+    changes per id the last by ``order_col`` wins. ``trim_newlines`` applies F4
+    (trailing line feeds removed, as for hand-typed entries) before the check."""
+    if trim_newlines:
+        changes = changes.select(
+            *[trim_trailing_newlines(c).alias(c) if c in FIELDS else F.col(c) for c in changes.columns]
+        )
     ok = changes.where(~is_blank("instruction") & ~is_blank("output"))
     ch = _last_per_id(ok, order_col).select(
         F.col("id").cast("long"), *[F.col(f).alias(f"_n_{f}") for f in FIELDS]
@@ -63,7 +73,7 @@ def update(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt
         "id",
         *[F.when(hit, F.coalesce(F.col(f"_n_{f}"), F.lit(""))).otherwise(F.col(f)).alias(f) for f in FIELDS],
         "created_at",
-        F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(hit, ts_literal(as_of)).otherwise(F.col("updated_at")).alias("updated_at"),
         F.when(hit, F.lit(None).cast("array<double>")).otherwise(F.col("embedding")).alias("embedding"),
     )
     applied = records.select("id").join(ch.select("id"), "id", "left_semi")

@@ -115,9 +115,22 @@ def listing(records: DataFrame) -> DataFrame:
     ).orderBy("id")
 
 
+IN_LIST_MAX = 10_000  # ids pushed to the scan as a literal IN list
+
+
 def lookup(records: DataFrame, ids: DataFrame) -> DataFrame:
-    """The records whose id is in ``ids`` (unknown ids give nothing)."""
-    return records.join(ids.select(F.col("id").cast("long")).distinct(), "id", "left_semi")
+    """The records whose id is in ``ids`` (unknown ids give nothing).
+
+    A small id set (probed with a bounded ``limit``) becomes an ``IN`` filter
+    that reaches the Parquet scan, where the id-sorted files let row groups be
+    skipped by their min/max statistics. A larger set is a semi join.
+    """
+    wanted = ids.select(F.col("id").cast("long").alias("id")).distinct()
+    head = wanted.limit(IN_LIST_MAX + 1).collect()
+    if len(head) <= IN_LIST_MAX:
+        values = [r.id for r in head if r.id is not None]
+        return records.where(F.col("id").isin(values)) if values else records.limit(0)
+    return records.join(wanted, "id", "left_semi")
 
 
 class Store:
