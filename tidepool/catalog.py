@@ -46,11 +46,46 @@ def _digest(v: str, prefix: str = "v") -> list[F.Column]:
 
 # --- import over fx_lines into fx_store -----------------------------------
 
+_STORES: dict = {}
+
+
+def _records(spark, sf) -> DataFrame:
+    """fx_records as a written table (the store the change operators act on)."""
+    key = ("records", id(spark), sf)
+    if key not in _STORES:
+        _STORES[key] = stage(fx.fx_records(spark, sf), "fx-records")
+    return _STORES[key]
+
+
+def _index(spark, sf) -> DataFrame:
+    return fx.fx_index(spark, sf, _records(spark, sf))
+
+
+def _changes(spark, sf) -> DataFrame:
+    return fx.fx_changes(spark, sf, _records(spark, sf))
+
+
 def _store_records(spark, sf) -> tuple[DataFrame, DataFrame]:
     """fx_store as a written store: every row embedded with the letter histogram.
 
-    The records table is staged once; its vector table is derived from it.
+    The records table is staged once per session; its vectors derive from it.
     """
+    key = ("store", id(spark), sf)
+    if key not in _STORES:
+        _STORES[key] = _embedded_store(spark, sf)
+    records = _STORES[key]
+    vectors = records.where(F.col("embedding").isNotNull() & V.nonzero("embedding")).select(
+        "id", F.col("embedding").alias("v"))
+    return records, vectors
+
+
+def prepare(spark, sf) -> None:
+    """Write the fixture stores (what exists before any operator runs)."""
+    _records(spark, sf)
+    _store_records(spark, sf)
+
+
+def _embedded_store(spark, sf) -> DataFrame:
     s = fx.fx_store(spark, sf)
     ts = F.lit(fx.FIXED_TS).cast("timestamp_ntz")
     pending = s.select(F.col("id").cast("long"), "instruction", "input", "output", "source",
@@ -58,10 +93,7 @@ def _store_records(spark, sf) -> tuple[DataFrame, DataFrame]:
                        F.lit(None).cast("array<double>").alias("embedding"))
     empty_v = spark.createDataFrame([], "id long, v array<double>")
     r, _v, _rep, _emb = jobs.embed_pending(pending, empty_v)
-    records = stage(r, "fx-store-records")
-    vectors = records.where(F.col("embedding").isNotNull() & V.nonzero("embedding")).select(
-        "id", F.col("embedding").alias("v"))
-    return records, vectors
+    return stage(r, "fx-store-records")
 
 
 def _high_water(records: DataFrame) -> int:
@@ -167,7 +199,7 @@ def q_preview(spark, sf):
 
 
 def q_record_lookup(spark, sf):
-    r = S.lookup(fx.fx_records(spark, sf), fx.fx_changes(spark, sf).select("id"))
+    r = S.lookup(_records(spark, sf), _changes(spark, sf).select("id"))
     return r.select("id", "instruction", "input", "output", "source", _ts("created_at"),
                     _ts("updated_at"), F.col("embedding").isNotNull().alias("has_embedding"))
 
@@ -184,16 +216,16 @@ def q_schema_migration(spark, sf):
 
 
 def q_vector_backfill(spark, sf):
-    v = S.backfill_vectors(fx.fx_records(spark, sf), fx.fx_index(spark, sf))
+    v = S.backfill_vectors(_records(spark, sf), _index(spark, sf))
     return v.select("id", *_digest("v"))
 
 
 def q_pending_records(spark, sf):
-    return fx.fx_records(spark, sf).where(F.col("embedding").isNull()).select("id", "instruction", "input")
+    return _records(spark, sf).where(F.col("embedding").isNull()).select("id", "instruction", "input")
 
 
 def q_embedding_text(spark, sf):
-    r = fx.fx_records(spark, sf)
+    r = _records(spark, sf)
     return r.select("id", T.embedding_text("instruction", "input").alias("text"))
 
 
@@ -209,37 +241,37 @@ def _vec_flag(records: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def q_update_records(spark, sf):
-    ch = fx.fx_changes(spark, sf).where(F.col("op") == "update")
-    r, v = C.update(fx.fx_records(spark, sf), fx.fx_index(spark, sf), ch, AS_OF)
+    ch = _changes(spark, sf).where(F.col("op") == "update")
+    r, v = C.update(_records(spark, sf), _index(spark, sf), ch, AS_OF)
     return _vec_flag(r, v).select("id", "instruction", "input", "output", "source", _ts("updated_at"),
                                   F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
 
 def q_delete_records(spark, sf):
-    ids = fx.fx_changes(spark, sf).where(F.col("op") == "delete").select("id")
-    r, v = C.delete(fx.fx_records(spark, sf), fx.fx_index(spark, sf), ids)
+    ids = _changes(spark, sf).where(F.col("op") == "delete").select("id")
+    r, v = C.delete(_records(spark, sf), _index(spark, sf), ids)
     return _vec_flag(r, v).select("id", "has_vec")
 
 
 def q_apply_changes(spark, sf):
-    r, v = jobs.change(fx.fx_records(spark, sf), fx.fx_index(spark, sf), fx.fx_changes(spark, sf), AS_OF)
+    r, v = jobs.change(_records(spark, sf), _index(spark, sf), _changes(spark, sf), AS_OF)
     return _vec_flag(r, v).select("id", "instruction", _ts("updated_at"),
                                   F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
 
 def q_save_embeddings(spark, sf):
-    r, v = C.save_embeddings(fx.fx_records(spark, sf), fx.fx_index(spark, sf), fx.fx_new_vec(spark, sf))
+    r, v = C.save_embeddings(_records(spark, sf), _index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)))
     return _vec_flag(r, v).select("id", *_digest("embedding", "emb"), "has_vec")
 
 
 def q_upsert_vectors(spark, sf):
-    v = C.upsert_vectors(fx.fx_index(spark, sf), fx.fx_new_vec(spark, sf))
+    v = C.upsert_vectors(_index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)))
     return v.select("id", *_digest("v"))
 
 
 def q_clear_vectors(spark, sf):
-    ids = fx.fx_changes(spark, sf).where(F.col("op") == "delete").select("id")
-    return C.clear_vectors(fx.fx_index(spark, sf), ids).select("id", *_digest("v"))
+    ids = _changes(spark, sf).where(F.col("op") == "delete").select("id")
+    return C.clear_vectors(_index(spark, sf), ids).select("id", *_digest("v"))
 
 
 # --- scalar functions --------------------------------------------------------
@@ -317,7 +349,7 @@ def _pending_store(spark, sf) -> DataFrame:
 
 
 def q_embed_records(spark, sf):
-    p = fx.fx_records(spark, sf).where(F.col("embedding").isNull())
+    p = _records(spark, sf).where(F.col("embedding").isNull())
     e = embed(p.select("id", T.embedding_text("instruction", "input").alias("text")))
     return e.select("id", *_digest("v"), V.dot("v", "v").alias("v_sq"))
 
@@ -346,7 +378,7 @@ def q_embed_report(spark, sf):
 
 def q_export_roundtrip(spark, sf):
     path = scratch_path(spark, "export")
-    jobs.export_jsonl(fx.fx_records(spark, sf), path)
+    jobs.export_jsonl(_records(spark, sf), path)
     back = jobs.line_status(J.read_lines(spark, path))
     return back.where(F.col("status") == "valid").select("instruction", "input", "output", "source")
 

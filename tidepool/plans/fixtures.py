@@ -127,15 +127,15 @@ def fx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fx_records(spark, sf_dir)
+def fx_index(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    r = records if records is not None else fx_records(spark, sf_dir)
     return r.where(((F.col("id") - 1) % 40 == 0) & F.exists("embedding", lambda x: x != 0)).select(
         "id", F.col("embedding").alias("v")
     )
 
 
-def fx_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fx_records(spark, sf_dir)
+def fx_changes(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    r = records if records is not None else fx_records(spark, sf_dir)
     null = F.lit(None).cast("string")
     dels = r.where((F.col("id") - 1) % 30 == 0).select(
         "id", F.lit("delete").alias("op"), null.alias("instruction"), null.alias("input"),
@@ -152,8 +152,8 @@ def fx_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dels.unionByName(ups).unionByName(extra)
 
 
-def fx_new_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = fx_records(spark, sf_dir).select("id")
+def fx_new_vec(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
+    r = (records if records is not None else fx_records(spark, sf_dir)).select("id")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     v = F.when(F.col("id") % 4 == 3, F.transform("e", lambda x: F.lit(0.0))).otherwise(F.col("e"))
     return r.join(e, e.vec_id == r.id, "inner").select("id", v.alias("v"))
