@@ -6,9 +6,10 @@ has no top-k rows and a max similarity of 0.0. Ties rank by id ascending.
 
 Two physical plans share one NumPy kernel:
 
-* **broadcast scan** - when the query side is small (row and byte count checked
-  at run time) its matrix is broadcast and every index partition is scored in
-  place: no shuffle of the index at all;
+* **broadcast scan** - when the query side is small (at most 65,536 rows and
+  32 MiB of vectors, checked at run time by a bounded ``limit`` probe) its
+  matrix is broadcast and every index partition is scored in place, in
+  sub-blocks of bounded size: no shuffle of the index at all;
 * **grid** - otherwise queries are hashed into R row groups and index rows
   into C column groups, sized so that one group fits a bounded number of bytes.
   Each query row is sent to the C cells of its row group, each index row to the
@@ -34,8 +35,8 @@ from tidepool.session import ship_package
 
 CELL_BYTES = 64 << 20  # vector bytes of one side of one grid cell
 MAX_BLOCK_ROWS = 2048  # sub-block rows: bounds one score matrix (32 MiB)
-BROADCAST_ROWS = 4096  # query rows that may be broadcast
-BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 65536  # query rows that may be broadcast ...
+BROADCAST_BYTES = 32 << 20  # ... and their vector bytes
 
 _TOPK_SCHEMA = "qid long, id long, score double"
 _MAX_SCHEMA = "qid long, score double"
@@ -219,18 +220,26 @@ def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only:
     bq = index.sparkSession.sparkContext.broadcast((qids, qord, q))
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
 
+    sub = MAX_BLOCK_ROWS
+
     def kernel(batches):
         qids_, qord_, q_ = bq.value
-        qn = _norms(q_)
-        state = _new_state(mode, k, qids_)
+        # One running state per query sub-block keeps every score matrix
+        # at most sub x sub.
+        parts = [(i, _new_state(mode, k, qids_[i:i + sub]), _norms(q_[i:i + sub]))
+                 for i in range(0, len(qids_), sub)]
         for rb in batches:
             xids = rb.column(0).to_numpy().astype(np.int64)
             x = _matrix(rb.column(1), rb.num_rows)
             if x.shape[0] and x.shape[1] != q_.shape[1]:
                 raise ValueError(f"index dimension {x.shape[1]} differs from query dimension {q_.shape[1]}")
             xord = rb.column(2).to_numpy().astype(np.int64)
-            _score_block(state, q_, qn, qids_, qord_, x, xids, xord, earlier_only)
-        yield state.batch()
+            for j in range(0, len(xids), sub):
+                for i, state, qn in parts:
+                    _score_block(state, q_[i:i + sub], qn, qids_[i:i + sub], qord_[i:i + sub],
+                                 x[j:j + sub], xids[j:j + sub], xord[j:j + sub], earlier_only)
+        for _, state, _ in parts:
+            yield state.batch()
 
     return index.mapInArrow(kernel, schema)
 
