@@ -59,6 +59,11 @@ class ImportResult:
     high_water: int
     new_records: DataFrame  # only the rows added (what an append publishes)
     new_vectors: DataFrame  # only the vector rows added
+    cached: tuple = ()  # persisted intermediates, released after publishing
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def line_status(lines: DataFrame, order_cols=ORDER_COLS) -> DataFrame:
@@ -134,7 +139,7 @@ def import_lines(
         F.count_if(F.col("k") == F.lit("near")).alias("near_duplicate"),
     )
     return ImportResult(status, added, embedded, near, records2, vectors2, report,
-                        high_water + n_added, new_records, new_vectors)
+                        high_water + n_added, new_records, new_vectors, (cls,))
 
 
 def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None = None,
@@ -148,6 +153,7 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
                        snap.high_water, as_of, store_hashes=store.key_hashes(), **kw)
     report = stage(res.report, "import-report")
     store.append(res.new_records, res.new_vectors, res.high_water, batch=batch)
+    res.release()
     return report
 
 

@@ -43,6 +43,7 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
                                 as_of or dt.datetime.now().replace(microsecond=0),
                                 store_hashes=store.key_hashes(), **kw)
         store.append(res.new_records, res.new_vectors, res.high_water, batch=batch_id)
+        res.release()
 
     query = (
         lines.writeStream.foreachBatch(one_batch)
