@@ -205,3 +205,31 @@ def test_lookup_small_and_large_id_sets(spark, monkeypatch):
     monkeypatch.setattr(S, "IN_LIST_MAX", 1)
     assert sorted(r.id for r in S.lookup(recs, ids).collect()) == [3, 5]
     assert S.lookup(recs, spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_store_level_jobs_and_cli(spark, tmp_root, capsys):
+    from tidepool.__main__ import main
+
+    src = tmp_root + "/in.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "apple pie", "output": "bake"}) + "\n")
+        f.write(json.dumps({"instruction": "zebra", "output": "stripes"}) + "\n")
+    store = tmp_root + "/st"
+    assert main(["import", store, src]) == 0
+    assert "'added': 2" in capsys.readouterr().out
+    assert main(["search", store, "apple"]) == 0
+    out = capsys.readouterr().out.strip().splitlines()
+    assert out[0].split()[0] == "1" and "id=1" in out[0]
+    ch = tmp_root + "/ch.jsonl"
+    with open(ch, "w") as f:
+        f.write(json.dumps({"id": 2, "op": "delete"}) + "\n")
+        f.write(json.dumps({"id": 1, "op": "update", "instruction": "apple tart\n", "input": "", "output": "bake", "source": ""}) + "\n")
+    assert main(["change", store, ch]) == 0
+    st = S.Store(spark, store)
+    rows = st.records().collect()
+    assert [(r.id, r.instruction, r.embedding) for r in rows] == [(1, "apple tart", None)]
+    assert st.vectors().count() == 0
+    rep = jobs.embed_store(st).first()
+    assert (rep.succeeded, rep.total) == (1, 1) and st.vectors().count() == 1
+    assert main(["export", store, tmp_root + "/out"]) == 0
+    assert jobs.export_store(st, tmp_root + "/out2") == 1

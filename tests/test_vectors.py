@@ -134,3 +134,25 @@ def test_max_similarity_earlier_only_matches_brute_force(spark, strategy, monkey
     for i in range(250):
         cands = [x[i] @ x[j] / (norms[i] * norms[j]) for j in range(i) if norms[j] > 0 and norms[i] > 0]
         assert got[i] == pytest.approx(max(cands) if cands else 0.0, abs=1e-12)
+
+
+def test_embedder_errors_and_breaker(spark):
+    import pyarrow as pa
+
+    from tidepool.operators.embed import embed
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def broken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        calls.add(1)
+        raise OSError("connection refused")
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.range(0, 40, 1, 1).selectExpr("id", "'text' AS text")
+        out = embed(df, embedder=broken, breaker=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 40 and all(r.v is None for r in out)
+    assert {r.error for r in out} == {"embedder error: OSError", "embedder unavailable"}
+    assert calls.value == 2

@@ -78,18 +78,41 @@ def flaky(embedder: Embedder, every: int, message: str = "embedder unavailable")
     return run
 
 
+def _failed(batch: pa.RecordBatch, message: str) -> pa.RecordBatch:
+    n = batch.num_rows
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.nulls(n, pa.list_(pa.float64())), pa.array([message] * n, pa.string())],
+        names=["id", "v", "error"],
+    )
+
+
 def embed(df: DataFrame, text_col: str = "text", id_col: str = "id",
-          embedder: Embedder = letter_histogram, dim: int | None = LETTERS) -> DataFrame:
+          embedder: Embedder = letter_histogram, dim: int | None = LETTERS,
+          breaker: int | None = None) -> DataFrame:
     """Run the embedder over ``(id, text)``; returns ``(id, v, error)``.
 
     F11: a vector that is empty or not of ``dim`` components is a failed row.
+    ``breaker``: after that many consecutive failed batches in one task the
+    embedder is not called again in that task; its remaining rows fail with
+    "embedder unavailable" (a dead model service is not called row after row).
     """
     ship_package(df.sparkSession)
 
     def run(batches):
+        misses = 0
         for b in batches:
-            if b.num_rows:
-                yield embedder(b)
+            if not b.num_rows:
+                continue
+            if breaker is not None and misses >= breaker:
+                yield _failed(b, "embedder unavailable")
+                continue
+            try:
+                out = embedder(b)
+            except Exception as exc:  # noqa: BLE001 - a model error fails the batch's rows
+                out = _failed(b, f"embedder error: {type(exc).__name__}")
+            all_failed = out.column(2).null_count == 0
+            misses = misses + 1 if all_failed else 0
+            yield out
 
     out = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, EMBED_SCHEMA

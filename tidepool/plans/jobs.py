@@ -13,10 +13,9 @@ one plan whose result equals the sequential rules:
 from __future__ import annotations
 
 import datetime as dt
-import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import embedding_text, is_blank, ustrip
@@ -42,7 +41,7 @@ from tidepool.schema import (
     SEARCH_K,
     VALID,
 )
-from tidepool.session import checkpoint_root, stage
+from tidepool.session import stage
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
 from tidepool.sources.store import Store, backfill_vectors, missing_vectors
 
@@ -224,14 +223,44 @@ def change(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt
     return apply_changes(records, vectors, changes, as_of, order_col)
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    from tidepool.session import scratch_path
+# --- the same jobs against a store: read the current version, publish the next
 
-    checkpoint_root(spark)
-    return scratch_path(spark, name)
+def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int | None = None,
+                mode: str = PER_ROW, breaker: int | None = None) -> DataFrame:
+    """J-EMBED on a store; publishes when something was embedded. Returns the report."""
+    snap = store._require()
+    d = dim or snap.dim or LETTERS
+    r2, v2, report, embedded = embed_pending(store.records(), store.vectors(), embedder=embedder,
+                                             dim=d, mode=mode)
+    report = stage(report, "embed-report")
+    if report.first()["succeeded"]:
+        store.publish(r2, v2, snap.high_water)
+    return report
+
+
+def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = None,
+                 order_col: str | None = None, trim_newlines: bool = False) -> None:
+    """J-CHANGE on a store: updates, then deletes, published as one version."""
+    snap = store._require()
+    as_of = as_of or dt.datetime.now().replace(microsecond=0)
+    records, vectors = store.records(), store.vectors()
+    ups = changes.where(F.col("op") == F.lit("update"))
+    dels = changes.where(F.col("op") == F.lit("delete")).select("id")
+    from tidepool.operators.changes import delete, update
+
+    r1, v1 = update(records, vectors, ups, as_of, order_col, trim_newlines)
+    r2, v2 = delete(r1, v1, dels)
+    store.publish(r2, v2, snap.high_water)
+
+
+def export_store(store: Store, path: str) -> int:
+    """J-EXPORT of the current version; returns the number of lines written."""
+    return write_jsonl(store.records(), path)
 
 
-__all__ = [
-    "ImportResult", "import_lines", "import_jsonl", "bootstrap_import", "open_store",
-    "embed_pending", "search", "export_jsonl", "change", "line_status", "work_path", "os",
-]
+def search_store(store: Store, queries: DataFrame, *, k: int = SEARCH_K,
+                 embedder: Embedder = letter_histogram) -> DataFrame:
+    """J-SEARCH against the current version."""
+    snap = store._require()
+    return search(store.records(), store.vectors(), queries, k=k, embedder=embedder,
+                  dim=snap.dim or LETTERS)
