@@ -233,3 +233,24 @@ def test_store_level_jobs_and_cli(spark, tmp_root, capsys):
     assert (rep.succeeded, rep.total) == (1, 1) and st.vectors().count() == 1
     assert main(["export", store, tmp_root + "/out"]) == 0
     assert jobs.export_store(st, tmp_root + "/out2") == 1
+
+
+def test_changes_rewrite_only_touched_segments(spark, tmp_root):
+    st = S.Store(spark, tmp_root + "/seg")
+    st.create(26)
+    for part in range(3):
+        src = f"{tmp_root}/p{part}.jsonl"
+        with open(src, "w") as f:
+            for k in range(4):
+                f.write(json.dumps({"instruction": f"q{part}-{k}", "output": "a"}) + "\n")
+        jobs.import_jsonl(st, src, AS_OF)
+    before = st.current()
+    assert before.ranges[1:] == [[1, 4], [5, 8], [9, 12]]
+    ch = spark.createDataFrame([(6, "delete", None, None, None, None)],
+                               "id long, op string, instruction string, input string, output string, source string")
+    jobs.change_store(st, ch, AS_OF)
+    after = st.current()
+    changed = [i for i in range(len(after.records)) if after.records[i] != before.records[i]]
+    assert changed == [2]
+    assert sorted(r.id for r in st.records().collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
+    assert sorted(r.id for r in st.vectors().collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]

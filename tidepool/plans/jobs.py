@@ -227,30 +227,36 @@ def change(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt
 
 def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int | None = None,
                 mode: str = PER_ROW, breaker: int | None = None) -> DataFrame:
-    """J-EMBED on a store; publishes when something was embedded. Returns the report."""
+    """J-EMBED on a store: the pending records are embedded once (staged), then
+    only the segments holding them are rewritten. Returns the report."""
     snap = store._require()
     d = dim or snap.dim or LETTERS
-    r2, v2, report, embedded = embed_pending(store.records(), store.vectors(), embedder=embedder,
-                                             dim=d, mode=mode)
-    report = stage(report, "embed-report")
+    pending = store.records().where(F.col("embedding").isNull())
+    texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
+    embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=d, breaker=breaker), mode),
+                     "embedded")
+    report = stage(embedded.agg(F.count_if(F.col("v").isNotNull()).alias("succeeded"),
+                                F.count(F.lit(1)).alias("total")), "embed-report")
+    good = embedded.where(F.col("v").isNotNull()).select("id", "v")
     if report.first()["succeeded"]:
-        store.publish(r2, v2, snap.high_water)
+        store.rewrite(good.select("id"), lambda r, v: save_embeddings(r, v, good))
     return report
 
 
 def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = None,
                  order_col: str | None = None, trim_newlines: bool = False) -> None:
-    """J-CHANGE on a store: updates, then deletes, published as one version."""
-    snap = store._require()
+    """J-CHANGE on a store: updates, then deletes, in the segments they touch."""
+    from tidepool.operators.changes import delete, update
+
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
-    records, vectors = store.records(), store.vectors()
     ups = changes.where(F.col("op") == F.lit("update"))
     dels = changes.where(F.col("op") == F.lit("delete")).select("id")
-    from tidepool.operators.changes import delete, update
 
-    r1, v1 = update(records, vectors, ups, as_of, order_col, trim_newlines)
-    r2, v2 = delete(r1, v1, dels)
-    store.publish(r2, v2, snap.high_water)
+    def apply(records: DataFrame, vectors: DataFrame):
+        r1, v1 = update(records, vectors, ups, as_of, order_col, trim_newlines)
+        return delete(r1, v1, dels)
+
+    store.rewrite(changes.select("id"), apply)
 
 
 def export_store(store: Store, path: str) -> int:

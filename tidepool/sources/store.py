@@ -7,10 +7,12 @@ Layout under ``root``::
     _CURRENT         {"version", "high_water", "batch", "dim",
                       "records": [folders], "vectors": [folders]}
 
-A version is the list of folders named in ``_CURRENT``. An import only appends:
-it writes the new rows into one new folder per table and adds it to the lists,
-so its cost follows the size of the import, not of the store. Updates, deletes
-and ``compact()`` rewrite the tables into a single folder. ``_CURRENT`` is
+A version is the list of folder pairs (segments) named in ``_CURRENT``, each
+with the id range it may hold. An import only appends: it writes the new rows
+into one new segment, so its cost follows the size of the import, not of the
+store. Changes keyed by id (update, delete, saved embeddings) rewrite only the
+segments whose range holds a changed id; ``compact()`` rewrites everything into
+one segment. ``_CURRENT`` is
 replaced last (temporary name, then rename): a failed job leaves the previous
 version readable. ``high_water`` is the largest id ever assigned, so ids are
 never reused after a delete.
@@ -21,6 +23,7 @@ S3 key scan, S4 listing, S5 lookup, S7 create, E1 migration and E2 backfill.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +84,7 @@ class Snapshot:
     dim: int
     records: list[str] = field(default_factory=list)
     vectors: list[str] = field(default_factory=list)
+    ranges: list[list[int]] = field(default_factory=list)  # [lo, hi] ids per segment
 
 
 def migrate(df: DataFrame) -> DataFrame:
@@ -146,8 +150,10 @@ class Store:
         if text is None:
             return None
         d = json.loads(text)
+        recs = list(d.get("records", []))
+        ranges = d.get("ranges") or [[0, int(d["high_water"])] for _ in recs]
         return Snapshot(int(d["version"]), int(d["high_water"]), int(d.get("batch", -1)), int(d["dim"]),
-                        list(d.get("records", [])), list(d.get("vectors", [])))
+                        recs, list(d.get("vectors", [])), [list(map(int, r)) for r in ranges])
 
     def exists(self) -> bool:
         return self.current() is not None
@@ -156,6 +162,7 @@ class Store:
         _write_text_atomic(self.spark, f"{self.root}/_CURRENT", json.dumps({
             "version": snap.version, "high_water": snap.high_water, "batch": snap.batch,
             "dim": snap.dim, "records": snap.records, "vectors": snap.vectors,
+            "ranges": snap.ranges,
         }))
         return snap
 
@@ -189,7 +196,7 @@ class Store:
         return snap
 
     # -- write ---------------------------------------------------------
-    def _write(self, records: DataFrame, vectors: DataFrame, version: int) -> tuple[str, str]:
+    def _write(self, records: DataFrame, vectors: DataFrame, version: int | str) -> tuple[str, str]:
         r_name, v_name = f"records/v={version}", f"vectors/v={version}"
         # Sorted by id inside files: point lookups prune row groups by min/max.
         (migrate(records).withColumn("_key_hash", key_hash()).sortWithinPartitions("id")
@@ -208,7 +215,7 @@ class Store:
             version, int(high_water),
             int(batch if batch is not None else (prev.batch if prev else -1)),
             int(dim if dim is not None else (prev.dim if prev else 0)),
-            [r_name], [v_name],
+            [r_name], [v_name], [[0, int(high_water)]],
         ))
 
     def append(self, new_records: DataFrame, new_vectors: DataFrame, high_water: int,
@@ -222,8 +229,35 @@ class Store:
         return self._point(Snapshot(
             version, int(high_water), int(batch if batch is not None else prev.batch), prev.dim,
             prev.records + [r_name], prev.vectors + [v_name],
+            prev.ranges + [[prev.high_water + 1, int(high_water)]],
         ))
 
+    def rewrite(self, ids: DataFrame,
+                fn: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> Snapshot:
+        """Apply ``fn(records, vectors) -> (records, vectors)`` to the segments
+        whose id range holds one of ``ids``; the other segments are kept as they are.
+
+        One aggregate over ``ids`` yields one flag per segment (at most
+        ``MAX_FOLDERS`` values), so no join with the segment table is needed.
+        """
+        snap = self._require()
+        flags = ids.agg(*[
+            F.max(F.when(F.col("id").between(lo, hi), F.lit(1)).otherwise(F.lit(0))).alias(f"s{i}")
+            for i, (lo, hi) in enumerate(snap.ranges)
+        ]).first()
+        hit = [i for i in range(len(snap.ranges)) if flags is not None and flags[i]]
+        if not hit:
+            return snap
+        version = snap.version + 1
+        recs, vecs = list(snap.records), list(snap.vectors)
+        for i in hit:
+            r = migrate(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{recs[i]}"))
+            v = self.spark.read.schema(VECTOR_SCHEMA).parquet(f"{self.root}/{vecs[i]}")
+            r2, v2 = fn(r, v)
+            recs[i], vecs[i] = self._write(r2, v2, f"{version}-{i}")
+        return self._point(Snapshot(version, snap.high_water, snap.batch, snap.dim,
+                                    recs, vecs, [list(x) for x in snap.ranges]))
+
     def compact(self) -> Snapshot:
         """Rewrite the current version into one folder per table."""
         snap = self._require()
