@@ -28,16 +28,18 @@ def assign_ids(
 
     Returns the numbered rows and their count.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE may coalesce the range partitions; it only
+    # merges neighbours, so partition order is still key order.
+    parted = (df.repartitionByRange(max(1, num_partitions), *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
     ranged = (
-        df.repartitionByRange(max(1, n), *order_cols)
+        parted
         .sortWithinPartitions(*order_cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     staged = stage(ranged, "ids")
-    # At most n rows: one per range partition.
+    # At most one row per range partition.
     counts = sorted(
         (r["_pid"], r["_n"], r["_m0"])
         for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")).collect()
