@@ -166,7 +166,7 @@ def test_import_appends_and_compacts(spark, tmp_root):
     snap = st.current()
     assert len(snap.records) == 2 and snap.high_water == 2
     assert sorted(r.id for r in st.records().collect()) == [1, 2]
-    assert st.key_hashes().count() == 2
+    assert st.key_index().count() == 2
     st.compact()
     assert len(st.current().records) == 1
     assert sorted(r.id for r in st.records().collect()) == [1, 2]
@@ -254,3 +254,18 @@ def test_changes_rewrite_only_touched_segments(spark, tmp_root):
     assert changed == [2]
     assert sorted(r.id for r in st.records().collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
     assert sorted(r.id for r in st.vectors().collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
+
+
+def test_import_against_store_index_both_fetch_paths(spark, tmp_root, monkeypatch):
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 21)])
+    for limit in (10_000, 1):
+        monkeypatch.setattr(S, "IN_LIST_MAX", limit)
+        st = S.Store(spark, f"{tmp_root}/s{limit}")
+        st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 20, dim=26)
+        src = f"{tmp_root}/in{limit}.jsonl"
+        with open(src, "w") as f:
+            for k in (3, 7, 25, 3):
+                f.write(json.dumps({"instruction": f"q{k}", "output": "a"}) + "\n")
+        rep = jobs.import_jsonl(st, src, AS_OF).first()
+        assert (rep.added, rep.duplicate) == (1, 3)
+        assert sorted(r.id for r in st.records().collect()) == list(range(1, 22))

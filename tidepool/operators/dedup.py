@@ -10,7 +10,7 @@ map side (partial aggregation) before it is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,26 +46,30 @@ def first_wins(rows: DataFrame, order_cols: Sequence[str], carry: Sequence[str]
     )
 
 
-def anti_join_keys(rows: DataFrame, store: DataFrame, store_hashes: DataFrame | None = None) -> DataFrame:
+def anti_join_keys(rows: DataFrame, store: DataFrame, store_index: DataFrame | None = None,
+                   fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows whose triple is not in ``store``.
 
-    A hash prefilter keeps the store's long texts out of most of the shuffle:
+    A hash prefilter keeps the store's long texts out of most of the work:
     rows whose key hash is absent from the store are new without a text compare;
     only rows with a matching hash are checked against the store's full triples,
-    so a hash collision can never drop a row. ``store_hashes`` (column ``_h``)
-    lets a store that keeps its hashes skip reading its texts here.
+    so a hash collision can never drop a row.
+
+    ``store_index`` (``id``, ``_h``: the hashes a store keeps) and ``fetch``
+    (ids -> records) let the check read the texts of only the store rows whose
+    hash matches, instead of scanning every stored text.
     """
     h = key_hash()
-    hashes = store_hashes if store_hashes is not None else store.select(h.alias("_h"))
-    store_h = hashes.distinct()
     cand = rows.withColumn("_h", h)
+    index = store_index.select("_h") if store_index is not None else store.select(h.alias("_h"))
+    store_h = index.distinct()
     sure_new = cand.join(store_h, "_h", "left_anti")
     maybe = cand.join(store_h, "_h", "left_semi")
-    store_same_hash = (
-        store.withColumn("_h", h)
-        .join(maybe.select("_h").distinct(), "_h", "left_semi")
-        .select(*KEY)
-        .distinct()
-    )
-    checked = maybe.join(store_same_hash, list(KEY), "left_anti")
+    hit_h = maybe.select("_h").distinct()
+    if store_index is not None and fetch is not None:
+        hit_ids = store_index.join(hit_h, "_h", "left_semi").select("id")
+        same_hash = fetch(hit_ids).select(*KEY).distinct()
+    else:
+        same_hash = store.withColumn("_h", h).join(hit_h, "_h", "left_semi").select(*KEY).distinct()
+    checked = maybe.join(same_hash, list(KEY), "left_anti")
     return sure_new.unionByName(checked).drop("_h")

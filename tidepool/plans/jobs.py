@@ -43,7 +43,7 @@ from tidepool.schema import (
 )
 from tidepool.session import stage
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
-from tidepool.sources.store import Store, backfill_vectors, missing_vectors
+from tidepool.sources.store import Store, backfill_vectors, lookup, missing_vectors
 
 
 @dataclass
@@ -83,7 +83,7 @@ def import_lines(
     threshold: float = NEAR_DUPLICATE_THRESHOLD,
     mode: str = PER_ROW,
     strategy: str = "auto",
-    store_hashes: DataFrame | None = None,
+    store_index: DataFrame | None = None,
 ) -> ImportResult:
     """J-IMPORT over a lines DataFrame ``(order cols..., line)``.
 
@@ -95,7 +95,8 @@ def import_lines(
     cls = line_status(lines, order_cols).persist()
     valid = cls.where(F.col("status") == F.lit(VALID))
     firsts = first_wins(valid, order_cols)
-    new = anti_join_keys(firsts, records.select(*KEY), store_hashes)
+    new = anti_join_keys(firsts, records.select(*KEY), store_index,
+                         (lambda ids: lookup(records, ids)) if store_index is not None else None)
     added, n_added = assign_ids(new, order_cols, high_water + 1)  # staged: stable on recompute
 
     flags = added.select(*order_cols, F.lit(True).alias("_added"))
@@ -149,7 +150,7 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
     snap = store.current() or store.create(kw.get("dim", LETTERS))
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
     res = import_lines(read_lines(spark, path), store.records(), store.vectors(),
-                       snap.high_water, as_of, store_hashes=store.key_hashes(), **kw)
+                       snap.high_water, as_of, store_index=store.key_index(), **kw)
     report = stage(res.report, "import-report")
     store.append(res.new_records, res.new_vectors, res.high_water, batch=batch)
     res.release()

@@ -177,9 +177,9 @@ class Store:
     def records(self) -> DataFrame:
         return migrate(self._raw_records())
 
-    def key_hashes(self) -> DataFrame:
-        """The stored 64-bit key hash of every record: 8 bytes a row to read."""
-        return self._raw_records().select(F.col("_key_hash").alias("_h"))
+    def key_index(self) -> DataFrame:
+        """(id, _h): the stored 64-bit key hash of every record, 16 bytes a row to read."""
+        return self._raw_records().select("id", F.col("_key_hash").alias("_h"))
 
     def vectors(self) -> DataFrame:
         snap = self._require()

@@ -41,7 +41,7 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
         )
         res = jobs.import_lines(staged, store.records(), store.vectors(), snap.high_water,
                                 as_of or dt.datetime.now().replace(microsecond=0),
-                                store_hashes=store.key_hashes(), **kw)
+                                store_index=store.key_index(), **kw)
         store.append(res.new_records, res.new_vectors, res.high_water, batch=batch_id)
         res.release()
 
