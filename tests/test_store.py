@@ -269,3 +269,29 @@ def test_import_against_store_index_both_fetch_paths(spark, tmp_root, monkeypatc
         rep = jobs.import_jsonl(st, src, AS_OF).first()
         assert (rep.added, rep.duplicate) == (1, 3)
         assert sorted(r.id for r in st.records().collect()) == list(range(1, 22))
+
+
+def test_line_breaks_and_bad_utf8(spark, tmp_root):
+    from tidepool.operators.ids import number_lines
+    from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines
+
+    path = tmp_root + "/mixed.jsonl"
+    good = json.dumps({"instruction": "a b", "output": "c"}, ensure_ascii=False).encode()
+    with open(path, "wb") as f:
+        f.write(b"l1\r\nl2\rl3\n" + good + b"\n" + b'{"instruction":"\xff","output":"x"}' + b"\n")
+    lines = number_lines(read_lines(spark, path), list(ORDER_COLS)).orderBy("line_no").collect()
+    assert [r.line for r in lines[:3]] == ["l1", "l2", "l3"]
+    assert len(lines) == 5  # U+2028 does not break a line
+    got = {r.line_no: r.status for r in classify(non_blank(number_lines(read_lines(spark, path), list(ORDER_COLS)))).collect()}
+    assert got[3] == "valid" and got[4] == "bad_utf8" and got[0] == "malformed"
+
+
+def test_open_store_bootstraps_only_once(spark, tmp_root):
+    src = tmp_root + "/legacy.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "a", "output": "b"}) + "\n")
+    st = S.Store(spark, tmp_root + "/o")
+    jobs.open_store(st, 26, bootstrap_path=src, as_of=AS_OF)
+    assert st.records().count() == 1
+    jobs.open_store(st, 26, bootstrap_path=src, as_of=AS_OF)
+    assert st.records().count() == 1

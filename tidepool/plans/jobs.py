@@ -173,9 +173,13 @@ def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None,
     return import_jsonl(store, path, as_of, **kw)
 
 
-def open_store(store: Store, dim: int) -> Store:
-    """J-OPEN: create when absent (S7); migrate on read (E1); backfill vector
-    rows from record embeddings (E2) and publish only when something changed."""
+def open_store(store: Store, dim: int, bootstrap_path: str | None = None,
+               as_of: dt.datetime | None = None) -> Store:
+    """J-OPEN: create when absent (S7) and, on that first opening only, import
+    ``bootstrap_path`` (S6); migrate on read (E1); backfill vector rows from
+    record embeddings (E2), publishing only when something changed."""
+    if bootstrap_path is not None and not store.exists():
+        bootstrap_import(store, bootstrap_path, as_of, dim=dim)
     snap = store.create(dim)
     records = store.records()
     vectors = store.vectors()

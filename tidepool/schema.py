@@ -12,6 +12,7 @@ PREVIEW_LIMIT = 40  # code points kept by the listing preview
 ELLIPSIS = "…"
 
 # Status values of one input line, in the order they are tested.
+BAD_UTF8 = "bad_utf8"
 MALFORMED = "malformed"
 NOT_OBJECT = "not_object"
 BAD_TYPE = "bad_type"
@@ -19,7 +20,7 @@ BLANK_REQUIRED = "blank_required"
 VALID = "valid"
 DUPLICATE = "duplicate"
 ADDED = "added"
-INVALID_STATUSES = (MALFORMED, NOT_OBJECT, BAD_TYPE, BLANK_REQUIRED)
+INVALID_STATUSES = (BAD_UTF8, MALFORMED, NOT_OBJECT, BAD_TYPE, BLANK_REQUIRED)
 
 # The fields read from a JSONL object, and the exact-duplicate key.
 FIELDS = ("instruction", "input", "output", "source")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.functions.text import is_blank, record_json, ustrip
 from tidepool.schema import (
     BAD_TYPE,
+    BAD_UTF8,
     BLANK_REQUIRED,
     FIELDS,
     MALFORMED,
@@ -65,7 +66,8 @@ def _bad_non_numeric(s: Column) -> Column:
 def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``status`` and the four string fields of a non-blank line.
 
-    Status, tested in this order: malformed (not one JSON value), not_object,
+    Status, tested in this order: bad_utf8 (the raw bytes are not UTF-8; the
+    text reader does not validate), malformed (not one JSON value), not_object,
     bad_type (a present field that is not a string, including null),
     blank_required (instruction or output blank after the strip), valid.
     Fields default to '' when missing and are NULL when the line is not valid.
@@ -103,7 +105,8 @@ def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
         f: F.coalesce(F.variant_get(field(f), "$", "string"), F.lit("")) for f in FIELDS
     }
     status = (
-        F.when(is_object & type_ok & ~is_blank(values["instruction"]) & ~is_blank(values["output"]), F.lit(VALID))
+        F.when(~F.is_valid_utf8(s), F.lit(BAD_UTF8))
+        .when(is_object & type_ok & ~is_blank(values["instruction"]) & ~is_blank(values["output"]), F.lit(VALID))
         .when(is_object & type_ok, F.lit(BLANK_REQUIRED))
         .when(is_object, F.lit(BAD_TYPE))
         .when(is_json, F.lit(NOT_OBJECT))
