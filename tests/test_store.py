@@ -182,7 +182,8 @@ def test_replayed_stream_batch_is_skipped(spark, tmp_root):
     st.create(26)
     snap = st.current()
     # Pretend batch 0 was already published (a replay after a failure).
-    st._point(S.Snapshot(snap.version, snap.high_water, 0, snap.dim, snap.records, snap.vectors))
+    st._point(S.Snapshot(snap.version + 1, snap.high_water, 0, snap.dim, snap.records, snap.vectors,
+                         snap.ranges))
     import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF)
     assert st.records().count() == 0
 
@@ -295,3 +296,13 @@ def test_open_store_bootstraps_only_once(spark, tmp_root):
     assert st.records().count() == 1
     jobs.open_store(st, 26, bootstrap_path=src, as_of=AS_OF)
     assert st.records().count() == 1
+
+
+def test_version_files_are_never_overwritten(spark, tmp_root):
+    import pytest
+
+    st = S.Store(spark, tmp_root + "/v")
+    snap = st.create(4)
+    with pytest.raises(RuntimeError):
+        st._point(snap)
+    assert st.current().version == 0

@@ -2,19 +2,20 @@
 
 Layout under ``root``::
 
-    records/v=<n>/   RECORD_SCHEMA + _key_hash (64-bit hash of the triple)
-    vectors/v=<n>/   VECTOR_SCHEMA (id, v): non-zero vectors only
-    _CURRENT         {"version", "high_water", "batch", "dim",
-                      "records": [folders], "vectors": [folders]}
+    records/v=<n>/          RECORD_SCHEMA + _key_hash (64-bit hash of the triple)
+    vectors/v=<n>/          VECTOR_SCHEMA (id, v): non-zero vectors only
+    _versions/<n>.json      {"version", "high_water", "batch", "dim",
+                             "records": [folders], "vectors": [folders], "ranges"}
 
-A version is the list of folder pairs (segments) named in ``_CURRENT``, each
+A version is the list of folder pairs (segments) named in its version file, each
 with the id range it may hold. An import only appends: it writes the new rows
 into one new segment, so its cost follows the size of the import, not of the
 store. Changes keyed by id (update, delete, saved embeddings) rewrite only the
 segments whose range holds a changed id; ``compact()`` rewrites everything into
-one segment. ``_CURRENT`` is
-replaced last (temporary name, then rename): a failed job leaves the previous
-version readable. ``high_water`` is the largest id ever assigned, so ids are
+one segment. The version file is created last, under a new name (temporary
+file, then rename), and never overwritten: readers take the highest version, a
+failed job leaves the previous version readable, and two writers cannot both
+publish the same version. ``high_water`` is the largest id ever assigned, so ids are
 never reused after a delete.
 
 S3 key scan, S4 listing, S5 lookup, S7 create, E1 migration and E2 backfill.
@@ -23,6 +24,7 @@ S3 key scan, S4 listing, S5 lookup, S7 create, E1 migration and E2 backfill.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -63,17 +65,27 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
+def _create_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` to a new file: temporary name, then rename (atomic, no overwrite)."""
     fs, p = _hpath(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    out = fs.create(tmp, True)
+    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(tmp, p)
+    if fs.exists(p) or not fs.rename(tmp, p):
+        fs.delete(tmp, False)
+        raise RuntimeError(f"version pointer {path} already exists (a concurrent writer?)")
+
+
+def _latest(spark: SparkSession, folder: str) -> str | None:
+    fs, p = _hpath(spark, folder)
+    if not fs.exists(p):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(p)]
+    names = sorted(n for n in names if n.endswith(".json"))
+    return f"{folder}/{names[-1]}" if names else None
 
 
 @dataclass
@@ -146,7 +158,8 @@ class Store:
 
     # -- pointer -------------------------------------------------------
     def current(self) -> Snapshot | None:
-        text = _read_text(self.spark, f"{self.root}/_CURRENT")
+        latest = _latest(self.spark, f"{self.root}/_versions")
+        text = _read_text(self.spark, latest) if latest else None
         if text is None:
             return None
         d = json.loads(text)
@@ -159,7 +172,7 @@ class Store:
         return self.current() is not None
 
     def _point(self, snap: Snapshot) -> Snapshot:
-        _write_text_atomic(self.spark, f"{self.root}/_CURRENT", json.dumps({
+        _create_text(self.spark, f"{self.root}/_versions/{snap.version:020d}.json", json.dumps({
             "version": snap.version, "high_water": snap.high_water, "batch": snap.batch,
             "dim": snap.dim, "records": snap.records, "vectors": snap.vectors,
             "ranges": snap.ranges,
