@@ -129,12 +129,14 @@ def import_lines(
     records2 = records.select(*new_records.columns).unionByName(new_records)
     new_vectors = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
     vectors2 = vectors.select("id", "v").unionByName(new_vectors)
-    kinds = status.select(F.col("status").alias("k")).unionByName(
+    # The accepted count is known from the id assignment, so the report is one
+    # aggregate over the classified lines and the near-duplicates (no join).
+    kinds = cls.select(F.col("status").alias("k")).unionByName(
         near.select(F.lit("near").alias("k"))
     )
     report = kinds.agg(
-        F.count_if(F.col("k") == F.lit(ADDED)).alias("added"),
-        F.count_if(F.col("k") == F.lit(DUPLICATE)).alias("duplicate"),
+        F.lit(n_added).cast("long").alias("added"),
+        (F.count_if(F.col("k") == F.lit(VALID)) - F.lit(n_added)).alias("duplicate"),
         F.count_if(F.col("k").isin(*INVALID_STATUSES)).alias("invalid"),
         F.count_if(F.col("k") == F.lit("near")).alias("near_duplicate"),
     )
