@@ -50,10 +50,12 @@ def anti_join_keys(rows: DataFrame, store: DataFrame, store_index: DataFrame | N
                    fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows whose triple is not in ``store``.
 
-    A hash prefilter keeps the store's long texts out of most of the work:
-    rows whose key hash is absent from the store are new without a text compare;
-    only rows with a matching hash are checked against the store's full triples,
-    so a hash collision can never drop a row.
+    Hash prefilter, planned so that a large store is scanned but never shuffled:
+    the store's hashes are semi-joined with the distinct hashes of the incoming
+    rows (the small side, which Spark can broadcast), leaving only the store
+    hashes that some incoming row shares. Rows without such a hash are new
+    without a text compare; the others are checked against the store's full
+    triples, so a hash collision can never drop a row.
 
     ``store_index`` (``id``, ``_h``: the hashes a store keeps) and ``fetch``
     (ids -> records) let the check read the texts of only the store rows whose
@@ -61,14 +63,14 @@ def anti_join_keys(rows: DataFrame, store: DataFrame, store_index: DataFrame | N
     """
     h = key_hash()
     cand = rows.withColumn("_h", h)
-    index = store_index.select("_h") if store_index is not None else store.select(h.alias("_h"))
-    store_h = index.distinct()
-    sure_new = cand.join(store_h, "_h", "left_anti")
-    maybe = cand.join(store_h, "_h", "left_semi")
-    hit_h = maybe.select("_h").distinct()
+    cand_h = cand.select("_h").distinct()
+    index = store_index if store_index is not None else store.select(h.alias("_h"))
+    hits = index.join(cand_h, "_h", "left_semi")
+    hit_h = hits.select("_h").distinct()
+    sure_new = cand.join(hit_h, "_h", "left_anti")
+    maybe = cand.join(hit_h, "_h", "left_semi")
     if store_index is not None and fetch is not None:
-        hit_ids = store_index.join(hit_h, "_h", "left_semi").select("id")
-        same_hash = fetch(hit_ids).select(*KEY).distinct()
+        same_hash = fetch(hits.select("id")).select(*KEY).distinct()
     else:
         same_hash = store.withColumn("_h", h).join(hit_h, "_h", "left_semi").select(*KEY).distinct()
     checked = maybe.join(same_hash, list(KEY), "left_anti")
