@@ -241,6 +241,12 @@ def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only:
         for _, state, _ in parts:
             yield state.batch()
 
+    # Each task emits up to k rows per query; with far more splits than cores,
+    # merge splits per task so the final top-k reads Q * k * cores rows, not
+    # Q * k * splits. Every core still gets a task.
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    if index.rdd.getNumPartitions() > 2 * cores:
+        index = index.coalesce(cores)
     return index.mapInArrow(kernel, schema)
 
 
