@@ -156,3 +156,12 @@ def test_embedder_errors_and_breaker(spark):
     assert len(out) == 40 and all(r.v is None for r in out)
     assert {r.error for r in out} == {"embedder error: OSError", "embedder unavailable"}
     assert calls.value == 2
+
+
+def test_forced_broadcast_never_drops_queries(spark, monkeypatch):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 5)
+    rows = [(i, [float(i % 3 + 1), 1.0]) for i in range(20)]
+    df = vecs(spark, rows)
+    got = S.max_similarity(df, df, strategy="broadcast").collect()
+    assert len(got) == 20
+    assert len({r.qid for r in S.top_k(df, df, 2, strategy="broadcast").collect()}) == 20

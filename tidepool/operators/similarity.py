@@ -260,9 +260,11 @@ def _plan(index, queries, mode, k, earlier_only, strategy):
         if n == 0:
             return None
         dim = len(head.column("v")[0]) if n else 0
-        if strategy == "broadcast" or (n <= BROADCAST_ROWS and n * dim * 8 <= BROADCAST_BYTES):
+        whole = n <= BROADCAST_ROWS  # the probe holds every query row
+        if whole and (strategy == "broadcast" or n * dim * 8 <= BROADCAST_BYTES):
             # The index is only scanned; its dimension is checked in the kernel.
             return _broadcast(index, head, mode, k, earlier_only)
+        # More rows than the probe may hold: never broadcast a partial set.
     nq, qdim = _stats(queries)
     if nq == 0:
         return None
