@@ -256,3 +256,26 @@ def test_search_drops_blank_queries_and_joins_after_top_k(spark):
     assert [(x.qid, x.rank) for x in got] == []  # the best match is the orphan
     got = jobs.search(r, v.unionByName(orphan), q, k=2).collect()
     assert [(x.qid, x.rank, x.id) for x in got] == [(1, 2, 1)]
+
+
+def test_fail_stop_calls_the_embedder_once_per_row(spark):
+    import pyarrow as pa
+
+    from tidepool.operators.embed import FAIL_STOP, letter_histogram
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen.add(batch.num_rows)
+        out = letter_histogram(batch)
+        bad = pa.array([i == 3 for i in batch.column(0).to_pylist()])
+        err = pa.compute.if_else(bad, pa.scalar("down"), out.column(2))
+        v = pa.compute.if_else(bad, pa.nulls(batch.num_rows, out.column(1).type), out.column(1))
+        return pa.RecordBatch.from_arrays([out.column(0), v, err], names=["id", "v", "error"])
+
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 7)])
+    vecs = spark.createDataFrame([], "id long, v array<double>")
+    r, v, rep, _ = jobs.embed_pending(recs, vecs, embedder=counting, mode=FAIL_STOP)
+    assert rep.first().asDict() == {"succeeded": 2, "total": 6}
+    assert sorted(x.id for x in v.collect()) == [1, 2]
+    assert seen.value == 6

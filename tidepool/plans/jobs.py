@@ -119,7 +119,7 @@ def import_lines(
     else:
         texts = added.select("id", embedding_text("instruction", "input").alias("text"))
         # The model call is the expensive step: run it once, keep the result.
-        embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode), "embedded")
+        embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=dim), "embedded"), mode)
         new_vecs = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
         pool = vectors.select("id", "v").unionByName(new_vecs)
         near = near_duplicates(pool, new_vecs.select("id"), threshold, strategy=strategy)
@@ -196,7 +196,8 @@ def embed_pending(records: DataFrame, vectors: DataFrame, *, embedder: Embedder
     with report columns succeeded, total."""
     pending = records.where(F.col("embedding").isNull())
     texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
-    embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=dim), mode), "embedded")
+    # Stage the model output first: it is computed once whatever reads it next.
+    embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=dim), "embedded"), mode)
     good = embedded.where(F.col("v").isNotNull()).select("id", "v")
     r2, v2 = save_embeddings(records, vectors, good)
     report = embedded.agg(
@@ -240,8 +241,8 @@ def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int
     d = dim or snap.dim or LETTERS
     pending = store.records().where(F.col("embedding").isNull())
     texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
-    embedded = stage(apply_failure_mode(embed(texts, embedder=embedder, dim=d, breaker=breaker), mode),
-                     "embedded")
+    embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=d, breaker=breaker), "embedded"),
+                                  mode)
     report = stage(embedded.agg(F.count_if(F.col("v").isNotNull()).alias("succeeded"),
                                 F.count(F.lit(1)).alias("total")), "embed-report")
     good = embedded.where(F.col("v").isNotNull()).select("id", "v")
