@@ -136,9 +136,17 @@ def _new_state(mode: str, k: int, qids: np.ndarray):
     return _TopK(qids, k) if mode == "topk" else _Max(qids)
 
 
+def _by_ord(ids: np.ndarray, ords: np.ndarray, mat: np.ndarray):
+    """Sort rows by order value, so sub-blocks cover narrow order ranges."""
+    o = np.argsort(ords, kind="stable")
+    return ids[o], ords[o], mat[o]
+
+
 def _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only: bool) -> None:
     if len(xids) == 0 or len(qids) == 0:
         return
+    if earlier_only and xord.min() >= qord.max():
+        return  # no index row precedes any query row: nothing to compare
     xn = _norms(x)
     s = _scores(q, x, qn, xn)
     if earlier_only:
@@ -186,12 +194,10 @@ def _grid(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only:
         nq_, nx_ = qt.num_rows, xt.num_rows
         if nq_ == 0 or nx_ == 0:
             return pa.Table.from_batches([], schema=_arrow_schema(mode))
-        qids = qt.column("id").to_numpy().astype(np.int64)
-        qord = qt.column("ord").to_numpy().astype(np.int64)
-        q = _matrix(qt.column("v"), nq_)
-        xids = xt.column("id").to_numpy().astype(np.int64)
-        xord = xt.column("ord").to_numpy().astype(np.int64)
-        x = _matrix(xt.column("v"), nx_)
+        qids, qord, q = _by_ord(qt.column("id").to_numpy().astype(np.int64),
+                                qt.column("ord").to_numpy().astype(np.int64), _matrix(qt.column("v"), nq_))
+        xids, xord, x = _by_ord(xt.column("id").to_numpy().astype(np.int64),
+                                xt.column("ord").to_numpy().astype(np.int64), _matrix(xt.column("v"), nx_))
         out = []
         for i in range(0, nq_, sub):
             qs = q[i:i + sub]
@@ -214,9 +220,8 @@ def _arrow_schema(mode: str) -> pa.Schema:
 
 def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only: bool) -> DataFrame:
     n = tbl.num_rows
-    qids = tbl.column("id").to_numpy().astype(np.int64)
-    qord = tbl.column("ord").to_numpy().astype(np.int64)
-    q = _matrix(tbl.column("v"), n)
+    qids, qord, q = _by_ord(tbl.column("id").to_numpy().astype(np.int64),
+                            tbl.column("ord").to_numpy().astype(np.int64), _matrix(tbl.column("v"), n))
     bq = index.sparkSession.sparkContext.broadcast((qids, qord, q))
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
 
@@ -229,11 +234,11 @@ def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only:
         parts = [(i, _new_state(mode, k, qids_[i:i + sub]), _norms(q_[i:i + sub]))
                  for i in range(0, len(qids_), sub)]
         for rb in batches:
-            xids = rb.column(0).to_numpy().astype(np.int64)
             x = _matrix(rb.column(1), rb.num_rows)
             if x.shape[0] and x.shape[1] != q_.shape[1]:
                 raise ValueError(f"index dimension {x.shape[1]} differs from query dimension {q_.shape[1]}")
-            xord = rb.column(2).to_numpy().astype(np.int64)
+            xids, xord, x = _by_ord(rb.column(0).to_numpy().astype(np.int64),
+                                    rb.column(2).to_numpy().astype(np.int64), x)
             for j in range(0, len(xids), sub):
                 for i, state, qn in parts:
                     _score_block(state, q_[i:i + sub], qn, qids_[i:i + sub], qord_[i:i + sub],
