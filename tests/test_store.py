@@ -306,3 +306,41 @@ def test_version_files_are_never_overwritten(spark, tmp_root):
     with pytest.raises(RuntimeError):
         st._point(snap)
     assert st.current().version == 0
+
+
+def test_ids_are_not_reused_after_delete(spark, tmp_root):
+    st = S.Store(spark, tmp_root + "/ids")
+    st.create(26)
+    a, b = tmp_root + "/a.jsonl", tmp_root + "/b.jsonl"
+    with open(a, "w") as f:
+        for k in range(3):
+            f.write(json.dumps({"instruction": f"x{k}", "output": "y"}) + "\n")
+    with open(b, "w") as f:
+        f.write(json.dumps({"instruction": "later", "output": "y"}) + "\n")
+    jobs.import_jsonl(st, a, AS_OF)
+    ch = spark.createDataFrame([(3, "delete", None, None, None, None)],
+                               "id long, op string, instruction string, input string, output string, source string")
+    jobs.change_store(st, ch, AS_OF)
+    jobs.import_jsonl(st, b, AS_OF)
+    assert sorted(r.id for r in st.records().collect()) == [1, 2, 4]
+
+
+def test_legacy_store_folder_is_migrated_on_read(spark, tmp_root):
+    root = tmp_root + "/legacy"
+    legacy = spark.createDataFrame(
+        [(1, "q", "", "a", dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 1))],
+        "id long, instruction string, input string, output string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    legacy.write.parquet(root + "/records/v=0")
+    spark.createDataFrame([], "id long, v array<double>").write.parquet(root + "/vectors/v=0")
+    st = S.Store(spark, root)
+    st._point(S.Snapshot(0, 1, -1, 4, ["records/v=0"], ["vectors/v=0"], [[0, 1]]))
+    row = st.records().first()
+    assert (row.id, row.source, row.embedding) == (1, "", None)
+    assert st.records().columns == RECORD_SCHEMA.fieldNames()
+    src = tmp_root + "/more.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "q", "input": "", "output": "a"}) + "\n")
+        f.write(json.dumps({"instruction": "new", "output": "b"}) + "\n")
+    rep = jobs.import_jsonl(st, src, AS_OF).first()
+    assert (rep.added, rep.duplicate) == (1, 1)
+    assert sorted(r.id for r in st.records().collect()) == [1, 2]

@@ -191,8 +191,23 @@ class Store:
         return migrate(self._raw_records())
 
     def key_index(self) -> DataFrame:
-        """(id, _h): the stored 64-bit key hash of every record, 16 bytes a row to read."""
-        return self._raw_records().select("id", F.col("_key_hash").alias("_h"))
+        """(id, _h): the 64-bit key hash of every record, 16 bytes a row to read.
+
+        Segments written here store the hash; a folder from before that (a
+        legacy layout) has it computed from its texts instead.
+        """
+        snap = self._require()
+        parts = []
+        for name in snap.records:
+            seg = self.spark.read.parquet(f"{self.root}/{name}")
+            if "_key_hash" in seg.columns:
+                parts.append(seg.select("id", F.col("_key_hash").alias("_h")))
+            else:
+                parts.append(migrate(seg).select("id", key_hash().alias("_h")))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     def vectors(self) -> DataFrame:
         snap = self._require()
