@@ -55,13 +55,18 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
     return query
 
 
-def stamp_arrival(spark, paths: list[str], start_ms: int = 1_600_000_000_000, step_ms: int = 1000) -> None:
-    """Give files strictly increasing modification times in list order."""
+def stamp_arrival(spark, paths: list[str], start_ms: int = 1_600_000_000_000, step_ms: int = 1000) -> int:
+    """Give the data files under ``paths`` strictly increasing modification
+    times in (path, file name) order; returns the number of files stamped."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for i, p in enumerate(paths):
+    n = 0
+    for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         fs = hp.getFileSystem(conf)
-        for st in fs.listStatus(hp):
-            if st.isFile() and not st.getPath().getName().startswith(("_", ".")):
-                fs.setTimes(st.getPath(), start_ms + i * step_ms, -1)
+        files = sorted((st.getPath().getName(), st.getPath()) for st in fs.listStatus(hp)
+                       if st.isFile() and not st.getPath().getName().startswith(("_", ".")))
+        for _name, fp in files:
+            fs.setTimes(fp, start_ms + n * step_ms, -1)
+            n += 1
+    return n
