@@ -165,3 +165,29 @@ def test_forced_broadcast_never_drops_queries(spark, monkeypatch):
     got = S.max_similarity(df, df, strategy="broadcast").collect()
     assert len(got) == 20
     assert len({r.qid for r in S.top_k(df, df, 2, strategy="broadcast").collect()}) == 20
+
+
+def test_embedder_sees_bounded_batches(spark):
+    import pyarrow as pa
+
+    from tidepool.operators.embed import embed, letter_histogram
+
+    biggest = spark.sparkContext.accumulator(0)
+
+    class Max(__import__("pyspark").accumulators.AccumulatorParam):
+        def zero(self, v):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    biggest = spark.sparkContext.accumulator(0, Max())
+
+    def model(batch: pa.RecordBatch) -> pa.RecordBatch:
+        biggest.add(batch.num_rows)
+        return letter_histogram(batch)
+
+    df = spark.range(0, 300, 1, 2).selectExpr("id", "concat('abc', id) AS text")
+    out = embed(df, embedder=model, batch_rows=16).collect()
+    assert len(out) == 300 and all(r.v is not None for r in out)
+    assert biggest.value == 16

@@ -88,19 +88,29 @@ def _failed(batch: pa.RecordBatch, message: str) -> pa.RecordBatch:
 
 def embed(df: DataFrame, text_col: str = "text", id_col: str = "id",
           embedder: Embedder = letter_histogram, dim: int | None = LETTERS,
-          breaker: int | None = None) -> DataFrame:
+          breaker: int | None = None, batch_rows: int | None = None) -> DataFrame:
     """Run the embedder over ``(id, text)``; returns ``(id, v, error)``.
 
     F11: a vector that is empty or not of ``dim`` components is a failed row.
     ``breaker``: after that many consecutive failed batches in one task the
     embedder is not called again in that task; its remaining rows fail with
     "embedder unavailable" (a dead model service is not called row after row).
+    ``batch_rows``: the embedder sees batches of at most that many rows (a
+    model's request size), cut from Spark's Arrow batches without copying.
     """
     ship_package(df.sparkSession)
 
+    def pieces(batches):
+        for b in batches:
+            if batch_rows is None or b.num_rows <= batch_rows:
+                yield b
+            else:
+                for off in range(0, b.num_rows, batch_rows):
+                    yield b.slice(off, batch_rows)
+
     def run(batches):
         misses = 0
-        for b in batches:
+        for b in pieces(batches):
             if not b.num_rows:
                 continue
             if breaker is not None and misses >= breaker:
