@@ -172,9 +172,9 @@ def test_embedder_sees_bounded_batches(spark):
 
     from tidepool.operators.embed import embed, letter_histogram
 
-    biggest = spark.sparkContext.accumulator(0)
+    from pyspark.accumulators import AccumulatorParam
 
-    class Max(__import__("pyspark").accumulators.AccumulatorParam):
+    class Max(AccumulatorParam):
         def zero(self, v):
             return 0
 
