@@ -71,7 +71,13 @@ _SHIPPED: set[int] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by Python workers (once per context)."""
+    """Make this package importable by Python workers (once per context).
+
+    The zip is built in memory and written through the Hadoop FileSystem API
+    into the shared work folder, so the same code works for a local folder and
+    for HDFS or an object store; ``addPyFile`` then distributes it.
+    """
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -79,17 +85,22 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    out_dir = os.path.join(checkpoint_root(spark), "pylib")
-    if out_dir.startswith("file:"):
-        out_dir = out_dir[len("file:"):]
-    os.makedirs(out_dir, exist_ok=True)
-    target = os.path.join(out_dir, f"tidepool-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
-            for f in files:
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    target = f"{checkpoint_root(spark).rstrip('/')}/pylib/tidepool-{uuid.uuid4().hex[:8]}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
     sc.addPyFile(target)
     _SHIPPED.add(key)
 
