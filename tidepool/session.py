@@ -112,8 +112,6 @@ def spread(df, *keys: str):
     a shuffle of big data: it only hash-partitions an input whose partition
     count is below the cluster's default parallelism (e.g. one row group).
     """
-    if os.environ.get("TIDEPOOL_NO_SPREAD"):
-        return df
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
