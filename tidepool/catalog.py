@@ -103,18 +103,13 @@ def _high_water(records: DataFrame) -> int:
 _IMPORT_CACHE: dict = {}
 
 
-def _import(spark, sf, empty_store: bool = False) -> jobs.ImportResult:
-    key = (id(spark), sf, empty_store)
+def _import(spark, sf) -> jobs.ImportResult:
+    """J-IMPORT of fx_lines (ordered by line number) into the embedded fx_store."""
+    key = (id(spark), sf)
     if key not in _IMPORT_CACHE:
-        lines = fx.fx_lines(spark, sf)
-        if empty_store:
-            records = spark.createDataFrame([], S.RECORD_SCHEMA)
-            vectors = spark.createDataFrame([], "id long, v array<double>")
-            hw = 0
-        else:
-            records, vectors = _store_records(spark, sf)
-            hw = _high_water(records)
-        _IMPORT_CACHE[key] = jobs.import_lines(lines, records, vectors, hw, AS_OF, order_cols=["line_no"])
+        records, vectors = _store_records(spark, sf)
+        _IMPORT_CACHE[key] = jobs.import_lines(fx.fx_lines(spark, sf), records, vectors,
+                                               _high_water(records), AS_OF, order_cols=["line_no"])
     return _IMPORT_CACHE[key]
 
 
