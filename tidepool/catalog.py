@@ -97,7 +97,11 @@ def _embedded_store(spark, sf) -> DataFrame:
 
 
 def _high_water(records: DataFrame) -> int:
-    return int(records.agg(F.max("id")).first()[0] or 0)
+    """The fixture store's high-water mark (it has no deletes: its largest id)."""
+    key = ("hw", id(records))
+    if key not in _STORES:
+        _STORES[key] = int(records.agg(F.max("id")).first()[0] or 0)
+    return _STORES[key]
 
 
 _IMPORT_CACHE: dict = {}
