@@ -60,3 +60,16 @@ def test_lookup_pushes_ids_to_the_scan(spark, tmp_root):
     st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 49, dim=4)
     df = ST.lookup(st.records(), spark.createDataFrame([(7,), (9,)], "id long"))
     assert "PushedFilters: [In(id, [7,9])" in plan_of(df)
+
+
+def test_first_wins_aggregates_before_the_shuffle(spark):
+    from tidepool.operators.dedup import first_wins
+
+    hot = spark.range(0, 3000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS instruction",
+        "'' AS input", "'o' AS output", "'s' AS source", "id AS line_no")
+    df = first_wins(hot, ["line_no"])
+    assert df.where("instruction = 'hot'").first().line_no == 0
+    p = plan_of(df)
+    # A partial aggregate runs in every map task, before the exchange on the key.
+    assert re.search(r"(Sort|Hash)Aggregate\(key=\[.*\], functions=\[partial_min", p)
