@@ -73,3 +73,14 @@ def test_first_wins_aggregates_before_the_shuffle(spark):
     p = plan_of(df)
     # A partial aggregate runs in every map task, before the exchange on the key.
     assert re.search(r"(Sort|Hash)Aggregate\(key=\[.*\], functions=\[partial_min", p)
+
+
+def test_pending_scan_does_not_read_embeddings(spark, tmp_root):
+    recs = records_df(spark, [(1, "a", "", "b", "", [1.0, 0.0]), (2, "c", "", "d", "", None)])
+    st = ST.Store(spark, tmp_root + "/p")
+    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 2, dim=2)
+    df = st.pending()
+    assert [r.id for r in df.collect()] == [2]
+    p = plan_of(df)
+    assert "embedding" not in p.split("ReadSchema:")[1].splitlines()[0]
+    assert "EqualTo(_pending,true)" in p

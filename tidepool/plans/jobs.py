@@ -239,8 +239,7 @@ def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int
     only the segments holding them are rewritten. Returns the report."""
     snap = store._require()
     d = dim or snap.dim or LETTERS
-    pending = store.records().where(F.col("embedding").isNull())
-    texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
+    texts = store.pending().select("id", embedding_text("instruction", "input").alias("text"))
     embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=d, breaker=breaker), "embedded"),
                                   mode)
     report = stage(embedded.agg(F.count_if(F.col("v").isNotNull()).alias("succeeded"),

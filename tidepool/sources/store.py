@@ -3,6 +3,7 @@
 Layout under ``root``::
 
     records/v=<n>/          RECORD_SCHEMA + _key_hash (64-bit hash of the triple)
+                            + _pending (no embedding yet)
     vectors/v=<n>/          VECTOR_SCHEMA (id, v): non-zero vectors only
     _versions/<n>.json      {"version", "high_water", "batch", "dim",
                              "records": [folders], "vectors": [folders], "ranges"}
@@ -209,6 +210,26 @@ class Store:
             out = out.unionByName(part)
         return out
 
+    def pending(self) -> DataFrame:
+        """(id, instruction, input) of the records without an embedding.
+
+        Segments written here carry a ``_pending`` flag, so the scan filters on
+        a boolean and never decodes the embedding arrays; a legacy folder
+        tests the array itself.
+        """
+        snap = self._require()
+        parts = []
+        for name in snap.records:
+            seg = self.spark.read.parquet(f"{self.root}/{name}")
+            flag = F.col("_pending") if "_pending" in seg.columns else F.col("embedding").isNull()
+            if "embedding" not in seg.columns:
+                flag = F.lit(True)
+            parts.append(seg.where(flag).select("id", "instruction", "input"))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
     def vectors(self) -> DataFrame:
         snap = self._require()
         return self.spark.read.schema(VECTOR_SCHEMA).parquet(*self._paths(snap.vectors))
@@ -227,7 +248,9 @@ class Store:
     def _write(self, records: DataFrame, vectors: DataFrame, version: int | str) -> tuple[str, str]:
         r_name, v_name = f"records/v={version}", f"vectors/v={version}"
         # Sorted by id inside files: point lookups prune row groups by min/max.
-        (migrate(records).withColumn("_key_hash", key_hash()).sortWithinPartitions("id")
+        (migrate(records).withColumn("_key_hash", key_hash())
+         .withColumn("_pending", F.col("embedding").isNull())
+         .sortWithinPartitions("id")
          .write.mode("overwrite").parquet(f"{self.root}/{r_name}"))
         (vectors.select("id", "v").sortWithinPartitions("id")
          .write.mode("overwrite").parquet(f"{self.root}/{v_name}"))
