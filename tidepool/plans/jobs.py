@@ -161,7 +161,7 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
 
 def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None, **kw) -> DataFrame:
     """Only for a store that did not exist yet, import ``path``; a missing
-    file gives a report of zeros."""
+    or unreadable file gives a report of zeros."""
     spark = store.spark
     existed = store.exists()
     zeros = spark.createDataFrame([(0, 0, 0, 0)], "added long, duplicate long, invalid long, near_duplicate long")
@@ -172,7 +172,14 @@ def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None,
     fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         return zeros
-    return import_jsonl(store, path, as_of, **kw)
+    try:
+        return import_jsonl(store, path, as_of, **kw)
+    except Exception as exc:  # noqa: BLE001 - only read failures are swallowed
+        from pyspark.errors import AnalysisException
+
+        if isinstance(exc, AnalysisException) or "java.io." in str(exc):
+            return zeros  # unreadable file: nothing was published
+        raise
 
 
 def open_store(store: Store, dim: int, bootstrap_path: str | None = None,
