@@ -7,6 +7,8 @@
     python -m tidepool export STORE OUT_DIR
     python -m tidepool change STORE CHANGES_JSONL (id, op, instruction, input, output, source)
     python -m tidepool list   STORE
+    python -m tidepool stream STORE IN_DIR CHECKPOINT_DIR   (import every file that has arrived)
+    python -m tidepool compact STORE
 
 The bundled embedder is the letter histogram (26 dimensions); a model-backed
 embedder is passed to the job functions from Python.
@@ -40,6 +42,8 @@ def main(argv: list[str] | None = None) -> int:
     p = sub.add_parser("export"); p.add_argument("store"); p.add_argument("out")
     p = sub.add_parser("change"); p.add_argument("store"); p.add_argument("changes")
     p = sub.add_parser("list"); p.add_argument("store")
+    p = sub.add_parser("stream"); p.add_argument("store"); p.add_argument("inbox"); p.add_argument("checkpoint")
+    p = sub.add_parser("compact"); p.add_argument("store")
     a = ap.parse_args(argv)
 
     from tidepool.operators.embed import FAIL_STOP, PER_ROW
@@ -69,6 +73,14 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "list":
         for r in listing(store.records()).toLocalIterator():
             print(r["id"], r["instruction_preview"], "|", r["output_preview"])
+    elif a.cmd == "stream":
+        from tidepool.streaming.incremental import import_stream
+
+        store.create(26)
+        import_stream(store, a.inbox, a.checkpoint)
+        print(store.current())
+    elif a.cmd == "compact":
+        print(store.compact())
     return 0
 
 
