@@ -21,8 +21,13 @@ from tidepool.sources.store import Store
 
 def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.datetime | None = None,
                   max_files_per_trigger: int | None = 1, **kw):
-    """Run the stream until every available file is imported (availableNow)."""
+    """Run the stream until every available file is imported (availableNow).
+
+    The store is created when absent. Arrival order is the file source's
+    (modification time); inside a batch, lines keep their path and line order.
+    """
     spark = store.spark
+    store.create(kw.get("dim", 26))
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
