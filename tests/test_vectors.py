@@ -191,3 +191,17 @@ def test_embedder_sees_bounded_batches(spark):
     out = embed(df, embedder=model, batch_rows=16).collect()
     assert len(out) == 300 and all(r.v is not None for r in out)
     assert biggest.value == 16
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+def test_top_k_with_a_third_of_the_index_identical(spark, strategy, monkeypatch):
+    monkeypatch.setattr(S, "MAX_BLOCK_ROWS", 64)
+    monkeypatch.setattr(S, "CELL_BYTES", 8 * 4 * 128)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    hot = np.array([1.0, 2.0, 3.0, 4.0])
+    x[::3] = hot  # every third row is the same vector
+    df = vecs(spark, [(int(i), [float(a) for a in r]) for i, r in enumerate(x)])
+    q = vecs(spark, [(10_000, [1.0, 2.0, 3.0, 4.0])])
+    got = [r.id for r in S.top_k(df, q, 7, strategy=strategy).orderBy("rank").collect()]
+    assert got == [0, 3, 6, 9, 12, 15, 18]
