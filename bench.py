@@ -2,8 +2,9 @@
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries", "sf"}.
 Each query result is fully computed with the no-op sink (every column, no
-collect to the driver). A small warm-up at sf0.001 starts the JVM and the
-Python workers first, so timings are of the queries, not of start-up.
+collect to the driver). A warm-up pass over the sf0.001 tables starts the JVM,
+the Python workers and code generation first, so timings are of the queries,
+not of start-up.
 """
 
 from __future__ import annotations
@@ -45,8 +46,9 @@ def main() -> None:
 
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
     warm = "/root/testdata/sf0.001"
-    if os.path.isdir(warm):
-        for name in ("import_report", "cosine_top_k_batch", "preview"):
+    if os.path.isdir(warm) and os.path.abspath(warm) != os.path.abspath(sf_dir):
+        # JVM / code-generation warm-up on the smallest tables only.
+        for name in HEADLINE:
             catalog.QUERIES[name](spark, warm).write.format("noop").mode("overwrite").save()
     timings = {}
     t0 = time.perf_counter()
