@@ -91,8 +91,11 @@ def import_lines(
     near-duplicate count is 0, the import itself goes on.
     """
     order_cols = list(order_cols)
-    # Classified lines feed both the accepted rows and the per-line status.
+    # Classified lines feed the accepted rows, the status and the report.
+    # Materialise the cache once: several query stages read it concurrently
+    # and would otherwise each parse the lines before the cache exists.
     cls = line_status(lines, order_cols).persist()
+    cls.count()
     valid = cls.where(F.col("status") == F.lit(VALID))
     firsts = first_wins(valid, order_cols)
     new = anti_join_keys(firsts, records.select(*KEY), store_index,
