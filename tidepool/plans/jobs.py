@@ -225,7 +225,8 @@ def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, *, k: int
     vector without a record still uses up a place, as in the original.
     """
     q = queries.where(~is_blank("text")).select(F.col("qid").alias("id"), ustrip("text").alias("text"))
-    qv = embed(q, embedder=embedder, dim=dim).where(F.col("v").isNotNull())
+    # One model call per query, whatever plan the search then takes.
+    qv = stage(embed(q, embedder=embedder, dim=dim), "query-vectors").where(F.col("v").isNotNull())
     best = top_k(vectors, qv, k, strategy=strategy)
     return best.join(records.select("id"), "id", "inner").select("qid", "rank", "id", "score")
 
