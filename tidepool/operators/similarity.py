@@ -335,7 +335,14 @@ def near_duplicates(vectors: DataFrame, new_ids: DataFrame, threshold: float,
     below every new row's. Returns ``(id, score)``.
     """
     queries = vectors.join(new_ids.select(F.col("id").cast("long")), "id", "left_semi")
-    best = max_similarity(vectors, queries, earlier_only=True, ord_col=ord_col, strategy=strategy)
-    return best.where(F.col("score") >= F.lit(threshold)).select(
-        F.col("qid").alias("id"), "score"
-    )
+    if threshold <= 0.0:  # a row without candidates (0.0) would qualify too
+        best = max_similarity(vectors, queries, earlier_only=True, ord_col=ord_col, strategy=strategy)
+        return best.where(F.col("score") >= F.lit(threshold)).select(F.col("qid").alias("id"), "score")
+    x = _prepare(vectors, "id", "v", ord_col)
+    q = _prepare(queries, "id", "v", ord_col)
+    cand = _plan(x, q, "max", 1, True, strategy)
+    if cand is None:
+        return vectors.sparkSession.createDataFrame([], "id long, score double")
+    # Rows without any candidate score 0.0 < threshold: no need to add them back.
+    best = cand.groupBy("qid").agg(F.max("score").alias("score"))
+    return best.where(F.col("score") >= F.lit(threshold)).select(F.col("qid").alias("id"), "score")
