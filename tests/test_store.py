@@ -344,3 +344,16 @@ def test_legacy_store_folder_is_migrated_on_read(spark, tmp_root):
     rep = jobs.import_jsonl(st, src, AS_OF).first()
     assert (rep.added, rep.duplicate) == (1, 1)
     assert sorted(r.id for r in st.records().collect()) == [1, 2]
+
+
+def test_append_compacts_at_the_folder_limit(spark, tmp_root, monkeypatch):
+    monkeypatch.setattr(S, "MAX_FOLDERS", 3)
+    st = S.Store(spark, tmp_root + "/c")
+    st.create(26)
+    for k in range(4):
+        src = f"{tmp_root}/c{k}.jsonl"
+        with open(src, "w") as f:
+            f.write(json.dumps({"instruction": f"q{k}", "output": "a"}) + "\n")
+        jobs.import_jsonl(st, src, AS_OF)
+        assert len(st.current().records) <= 3
+    assert sorted(r.id for r in st.records().collect()) == [1, 2, 3, 4]

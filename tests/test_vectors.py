@@ -205,3 +205,14 @@ def test_top_k_with_a_third_of_the_index_identical(spark, strategy, monkeypatch)
     q = vecs(spark, [(10_000, [1.0, 2.0, 3.0, 4.0])])
     got = [r.id for r in S.top_k(df, q, 7, strategy=strategy).orderBy("rank").collect()]
     assert got == [0, 3, 6, 9, 12, 15, 18]
+
+
+def test_near_duplicates_with_a_non_positive_threshold_keeps_rows_without_candidates(spark):
+    df = vecs(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])])
+    new = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    got = {r.id: r.score for r in S.near_duplicates(df, new, 0.0).collect()}
+    # id 1 has no earlier row (0.0); id 2 is orthogonal to 1 (0.0); id 3 is opposite
+    # to 1 (-1) but orthogonal to 2 (0.0)
+    assert got == {1: 0.0, 2: 0.0, 3: 0.0}
+    hi = {r.id for r in S.near_duplicates(df, new, 0.5).collect()}
+    assert hi == set()
