@@ -357,3 +357,16 @@ def test_append_compacts_at_the_folder_limit(spark, tmp_root, monkeypatch):
         jobs.import_jsonl(st, src, AS_OF)
         assert len(st.current().records) <= 3
     assert sorted(r.id for r in st.records().collect()) == [1, 2, 3, 4]
+
+
+def test_import_timestamp_has_second_precision(spark, tmp_root):
+    st = S.Store(spark, tmp_root + "/ts")
+    st.create(26)
+    src = tmp_root + "/t.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "a", "output": "b"}) + "\n")
+    jobs.import_jsonl(st, src)  # as_of defaults to now
+    row = st.records().first()
+    assert row.created_at == row.updated_at and row.created_at.microsecond == 0
+    text = st.records().select(F.col("created_at").cast("string").alias("t")).first().t
+    assert dt.datetime.fromisoformat(text) == row.created_at and "." not in text
