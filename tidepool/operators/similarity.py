@@ -83,14 +83,14 @@ class _TopK:
             kth = top.min(axis=1)
             ties = (s >= kth[:, None]).sum(axis=1) > kk
             cand_s, cand_i = top, xids[part]
-            if ties.any():  # rare: equal scores straddle the cut, decide by id
+            if ties.any():  # equal scores straddle the cut: decide by id, rows at once
+                rows = np.nonzero(ties)[0]
+                sub = s[rows]
+                order = np.lexsort((np.broadcast_to(xids, sub.shape), -sub), axis=-1)[:, :kk]
                 cand_s = cand_s.copy()
                 cand_i = cand_i.copy()
-                for r in np.nonzero(ties)[0]:
-                    idx = np.nonzero(s[r] >= kth[r])[0]
-                    order = np.lexsort((xids[idx], -s[r, idx]))[:kk]
-                    cand_s[r] = s[r, idx[order]]
-                    cand_i[r] = xids[idx[order]]
+                cand_s[rows] = np.take_along_axis(sub, order, axis=1)
+                cand_i[rows] = xids[order]
         else:
             cand_s = s
             cand_i = np.broadcast_to(xids, s.shape)
