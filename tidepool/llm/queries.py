@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, decontaminate, quality_rules
+from tidepool.llm import bpe, decontaminate, license_scan, quality_rules, url_filter
 from tidepool.llm.session_tools import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op5_decontaminate": op5_decontaminate}
-ORACLES: dict[str, str] = {}
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filter, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op5_decontaminate": op5_decontaminate}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
