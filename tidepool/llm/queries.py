@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, decontaminate, license_scan, quality_rules, url_filter
+from tidepool.llm import bpe, decontaminate, license_scan, phrase_dedup, quality_rules, suffix_dedup, url_filter
 from tidepool.llm.session_tools import table
 
 
@@ -28,5 +28,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filter, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op5_decontaminate": op5_decontaminate}
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filter,
+           "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op5_decontaminate": op5_decontaminate}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
