@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, decontaminate, license_scan, phrase_dedup, quality_rules, suffix_dedup, url_filter
+from tidepool.llm import bpe, decontaminate, jaccard_join, license_scan, phrase_dedup, quality_rules, suffix_dedup, url_filter
 from tidepool.llm.session_tools import table
 
 
@@ -20,6 +20,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +41,5 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filter,
-           "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op5_decontaminate": op5_decontaminate}
+           "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_jaccard_join": op4_jaccard_join, "op5_decontaminate": op5_decontaminate}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
