@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, text_input
+from tidepool.llm.session_tools import ready, stage, text_input
 from tidepool.llm.textops import (
     SPACED, gram_hash, minimizers, mix, prefix_sums, range_hash, rows_of, signed, sliding, slices, spans, text_bytes, word_hashes,
 )
@@ -64,19 +64,23 @@ class Units:
 
 
 def anchors(docs: DataFrame, units: Units, with_doc: bool) -> DataFrame:
-    """anchor, and doc_id if wanted: a row for each place of each document's anchors."""
+    """anchor and either doc_id or n (places): a row for each anchor of a document, or of a slice of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, _, _, first, values = units.read(batch.column(1))
             row = rows_of(first, len(values))
             grams = gram_hash(values, units.gram)
             at = minimizers(grams, units.inside(row), units.grams)
-            columns = [pa.array(signed(grams[at]))]
             if with_doc:
-                columns.append(batch.column(0).take(pa.array(row[at])))
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id"][:len(columns)])
+                _, one = np.unique(grams[at] + mix(row[at].astype(np.uint64) + np.uint64(1)), return_index=True)
+                at = at[one]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), batch.column(0).take(pa.array(row[at]))],
+                                                 names=["anchor", "doc_id"])
+            else:
+                known, n = np.unique(grams[at], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(n)], names=["anchor", "n"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long" if with_doc else "anchor long")
+    return docs.mapInArrow(run, "anchor long, doc_id long" if with_doc else "anchor long, n long")
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
@@ -84,7 +88,8 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     docs = text_input(docs, "doc_id", "text")
-    recurring = anchors(docs, units, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    recurring = anchors(docs, units, False).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    recurring = stage(recurring, "anchors")  # a table of its own, so that the join can split a hot anchor's places
     found = anchors(docs, units, True).join(recurring, "anchor", "left_semi")
     found = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("anchor").alias("anchors"))
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["d"])).select("doc_id", "text", "anchors")
