@@ -1,0 +1,84 @@
+"""Surrogates: detection, format, coreference and distinctness."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from tests.llm import cases
+from tidepool.llm import pii
+
+S = pii.Surrogates("k")
+EXAMPLES = {
+    "email": ["und.34@mail7.example.com", "Jürgen.Groß+x@a-b.de"], "ip": ["129.38.82.176", "0.0.0.0"],
+    "phone": ["+1 (017) 555-7713", "(212) 555-0199", "+49 30 1234567"], "card": ["4111 1111 1111 1111", "7536784127813050"],
+    "ssn": ["078-05-1120"], "iban": ["DE89 3704 0044 0532 0130 00"], "person": ["Mrs. Mary Smith", "Herr Müller", "Господин Иванов"],
+}
+
+
+@pytest.mark.parametrize("kind", EXAMPLES)
+def test_detection_and_form(kind):
+    for value in EXAMPLES[kind]:
+        text = f"before {value}, after"
+        assert pii.entities(text) == [(7, 7 + len(value), kind)], value
+        new = S.of(kind, value)
+        assert new != value and S.of(kind, value) == new
+        assert [k for _, _, k in pii.entities(f"before {new}, after")] == [kind], new
+        if kind != "email":
+            sort = lambda s: re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "0", s))
+            if kind not in ("ip", "person"):
+                assert sort(new) == sort(value)
+
+
+def test_secret_keeps_its_name():
+    text = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x'
+    new, used = pii.rewritten(text, S, {})
+    assert used[0][0] == "secret" and re.fullmatch(r'token = "[0-9a-f]{40}" x', new) and new != text
+
+
+def test_permutation_is_one_to_one():
+    for n in (2, 3, 10, 97, 1000):
+        got = [S.moved(b"l", x, n) for x in range(n)]
+        assert sorted(got) == list(range(n)) and all(a != b for a, b in enumerate(got))
+    assert len({S.letters("t", f"{a}{b}") for a in "abc" for b in "0123456789"}) == 30
+
+
+def test_coreference():
+    a, b = S.of("phone", "+1 (017) 555-7713"), S.of("phone", "+1-017-555-7713")
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
+    assert S.of("email", "Bob.X@Mail.com").lower() == S.of("email", "bob.x@mail.com")
+    assert pii.Surrogates("other").of("ip", "1.2.3.4") != S.of("ip", "1.2.3.4")
+
+
+def test_gender_and_script():
+    assert S.of("person", "Mrs. Mary Smith").split()[1] in pii.GIVEN["f"].split()
+    assert S.of("person", "Mr John Smith").split()[1] in pii.GIVEN["m"].split()
+    assert re.fullmatch("Господин [А-Я][а-я]+", S.of("person", "Господин Иванов"))
+
+
+def test_card_checksum():
+    assert pii.luhn(re.sub(r"\D", "", S.of("card", "4111 1111 1111 1111")))
+    assert not pii.luhn(S.of("card", "7536784127813051")) or pii.luhn("7536784127813051")
+
+
+def test_long_text_is_quick():
+    for piece in ("x", "1", "a.", "1 ", "+1", "@", "Mr ", "token=", "1.1."):
+        pii.entities(piece * (200_000 // len(piece)))
+
+
+@pytest.mark.skipif(not cases.HAVE, reason="driver tables not present")
+def test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert pii.collisions(docs).count() == 0
+    old = docs.select("doc_id", "text")
+    new = pii.report(docs)
+    both = old.withColumnRenamed("text", "old").join(new, "doc_id")
+    assert both.count() == docs.count() and both.where("n_entities = 0 and old != text").count() == 0
+    for pattern in (r"[a-z]+\.\d+@mail\d", r"\+1 \(\d{3}\) 555-", r"\d{1,3}(\.\d{1,3}){3}", r"(^|\D)\d{16}($|\D)", "token = "):
+        assert both.where(f"old rlike r'{pattern}'").where("n_entities = 0").count() == 0
+    odd = cases.documents(spark)
+    out = pii.replace(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema and out.count() == odd.count()
+    assert pii.report(odd.limit(0)).count() == 0
+    assert pii.replace(odd).where("text is null").count() == 1

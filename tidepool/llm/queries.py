@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import bpe, decontaminate, jaccard_join, license_scan, phrase_dedup, quality_rules, suffix_dedup, url_filter
+from tidepool.llm import bpe, cotraining, decontaminate, jaccard_join, license_scan, phrase_dedup, pii, quality_rules, suffix_dedup, url_filter
 from tidepool.llm.session_tools import table
 
 
@@ -28,6 +28,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -40,6 +44,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filter,
-           "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_jaccard_join": op4_jaccard_join, "op5_decontaminate": op5_decontaminate}
+           "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_pii": op10_pii, "op6_cotraining": op6_cotraining,
+           "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_jaccard_join": op4_jaccard_join, "op5_decontaminate": op5_decontaminate}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
