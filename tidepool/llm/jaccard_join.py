@@ -9,6 +9,11 @@ the pigeonhole principle some segment of every such pair matches. How many segme
 and how many 2 is chosen for each group by cost: index rows against the candidates
 expected from the number of documents in the group.
 
+A group without neighbourhoods gets twice as many segments as it needs. Then a pair
+agrees in that many more, and each document can leave out its most frequent signatures
+(allocation 0): the rarest ones, in one order for all and one more than the largest
+difference that its size allows, still hold a common one.
+
 Equal sets are one class and take part once. Candidates are not all pairs of a segment's
 documents: each is paired with the segment's first one, checked exactly, and the links'
 components are formed; then only pairs of different components remain to be checked, as
@@ -41,6 +46,7 @@ BAND_STEPS = 3
 #: For cost estimates only: the chance that two documents agree in a token, and what a candidate costs in index rows.
 AGREE = 0.05
 CANDIDATE_COST = 20.0
+GROUP_BITS = 7
 
 
 class Bands:
@@ -61,6 +67,16 @@ class Bands:
             n = counts.get(b, 0) + counts.get(b + 1, 0)
             plans.append(allocation(most, (low + high) / 2, n))
         self.exact, self.near = (np.array(x) for x in zip(*plans, strict=True))
+        self.spare = np.where(self.near == 0, np.maximum(self.exact - 1, 0), 0)
+        self.exact += self.spare
+
+    def budgets(self) -> tuple[list[int], list[int]]:
+        """Of each group: its segments, and how many of a document's signatures are to be kept whatever its size."""
+        return (self.exact + self.near).tolist(), np.where(self.near > 0, 1 << 30, 0).tolist()
+
+    def needed(self, sizes: np.ndarray) -> np.ndarray:
+        """How many of a document's rarest signatures hold one in common with each similar document."""
+        return self.difference(sizes, self.partner(sizes)) + 1
 
     def partner(self, size: int) -> int:
         """The largest size that can be similar to this one."""
@@ -120,6 +136,11 @@ def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(sums[end] - sums[end - sizes] + sizes.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
+def tagged(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """A signature with its group in the last bits."""
+    return (mix(x) << np.uint64(GROUP_BITS)) | group.astype(np.uint64)
+
+
 def signatures(tokens: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(row, signature) of every indexed subset and neighbourhood."""
     out_row, out = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -143,11 +164,11 @@ def signatures(tokens: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Ba
         slot_row = np.repeat(np.arange(len(sizes)), m)
         label = mix((g[slot_row].astype(np.uint64) << np.uint64(40)) + (np.arange(start[-1]) - start[slot_row]).astype(np.uint64) + np.uint64(1))
         out_row.append(slot_row)
-        out.append(mix(sums + label))
+        out.append(tagged(sums + label, g[slot_row]))
         wide = segment >= exact[r]
         if wide.any():
             out_row.append(r[wide])
-            out.append(mix(sums[slot[wide]] - weight[mine][wide] + label[slot[wide]]))
+            out.append(tagged(sums[slot[wide]] - weight[mine][wide] + label[slot[wide]], g[r[wide]]))
     return np.concatenate(out_row), np.concatenate(out)
 
 
@@ -188,11 +209,14 @@ def classes(docs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
             counts = np.bincount(sig_row, minlength=len(sizes))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(signed(sig[order])))
             keep = pa.array(sizes > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(ids)).filter(keep), batch.column(0).filter(keep),
-                                              lists.filter(keep)], names=["id", "doc_id", "sigs"])
+            need = pa.array(bands.needed(sizes), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(ids)).filter(keep), batch.column(0).filter(keep), pa.array(sizes, pa.int32()).filter(keep),
+                 need.filter(keep), lists.filter(keep)], names=["id", "doc_id", "size", "need", "sigs"])
 
-    out = docs.mapInArrow(run, "id long, doc_id long, sigs array<long>")
-    return out.groupBy("id").agg(F.min("doc_id").alias("rep"), F.max("sigs").alias("sigs"))  # the fullest list
+    out = docs.mapInArrow(run, "id long, doc_id long, size int, need int, sigs array<long>")
+    # Copies have one need and one list, or an empty one where another copy of the slice has it.
+    return out.groupBy("id").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("need").alias("need"), F.max("sigs").alias("sigs"))
 
 
 def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -253,10 +277,20 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands:
     docs = text_input(docs, "doc_id", "text")
     bands = bands or Bands(percent, band_counts(docs, Bands(percent)))
     sets = stage(classes(docs, bands, shingle), "jaccard-classes")
-    # Signatures that several sets share, with the first of them.
+    # Signatures that several sets share; of each set's, the rarest that its group needs.
     by = Window.partitionBy("sig")
-    rows = sets.select("id", F.explode("sigs").alias("sig"))
-    shared = rows.withColumns({"lead": F.min("id").over(by), "last": F.max("id").over(by)}).where("lead != last")
+    rows = sets.select("id", "size", "need", F.explode("sigs").alias("sig"))
+    group = F.col("sig").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).cast("int").alias("g")
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1").select("*", group)
+    counted = stage(counted, "jaccard-counted")
+    segments, kept = bands.budgets()
+    mine = Window.partitionBy("id", "g")
+    alone = F.get(F.array(*map(F.lit, segments)), F.col("g")) - F.count(F.lit(1)).over(mine)  # signatures that no other set has
+    rank = F.row_number().over(mine.orderBy("n", "sig"))
+    rare = counted.withColumns({"alone": alone, "rank": rank})
+    least = F.greatest("need", F.get(F.array(*map(F.lit, kept)), F.col("g")))
+    rare = rare.where(F.col("rank") + F.col("alone") <= least)
+    shared = rare.select("sig", "id").withColumns({"lead": F.min("id").over(by), "last": F.max("id").over(by)}).where("lead != last")
     shared = stage(shared.select("sig", "id", "lead"), "jaccard-shared")
     first = stage(shared.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-pairs")
     links = stage(verified(docs, sets, first, percent, shingle), "jaccard-links")
@@ -264,9 +298,19 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands:
     # What is left: pairs of different components that share a signature and were not checked.
     at = shared.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
     mixed = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-    at = stage(at.join(mixed, "sig", "left_semi"), "jaccard-mixed")
-    left, right = at.toDF("sig", "a", "ra"), at.toDF("sig", "b", "rb")
-    rest = left.join(right, "sig").where("a < b and ra != rb").select("a", "b").distinct()
+    at = at.join(mixed, "sig", "left_semi").select("*", group)
+    # A pair must agree in all segments but as many as it may differ in: counted on its signatures in the join itself.
+    lists = counted.groupBy("id", "g").agg(F.max("size").alias("size"), F.collect_list("sig").alias("sigs"))
+    at = stage(at, "jaccard-mixed")
+    lists = lists.join(at.groupBy("id", "g").agg(F.collect_list("sig").alias("own")), ["id", "g"])
+    at = stage(at.join(lists, ["id", "g"]), "jaccard-lists").select("sig", "g", "id", "root", "size", "sigs", "own")
+    left, right = at.toDF("sig", "g", "a", "ra", "na", "xa", "ya"), at.drop("g").toDF("sig", "b", "rb", "nb", "xb", "yb")
+    may = F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))
+    agree = F.when(F.get(F.array(*map(F.lit, kept)), F.col("g")) > 0, F.lit(1)).otherwise(F.get(F.array(*map(F.lit, segments)), F.col("g")) - may)
+    unlike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    once = left["sig"] == F.array_min(F.array_intersect("ya", "yb"))  # not again for each signature in common
+    rest = left.join(right, (left["sig"] == right["sig"]) & unlike & once & (F.size(F.array_intersect("xa", "xb")) >= agree))
+    rest = rest.select("a", "b").distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = stage(verified(docs, sets, rest, percent, shingle), "jaccard-links")
     roots = components(links.union(more))
