@@ -278,3 +278,13 @@ def test_fail_stop_calls_the_embedder_once_per_row(spark):
     assert rep.first().asDict() == {"succeeded": 2, "total": 6}
     assert sorted(x.id for x in v.collect()) == [1, 2]
     assert seen.value == 6
+
+
+def test_long_and_partial_lines(spark):
+    from tidepool.plans import jobs
+
+    digits, deep = "7" * 1500, "[" * 1100 + "]" * 1100
+    lines = ['{"instruction":"INFO log","output":"' + "a" * 200_000 + '"}', '{"instruction":"a","output":"b","source":"\\u00"}',
+             '{"instruction":"a","output":"c","n":' + digits + "}", '{"instruction":"a","output":"d","n":' + deep + "}"]
+    got = {r.line_no: r.status for r in jobs.line_status(lines_df(spark, lines), ["line_no"]).collect()}
+    assert got[0] == got[2] == got[3] == "valid" and got[1] == "malformed"

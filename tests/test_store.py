@@ -151,7 +151,7 @@ def test_incremental_stream_equals_single_import(spark, tmp_root):
     cols = ["id", "instruction", "input", "output", "source"]
     a = sorted(tuple(r) for r in st.records().select(*cols).collect())
     b = sorted(tuple(r) for r in one.records().select(*cols).collect())
-    assert a == b and st.current().batch == 2
+    assert a == b and list(st.current().batch.values()) == [2]
     assert st.records().where(F.col("embedding").isNotNull()).count() == len(a)
 
 
@@ -182,10 +182,13 @@ def test_replayed_stream_batch_is_skipped(spark, tmp_root):
     st.create(26)
     snap = st.current()
     # Pretend batch 0 was already published (a replay after a failure).
-    st._point(S.Snapshot(snap.version + 1, snap.high_water, 0, snap.dim, snap.records, snap.vectors,
+    st._point(S.Snapshot(snap.version + 1, snap.high_water, {f"{tmp_root}/ck": 0}, snap.dim, snap.records, snap.vectors,
                          snap.ranges))
     import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF)
     assert st.records().count() == 0
+    # Another checkpoint is another stream: its batch 0 is new.
+    import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck2", as_of=AS_OF)
+    assert st.records().count() == 1
 
 
 def test_update_trims_trailing_newlines_when_asked(spark):

@@ -94,16 +94,16 @@ def clear_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
 def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
     """Delete then insert, unless the new vector is all zeros (which thus
     removes an older row)."""
-    fresh = new.select(F.col("id").cast("long"), F.col("v").cast("array<double>"))
+    fresh = _last_per_id(new.select(F.col("id").cast("long"), F.col("v").cast("array<double>")), None)
     kept = vectors.select("id", "v").join(fresh.select("id"), "id", "left_anti")
     return kept.unionByName(fresh.where(nonzero("v")))
 
 
 def save_embeddings(records: DataFrame, vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Store each new vector on its record (replacing any earlier one) and in
+    """One vector for each id (of several, the greatest). Store each new vector on its record (replacing any earlier one) and in
     the vector table (W6). Ids without a record are ignored."""
     fresh = (
-        new.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("_nv"))
+        _last_per_id(new.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("_nv")), None)
         .join(records.select("id"), "id", "left_semi")
     )
     out = records.join(fresh, "id", "left").select(

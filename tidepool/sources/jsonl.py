@@ -24,7 +24,9 @@ from tidepool.schema import (
 # Order key of a scanned line: file, split start, row number inside the task.
 ORDER_COLS = ("src_file", "src_block", "src_row")
 
-_STRICT = {"allowSingleQuotes": "false"}
+_NO_CAP = str(2**31 - 1)
+#: Strict JSON, without the parser's own limits on strings, numbers and nesting.
+_STRICT = {"allowSingleQuotes": "false", "maxStringLen": _NO_CAP, "maxNumLen": _NO_CAP, "maxNestingDepth": _NO_CAP}
 _VARIANT_FIELDS = ",".join(f"{f}:variant" for f in FIELDS)
 
 
@@ -57,7 +59,7 @@ def _bad_non_numeric(s: Column) -> Column:
     NaN, Infinity and -Infinity are accepted by both; +INF, +Infinity and -INF only
     by the JVM parser. String contents are blanked first so text is not matched.
     """
-    outside = F.regexp_replace(s, r'"(?:[^"\\]|\\.)*"', '""')
+    outside = F.regexp_replace(s, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')  # possessive: no stack per character
     hit = outside.rlike(r"(?:^|[^A-Za-z0-9_])(?:\+INF|\+Infinity|-INF(?!inity))")
     guard = s.contains("INF") | s.contains("+Infinity")
     return F.when(guard, hit).otherwise(F.lit(False))
@@ -85,13 +87,14 @@ def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
 
     parsed = lines.withColumn("_a", a.getField("r")).withColumn("_b", b)
     bad_nn = _bad_non_numeric(s)
+    is_json = (av.getField("r").isNotNull() & (F.size(bv) == F.lit(1))) & ~bad_nn
+    # A partly parsed object has fields that look missing: the whole value must be JSON too.
     is_object = (
         F.col("_a").isNotNull()
         & (F.size("_b") == F.lit(1))
         & F.get(F.col("_b"), 0).isNotNull()
-        & ~bad_nn
+        & is_json
     )
-    is_json = (av.getField("r").isNotNull() & (F.size(bv) == F.lit(1))) & ~bad_nn
 
     def field(f: str) -> Column:
         return F.col("_a").getField(f)

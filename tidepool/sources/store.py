@@ -89,11 +89,18 @@ def _latest(spark: SparkSession, folder: str) -> str | None:
     return f"{folder}/{names[-1]}" if names else None
 
 
+def _batches(batch: dict | int | None) -> dict:
+    """Last batch by stream; a bare number is that of the unnamed stream."""
+    if batch is None or batch == -1:
+        return {}
+    return dict(batch) if isinstance(batch, dict) else {"": int(batch)}
+
+
 @dataclass
 class Snapshot:
     version: int
     high_water: int
-    batch: int
+    batch: dict  # last published batch by stream
     dim: int
     records: list[str] = field(default_factory=list)
     vectors: list[str] = field(default_factory=list)
@@ -166,7 +173,7 @@ class Store:
         d = json.loads(text)
         recs = list(d.get("records", []))
         ranges = d.get("ranges") or [[0, int(d["high_water"])] for _ in recs]
-        return Snapshot(int(d["version"]), int(d["high_water"]), int(d.get("batch", -1)), int(d["dim"]),
+        return Snapshot(int(d["version"]), int(d["high_water"]), _batches(d.get("batch")), int(d["dim"]),
                         recs, list(d.get("vectors", [])), [list(map(int, r)) for r in ranges])
 
     def exists(self) -> bool:
@@ -246,31 +253,32 @@ class Store:
 
     # -- write ---------------------------------------------------------
     def _write(self, records: DataFrame, vectors: DataFrame, version: int | str) -> tuple[str, str]:
-        r_name, v_name = f"records/v={version}", f"vectors/v={version}"
+        attempt = f"{version}-{uuid.uuid4().hex[:12]}"  # a losing writer never touches published files
+        r_name, v_name = f"records/v={attempt}", f"vectors/v={attempt}"
         # Sorted by id inside files: point lookups prune row groups by min/max.
         (migrate(records).withColumn("_key_hash", key_hash())
          .withColumn("_pending", F.col("embedding").isNull())
          .sortWithinPartitions("id")
-         .write.mode("overwrite").parquet(f"{self.root}/{r_name}"))
+         .write.mode("errorifexists").parquet(f"{self.root}/{r_name}"))
         (vectors.select("id", "v").sortWithinPartitions("id")
-         .write.mode("overwrite").parquet(f"{self.root}/{v_name}"))
+         .write.mode("errorifexists").parquet(f"{self.root}/{v_name}"))
         return r_name, v_name
 
     def publish(self, records: DataFrame, vectors: DataFrame, high_water: int,
-                batch: int | None = None, dim: int | None = None) -> Snapshot:
+                batch: dict | int | None = None, dim: int | None = None) -> Snapshot:
         """Rewrite both tables as the next version, then move the pointer."""
         prev = self.current()
         version = (prev.version + 1) if prev else 0
         r_name, v_name = self._write(records, vectors, version)
         return self._point(Snapshot(
             version, int(high_water),
-            int(batch if batch is not None else (prev.batch if prev else -1)),
+            {**(prev.batch if prev else {}), **_batches(batch)},
             int(dim if dim is not None else (prev.dim if prev else 0)),
             [r_name], [v_name], [[0, int(high_water)]],
         ))
 
     def append(self, new_records: DataFrame, new_vectors: DataFrame, high_water: int,
-               batch: int | None = None) -> Snapshot:
+               batch: dict | int | None = None) -> Snapshot:
         """Add rows with new ids as one more folder per table (an import)."""
         prev = self._require()
         if len(prev.records) >= MAX_FOLDERS:
@@ -278,7 +286,7 @@ class Store:
         version = prev.version + 1
         r_name, v_name = self._write(new_records, new_vectors, version)
         return self._point(Snapshot(
-            version, int(high_water), int(batch if batch is not None else prev.batch), prev.dim,
+            version, int(high_water), {**prev.batch, **_batches(batch)}, prev.dim,
             prev.records + [r_name], prev.vectors + [v_name],
             prev.ranges + [[prev.high_water + 1, int(high_water)]],
         ))

@@ -39,15 +39,15 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         snap = store.current()
-        if snap is not None and snap.batch >= batch_id:
-            return  # replay of a published batch
+        if snap is not None and snap.batch.get(checkpoint_dir, -1) >= batch_id:
+            return  # replay of a published batch of this stream; another checkpoint counts for itself
         staged = batch.withColumn("src_row", F.monotonically_increasing_id()).select(
             *ORDER_COLS, "line"
         )
         res = jobs.import_lines(staged, store.records(), store.vectors(), snap.high_water,
                                 as_of or dt.datetime.now().replace(microsecond=0),
                                 store_index=store.key_index(), **kw)
-        store.append(res.new_records, res.new_vectors, res.high_water, batch=batch_id)
+        store.append(res.new_records, res.new_vectors, res.high_water, batch={checkpoint_dir: batch_id})
         res.release()
 
     query = (
