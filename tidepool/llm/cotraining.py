@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready
+from tidepool.llm.session_tools import ready, stage
 from tidepool.llm.textops import LOWER, SPACED, mix, rows_of, slices, spans, text_bytes, word_hashes
 
 #: Bound of the labelled sample, exchanged rows for each view, class and round, and rounds.
@@ -212,6 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         margins = [m.margin(*data.views[i], n)[held] for i, m in enumerate(models)]
         curves = [calibration(m, data.y[held]) for m in margins]
         scores = scored(docs, models, curves, (1.0, 1.0, 0.0)).join(known.select(F.col("doc_id").alias("k")), F.col("doc_id") == F.col("k"), "left_anti")
+        scores = stage(scores, "cotraining-scores")  # ranked four times, scored once
         for view, column in enumerate(("text_score", "meta_score")):
             new: dict[int, float] = {}
             for sure, y in ((F.col(column).asc(), 0.0), (F.col(column).desc(), 1.0)):
