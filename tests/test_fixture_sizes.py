@@ -14,13 +14,14 @@ from tidepool.plans import fixtures as fx
 EXPECTED = {
     # store rows, distinct triples, lines, blank lines, added, duplicate, invalid,
     # near/far/zero copies, near-duplicates, records with vector / zero vector,
-    # pending, index rows, deletes / updates, rows / edited after the changes
+    # pending, index rows, deletes / updates (two of each id), rows / edited after the changes.
+    # The figures of the records come from the oracle's SQL.
     "sf0.001": dict(store=18, triples=18, lines=180, blank=5, added=113, duplicate=6, invalid=56,
-                    kinds=(100, 100, 10), near=100, with_vec=10, zero=2, pending=8, index=4,
-                    changes=(6, 5), after=(13, 3)),
+                    kinds=(100, 100, 10), near=100, with_vec=166, zero=2, pending=8, index=86,
+                    changes=(6, 9), after=(169, 3)),
     "sf0.01": dict(store=94, triples=94, lines=900, blank=25, added=612, duplicate=41, invalid=222,
-                   kinds=(100, 100, 10), near=100, with_vec=24, zero=4, pending=70, index=10,
-                   changes=(34, 21), after=(61, 13)),
+                   kinds=(100, 100, 10), near=100, with_vec=447, zero=4, pending=484, index=236,
+                   changes=(34, 41), after=(898, 13)),
 }
 
 

@@ -1,4 +1,4 @@
-"""Import job: the literal cases of the original tests plus a property test
+"""Import job: literal cases plus a property test
 against a sequential model of the import rules."""
 
 from __future__ import annotations
@@ -27,40 +27,38 @@ def run(spark, lines, records=None, vectors=None, hw=0, **kw):
     return res, res.report.first().asDict()
 
 
-def test_valid_rows(spark):
-    res, rep = run(spark, [j(instruction="質問1", input="", output="回答1"),
-                           j(instruction="質問2", input="前提2", output="回答2", source="出典2")])
-    assert rep == {"added": 2, "duplicate": 0, "invalid": 0, "near_duplicate": 0}
-    got = sorted(tuple(r) for r in res.added.select("id", "instruction", "input", "output", "source").collect())
-    assert got == [(1, "質問1", "", "回答1", ""), (2, "質問2", "前提2", "回答2", "出典2")]
+BREAD = dict(instruction="Knead bread dough", input="500 g flour", output="Ten minutes, until smooth.")
+STARS = dict(instruction="Näme the brightest star", output="Sirius")
 
 
-def test_duplicate_against_store_other_source(spark):
-    recs = records_df(spark, [(1, "質問1", "", "回答1", "既存出典", None)])
-    vecs = spark.createDataFrame([], "id long, v array<double>")
-    res, rep = run(spark, [j(instruction="質問1", input="", output="回答1", source="新しい出典")], recs, vecs, hw=1)
-    assert (rep["added"], rep["duplicate"]) == (0, 1)
+def kept_in(spark, lines, stored=()):
+    """Import the lines over the stored records: the sources of the accepted rows by id, and the report."""
+    records = records_df(spark, [(i, r["instruction"], r.get("input", ""), r["output"], r.get("source", ""), None)
+                                 for i, r in enumerate(stored, 1)])
+    vectors = spark.createDataFrame([], "id long, v array<double>")
+    res, rep = run(spark, [line if isinstance(line, str) else j(**line) for line in lines], records, vectors, len(stored))
+    return {r.id: r.source for r in res.added.collect()}, (rep["added"], rep["duplicate"], rep["invalid"])
 
 
-def test_duplicate_in_file_first_wins(spark):
-    res, rep = run(spark, [j(instruction="質問1", input="", output="回答1"),
-                           j(instruction="質問1", input="", output="回答1", source="別出典")])
-    assert (rep["added"], rep["duplicate"]) == (1, 1)
-    assert res.added.first().source == ""
+def test_fields_of_accepted_rows(spark):
+    res, rep = run(spark, [j(**STARS), j(**BREAD, source="kitchen")])
+    rows = {r.id: (r.instruction, r.input, r.output, r.source) for r in res.added.collect()}
+    assert rows == {1: (*[STARS[k] if k in STARS else "" for k in ("instruction", "input", "output")], ""),
+                    2: (*BREAD.values(), "kitchen")}
+    assert rep == {"added": 2, "duplicate": 0, "invalid": 0, "near_duplicate": 0}
 
 
-def test_same_question_other_answer(spark):
-    _, rep = run(spark, [j(instruction="質問1", input="", output="回答A"),
-                         j(instruction="質問1", input="", output="回答B")])
-    assert (rep["added"], rep["duplicate"]) == (2, 0)
+def test_the_triple_decides_and_the_first_line_wins(spark):
+    other = {**STARS, "output": "Canopus comes second"}
+    lines = [dict(BREAD, source="b"), dict(STARS, source="s1"), dict(STARS, source="s2"), other, dict(STARS, source="s1")]
+    assert kept_in(spark, lines) == ({1: "b", 2: "s1", 3: ""}, (3, 2, 0))
+    # A stored triple counts as seen, whatever its source.
+    assert kept_in(spark, lines, [dict(BREAD, source="library"), STARS]) == ({3: ""}, (1, 4, 0))
 
 
-def test_invalid_rows(spark):
-    lines = ["{壊れたJSON", "[1, 2, 3]", j(instruction="", input="", output="x"),
-             j(instruction="q", input="", output="   "), json.dumps({"instruction": 1, "output": "x"}),
-             j(instruction="ok", input="", output="fine")]
-    _, rep = run(spark, lines)
-    assert (rep["added"], rep["invalid"]) == (1, 5)
+def test_one_bad_line_of_each_kind_stops_no_other(spark):
+    bad = ['{"instruction": "half', '"a text"', dict(STARS, instruction=" "), dict(BREAD, output="\t"), dict(BREAD, output=7)]
+    assert kept_in(spark, [*bad, STARS]) == ({1: ""}, (1, 0, len(bad)))
 
 
 EXTRA = [

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from conftest import records_df
 from pyspark.sql import functions as F
 
@@ -82,13 +83,13 @@ def test_update_delete(spark):
 
 
 def test_export_roundtrip_reimports_as_duplicates(spark, tmp_root):
-    recs = records_df(spark, [(1, "質問", "", "回答\n2行目", "出典", None)])
+    recs = records_df(spark, [(1, "naïve café?", "", "one\ntwo", "menu", None)])
     path = tmp_root + "/export"
     assert jobs.export_jsonl(recs, path) == 1
     text = "".join(open(os.path.join(path, f), encoding="utf-8").read()
                    for f in sorted(os.listdir(path)) if f.startswith("part-"))
     obj = json.loads(text.strip())
-    assert list(obj) == ["instruction", "input", "output", "source"] and obj["instruction"] == "質問"
+    assert list(obj) == ["instruction", "input", "output", "source"] and obj["instruction"] == "naïve café?"
     st = S.Store(spark, tmp_root + "/s")
     st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 1, dim=26)
     rep = jobs.import_jsonl(st, path, AS_OF).first()
@@ -227,16 +228,59 @@ def test_store_level_jobs_and_cli(spark, tmp_root, capsys):
     ch = tmp_root + "/ch.jsonl"
     with open(ch, "w") as f:
         f.write(json.dumps({"id": 2, "op": "delete"}) + "\n")
-        f.write(json.dumps({"id": 1, "op": "update", "instruction": "apple tart\n", "input": "", "output": "bake", "source": ""}) + "\n")
+        for text in ("zzz first", "apple tart\n"):  # the later line wins
+            f.write(json.dumps({"id": 1, "op": "update", "instruction": text, "input": "", "output": "bake", "source": ""}) + "\n")
+        for text in ("pear pie", "apple tart", " "):  # no duplicate check; a blank one is refused
+            f.write(json.dumps({"op": "insert", "instruction": text, "input": "", "output": "bake"}) + "\n")
     assert main(["change", store, ch]) == 0
     st = S.Store(spark, store)
-    rows = st.records().collect()
-    assert [(r.id, r.instruction, r.embedding) for r in rows] == [(1, "apple tart", None)]
+    rows = st.records().orderBy("id").collect()
+    assert [(r.id, r.instruction, r.source, r.embedding) for r in rows] == [
+        (1, "apple tart", "", None), (3, "pear pie", "", None), (4, "apple tart", "", None)]
     assert st.vectors().count() == 0
     rep = jobs.embed_store(st).first()
-    assert (rep.succeeded, rep.total) == (1, 1) and st.vectors().count() == 1
+    assert (rep.succeeded, rep.total) == (3, 3) and st.vectors().count() == 3
     assert main(["export", store, tmp_root + "/out"]) == 0
-    assert jobs.export_store(st, tmp_root + "/out2") == 1
+    assert jobs.export_store(st, tmp_root + "/out2") == 3
+    before = st.current()
+    bad = spark.createDataFrame([(1, "upsert", "x", "", "y", "")],
+                                "id long, op string, instruction string, input string, output string, source string")
+    with pytest.raises(ValueError, match="unknown op"):
+        jobs.change_store(st, bad, AS_OF)
+    assert st.current() == before
+
+
+def test_the_store_dimension_decides(spark, tmp_root):
+    st = S.Store(spark, tmp_root + "/four")
+    st.create(4)
+    src = tmp_root + "/in.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "apple pie", "output": "bake"}) + "\n")
+    assert jobs.import_jsonl(st, src, AS_OF).first().added == 1  # its 26 letters are no vector of this store
+    assert st.vectors().count() == 0 and st.records().first().embedding is None
+    with pytest.raises(ValueError, match="dimension 4"):
+        jobs.search_store(st, spark.createDataFrame([(0, "apple")], "qid long, text string"))
+    wrong = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    with pytest.raises(Exception, match="not of dimension 4"):
+        st.append(st.records().limit(0), wrong, 1)
+    assert st.vectors().count() == 0
+
+
+def test_bootstrap_hides_only_what_cannot_be_read(spark, tmp_root, monkeypatch):
+    import os
+
+    src = tmp_root + "/boot.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "apple pie", "output": "bake"}) + "\n")
+
+    def full(*args, **kw):
+        raise RuntimeError("java.io.IOException: No space left on device")
+
+    monkeypatch.setattr(S.Store, "append", full)
+    with pytest.raises(RuntimeError, match="No space"):
+        jobs.bootstrap_import(S.Store(spark, tmp_root + "/b1"), src, AS_OF)
+    assert os.path.exists(src)
+    assert jobs.bootstrap_import(S.Store(spark, tmp_root + "/b2"), tmp_root + "/none", AS_OF).first().added == 0
 
 
 def test_changes_rewrite_only_touched_segments(spark, tmp_root):

@@ -43,10 +43,10 @@ def test_strip_and_preview_property(spark, values):
 
 
 def test_embedding_text(spark):
-    rows = [("質問", "前提"), ("質問", ""), ("質問", "   "), ("  質問  ", "  前提  ")]
+    rows = [("Sort these", "b, a"), ("Sort these", None), ("\tSort ñ\n", "\u2003"), ("\u3000Sort\u00a0", " b,\na ")]
     df = spark.createDataFrame(rows, "a string, b string")
     got = [r.t for r in df.select(T.embedding_text("a", "b").alias("t")).collect()]
-    assert got == ["質問\n\n前提", "質問", "質問", "質問\n\n前提"]
+    assert got == ["Sort these\n\nb, a", "Sort these", "Sort ñ", "Sort\n\nb,\na"]
 
 
 def test_trim_trailing_newlines_and_score_format(spark):
@@ -59,8 +59,8 @@ def test_trim_trailing_newlines_and_score_format(spark):
 def test_record_json_is_ordered_and_unescaped(spark):
     import json
 
-    df = spark.createDataFrame([("質問", "", "回答\n\"x\"", "出典")], "instruction string, input string, output string, source string")
+    df = spark.createDataFrame([("naïve café?", "", "say \"hi\"\nthen go", "menu")], "instruction string, input string, output string, source string")
     line = df.select(T.record_json().alias("j")).first().j
     assert list(json.loads(line)) == ["instruction", "input", "output", "source"]
-    assert "質問" in line
-    assert json.loads(line)["output"] == "回答\n\"x\""
+    assert "naïve café?" in line
+    assert json.loads(line)["output"] == "say \"hi\"\nthen go"

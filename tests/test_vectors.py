@@ -216,3 +216,69 @@ def test_near_duplicates_with_a_non_positive_threshold_keeps_rows_without_candid
     assert got == {1: 0.0, 2: 0.0, 3: 0.0}
     hi = {r.id for r in S.near_duplicates(df, new, 0.5).collect()}
     assert hi == set()
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+def test_extreme_vectors_score_like_any_other_and_bad_ones_hide_nothing(spark, strategy):
+    nan, inf = float("nan"), float("inf")
+    idx = vecs(spark, [(1, [1.0, 0.0]), (2, [1e-200, 0.0]), (3, [0.0, 1e300]), (4, [nan, 1.0]), (5, [inf, 1.0]),
+                       (6, [None, 1.0]), (7, [5e-324, 0.0])])
+    q = vecs(spark, [(100, [1e-250, 0.0]), (101, [nan, 0.0])])
+    got = S.top_k(idx, q, 9, strategy=strategy).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.id, r.score) for r in got] == [(100, 1, 1.0), (100, 2, 1.0), (100, 7, 1.0), (100, 3, 0.0)]
+    best = {r.qid: r.score for r in S.max_similarity(idx, q, strategy=strategy).collect()}
+    assert best == {100: 1.0, 101: 0.0}
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "grid"])
+@pytest.mark.parametrize("index, queries", [
+    ([(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0])], [(9, [1.0, 0.0])]),
+    ([(1, [1.0, 0.0])], [(8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0])]),
+    ([(1, [1.0, 0.0])], [(9, [1.0, 0.0, 0.0, 0.0])]),
+])
+def test_vectors_of_different_dimensions_raise(spark, strategy, index, queries):
+    with pytest.raises(Exception, match="dimension"):
+        S.top_k(vecs(spark, index), vecs(spark, queries), 2, strategy=strategy).collect()
+
+
+def test_grid_has_several_cells_for_small_inputs(spark, monkeypatch):
+    seen = {}
+    real = S._grid
+
+    def spy(*args):
+        out = real(*args)
+        seen["plan"] = out._jdf.queryExecution().analyzed().toString()
+        return out
+
+    monkeypatch.setattr(S, "_grid", spy)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(rng.normal(size=(900, 4)))]
+    df = vecs(spark, rows)
+    got = S.max_similarity(df, df, strategy="grid").collect()
+    assert len(got) == 900 and all(r.score == pytest.approx(1.0) for r in got)
+    assert "sequence(0, 0" not in seen["plan"]  # more than one group on either side
+
+
+def test_last_vector_by_order_wins(spark):
+    recs = records_df(spark, [(1, "a", "", "b", "", None)])
+    new = spark.createDataFrame([(1, [9.0, 0.0], 1), (1, [0.0, 1.0], 2)], "id long, v array<double>, seq int")
+    r, v = C.save_embeddings(recs, vecs(spark, []), new, "seq")
+    assert r.first().embedding == [0.0, 1.0]
+    assert [tuple(x) for x in v.collect()] == [(1, [0.0, 1.0])]
+    with pytest.raises(Exception, match="order column"):
+        C.upsert_vectors(vecs(spark, []), new).collect()
+
+
+def test_embedder_vectors_that_are_not_finite_fail(spark):
+    import pyarrow as pa
+
+    from tidepool.operators.embed import embed
+
+    def broken(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([[float("nan"), 1.0]] * n, pa.list_(pa.float64())), pa.nulls(n, pa.string())],
+            names=["id", "v", "error"])
+
+    out = embed(spark.createDataFrame([(1, "x")], "id long, text string"), embedder=broken, dim=2).first()
+    assert (out.v, out.error) == (None, "non_finite")

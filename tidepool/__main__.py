@@ -5,7 +5,8 @@
     python -m tidepool embed  STORE [--fail-stop]
     python -m tidepool search STORE TEXT... [--k 20]
     python -m tidepool export STORE OUT_DIR
-    python -m tidepool change STORE CHANGES_JSONL (id, op, instruction, input, output, source)
+    python -m tidepool change STORE CHANGES_JSONL (id, op insert/update/delete, instruction, input, output, source;
+                                                   later lines win)
     python -m tidepool list   STORE
     python -m tidepool stream STORE IN_DIR CHECKPOINT_DIR   (import every file that has arrived)
     python -m tidepool compact STORE
@@ -26,9 +27,8 @@ def _session() -> SparkSession:
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    from tidepool.session import local_session
-
-    return local_session()
+    # spark-submit's master and settings hold; plain Python runs locally.
+    return SparkSession.builder.appName("tidepool").getOrCreate()
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -67,8 +67,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.cmd == "export":
         print(jobs.export_store(store, a.out), "records written")
     elif a.cmd == "change":
-        schema = "id long, op string, instruction string, input string, output string, source string"
-        jobs.change_store(store, spark.read.schema(schema).json(a.changes), trim_newlines=True)
+        from tidepool.sources.jsonl import read_changes
+
+        jobs.change_store(store, read_changes(spark, a.changes), order_col="line_order", trim_newlines=True)
         print(store.current())
     elif a.cmd == "list":
         for r in listing(store.records()).toLocalIterator():

@@ -51,7 +51,7 @@ _STORES: dict = {}
 
 def _records(spark, sf) -> DataFrame:
     """fx_records as a written table (the store the change operators act on)."""
-    key = ("records", id(spark), sf)
+    key = ("records", spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         _STORES[key] = stage(fx.fx_records(spark, sf), "fx-records")
     return _STORES[key]
@@ -65,14 +65,14 @@ def _changes(spark, sf) -> DataFrame:
     return fx.fx_changes(spark, sf, _records(spark, sf))
 
 
-def _store_records(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """fx_store as a written store: every row embedded with the letter histogram.
+def _store_records(spark, sf, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """fx_store (``whole``: fx_docs) as a written store: every row embedded with the letter histogram.
 
     The records table is staged once per session; its vectors derive from it.
     """
-    key = ("store", id(spark), sf)
+    key = ("store", whole, spark.sparkContext.applicationId, sf)
     if key not in _STORES:
-        _STORES[key] = _embedded_store(spark, sf)
+        _STORES[key] = _embedded_store(spark, sf, whole)
     records = _STORES[key]
     vectors = records.where(F.col("embedding").isNotNull() & V.nonzero("embedding")).select(
         "id", F.col("embedding").alias("v"))
@@ -83,10 +83,11 @@ def prepare(spark, sf) -> None:
     """Write the fixture stores (what exists before any operator runs)."""
     _records(spark, sf)
     _store_records(spark, sf)
+    _store_records(spark, sf, whole=True)
 
 
-def _embedded_store(spark, sf) -> DataFrame:
-    s = fx.fx_store(spark, sf)
+def _embedded_store(spark, sf, whole: bool) -> DataFrame:
+    s = fx.fx_docs(spark, sf) if whole else fx.fx_store(spark, sf)
     ts = F.lit(fx.FIXED_TS).cast("timestamp_ntz")
     pending = s.select(F.col("id").cast("long"), "instruction", "input", "output", "source",
                        ts.alias("created_at"), ts.alias("updated_at"),
@@ -109,7 +110,7 @@ _IMPORT_CACHE: dict = {}
 
 def _import(spark, sf) -> jobs.ImportResult:
     """J-IMPORT of fx_lines (ordered by line number) into the embedded fx_store."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _IMPORT_CACHE:
         records, vectors = _store_records(spark, sf)
         _IMPORT_CACHE[key] = jobs.import_lines(fx.fx_lines(spark, sf), records, vectors,
@@ -118,7 +119,7 @@ def _import(spark, sf) -> jobs.ImportResult:
 
 
 def q_jsonl_line_status(spark, sf):
-    return jobs.line_status(fx.fx_lines(spark, sf), ["line_no"]).select("line_no", "status")
+    return jobs.line_status(fx.fx_all_lines(spark, sf), ["line_no"]).select("line_no", "status")
 
 
 def q_import_status(spark, sf):
@@ -147,7 +148,7 @@ def q_import_near_duplicates(spark, sf):
 
 def _write_lines(spark, sf, name: str) -> str:
     path = scratch_path(spark, name)
-    fx.fx_lines(spark, sf).orderBy("line_no").select(F.col("line").alias("value")).write.text(path)
+    fx.fx_all_lines(spark, sf).orderBy("line_no").select(F.col("line").alias("value")).write.text(path)
     return path
 
 
@@ -188,11 +189,11 @@ def q_incremental_import(spark, sf):
 # --- store reads ------------------------------------------------------------
 
 def q_existing_keys(spark, sf):
-    return distinct_keys(fx.fx_store(spark, sf))
+    return distinct_keys(fx.fx_docs(spark, sf))
 
 
 def q_record_listing(spark, sf):
-    return S.listing(fx.fx_store(spark, sf))
+    return S.listing(fx.fx_docs(spark, sf))
 
 
 def q_preview(spark, sf):
@@ -206,7 +207,7 @@ def q_record_lookup(spark, sf):
 
 
 def q_schema_migration(spark, sf):
-    legacy = fx.fx_store(spark, sf).select(
+    legacy = fx.fx_docs(spark, sf).select(
         "id", "instruction", "input", "output",
         F.lit(fx.FIXED_TS).cast("timestamp_ntz").alias("created_at"),
         F.lit(fx.FIXED_TS).cast("timestamp_ntz").alias("updated_at"),
@@ -243,7 +244,7 @@ def _vec_flag(records: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def q_update_records(spark, sf):
     ch = _changes(spark, sf).where(F.col("op") == "update")
-    r, v = C.update(_records(spark, sf), _index(spark, sf), ch, AS_OF)
+    r, v = C.update(_records(spark, sf), _index(spark, sf), ch, AS_OF, "seq")
     return _vec_flag(r, v).select("id", "instruction", "input", "output", "source", _ts("updated_at"),
                                   F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
@@ -255,18 +256,18 @@ def q_delete_records(spark, sf):
 
 
 def q_apply_changes(spark, sf):
-    r, v = jobs.change(_records(spark, sf), _index(spark, sf), _changes(spark, sf), AS_OF)
+    r, v = jobs.change(_records(spark, sf), _index(spark, sf), _changes(spark, sf), AS_OF, "seq")
     return _vec_flag(r, v).select("id", "instruction", _ts("updated_at"),
                                   F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
 
 def q_save_embeddings(spark, sf):
-    r, v = C.save_embeddings(_records(spark, sf), _index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)))
+    r, v = C.save_embeddings(_records(spark, sf), _index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)), "seq")
     return _vec_flag(r, v).select("id", *_digest("embedding", "emb"), "has_vec")
 
 
 def q_upsert_vectors(spark, sf):
-    v = C.upsert_vectors(_index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)))
+    v = C.upsert_vectors(_index(spark, sf), fx.fx_new_vec(spark, sf, _records(spark, sf)), "seq")
     return v.select("id", *_digest("v"))
 
 
@@ -287,7 +288,7 @@ def _pairs(spark, sf) -> DataFrame:
     v = fx.fx_vec(spark, sf)
     base = v.where(F.col("kind") == "base").select(F.col("id").alias("b"), F.col("v").alias("bv"))
     copies = v.where(F.col("kind") != "base").select(F.col("id").alias("a"), F.col("v").alias("av"))
-    return copies.join(base, F.col("a") % 1000000 == F.col("b")).select(
+    return copies.join(base, F.col("a") - F.col("a") % 4 == F.col("b")).select(
         "a", "b", V.cosine("av", "bv").alias("score")
     )
 
@@ -313,7 +314,7 @@ def _topk_out(df: DataFrame) -> DataFrame:
 
 def q_cosine_top_k(spark, sf):
     v = fx.fx_vec(spark, sf)
-    query = v.where(F.col("id") == 1000000)
+    query = v.where(F.col("id") == 1)
     return _topk_out(top_k(v, query, SEARCH_K))
 
 
@@ -326,8 +327,8 @@ def q_cosine_top_k_batch(spark, sf):
 
 def q_max_similarity(spark, sf):
     v = fx.fx_vec(spark, sf)
-    queries = v.where(F.col("id") % 2 == 1)
-    index = v.where(F.col("id") % 2 == 0)
+    queries = v.where(F.col("id") % 8 >= 4)
+    index = v.where(F.col("id") % 8 < 4)
     best = max_similarity(index, queries)
     return best.select(F.col("qid").alias("id"), _r6("score").alias("score"))
 
@@ -342,7 +343,7 @@ def q_near_duplicates(spark, sf):
 # --- embedder jobs -------------------------------------------------------------
 
 def _pending_store(spark, sf) -> DataFrame:
-    s = fx.fx_store(spark, sf)
+    s = fx.fx_docs(spark, sf)
     ts = F.lit(fx.FIXED_TS).cast("timestamp_ntz")
     return s.select(F.col("id").cast("long"), "instruction", "input", "output", "source",
                     ts.alias("created_at"), ts.alias("updated_at"),
@@ -356,7 +357,7 @@ def q_embed_records(spark, sf):
 
 
 def q_search_by_text(spark, sf):
-    records, vectors = _store_records(spark, sf)
+    records, vectors = _store_records(spark, sf, whole=True)
     queries = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return _topk_out(jobs.search(records, vectors, queries, k=SEARCH_K))
 

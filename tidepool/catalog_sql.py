@@ -57,10 +57,11 @@ fx_src AS (
               ELSE '' END AS "output",
          source
   FROM documents),
-fx_store AS (
+fx_docs AS (
   SELECT doc_id + 1 AS id, instruction, "input", "output", source
-  FROM fx_src WHERE doc_id % 10 = 0 AND trim("output") <> ''),
-fx_lines AS (
+  FROM fx_src WHERE trim("output") <> ''),
+fx_store AS (SELECT * FROM fx_docs WHERE (id - 1) % 10 = 0),
+fx_all_lines AS (
   SELECT doc_id AS line_no, CASE k
    WHEN 1 THEN '{{broken' || doc_id
    WHEN 2 THEN '[1,2,3]'
@@ -74,26 +75,28 @@ fx_lines AS (
    WHEN 11 THEN json_object('instruction', chr(12288), 'input', "input", 'output', "output")::VARCHAR
    ELSE json_object('instruction', instruction, 'input', "input", 'output', "output", 'source', source)::VARCHAR
    END AS line
-  FROM fx_src WHERE doc_id % 10 <> 0),
+  FROM fx_src),
+fx_lines AS (SELECT * FROM fx_all_lines WHERE line_no % 10 <> 0),
 fx_vec AS (
-  SELECT vec_id AS id, embedding::DOUBLE[] AS v, 'base' AS kind FROM embeddings
-  UNION ALL SELECT vec_id + 1000000, list_concat([embedding[1]::DOUBLE + 0.2], embedding[2:]::DOUBLE[]), 'near' FROM embeddings WHERE vec_id % 5 = 0
-  UNION ALL SELECT vec_id + 2000000, list_concat([embedding[1]::DOUBLE + 0.6], embedding[2:]::DOUBLE[]), 'far' FROM embeddings WHERE vec_id % 5 = 1
-  UNION ALL SELECT vec_id + 3000000, list_transform(embedding, lambda x: 0.0::DOUBLE), 'zero' FROM embeddings WHERE vec_id % 50 = 2),
+  SELECT vec_id * 4 AS id, embedding::DOUBLE[] AS v, 'base' AS kind FROM embeddings
+  UNION ALL SELECT vec_id * 4 + 1, list_concat([embedding[1]::DOUBLE + 0.2], embedding[2:]::DOUBLE[]), 'near' FROM embeddings WHERE vec_id % 5 = 0
+  UNION ALL SELECT vec_id * 4 + 2, list_concat([embedding[1]::DOUBLE + 0.6], embedding[2:]::DOUBLE[]), 'far' FROM embeddings WHERE vec_id % 5 = 1
+  UNION ALL SELECT vec_id * 4 + 3, list_transform(embedding, lambda x: 0.0::DOUBLE), 'zero' FROM embeddings WHERE vec_id % 50 = 2),
 fx_records AS (
   SELECT s.id, instruction, "input", "output", source,
      TIMESTAMP '{_FIXED}' AS created_at, TIMESTAMP '{_FIXED}' AS updated_at,
      CASE WHEN (s.id - 1) % 100 = 40 THEN list_transform(e.embedding, lambda x: 0.0::DOUBLE)
-          WHEN (s.id - 1) % 20 = 0 THEN e.embedding::DOUBLE[] END AS embedding
-  FROM fx_store s LEFT JOIN embeddings e ON e.vec_id = s.id - 1),
+          WHEN (s.id - 1) % 20 <> 7 THEN e.embedding::DOUBLE[] END AS embedding
+  FROM fx_docs s LEFT JOIN embeddings e ON e.vec_id = s.id - 1),
 fx_index AS (
   SELECT id, embedding AS v FROM fx_records
-  WHERE (id - 1) % 40 = 0 AND {_nz('embedding')}),
+  WHERE (id - 1) % 2 = 0 AND {_nz('embedding')}),
 fx_changes AS (
-  SELECT id, 'delete' AS op, NULL::VARCHAR AS instruction, NULL::VARCHAR AS "input", NULL::VARCHAR AS "output", NULL::VARCHAR AS source FROM fx_records WHERE (id - 1) % 30 = 0
-  UNION ALL SELECT id, 'update', instruction || ' (edited)', "input", "output", source FROM fx_records WHERE (id - 1) % 50 = 10
-  UNION ALL SELECT -1, 'delete', NULL, NULL, NULL, NULL
-  UNION ALL SELECT -2, 'update', 'x', '', 'y', ''),
+  SELECT id, 'delete' AS op, NULL::VARCHAR AS instruction, NULL::VARCHAR AS "input", NULL::VARCHAR AS "output", NULL::VARCHAR AS source, 1 AS seq FROM fx_records WHERE (id - 1) % 30 = 0
+  UNION ALL SELECT id, 'update', '~ ' || instruction || ' (edited)', "input", "output", source, 2 FROM fx_records WHERE (id - 1) % 50 = 10
+  UNION ALL SELECT id, 'update', instruction || ' (edited)', "input", "output", source, 3 FROM fx_records WHERE (id - 1) % 50 = 10
+  UNION ALL SELECT -1, 'delete', NULL, NULL, NULL, NULL, 1
+  UNION ALL SELECT -2, 'update', 'x', '', 'y', '', 2),
 fx_new_vec AS (
   SELECT r.id, CASE WHEN r.id % 4 = 3 THEN list_transform(e.embedding, lambda x: 0.0::DOUBLE)
                     ELSE e.embedding::DOUBLE[] END AS v
@@ -116,6 +119,7 @@ fx_valid AS (SELECT line_no, coalesce(line->>'$.instruction', '') AS instruction
     coalesce(line->>'$.output', '') AS "output", coalesce(line->>'$.source', '') AS source FROM fx_cls WHERE status = 'valid'),
 fx_first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instruction, "input", "output" ORDER BY line_no) AS rn FROM fx_valid) v WHERE rn = 1)
 """
+CLS_ALL = CLS.replace("FROM fx_lines", "FROM fx_all_lines")
 
 
 def _import_ctes(empty_store: bool) -> str:
@@ -144,7 +148,7 @@ def _with(*parts: str) -> str:
 
 
 _IMPORT = _with(FX, CLS + _import_ctes(False))
-_BOOT = _with(FX, CLS + _import_ctes(True))
+_BOOT = _with(FX, CLS_ALL + _import_ctes(True))
 
 _REPORT = """SELECT (SELECT count(*) FROM fx_added) AS added,
        (SELECT count(*) FROM fx_valid) - (SELECT count(*) FROM fx_added) AS duplicate,
@@ -166,9 +170,9 @@ WHERE rank <= {_K}"""
 _ORACLES = {
     "import_report": _IMPORT + _REPORT,
     "jsonl_lines": _W + """SELECT line_no, line FROM (
-  SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, trim(line, w) AS line FROM fx_lines, ws)
+  SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, trim(line, w) AS line FROM fx_all_lines, ws)
 WHERE line <> ''""",
-    "jsonl_line_status": _with(FX, CLS) + "SELECT line_no, status FROM fx_cls",
+    "jsonl_line_status": _with(FX, CLS_ALL) + "SELECT line_no, status FROM fx_cls",
     "import_status": _IMPORT + """SELECT c.line_no, CASE WHEN c.status <> 'valid' THEN c.status
   WHEN a.line_no IS NOT NULL THEN 'added' ELSE 'duplicate' END AS status
 FROM fx_cls c LEFT JOIN fx_added a ON a.line_no = c.line_no""",
@@ -179,16 +183,16 @@ FROM fx_cls c LEFT JOIN fx_added a ON a.line_no = c.line_no""",
     "bootstrap_import": _BOOT + _REPORT,
     "incremental_import": _IMPORT + """SELECT id, instruction, "input", "output", source FROM fx_store
 UNION ALL SELECT id, instruction, "input", "output", source FROM fx_added""",
-    "existing_keys": _W + 'SELECT DISTINCT instruction, "input", "output" FROM fx_store',
+    "existing_keys": _W + 'SELECT DISTINCT instruction, "input", "output" FROM fx_docs',
     "record_listing": _W + f"""SELECT id, {_preview('instruction')} AS instruction_preview,
-  {_preview('"output"')} AS output_preview FROM fx_store""",
+  {_preview('"output"')} AS output_preview FROM fx_docs""",
     "preview": f"SELECT doc_id, {_preview('text')} AS preview FROM documents",
     "record_lookup": _W + """SELECT id, instruction, "input", "output", source,
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at,
   embedding IS NOT NULL AS has_embedding
 FROM fx_records WHERE id IN (SELECT id FROM fx_changes)""",
     "schema_migration": _W + f"""SELECT id, instruction, "input", "output", '' AS source,
-  '{_FIXED}' AS created_at, '{_FIXED}' AS updated_at, true AS pending FROM fx_store""",
+  '{_FIXED}' AS created_at, '{_FIXED}' AS updated_at, true AS pending FROM fx_docs""",
     "vector_backfill": _W + f"""SELECT id, {_digest('v')} FROM (
   SELECT id, v FROM fx_index
   UNION ALL SELECT id, embedding FROM fx_records
@@ -200,7 +204,8 @@ FROM fx_records, ws""",
     "nonzero_vectors": _W + f"SELECT id FROM fx_vec WHERE {_nz('v')}",
     "update_records": _W.rstrip() + f""",
 ch AS (SELECT fx_changes.* FROM fx_changes, ws WHERE op = 'update'
-       AND trim(instruction, w) <> '' AND trim("output", w) <> '')
+       AND trim(instruction, w) <> '' AND trim("output", w) <> ''
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT r.id,
   CASE WHEN ch.id IS NULL THEN r.instruction ELSE coalesce(ch.instruction, '') END AS instruction,
   CASE WHEN ch.id IS NULL THEN r."input" ELSE coalesce(ch."input", '') END AS "input",
@@ -214,7 +219,8 @@ FROM fx_records r LEFT JOIN ch ON ch.id = r.id""",
 WHERE id NOT IN (SELECT id FROM fx_changes WHERE op = 'delete')""",
     "apply_changes": _W.rstrip() + f""",
 ch AS (SELECT fx_changes.* FROM fx_changes, ws WHERE op = 'update'
-       AND trim(instruction, w) <> '' AND trim("output", w) <> '')
+       AND trim(instruction, w) <> '' AND trim("output", w) <> ''
+       QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT r.id,
   CASE WHEN ch.id IS NULL THEN r.instruction ELSE coalesce(ch.instruction, '') END AS instruction,
   CASE WHEN ch.id IS NULL THEN '{_FIXED}' ELSE '{_AS_OF}' END AS updated_at,
@@ -238,26 +244,26 @@ WHERE id NOT IN (SELECT id FROM fx_changes WHERE op = 'delete')""",
     "cosine_pairs": _W + f"""SELECT a.id AS a, b.id AS b,
   round(CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0
         THEN {_cos('a.v', 'b.v')} END, 6) AS score
-FROM fx_vec a JOIN fx_vec b ON a.kind <> 'base' AND b.kind = 'base' AND a.id % 1000000 = b.id""",
+FROM fx_vec a JOIN fx_vec b ON a.kind <> 'base' AND b.kind = 'base' AND a.id - a.id % 4 = b.id""",
     "score_format": _W + f"""SELECT a.id AS a, b.id AS b,
   printf('%.3f', CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0
         THEN {_cos('a.v', 'b.v')} END) AS score_text
-FROM fx_vec a JOIN fx_vec b ON a.kind <> 'base' AND b.kind = 'base' AND a.id % 1000000 = b.id""",
+FROM fx_vec a JOIN fx_vec b ON a.kind <> 'base' AND b.kind = 'base' AND a.id - a.id % 4 = b.id""",
     "trim_trailing_newlines": "SELECT doc_id, rtrim(text, chr(10)) AS value FROM documents",
-    "cosine_top_k": _topk(f"SELECT id, v FROM fx_vec WHERE id = 1000000 AND {_nz('v')}",
+    "cosine_top_k": _topk(f"SELECT id, v FROM fx_vec WHERE id = 1 AND {_nz('v')}",
                           f"SELECT id, v FROM fx_vec WHERE {_nz('v')}"),
     "cosine_top_k_batch": _topk(f"SELECT id, v FROM fx_vec WHERE kind IN ('near', 'far') AND {_nz('v')}",
                                 f"SELECT id, v FROM fx_vec WHERE kind = 'base' AND {_nz('v')}"),
     "max_similarity": _W.rstrip() + f""",
-q AS (SELECT id, v FROM fx_vec WHERE id % 2 = 1),
-x AS (SELECT id, v FROM fx_vec WHERE id % 2 = 0 AND {_nz('v')})
+q AS (SELECT id, v FROM fx_vec WHERE id % 8 >= 4),
+x AS (SELECT id, v FROM fx_vec WHERE id % 8 < 4 AND {_nz('v')})
 SELECT q.id, round(coalesce(max(CASE WHEN {_nz('q.v')} THEN {_cos('q.v', 'x.v')} END), 0.0), 6) AS score
 FROM q LEFT JOIN x ON true GROUP BY q.id""",
     "near_duplicates": _W.rstrip() + f""",
 e AS (SELECT * FROM fx_vec WHERE {_nz('v')}),
-n AS (SELECT * FROM e WHERE NOT (id < 1000000 AND id % 2 = 0)),
+n AS (SELECT * FROM e WHERE id % 8 <> 0),
 p AS (SELECT n.id, max({_cos('n.v', 'e.v')}) AS s FROM n
-      JOIN e ON (e.id < 1000000 AND e.id % 2 = 0) OR e.id < n.id GROUP BY 1)
+      JOIN e ON e.id % 8 = 0 OR e.id < n.id GROUP BY 1)
 SELECT id, round(s, 6) AS score FROM p WHERE s >= {_THRESHOLD}""",
     "embed_records": _W.rstrip() + f""",
 h AS (SELECT id, {_hist('instruction || "input"')} AS v FROM fx_records WHERE embedding IS NULL)
@@ -265,12 +271,12 @@ SELECT id, {_digest('v')}, list_dot_product(v, v) AS v_sq FROM h""",
     "search_by_text": _topk(
         f"SELECT item_id AS id, v FROM (SELECT item_id, {_hist('text')} AS v FROM benchmark, ws "
         f"WHERE trim(text, w) <> '') WHERE {_nz('v')}",
-        f"SELECT id, v FROM (SELECT id, {_hist('instruction || \"input\"')} AS v FROM fx_store) WHERE {_nz('v')}",
+        f"SELECT id, v FROM (SELECT id, {_hist('instruction || \"input\"')} AS v FROM fx_docs) WHERE {_nz('v')}",
     ),
-    "embed_fail_stop": _W + f"""SELECT id, id < coalesce((SELECT min(id) FROM fx_store WHERE id % {_FAIL_EVERY} = 0),
-  9223372036854775807) AS embedded FROM fx_store""",
+    "embed_fail_stop": _W + f"""SELECT id, id < coalesce((SELECT min(id) FROM fx_docs WHERE id % {_FAIL_EVERY} = 0),
+  9223372036854775807) AS embedded FROM fx_docs""",
     "embed_report": _W + f"""SELECT count(*) FILTER (WHERE id % {_FAIL_EVERY} <> 0) AS succeeded,
-  count(*) AS total FROM fx_store""",
+  count(*) AS total FROM fx_docs""",
     "export_roundtrip": _W + 'SELECT instruction, "input", "output", source FROM fx_records',
 }
 

@@ -15,6 +15,11 @@ def nonzero(v: Column | str) -> Column:
     return F.exists(_c(v), lambda x: x != F.lit(0.0))
 
 
+def finite(v: Column | str) -> Column:
+    """True when every component is a finite number."""
+    return F.forall(_c(v), lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False)))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(
         F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x
@@ -43,15 +48,6 @@ def decode(text: Column | str) -> Column:
     return F.when(t == F.lit(""), F.lit(None).cast("array<double>")).otherwise(parsed)
 
 
-def has_dim(v: Column | str, dim: int) -> Column:
-    """Non-empty vector of the index dimension."""
-    return F.size(_c(v)) == F.lit(dim)
-
-
-def as_double_array(v: Column | str) -> Column:
-    return _c(v).cast("array<double>")
-
-
 def component_sum(v: Column | str) -> Column:
     """Compact digest of a vector for reports: the sum of its components."""
     return F.aggregate(_c(v), F.lit(0.0), lambda acc, x: acc + x)

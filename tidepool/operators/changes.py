@@ -16,6 +16,8 @@ from tidepool.functions.text import is_blank, trim_trailing_newlines
 from tidepool.functions.vector import nonzero
 from tidepool.schema import FIELDS, RECORD_SCHEMA
 
+OPS = ("insert", "update", "delete")
+
 
 def ts_literal(as_of: dt.datetime) -> F.Column:
     """A wall-clock TIMESTAMP_NTZ literal, independent of any time zone setting."""
@@ -33,21 +35,18 @@ def stamp_new(new: DataFrame, as_of: dt.datetime) -> DataFrame:
     )
 
 
-def append(records: DataFrame, new: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """The store's records plus the new rows."""
-    return records.select(*RECORD_SCHEMA.fieldNames()).unionByName(stamp_new(new, as_of))
-
-
 def _last_per_id(changes: DataFrame, order_col: str | None) -> DataFrame:
     """The last change per id by ``order_col``, as an aggregate with a map-side
-    partial (an id edited a million times costs one row per task)."""
+    partial (an id edited a million times costs one row per task). Changes that
+    are equal in the order resolve to the greatest. Without an order, several
+    different changes of one id raise: none of them is the last."""
     cols = [c for c in changes.columns if c not in ("id",)]
     if order_col is None:
-        # No change order given: ids should be unique; duplicates resolve to
-        # one deterministic change so a record is never multiplied by the join.
-        pick = F.max(F.struct(*cols))
+        least, pick = F.min(F.struct(*cols)), F.max(F.struct(*cols))
+        pick = F.when(least.eqNullSafe(pick), pick).otherwise(
+            F.raise_error(F.lit("several changes of one id need an order column")))
     else:
-        pick = F.max_by(F.struct(*cols), F.col(order_col))
+        pick = F.max_by(F.struct(*cols), F.struct(F.col(order_col), *cols))
     last = changes.groupBy("id").agg(pick.alias("_last"))
     return last.select("id", *[F.col("_last").getField(c).alias(c) for c in cols])
 
@@ -91,19 +90,28 @@ def clear_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
     return vectors.join(ids.select(F.col("id").cast("long")).distinct(), "id", "left_anti")
 
 
-def upsert_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+def _last_vectors(new: DataFrame, order_col: str | None) -> DataFrame:
+    """(id, v): the last vector of each id."""
+    order = [F.col(order_col)] if order_col else []
+    picked = new.select(F.col("id").cast("long"), F.col("v").cast("array<double>"), *order)
+    return _last_per_id(picked, order_col).select("id", "v")
+
+
+def upsert_vectors(vectors: DataFrame, new: DataFrame, order_col: str | None = None) -> DataFrame:
     """Delete then insert, unless the new vector is all zeros (which thus
-    removes an older row)."""
-    fresh = _last_per_id(new.select(F.col("id").cast("long"), F.col("v").cast("array<double>")), None)
+    removes an older row). Of several vectors of an id the last by ``order_col`` counts."""
+    fresh = _last_vectors(new, order_col)
     kept = vectors.select("id", "v").join(fresh.select("id"), "id", "left_anti")
     return kept.unionByName(fresh.where(nonzero("v")))
 
 
-def save_embeddings(records: DataFrame, vectors: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One vector for each id (of several, the greatest). Store each new vector on its record (replacing any earlier one) and in
-    the vector table (W6). Ids without a record are ignored."""
+def save_embeddings(records: DataFrame, vectors: DataFrame, new: DataFrame,
+                    order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Store each new vector on its record (replacing any earlier one) and in
+    the vector table (W6). Ids without a record are ignored. Of several vectors
+    of an id the last by ``order_col`` counts."""
     fresh = (
-        _last_per_id(new.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("_nv")), None)
+        _last_vectors(new, order_col).withColumnRenamed("v", "_nv")
         .join(records.select("id"), "id", "left_semi")
     )
     out = records.join(fresh, "id", "left").select(
@@ -116,7 +124,8 @@ def save_embeddings(records: DataFrame, vectors: DataFrame, new: DataFrame) -> t
 def apply_changes(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt.datetime,
                   order_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """J-CHANGE: ``changes(id, op, instruction, input, output, source)`` with op
-    'update' or 'delete'; updates first, then deletes (a delete wins)."""
+    'update' or 'delete'; updates first, then deletes. A delete wins whatever the
+    order: an update after it finds no record, and ids are not used again."""
     ups = changes.where(F.col("op") == F.lit("update"))
     dels = changes.where(F.col("op") == F.lit("delete")).select("id")
     r1, v1 = update(records, vectors, ups, as_of, order_col)

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.functions.vector import finite
 from tidepool.session import ship_package
 
 Embedder = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -27,6 +28,7 @@ LETTERS = 26
 
 PER_ROW = "per_row"
 FAIL_STOP = "fail_stop"
+BAD_DIMENSION = "bad_dimension"
 
 
 def _string_bytes(arr: pa.Array):
@@ -91,7 +93,7 @@ def embed(df: DataFrame, text_col: str = "text", id_col: str = "id",
           breaker: int | None = None, batch_rows: int | None = None) -> DataFrame:
     """Run the embedder over ``(id, text)``; returns ``(id, v, error)``.
 
-    F11: a vector that is empty or not of ``dim`` components is a failed row.
+    F11: a vector that is empty, not of ``dim`` components or not finite is a failed row.
     ``breaker``: after that many consecutive failed batches in one task the
     embedder is not called again in that task; its remaining rows fail with
     "embedder unavailable" (a dead model service is not called row after row).
@@ -131,11 +133,13 @@ def embed(df: DataFrame, text_col: str = "text", id_col: str = "id",
         ok = F.col("v").isNotNull() & (F.size("v") > F.lit(0))
     else:
         ok = F.col("v").isNotNull() & (F.size("v") == F.lit(dim))
+    sound = ok & finite("v")
     return out.select(
         "id",
-        F.when(F.col("error").isNull() & ok, F.col("v")).alias("v"),
+        F.when(F.col("error").isNull() & sound, F.col("v")).alias("v"),
         F.when(F.col("error").isNotNull(), F.col("error"))
-        .when(~ok, F.lit("bad_dimension"))
+        .when(~ok, F.lit(BAD_DIMENSION))
+        .when(~sound, F.lit("non_finite"))
         .alias("error"),
     )
 

@@ -2,23 +2,29 @@
 order-aware near-duplicate test (J5).
 
 Score = dot(q, x) / (|q| |x|). Zero vectors are never candidates; a zero query
-has no top-k rows and a max similarity of 0.0. Ties rank by id ascending.
+has no top-k rows and a max similarity of 0.0. A vector with a NULL, NaN or
+infinite component counts as no vector. Vectors are scaled by a power of two
+before the norm (exact), so very small and very large ones neither underflow nor
+overflow. Vectors of different dimensions raise, whichever plan is taken. Ties
+rank by id ascending.
 
 Two physical plans share one NumPy kernel:
 
 * **broadcast scan** - when the query side is small (at most 65,536 rows and
-  32 MiB of vectors, checked at run time by a bounded ``limit`` probe) its
-  matrix is broadcast and every index partition is scored in place, in
-  sub-blocks of bounded size: no shuffle of the index at all;
+  32 MiB of vectors, checked at run time by one aggregate) its matrix is
+  broadcast and every index partition is scored in place, in sub-blocks of
+  bounded size: no shuffle of the index at all;
 * **grid** - otherwise queries are hashed into R row groups and index rows
-  into C column groups, sized so that one group fits a bounded number of bytes.
+  into C column groups, sized so that one group fits a bounded number of bytes
+  and that there are a few cells for every core.
   Each query row is sent to the C cells of its row group, each index row to the
   R cells of its column group, and ``cogroup(...).applyInArrow`` scores one cell
   (a bounded query table against a bounded index table) in sub-blocks, keeping
   a running top-k / max per query. A final ``row_number`` / ``max`` over the
   cells gives the exact answer. Work is O(|Q| |X| d) as for any exact search;
-  the shuffle is O(|Q| C + |X| R) vectors, about the square root of the pair
-  count, and no row pair is ever materialised.
+  the shuffle is |Q| C + |X| R vectors. As C and R grow with the row counts this
+  is quadratic too, smaller than the number of pairs by the rows of a cell's side.
+  No row pair is ever materialised.
 """
 
 from __future__ import annotations
@@ -30,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.functions.vector import nonzero
+from tidepool.functions.vector import finite, nonzero
 from tidepool.session import ship_package
 
 CELL_BYTES = 64 << 20  # vector bytes of one side of one grid cell
 MAX_BLOCK_ROWS = 2048  # sub-block rows: bounds one score matrix (32 MiB)
+CELLS_PER_CORE = 3
+MIN_GROUP_ROWS = 64  # a group this small is not split for parallelism
 BROADCAST_ROWS = 65536  # query rows that may be broadcast ...
 BROADCAST_BYTES = 32 << 20  # ... and their vector bytes
 
@@ -51,8 +59,12 @@ def _matrix(col: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
         col = col.combine_chunks()
     if n == 0:
         return np.zeros((0, 0))
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(n, -1)
+    sizes = col.value_lengths().to_numpy(zero_copy_only=False)
+    if sizes.min() != sizes.max():
+        raise ValueError(f"vectors of different dimension: {sizes.min()} and {sizes.max()}")
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1)
+    # A power of two leaves every digit, so integer-valued vectors still tie exactly.
+    return np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1))[1][:, None])
 
 
 def _scores(q: np.ndarray, x: np.ndarray, qn: np.ndarray, xn: np.ndarray) -> np.ndarray:
@@ -155,12 +167,12 @@ def _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only: bool) ->
 
 
 def _prepare(df: DataFrame, id_col: str, v_col: str, ord_col: str | None = None) -> DataFrame:
-    """(id, v, ord) with zero and NULL vectors removed; v as ARRAY<DOUBLE>."""
+    """(id, v, ord) without zero, NULL and non-finite vectors; v as ARRAY<DOUBLE>."""
     v = F.col(v_col).cast("array<double>")
     ordc = F.col(ord_col) if ord_col else F.col(id_col)
     return (
         df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), ordc.cast("long").alias("ord"))
-        .where(F.col("v").isNotNull() & nonzero("v"))
+        .where(F.col("v").isNotNull() & nonzero("v") & finite("v"))
     )
 
 
@@ -181,6 +193,13 @@ def _grid(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only:
     rows = _cell_rows(dim)
     r = max(1, math.ceil(nq / rows))  # query row groups
     c = max(1, math.ceil(nx / rows))  # index column groups
+    # Small inputs: more cells than memory asks for, so that every core has some.
+    want = CELLS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism
+    while r * c < want and max(nq / r, nx / c) > MIN_GROUP_ROWS:
+        if nq / r > nx / c:
+            r *= 2
+        else:
+            c *= 2
     qg = F.pmod(F.xxhash64("id"), F.lit(r))
     xg = F.pmod(F.xxhash64("id", F.lit("x")), F.lit(c))
     qrep = queries.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(c - 1)))).withColumn(
@@ -246,33 +265,18 @@ def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only:
         for _, state, _ in parts:
             yield state.batch()
 
-    # Each task emits up to k rows per query; with far more splits than cores,
-    # merge splits per task so the final top-k reads Q * k * cores rows, not
-    # Q * k * splits. Every core still gets a task.
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    if index.rdd.getNumPartitions() > 2 * cores:
-        index = index.coalesce(cores)
     return index.mapInArrow(kernel, schema)
 
 
 def _plan(index, queries, mode, k, earlier_only, strategy):
     ship_package(index.sparkSession)
-    if strategy not in ("grid", "blocked"):
-        # Fetch at most BROADCAST_ROWS + 1 query rows: the size check never
-        # pulls more than the bound to the driver.
-        head = queries.limit(BROADCAST_ROWS + 1).toArrow()
-        n = head.num_rows
-        if n == 0:
-            return None
-        dim = len(head.column("v")[0]) if n else 0
-        whole = n <= BROADCAST_ROWS  # the probe holds every query row
-        if whole and (strategy == "broadcast" or n * dim * 8 <= BROADCAST_BYTES):
-            # The index is only scanned; its dimension is checked in the kernel.
-            return _broadcast(index, head, mode, k, earlier_only)
-        # More rows than the probe may hold: never broadcast a partial set.
     nq, qdim = _stats(queries)
     if nq == 0:
         return None
+    small = nq <= BROADCAST_ROWS and (strategy == "broadcast" or nq * qdim * 8 <= BROADCAST_BYTES)
+    if small and strategy not in ("grid", "blocked"):
+        # The index is only scanned; the kernel checks the dimension of its rows.
+        return _broadcast(index, queries.toArrow(), mode, k, earlier_only)
     nx, dim = _stats(index)
     if nx == 0:
         return None

@@ -5,13 +5,16 @@ grows with the scale factor. The same definitions exist as DuckDB SQL in
 ``tidepool.catalog_sql`` for the oracle.
 
 fx_src      documents split into (instruction, input, output, source)
-fx_store    every tenth document as a stored record (id = doc_id + 1)
-fx_lines    the other documents as JSONL lines, one line kind per doc_id % 40
+fx_docs     every document with an output as a stored record (id = doc_id + 1)
+fx_all_lines  every document as a JSONL line, one line kind per doc_id % 40
+fx_store    of fx_docs every tenth: the store that the import queries load into
+fx_lines    the lines of the other documents: what they load
 fx_vec      embeddings plus near / far copies and zero vectors
-fx_records  fx_store with timestamps and some embeddings (some zero)
+fx_records  fx_docs with timestamps and embeddings (some zero, some pending)
 fx_index    vector rows of part of fx_records (the rest must be backfilled)
-fx_changes  deletes and edits, plus two unknown ids
-fx_new_vec  replacement vectors for records (every id % 4 = 3 a zero vector)
+fx_changes  deletes and edits (two edits of each id, in order of seq), plus two unknown ids
+fx_new_vec  replacement vectors for records (every id % 4 = 3 a zero vector),
+            two of each id in order of seq
 """
 
 from __future__ import annotations
@@ -50,18 +53,22 @@ def fx_src(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx_src(spark, sf_dir)
-    return s.where((F.col("doc_id") % 10 == 0) & (F.trim("output") != "")).select(
+    return s.where(F.trim("output") != "").select(
         (F.col("doc_id") + 1).alias("id"), "instruction", "input", "output", "source"
     )
 
 
+def fx_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx_docs(spark, sf_dir).where((F.col("id") - 1) % 10 == 0)
+
+
 def _obj(*pairs) -> F.Column:
     return F.to_json(F.struct(*[c.alias(n) for n, c in pairs]), {"ignoreNullFields": "false"})
 
 
-def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx_src(spark, sf_dir)
     ins, inp, out, src = F.col("instruction"), F.col("input"), F.col("output"), F.col("source")
     k = F.col("k")
@@ -79,7 +86,11 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 11, _obj(("instruction", F.lit("　")), ("input", inp), ("output", out)))
         .otherwise(full)
     )
-    return s.where(F.col("doc_id") % 10 != 0).select(F.col("doc_id").alias("line_no"), line.alias("line"))
+    return s.select(F.col("doc_id").alias("line_no"), line.alias("line"))
+
+
+def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx_all_lines(spark, sf_dir).where(F.col("line_no") % 10 != 0)
 
 
 def fx_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,39 +98,40 @@ def fx_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.col("embedding").cast("array<double>").alias("e")
     )
     rest = F.slice("e", 2, F.size("e") - 1)
-    base = e.select(F.col("vec_id").alias("id"), F.col("e").alias("v"), F.lit("base").alias("kind"))
+    # id = vec_id * 4 + kind: ids of different vectors never meet, however many there are.
+    base = e.select((F.col("vec_id") * 4).alias("id"), F.col("e").alias("v"), F.lit("base").alias("kind"))
     near = e.where(F.col("vec_id") % 5 == 0).select(
-        (F.col("vec_id") + 1000000).alias("id"),
+        (F.col("vec_id") * 4 + 1).alias("id"),
         F.concat(F.array(F.get("e", 0) + F.lit(0.2)), rest).alias("v"), F.lit("near").alias("kind"),
     )
     far = e.where(F.col("vec_id") % 5 == 1).select(
-        (F.col("vec_id") + 2000000).alias("id"),
+        (F.col("vec_id") * 4 + 2).alias("id"),
         F.concat(F.array(F.get("e", 0) + F.lit(0.6)), rest).alias("v"), F.lit("far").alias("kind"),
     )
     zero = e.where(F.col("vec_id") % 50 == 2).select(
-        (F.col("vec_id") + 3000000).alias("id"),
+        (F.col("vec_id") * 4 + 3).alias("id"),
         F.transform("e", lambda x: F.lit(0.0)).alias("v"), F.lit("zero").alias("kind"),
     )
     return base.unionByName(near).unionByName(far).unionByName(zero)
 
 
 def fx_vec_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_vec with the import scenario's order: store rows (even ids below
-    1,000,000) come first, the new rows follow in id order."""
+    """fx_vec with the import scenario's order: store rows (the base vectors of
+    even vec_id) come first, the new rows follow in id order."""
     v = fx_vec(spark, sf_dir)
-    is_store = (F.col("id") < 1000000) & (F.col("id") % 2 == 0)
+    is_store = F.col("id") % 8 == 0
     return v.withColumn("is_store", is_store).withColumn(
         "ord", F.when(is_store, F.lit(STORE_ORDER)).otherwise(F.col("id"))
     )
 
 
 def fx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = fx_store(spark, sf_dir)
+    s = fx_docs(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     ts = F.lit(FIXED_TS).cast("timestamp_ntz")
     emb = (
         F.when((F.col("id") - 1) % 100 == 40, F.transform("e", lambda x: F.lit(0.0)))
-        .when((F.col("id") - 1) % 20 == 0, F.col("e"))
+        .when((F.col("id") - 1) % 20 != 7, F.col("e"))
     )
     return s.join(e, e.vec_id == s.id - 1, "left").select(
         F.col("id").cast("long"), "instruction", "input", "output", "source",
@@ -129,7 +141,7 @@ def fx_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_index(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
     r = records if records is not None else fx_records(spark, sf_dir)
-    return r.where(((F.col("id") - 1) % 40 == 0) & F.exists("embedding", lambda x: x != 0)).select(
+    return r.where(((F.col("id") - 1) % 2 == 0) & F.exists("embedding", lambda x: x != 0)).select(
         "id", F.col("embedding").alias("v")
     )
 
@@ -139,21 +151,24 @@ def fx_changes(spark: SparkSession, sf_dir: str, records: DataFrame | None = Non
     null = F.lit(None).cast("string")
     dels = r.where((F.col("id") - 1) % 30 == 0).select(
         "id", F.lit("delete").alias("op"), null.alias("instruction"), null.alias("input"),
-        null.alias("output"), null.alias("source"),
+        null.alias("output"), null.alias("source"), F.lit(1).alias("seq"),
     )
     ups = r.where((F.col("id") - 1) % 50 == 10).select(
         "id", F.lit("update").alias("op"), F.concat("instruction", F.lit(" (edited)")).alias("instruction"),
-        "input", "output", "source",
+        "input", "output", "source", F.lit(3).alias("seq"),
     )
+    earlier = ups.withColumns({"instruction": F.concat(F.lit("~ "), F.col("instruction")), "seq": F.lit(2)})
     extra = spark.createDataFrame(
-        [(-1, "delete", None, None, None, None), (-2, "update", "x", "", "y", "")],
-        "id long, op string, instruction string, input string, output string, source string",
+        [(-1, "delete", None, None, None, None, 1), (-2, "update", "x", "", "y", "", 2)],
+        "id long, op string, instruction string, input string, output string, source string, seq int",
     )
-    return dels.unionByName(ups).unionByName(extra)
+    return dels.unionByName(earlier).unionByName(ups).unionByName(extra)
 
 
 def fx_new_vec(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
     r = (records if records is not None else fx_records(spark, sf_dir)).select("id")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     v = F.when(F.col("id") % 4 == 3, F.transform("e", lambda x: F.lit(0.0))).otherwise(F.col("e"))
-    return r.join(e, e.vec_id == r.id, "inner").select("id", v.alias("v"))
+    return r.join(e, e.vec_id == r.id, "inner").select(
+        "id", F.explode(F.array(F.struct(F.transform(v, lambda x: x + F.lit(1.0)).alias("v"), F.lit(1).alias("seq")),
+                                F.struct(v.alias("v"), F.lit(2).alias("seq")))).alias("n")).select("id", "n.v", "n.seq")

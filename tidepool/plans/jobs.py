@@ -13,16 +13,18 @@ one plan whose result equals the sequential rules:
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.functions.text import embedding_text, is_blank, ustrip
+from tidepool.functions.text import embedding_text, is_blank, trim_trailing_newlines, ustrip
 from tidepool.functions.vector import nonzero
 from tidepool.operators.changes import apply_changes, save_embeddings, stamp_new
 from tidepool.operators.dedup import anti_join_keys, first_wins
 from tidepool.operators.embed import (
+    BAD_DIMENSION,
     LETTERS,
     PER_ROW,
     Embedder,
@@ -35,6 +37,7 @@ from tidepool.operators.similarity import near_duplicates, top_k
 from tidepool.schema import (
     ADDED,
     DUPLICATE,
+    FIELDS,
     INVALID_STATUSES,
     KEY,
     NEAR_DUPLICATE_THRESHOLD,
@@ -45,6 +48,10 @@ from tidepool.session import stage
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
 from tidepool.sources.store import Store, backfill_vectors, lookup, missing_vectors
 
+log = logging.getLogger(__name__)
+#: A task calls an embedder no more after that many batches in a row that failed whole.
+BREAKER = 3
+
 
 @dataclass
 class ImportResult:
@@ -84,11 +91,14 @@ def import_lines(
     mode: str = PER_ROW,
     strategy: str = "auto",
     store_index: DataFrame | None = None,
+    breaker: int | None = BREAKER,
+    batch_rows: int | None = None,
 ) -> ImportResult:
     """J-IMPORT over a lines DataFrame ``(order cols..., line)``.
 
     ``embedder=None`` models an unavailable embedder: nothing is embedded and the
-    near-duplicate count is 0, the import itself goes on.
+    near-duplicate count is 0, the import itself goes on. ``breaker`` and
+    ``batch_rows`` are those of ``embed``.
     """
     order_cols = list(order_cols)
     # Classified lines feed the accepted rows, the status and the report.
@@ -122,7 +132,8 @@ def import_lines(
     else:
         texts = added.select("id", embedding_text("instruction", "input").alias("text"))
         # The model call is the expensive step: run it once, keep the result.
-        embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=dim), "embedded"), mode)
+        embedded = apply_failure_mode(stage(
+            embed(texts, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows), "embedded"), mode)
         new_vecs = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
         pool = vectors.select("id", "v").unionByName(new_vecs)
         near = near_duplicates(pool, new_vecs.select("id"), threshold, strategy=strategy)
@@ -153,6 +164,7 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
     returns the one-row report."""
     spark = store.spark
     snap = store.current() or store.create(kw.get("dim", LETTERS))
+    kw["dim"] = snap.dim or kw.get("dim", LETTERS)  # the store's dimension decides
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
     res = import_lines(read_lines(spark, path), store.records(), store.vectors(),
                        snap.high_water, as_of, store_index=store.key_index(), **kw)
@@ -176,13 +188,12 @@ def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None,
     if not fs.exists(fs_path):
         return zeros
     try:
-        return import_jsonl(store, path, as_of, **kw)
-    except Exception as exc:  # noqa: BLE001 - only read failures are swallowed
-        from pyspark.errors import AnalysisException
-
-        if isinstance(exc, AnalysisException) or "java.io." in str(exc):
-            return zeros  # unreadable file: nothing was published
-        raise
+        # Reading alone, with nothing written: only its failures give zeros.
+        read_lines(spark, path).select("line").write.format("noop").mode("overwrite").save()
+    except Exception as exc:  # noqa: BLE001 - what cannot be read, in whichever form Spark reports it
+        log.warning("bootstrap file %s cannot be read: %s", path, exc)
+        return zeros
+    return import_jsonl(store, path, as_of, **kw)
 
 
 def open_store(store: Store, dim: int, bootstrap_path: str | None = None,
@@ -192,22 +203,25 @@ def open_store(store: Store, dim: int, bootstrap_path: str | None = None,
     record embeddings (E2), publishing only when something changed."""
     if bootstrap_path is not None and not store.exists():
         bootstrap_import(store, bootstrap_path, as_of, dim=dim)
-    snap = store.create(dim)
+    store.create(dim)
     records = store.records()
     vectors = store.vectors()
-    if not missing_vectors(records, vectors).isEmpty():
-        store.publish(records, backfill_vectors(records, vectors), snap.high_water)
+    missing = missing_vectors(records, vectors).select("id")
+    if not missing.isEmpty():
+        store.rewrite(missing, lambda r, v: (r, backfill_vectors(r, v)))
     return store
 
 
 def embed_pending(records: DataFrame, vectors: DataFrame, *, embedder: Embedder = letter_histogram,
-                  dim: int = LETTERS, mode: str = PER_ROW):
+                  dim: int = LETTERS, mode: str = PER_ROW, breaker: int | None = BREAKER,
+                  batch_rows: int | None = None):
     """J-EMBED: embed every pending record; returns (records', vectors', report)
     with report columns succeeded, total."""
     pending = records.where(F.col("embedding").isNull())
     texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
     # Stage the model output first: it is computed once whatever reads it next.
-    embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=dim), "embedded"), mode)
+    embedded = apply_failure_mode(stage(
+        embed(texts, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows), "embedded"), mode)
     good = embedded.where(F.col("v").isNotNull()).select("id", "v")
     r2, v2 = save_embeddings(records, vectors, good)
     report = embedded.agg(
@@ -222,11 +236,15 @@ def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, *, k: int
 
     Blank queries are dropped (P11); each query is embedded (X1), the k best
     vectors are chosen first and only then joined with the records (J1), so a
-    vector without a record still uses up a place, as in the original.
+    vector without a record still uses up a place, as in the original. An
+    embedder of another dimension than ``dim`` raises.
     """
     q = queries.where(~is_blank("text")).select(F.col("qid").alias("id"), ustrip("text").alias("text"))
     # One model call per query, whatever plan the search then takes.
-    qv = stage(embed(q, embedder=embedder, dim=dim), "query-vectors").where(F.col("v").isNotNull())
+    qv = stage(embed(q, embedder=embedder, dim=dim), "query-vectors")
+    if not qv.where(F.col("error") == F.lit(BAD_DIMENSION)).isEmpty():
+        raise ValueError(f"the embedder's vectors have not the store's dimension {dim}")
+    qv = qv.where(F.col("v").isNotNull())
     best = top_k(vectors, qv, k, strategy=strategy)
     return best.join(records.select("id"), "id", "inner").select("qid", "rank", "id", "score")
 
@@ -245,7 +263,7 @@ def change(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt
 # --- the same jobs against a store: read the current version, publish the next
 
 def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int | None = None,
-                mode: str = PER_ROW, breaker: int | None = None) -> DataFrame:
+                mode: str = PER_ROW, breaker: int | None = BREAKER) -> DataFrame:
     """J-EMBED on a store: the pending records are embedded once (staged), then
     only the segments holding them are rewritten. Returns the report."""
     snap = store._require()
@@ -263,10 +281,19 @@ def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int
 
 def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = None,
                  order_col: str | None = None, trim_newlines: bool = False) -> None:
-    """J-CHANGE on a store: updates, then deletes, in the segments they touch."""
-    from tidepool.operators.changes import delete, update
+    """J-CHANGE on a store: updates, then deletes, in the segments they touch, then
+    inserts. An insert adds a record under a new id (its own is not read) without a
+    duplicate check, as W1 does; one with a blank instruction or output is refused.
+    Several changes of one id, and any insert, need ``order_col``. Another ``op``
+    raises before anything is written."""
+    from tidepool.operators.changes import OPS, delete, update
 
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
+    kinds = {r.op for r in changes.select("op").distinct().limit(len(OPS) + 1).collect()}
+    if not kinds <= set(OPS):
+        raise ValueError(f"unknown op in the changes: {sorted(map(str, kinds - set(OPS)))}")
+    if "insert" in kinds and order_col is None:
+        raise ValueError("inserts need an order column: it gives the order of their ids")
     ups = changes.where(F.col("op") == F.lit("update"))
     dels = changes.where(F.col("op") == F.lit("delete")).select("id")
 
@@ -274,7 +301,17 @@ def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = N
         r1, v1 = update(records, vectors, ups, as_of, order_col, trim_newlines)
         return delete(r1, v1, dels)
 
-    store.rewrite(changes.select("id"), apply)
+    store.rewrite(changes.where(F.col("op") != F.lit("insert")).select("id"), apply)
+    if "insert" in kinds:
+        rows = changes.where(F.col("op") == F.lit("insert")).select(
+            F.col(order_col).alias("_order"), *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS])
+        if trim_newlines:
+            rows = rows.select("_order", *[trim_trailing_newlines(c).alias(c) for c in FIELDS])
+        rows = rows.where(~is_blank("instruction") & ~is_blank("output"))
+        added, n = assign_ids(rows, ["_order"], store._require().high_water + 1)
+        if n:
+            snap = store._require()
+            store.append(stamp_new(added, as_of), store.vectors().limit(0), snap.high_water + n)
 
 
 def export_store(store: Store, path: str) -> int:

@@ -47,6 +47,14 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_changes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A change file: id, op, the four fields, and line_order, which sorts the changes as their lines."""
+    schema = "id long, op string, instruction string, input string, output string, source string"
+    lines = non_blank(read_lines(spark, path))
+    change = F.from_json("line", schema, {**_STRICT, "mode": "FAILFAST"}).alias("c")
+    return lines.select(F.struct(*ORDER_COLS).alias("line_order"), change).select("c.*", "line_order")
+
+
 def non_blank(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Drop lines that are empty after the Unicode strip; keep the stripped text."""
     stripped = ustrip(line_col)

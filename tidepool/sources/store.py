@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import preview
-from tidepool.functions.vector import nonzero
-from tidepool.operators.dedup import distinct_keys, key_hash
+from tidepool.functions.vector import finite, nonzero
+from tidepool.operators.dedup import key_hash
 from tidepool.schema import MIGRATION_DEFAULTS, RECORD_SCHEMA, VECTOR_SCHEMA
 
 MAX_FOLDERS = 64  # appended folders per table before an import compacts
@@ -241,10 +241,6 @@ class Store:
         snap = self._require()
         return self.spark.read.schema(VECTOR_SCHEMA).parquet(*self._paths(snap.vectors))
 
-    def keys(self) -> DataFrame:
-        """S3 / A3."""
-        return distinct_keys(self.records())
-
     def _require(self) -> Snapshot:
         snap = self.current()
         if snap is None:
@@ -252,7 +248,8 @@ class Store:
         return snap
 
     # -- write ---------------------------------------------------------
-    def _write(self, records: DataFrame, vectors: DataFrame, version: int | str) -> tuple[str, str]:
+    def _write(self, records: DataFrame, vectors: DataFrame, version: int | str, dim: int) -> tuple[str, str]:
+        """Both tables in new folders. A vector that is not finite or not of the store's dimension (if it has one) raises."""
         attempt = f"{version}-{uuid.uuid4().hex[:12]}"  # a losing writer never touches published files
         r_name, v_name = f"records/v={attempt}", f"vectors/v={attempt}"
         # Sorted by id inside files: point lookups prune row groups by min/max.
@@ -260,7 +257,10 @@ class Store:
          .withColumn("_pending", F.col("embedding").isNull())
          .sortWithinPartitions("id")
          .write.mode("errorifexists").parquet(f"{self.root}/{r_name}"))
-        (vectors.select("id", "v").sortWithinPartitions("id")
+        sound = finite("v") & (F.lit(not dim) | (F.size("v") == F.lit(dim)))
+        checked = F.when(sound, F.col("v")).otherwise(
+            F.raise_error(F.concat(F.lit(f"vector not finite or not of dimension {dim}: id "), F.col("id").cast("string"))))
+        (vectors.select("id", checked.alias("v")).sortWithinPartitions("id")
          .write.mode("errorifexists").parquet(f"{self.root}/{v_name}"))
         return r_name, v_name
 
@@ -269,11 +269,11 @@ class Store:
         """Rewrite both tables as the next version, then move the pointer."""
         prev = self.current()
         version = (prev.version + 1) if prev else 0
-        r_name, v_name = self._write(records, vectors, version)
+        dim = int(dim if dim is not None else (prev.dim if prev else 0))
+        r_name, v_name = self._write(records, vectors, version, dim)
         return self._point(Snapshot(
             version, int(high_water),
-            {**(prev.batch if prev else {}), **_batches(batch)},
-            int(dim if dim is not None else (prev.dim if prev else 0)),
+            {**(prev.batch if prev else {}), **_batches(batch)}, dim,
             [r_name], [v_name], [[0, int(high_water)]],
         ))
 
@@ -284,7 +284,7 @@ class Store:
         if len(prev.records) >= MAX_FOLDERS:
             prev = self.compact()
         version = prev.version + 1
-        r_name, v_name = self._write(new_records, new_vectors, version)
+        r_name, v_name = self._write(new_records, new_vectors, version, prev.dim)
         return self._point(Snapshot(
             version, int(high_water), {**prev.batch, **_batches(batch)}, prev.dim,
             prev.records + [r_name], prev.vectors + [v_name],
@@ -313,7 +313,7 @@ class Store:
             r = migrate(self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{recs[i]}"))
             v = self.spark.read.schema(VECTOR_SCHEMA).parquet(f"{self.root}/{vecs[i]}")
             r2, v2 = fn(r, v)
-            recs[i], vecs[i] = self._write(r2, v2, f"{version}-{i}")
+            recs[i], vecs[i] = self._write(r2, v2, f"{version}-{i}", snap.dim)
         return self._point(Snapshot(version, snap.high_water, snap.batch, snap.dim,
                                     recs, vecs, [list(x) for x in snap.ranges]))
 
