@@ -278,26 +278,27 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands:
     bands = bands or Bands(percent, band_counts(docs, Bands(percent)))
     sets = stage(classes(docs, bands, shingle), "jaccard-classes")
     # Signatures that several sets share; of each set's, the rarest that its group needs.
-    by = Window.partitionBy("sig")
+    # Tables of their own, not windows over sig, so that the joins can broadcast them or split a hot signature.
     rows = sets.select("id", "size", "need", F.explode("sigs").alias("sig"))
     group = F.col("sig").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).cast("int").alias("g")
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1").select("*", group)
-    counted = stage(counted, "jaccard-counted")
+    often = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-often")
+    counted = stage(rows.join(often, "sig").select("id", "size", "need", "sig", "n", group), "jaccard-counted")
     segments, kept = bands.budgets()
     mine = Window.partitionBy("id", "g")
     alone = F.get(F.array(*map(F.lit, segments)), F.col("g")) - F.count(F.lit(1)).over(mine)  # signatures that no other set has
     rank = F.row_number().over(mine.orderBy("n", "sig"))
     rare = counted.withColumns({"alone": alone, "rank": rank})
     least = F.greatest("need", F.get(F.array(*map(F.lit, kept)), F.col("g")))
-    rare = rare.where(F.col("rank") + F.col("alone") <= least)
-    shared = rare.select("sig", "id").withColumns({"lead": F.min("id").over(by), "last": F.max("id").over(by)}).where("lead != last")
-    shared = stage(shared.select("sig", "id", "lead"), "jaccard-shared")
+    rare = stage(rare.where(F.col("rank") + F.col("alone") <= least).select("sig", "id"), "jaccard-rare")
+    leads = rare.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
+    shared = stage(rare.join(stage(leads.select("sig", "lead"), "jaccard-leads"), "sig"), "jaccard-shared")
     first = stage(shared.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-pairs")
     links = stage(verified(docs, sets, first, percent, shingle), "jaccard-links")
     roots = components(links)
     # What is left: pairs of different components that share a signature and were not checked.
     at = shared.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
     mixed = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
+    mixed = stage(mixed, "jaccard-unlike")
     at = at.join(mixed, "sig", "left_semi").select("*", group)
     # A pair must agree in all segments but as many as it may differ in: counted on its signatures in the join itself.
     lists = counted.groupBy("id", "g").agg(F.max("size").alias("size"), F.collect_list("sig").alias("sigs"))
