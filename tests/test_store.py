@@ -11,9 +11,11 @@ from conftest import records_df
 from pyspark.sql import functions as F
 
 from tidepool.operators import changes as C
+from tidepool.operators.ids import number_lines
 from tidepool.plans import jobs
 from tidepool.schema import RECORD_SCHEMA
 from tidepool.sources import store as S
+from tidepool.sources.jsonl import ORDER_COLS, read_lines
 
 AS_OF = dt.datetime(2024, 5, 6, 7, 8, 9)
 
@@ -417,3 +419,12 @@ def test_import_timestamp_has_second_precision(spark, tmp_root):
     assert row.created_at == row.updated_at and row.created_at.microsecond == 0
     text = st.records().select(F.col("created_at").cast("string").alias("t")).first().t
     assert dt.datetime.fromisoformat(text) == row.created_at and "." not in text
+
+
+def test_export_counts_each_row_once_and_keeps_id_order(spark, tmp_root):
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(500, 0, -1)]).repartition(7)
+    path = tmp_root + "/ordered"
+    assert jobs.export_jsonl(recs, path) == 500
+    lines = number_lines(read_lines(spark, path), list(ORDER_COLS))
+    got = jobs.line_status(lines, ["line_no"]).orderBy("line_no").collect()
+    assert [r.instruction for r in got] == [f"q{i}" for i in range(1, 501)]

@@ -41,7 +41,12 @@ def _ts(c: str) -> F.Column:
 
 def _digest(v: str, prefix: str = "v") -> list[F.Column]:
     dim = F.when(F.col(v).isNotNull(), F.size(v)).cast("long")
-    return [dim.alias(f"{prefix}_dim"), _r6(V.component_sum(v)).alias(f"{prefix}_sum")]
+    return [dim.alias(f"{prefix}_dim"), _r6(V.component_sum(v)).alias(f"{prefix}_sum"), _items(F.col(v)).alias(f"{prefix}_items")]
+
+
+def _items(v: F.Column) -> F.Column:
+    """Every component in millionths, as text."""
+    return F.array_join(F.transform(v, lambda x: F.round(x * F.lit(1e6)).cast("long").cast("string")), ",")
 
 
 # --- import over fx_lines into fx_store -----------------------------------
@@ -99,10 +104,7 @@ def _embedded_store(spark, sf, whole: bool) -> DataFrame:
 
 def _high_water(records: DataFrame) -> int:
     """The fixture store's high-water mark (it has no deletes: its largest id)."""
-    key = ("hw", id(records))
-    if key not in _STORES:
-        _STORES[key] = int(records.agg(F.max("id")).first()[0] or 0)
-    return _STORES[key]
+    return int(records.agg(F.max("id")).first()[0] or 0)
 
 
 _IMPORT_CACHE: dict = {}
@@ -252,12 +254,13 @@ def q_update_records(spark, sf):
 def q_delete_records(spark, sf):
     ids = _changes(spark, sf).where(F.col("op") == "delete").select("id")
     r, v = C.delete(_records(spark, sf), _index(spark, sf), ids)
-    return _vec_flag(r, v).select("id", "has_vec")
+    return _vec_flag(r, v).select("id", "instruction", "input", "output", "source", _ts("updated_at"),
+                                  F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
 
 def q_apply_changes(spark, sf):
     r, v = jobs.change(_records(spark, sf), _index(spark, sf), _changes(spark, sf), AS_OF, "seq")
-    return _vec_flag(r, v).select("id", "instruction", _ts("updated_at"),
+    return _vec_flag(r, v).select("id", "instruction", "input", "output", "source", _ts("updated_at"),
                                   F.col("embedding").isNotNull().alias("has_embedding"), "has_vec")
 
 
@@ -281,7 +284,7 @@ def q_clear_vectors(spark, sf):
 def q_vector_codec(spark, sf):
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     back = V.decode(V.encode("v"))
-    return e.select("vec_id", F.size("v").cast("long").alias("dim"), (back == F.col("v")).alias("roundtrip_ok"))
+    return e.select("vec_id", F.size(back).cast("long").alias("dim"), (back == F.col("v")).alias("roundtrip_ok"), _items(back).alias("items"))
 
 
 def _pairs(spark, sf) -> DataFrame:
@@ -381,8 +384,9 @@ def q_embed_report(spark, sf):
 def q_export_roundtrip(spark, sf):
     path = scratch_path(spark, "export")
     jobs.export_jsonl(_records(spark, sf), path)
-    back = jobs.line_status(J.read_lines(spark, path))
-    return back.where(F.col("status") == "valid").select("instruction", "input", "output", "source")
+    lines = number_lines(J.read_lines(spark, path), list(J.ORDER_COLS))
+    back = jobs.line_status(lines, ["line_no"])
+    return back.where(F.col("status") == "valid").select("line_no", "instruction", "input", "output", "source")
 
 
 _REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -43,7 +43,11 @@ def _preview(x: str) -> str:
 
 
 def _digest(v: str, p: str = "v") -> str:
-    return f"len({v}) AS {p}_dim, round(list_sum({v}), 6) AS {p}_sum"
+    return f"len({v}) AS {p}_dim, round(list_sum({v}), 6) AS {p}_sum, {_items(v)} AS {p}_items"
+
+
+def _items(v: str) -> str:
+    return f"array_to_string(list_transform({v}, lambda x: round(x * 1e6)::BIGINT), ',')"
 
 
 FX = f"""
@@ -215,7 +219,9 @@ SELECT r.id,
   CASE WHEN ch.id IS NULL THEN r.embedding IS NOT NULL ELSE false END AS has_embedding,
   (ch.id IS NULL AND r.id IN (SELECT id FROM fx_index)) AS has_vec
 FROM fx_records r LEFT JOIN ch ON ch.id = r.id""",
-    "delete_records": _W + """SELECT id, id IN (SELECT id FROM fx_index) AS has_vec FROM fx_records
+    "delete_records": _W + """SELECT id, instruction, "input", "output", source,
+  strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at, embedding IS NOT NULL AS has_embedding,
+  id IN (SELECT id FROM fx_index) AS has_vec FROM fx_records
 WHERE id NOT IN (SELECT id FROM fx_changes WHERE op = 'delete')""",
     "apply_changes": _W.rstrip() + f""",
 ch AS (SELECT fx_changes.* FROM fx_changes, ws WHERE op = 'update'
@@ -223,6 +229,9 @@ ch AS (SELECT fx_changes.* FROM fx_changes, ws WHERE op = 'update'
        QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1)
 SELECT r.id,
   CASE WHEN ch.id IS NULL THEN r.instruction ELSE coalesce(ch.instruction, '') END AS instruction,
+  CASE WHEN ch.id IS NULL THEN r."input" ELSE coalesce(ch."input", '') END AS "input",
+  CASE WHEN ch.id IS NULL THEN r."output" ELSE coalesce(ch."output", '') END AS "output",
+  CASE WHEN ch.id IS NULL THEN r.source ELSE coalesce(ch.source, '') END AS source,
   CASE WHEN ch.id IS NULL THEN '{_FIXED}' ELSE '{_AS_OF}' END AS updated_at,
   CASE WHEN ch.id IS NULL THEN r.embedding IS NOT NULL ELSE false END AS has_embedding,
   (ch.id IS NULL AND r.id IN (SELECT id FROM fx_index)) AS has_vec
@@ -240,7 +249,8 @@ FROM fx_records r LEFT JOIN nv ON nv.id = r.id""",
   UNION ALL SELECT id, v FROM fx_new_vec WHERE {_nz('v')})""",
     "clear_vectors": _W + f"""SELECT id, {_digest('v')} FROM fx_index
 WHERE id NOT IN (SELECT id FROM fx_changes WHERE op = 'delete')""",
-    "vector_codec": "SELECT vec_id, len(embedding) AS dim, true AS roundtrip_ok FROM embeddings",
+    "vector_codec": f"""SELECT vec_id, len(embedding) AS dim, true AS roundtrip_ok,
+  {_items('embedding::DOUBLE[]')} AS items FROM embeddings""",
     "cosine_pairs": _W + f"""SELECT a.id AS a, b.id AS b,
   round(CASE WHEN list_dot_product(a.v, a.v) > 0 AND list_dot_product(b.v, b.v) > 0
         THEN {_cos('a.v', 'b.v')} END, 6) AS score
@@ -277,7 +287,8 @@ SELECT id, {_digest('v')}, list_dot_product(v, v) AS v_sq FROM h""",
   9223372036854775807) AS embedded FROM fx_docs""",
     "embed_report": _W + f"""SELECT count(*) FILTER (WHERE id % {_FAIL_EVERY} <> 0) AS succeeded,
   count(*) AS total FROM fx_docs""",
-    "export_roundtrip": _W + 'SELECT instruction, "input", "output", source FROM fx_records',
+    "export_roundtrip": _W + """SELECT row_number() OVER (ORDER BY id) - 1 AS line_no,
+  instruction, "input", "output", source FROM fx_records""",
 }
 
 

@@ -3,8 +3,8 @@
 Rows are range-partitioned and sorted on the order key, tagged with their
 partition and position, and staged as a written table (so a lost executor
 cannot change the numbering on recomputation). The per-partition counts form
-a table of at most ``num_partitions`` rows; its running sums become a literal
-offset map. ``id = start + offset[partition] + position``.
+a table of one row a partition; its running sums are broadcast and looked up
+by a hash join. ``id = start + offset[partition] + position``.
 """
 
 from __future__ import annotations
@@ -44,15 +44,15 @@ def assign_ids(
         (r["_pid"], r["_n"], r["_m0"])
         for r in staged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")).collect()
     )
-    base, total = {}, 0
+    base, total = [], 0
     for pid, cnt, m0 in counts:
-        base[pid] = int(start) + total - int(m0)
+        base.append((pid, int(start) + total - int(m0)))
         total += int(cnt)
     if not base:
         return staged.drop("_pid", "_mid").withColumn(id_col, F.lit(None).cast("long")), 0
-    offset = F.create_map(*[x for pid, b in sorted(base.items()) for x in (F.lit(pid), F.lit(b))])
-    numbered = staged.withColumn(id_col, (F.element_at(offset, F.col("_pid")) + F.col("_mid")).cast("long"))
-    return numbered.drop("_pid", "_mid"), total
+    offsets = df.sparkSession.createDataFrame(base, "_pid int, _base long")
+    numbered = staged.join(F.broadcast(offsets), "_pid").withColumn(id_col, F.col("_base") + F.col("_mid"))
+    return numbered.drop("_pid", "_mid", "_base"), total
 
 
 def number_lines(lines: DataFrame, order_cols: Sequence[str], col: str = "line_no") -> DataFrame:

@@ -7,7 +7,7 @@ K1  ordered export.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions.text import is_blank, record_json, ustrip
@@ -137,6 +137,8 @@ def write_jsonl(records: DataFrame, path: str) -> int:
     """
     if records.isEmpty():
         return 0
+    written = Observation()
     out = records.orderBy("id").select(record_json().alias("value"))
-    out.write.mode("overwrite").text(path)
-    return records.count()
+    # Observed above the sort, so that its range sample is not counted.
+    out.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
+    return int(written.get["n"])
