@@ -15,6 +15,11 @@ from tidepool.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 from tidepool.llm.session_tools import stage, table
 
 
+#: Near copies agree in 80% of their five-word shingles; the query op4_jaccard_join has values of its own.
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
+
+
 def keyed(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The documents whose doc_id is in ``keep`` (a null one too), with their own columns only."""
     keep = keep.select(F.col("doc_id").alias("_kept")).distinct()
@@ -31,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id stay, as no group can be named after them; of rows that repeat the id and its text, one stays.
     """
-    groups = jaccard_join.join(docs).where("component_id is null or doc_id = component_id")
+    groups = jaccard_join.join(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).where("component_id is null or doc_id = component_id")
     times = groups.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
     kept = docs.join(times, docs["doc_id"].eqNullSafe(times["_kept"]))
     names = [F.col(f"`{c}`") for c in docs.columns]
