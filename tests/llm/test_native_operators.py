@@ -72,3 +72,16 @@ def test_oracle(spark, name):
     cur = con.execute(queries.ORACLES[name])
     assert [d[0] for d in cur.description] == df.columns
     assert cases.rows(df, *df.columns) == cases.ordered(cur.fetchall())
+
+
+def test_url_templates_of_deep_paths(spark):
+    slugs = [f"slug{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    urls = [f"http://many.org/es/news/world/{s}" for s in slugs] + [f"http://deep.org/a/b/c/d/e/f/{s}/g" for s in slugs]
+    urls += [f"http://z.net/{'es' if i % 4 else 'xx'}/news/world/{s}" for i, s in enumerate(slugs)]
+    urls += ["http://many.org/es", "http://many.org/", "http://short.org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    by = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert len(by) == len(urls)
+    assert len({by[i].template for i in range(60)}) == 1 and by[0].template.endswith("/world/*")
+    assert len({by[i].template for i in range(60, 120)}) == 1 and by[60].template.endswith("/f/*/*")
+    assert {by[i].verdict for i in range(60)} == {"block"}  # as its template on z.net, where it is labelled

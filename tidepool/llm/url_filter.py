@@ -4,7 +4,7 @@ Explicit rules come first: (host, path prefix) pairs that hold for the host and
 subdomains; the longest that fits decides. URLs under a rule are the labelled ones.
 The rest is judged by templates. Runs of digits and long hexadecimal runs in a path
 become wildcards, which gives each host's leaves with their page and label counts.
-Then, segment by segment, a branch becomes a wildcard if it is one of many small ones
+Then, segment by segment to the end of the longest path, a branch becomes a wildcard if it is one of many small ones
 (a variable segment), or if its share of blocked pages is statistically like that of
 all its siblings together (similar branches merge). A template's purity is its blocked
 share, smoothed towards the same template on all hosts and then towards the whole;
@@ -20,6 +20,8 @@ each; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from tidepool.llm.session_tools import stage, text_input
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule); a rule is a host and a path prefix. Fixed values of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: Segments that the SQL form covers; the query covers all that occur.
 DEPTH = 3
 MANY_CHILDREN = 20
 FEW_PAGES = 5
@@ -67,8 +70,13 @@ def masked(template: str, k: int) -> Column:
 def tree(leaves: DataFrame) -> DataFrame:
     """host, leaf, template, pages, labelled, blocked: leaves with generalised and merged templates."""
     df = stage(leaves.withColumn("template", F.col("leaf")), "url-leaves")
-    for k in range(1, DEPTH + 1):
-        df = df.withColumn("above", masked("template", k))
+    segments = F.size(F.split("leaf", "/", -1)) - 1
+    deepest = df.agg(F.max(segments)).first()[0] or 0
+    done = []
+    for k in range(1, deepest + 1):
+        # A template with a wildcard in segment k has that many, so leaves with fewer are as they will be.
+        done.append(df.where(segments < k))
+        df = df.where(segments >= k).withColumn("above", masked("template", k))
         own = df.groupBy("host", "template").agg(F.sum("labelled").alias("own_n"), F.sum("blocked").alias("own_b"))
         all_ = df.groupBy("host", "above").agg(F.count(F.lit(1)).alias("kids"), F.sum("pages").alias("all_pages"),
                                                F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_b"))
@@ -80,7 +88,7 @@ def tree(leaves: DataFrame) -> DataFrame:
         df = df.select("host", "leaf", F.when(merges, F.col("above")).otherwise(F.col("template")).alias("template"),
                        "pages", "labelled", "blocked")
         df = stage(df, "url-tree")  # each level is read several times by the next
-    return df
+    return reduce(DataFrame.unionByName, done, df)
 
 
 def rejected(leaves: DataFrame) -> DataFrame:
