@@ -95,3 +95,16 @@ def test_clashing_columns_and_repeats(spark):
     docs = cases.documents(spark, rows)
     assert bpe.digests(docs).count() == quality_rules.judge(docs).count() == len(rows)
     assert decontaminate.judge(docs, docs.selectExpr("doc_id as item_id", "text")).count() == len(rows)
+
+
+def test_quality_of_other_languages(spark):
+    latin = [" ".join(f"pal{chr(97 + j // 26)}vra{chr(97 + j % 26)}{chr(97 + i % 26)}" for j in range(150)) for i in range(30)]
+    cyrillic = [" ".join(f"сло{chr(0x430 + j // 32)}во{chr(0x430 + j % 32)}{chr(0x430 + i)}" for j in range(150)) for i in range(30)]
+    symbols = " ".join(f"#{j}$%&" for j in range(150))
+    rows = [(i, t, "pt") for i, t in enumerate(latin)] + [(100 + i, t, "ru") for i, t in enumerate(cyrillic)]
+    rows += [(200 + i, t, None) for i, t in enumerate([*latin, *cyrillic])] + [(300, latin[0], "xx"), (301, cyrillic[0], "xx")]
+    rows += [(400, symbols, "pt")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert [d for d, r in got.items() if not r.kept] == [400]
+    assert all((r.class_distance is None) == (d in range(200, 400)) for d, r in got.items())

@@ -2,15 +2,16 @@
 
 Each document has two histograms: of character classes, and of its language's
 common words. A language's reference is the mean histogram of all its documents
-that are long enough and pass the base rules (languages without a word list
-share one reference). A document is rejected if it fails a base rule, or if it is
+that are long enough and pass the base rules; every language value that occurs has
+one of its own. A document is rejected if it fails a base rule, or if it is
 long enough for a histogram to mean something and its Jensen-Shannon distance
 (square root of the divergence in bits, 0 to 1) from its reference is above the
 limits. The references are sums of integers, so any order of rows gives the same.
 
-Cases: a null or empty text has no words and fails the base rule; a null or
-unknown language is judged by the shared reference; repeated rows are judged
-each; other columns are not read; an empty table gives an empty result. Texts of
+Cases: a null or empty text has no words and fails the base rule; a language without
+a word list is judged by character class only, and not by divergence at all if it is
+null or has fewer than ``MIN_REFERENCE`` documents in its reference; repeated rows are
+judged each; other columns are not read; an empty table gives an empty result. Texts of
 any length are read whole.
 """
 
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, text_input
+from tidepool.llm.session_tools import ready, stage, text_input
 from tidepool.llm.textops import LOWER, SPACED, gram_hash, mix, prefix_sums, range_hash, rows_of, slices, spans, text_bytes, word_hashes
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: No judgement by histogram below this many words.
 GUARD_WORDS = 100
+#: Documents that the reference of a language without a word list must have.
+MIN_REFERENCE = 20
 #: A document is too far if its distance by character class or by common word is above the limit, or if both
 #: distances are above the lower pair.
 CLASS_LIMIT = 0.25
@@ -43,12 +46,12 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ya este ha",
 }
-OTHER = "other"
-LANGUAGES = (*COMMON, OTHER)
 #: Lower-case, upper-case, digit, white space, sentence punctuation, symbols, other ASCII, beyond ASCII.
 N_CLASSES = 8
 N_BINS = 1 + max(len(w.split()) for w in COMMON.values())
 SCALE = 1_000_000
+#: Languages whose sums a task holds at once.
+HELD_LANGUAGES = 1000
 
 
 def _classes() -> np.ndarray:
@@ -123,7 +126,7 @@ def measure(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         at = np.minimum(np.searchsorted(hashes, low[mine]), len(hashes) - 1)
         bins[mine] = np.where(hashes[at] == low[mine], number[at], 0)
     out["words"] = np.bincount(row * N_BINS + bins, minlength=rows * N_BINS).reshape(rows, N_BINS)
-    out["lang"] = np.array([x if x in COMMON else OTHER for x in lang], dtype=object)
+    out["lang"] = lang
     out["base_failed"] = (n_words < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * n_words)
     return out
 
@@ -141,55 +144,91 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of each language, over all documents: at most one row per known language."""
+def groups(lang: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language that is not null and the rows that have it."""
+    rows: dict[str, list[int]] = {}
+    for i, name in enumerate(lang):
+        if name is not None:
+            rows.setdefault(name, []).append(i)
+    yield from ((name, np.array(at)) for name, at in rows.items())
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """ref_lang, ref (documents, then summed histograms) of each language value, over all documents."""
     ready(docs.sparkSession)
+    bins = [f"b{i}" for i in range(1 + N_CLASSES + N_BINS)]
+
+    def rows(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+        sums = np.array(list(total.values()), dtype=np.int64).reshape(-1, len(bins))
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *map(pa.array, sums.T)], names=["ref_lang", *bins])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {name: np.zeros(N_CLASSES + N_BINS, dtype=np.int64) for name in LANGUAGES}
+        total: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text"):
             m = measure(batch)
             fit = ~m["base_failed"] & (m["n_words"] >= GUARD_WORDS)
             each = np.rint(np.hstack([shares(m["classes"]), shares(m["words"])]) * SCALE).astype(np.int64)
-            for name in LANGUAGES:
-                total[name] += each[fit & (m["lang"] == name)].sum(axis=0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(LANGUAGES, N_CLASSES + N_BINS)), pa.array(np.tile(np.arange(N_CLASSES + N_BINS), len(LANGUAGES))),
-             pa.array(np.concatenate([total[n] for n in LANGUAGES]))], names=["lang", "bin", "total"])
-
-    got = text_input(docs, "lang", "text").mapInArrow(run, "lang string, bin long, total long")
-    out = {name: np.zeros(N_CLASSES + N_BINS) for name in LANGUAGES}
-    for r in got.groupBy("lang", "bin").agg(F.sum("total").alias("total")).collect():  # languages x bins, fixed
-        out[r.lang][r.bin] = r.total
-    return {k: (v[:N_CLASSES].tolist(), v[N_CLASSES:].tolist()) for k, v in out.items()}
-
-
-def judge(docs: DataFrame, reference: dict | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
+            each = np.hstack([np.ones((len(each), 1), np.int64), each])
+            for name, at in groups(m["lang"]):
+                at = at[fit[at]]
+                if len(at):
+                    total[name] = total.get(name, 0) + each[at].sum(axis=0)
+            if len(total) >= HELD_LANGUAGES:
+                yield rows(total)
+                total = {}
+        yield rows(total)
+
+    got = text_input(docs, "lang", "text").mapInArrow(run, ", ".join(["ref_lang string", *(f"{b} long" for b in bins)]))
+    got = got.groupBy("ref_lang").agg(F.array(*(F.sum(b) for b in bins)).alias("ref"))
+    return stage(got, "quality-references")  # a table of its own, so that the join can broadcast it or split a hot language
+
+
+class Judge:
+    """Verdicts on batches with the columns text, lang and ref."""
+
+    def __init__(self, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT, both_limits: tuple[float, float] = BOTH_LIMITS):
+        self.class_limit, self.word_limit, self.both_limits = class_limit, word_limit, both_limits
+
+    def of(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        """What was measured, both distances, and judged and kept of each row."""
+        m = measure(batch)
+        refs = batch.column(batch.schema.get_field_index("ref"))
+        by_class, by_word, judged = np.zeros(batch.num_rows), np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
+        for name, at in groups(m["lang"]):
+            ref = refs[int(at[0])].as_py()  # the same in all rows of a language
+            if ref is None or (name not in COMMON and ref[0] < MIN_REFERENCE):
+                continue
+            ref = np.array([ref[1:]], dtype=np.float64)
+            judged[at] = m["n_words"][at] >= GUARD_WORDS
+            by_class[at] = jensen_shannon(shares(m["classes"][at]), shares(ref[:, :N_CLASSES]))
+            if name in COMMON:
+                by_word[at] = jensen_shannon(shares(m["words"][at]), shares(ref[:, N_CLASSES:]))
+        far = judged & ((by_class > self.class_limit) | (by_word > self.word_limit)
+                        | (by_class > self.both_limits[0]) & (by_word > self.both_limits[1]))
+        return m | {"class_distance": by_class, "word_distance": by_word, "judged": judged, "kept": ~m["base_failed"] & ~far}
+
+
+def with_references(docs: DataFrame, reference: DataFrame | None) -> DataFrame:
+    """Documents and the reference of their language (null without one)."""
+    reference = references(docs) if reference is None else reference
+    return docs.join(reference, docs["lang"] == reference["ref_lang"], "left").drop("ref_lang")
+
+
+def judge(docs: DataFrame, reference: DataFrame | None = None, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT,
           both_limits: tuple[float, float] = BOTH_LIMITS) -> DataFrame:
     """One row per document: the base counts, both distances (null where not judged), base_failed and kept."""
-    reference = reference or references(docs)
     ready(docs.sparkSession)
+    rules = Judge(class_limit, word_limit, both_limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ref = {k: [shares(np.array([x])) for x in v] for k, v in reference.items()}
         for batch in slices(batches, "text"):
-            m = measure(batch)
-            distance = {k: np.zeros(batch.num_rows) for k in ("classes", "words")}
-            for name in LANGUAGES:
-                mine = m["lang"] == name
-                for i, k in enumerate(distance):
-                    distance[k][mine] = jensen_shannon(shares(m[k][mine]), ref[name][i])
-            distance["words"][m["lang"] == OTHER] = 0.0
-            judged = m["n_words"] >= GUARD_WORDS
-            by_class, by_word = distance["classes"], distance["words"]
-            far = judged & ((by_class > class_limit) | (by_word > word_limit)
-                            | (by_class > both_limits[0]) & (by_word > both_limits[1]))
+            m = rules.of(batch)
             counts = [pa.array(m[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *counts, pa.array(m["base_failed"]), pa.array(~m["base_failed"] & ~far),
-                 *(pa.array(distance[k], mask=~judged) for k in distance)], names=names)
+                [batch.column(0), *counts, pa.array(m["base_failed"]), pa.array(m["kept"]),
+                 *(pa.array(m[k], mask=~m["judged"]) for k in ("class_distance", "word_distance"))], names=names)
 
     schema = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
               "base_failed boolean, kept boolean, class_distance double, word_distance double")
     names = [f.split()[0] for f in schema.split(", ")]
-    return text_input(docs, "doc_id", "lang", "text").mapInArrow(run, schema)
+    return with_references(text_input(docs, "doc_id", "lang", "text"), reference).mapInArrow(run, schema)
