@@ -82,3 +82,34 @@ def test_tables(spark):
     assert out.columns == odd.columns and out.schema == odd.schema and out.count() == odd.count()
     assert pii.report(odd.limit(0)).count() == 0
     assert pii.replace(odd).where("text is null").count() == 1
+
+
+def test_whole_runs():
+    jwt = "eyJh" + "aB3_x-9.Q" * 66 + "zz"
+    values = {f"token={jwt} end": ("secret", jwt), f"key sk-proj-{'aB3_x-9Q' * 20} end": ("secret", "sk-proj-" + "aB3_x-9Q" * 20),
+              f"x {'l' * 80}@mail.com end": ("email", "l" * 80 + "@mail.com"), f"x a@{'b.' * 14}com end": ("email", f"a@{'b.' * 14}com"),
+              f"x Mr {'Q' + 'q' * 50} end": ("person", "Mr Q" + "q" * 50), f"token={jwt * 9} end": ("secret", jwt * 9)}
+    for text, (kind, value) in values.items():
+        new, used = pii.rewritten(text, S, {})
+        assert [u[:2] for u in used] == [(kind, value)], text
+        assert new == text.replace(value, used[0][2]) and used[0][2] != value
+        assert not any(value[i:i + 20] in new for i in range(len(value) - 19))
+
+
+def test_long_values_stay_distinct():
+    a = "x" * pii.PIECE * 2
+    values = [a, a[:-1] + "y", "y" + a[1:], a[:pii.PIECE] + "y" + a[pii.PIECE + 1:], a + "x"]
+    got = [S.letters("secret", v) for v in values]
+    assert len(set(got)) == len(got) and all(len(g) == len(v) and g != v for g, v in zip(got, values))
+
+
+def test_bare_mentions():
+    text = "Dr Jones. Mr John Smith met Mary. Later Smith and JONES, Jones's dog, Smithson, smith and John left. Mrs Smith too."
+    new, used = pii.rewritten(text, S, {})
+    assert not re.search(r"\b(Smith|Jones|John)\b", new)
+    first, last = S.of("person", "Mr John Smith").split()[1:]
+    jones = S.of("person", "Dr Jones").split()[1]
+    assert new == (f"Dr {jones}. Mr {first} {last} met Mary. Later {last} and JONES, {jones}'s dog, Smithson, smith and {first} left. "
+                   f"Mrs {last} too.")
+    assert pii.entities("Smith and Jones") == []
+    pii.entities("Mr Smith " + "Smith " * 50_000)

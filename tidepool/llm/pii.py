@@ -13,7 +13,8 @@ checks both over a whole corpus. By type:
 - IP address: another address;
 - IBAN and secrets: letters and digits in place, hexadecimal stays hexadecimal;
 - person after a title: the title, which tells the gender, stays; a known given name becomes
-  another one of that gender, other names other letters of their script.
+  another one of that gender, other names other letters of their script; the same names elsewhere
+  in that document, without a title, become the same.
 
 Cases: a null text stays null, an empty one empty; an entity that overlaps an earlier
 one is part of it; repeated rows are treated alike; other columns pass through in ``replace``;
@@ -36,6 +37,8 @@ from tidepool.llm.textops import slices
 
 KEY = "tidepool-surrogates"
 ROUNDS = 8
+#: Longer entities are moved in pieces of so many characters.
+PIECE = 1024
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Letters that replace each other, by script and case.
 ALPHABETS = (
@@ -56,14 +59,14 @@ GIVEN = {
 }
 GENDER_OF = {n: g for g, names in GIVEN.items() for n in names.split()}
 _TITLE = "|".join(sorted({t for v in TITLES.values() for t in v.split()}, key=lambda t: (-len(t), t)))
-_NAME = r"[^\W\d_a-z][^\W\d_]{1,30}"
+_NAME = r"[^\W\d_a-z][^\W\d_]++"
 
 #: (kind, pattern, what makes it possible at all). The entity is group 1 where there is one. Earlier kinds win ties.
 PATTERNS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = tuple((k, re.compile(p), f) for k, p, f in (
-    ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}", lambda t: "@" in t),
-    ("secret", r"""(?i:\b(?:token|secret|api[_-]?key|passw(?:or)?d|passwd)\b)["']?\s{0,3}[=:]\s{0,3}["']?([^\s"'<>]{8,256})""",
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: "@" in t),
+    ("secret", r"""(?i:\b(?:token|secret|api[_-]?key|passw(?:or)?d|passwd)\b)["']?\s{0,3}[=:]\s{0,3}["']?([^\s"'<>]{8,}+)""",
      lambda t: "=" in t or ":" in t),
-    ("secret", r"\b((?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})\b", lambda t: "AKIA" in t or "ASIA" in t or "gh" in t or "sk-" in t),
+    ("secret", r"\b((?:AKIA|ASIA)[0-9A-Z]{16,}+\b|gh[pousr]_[0-9A-Za-z]{36,}+\b|sk-[0-9A-Za-z_-]{20,}+)", lambda t: "AKIA" in t or "ASIA" in t or "gh" in t or "sk-" in t),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)", lambda t: "." in t),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", lambda t: True),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", lambda t: "-" in t),
@@ -74,6 +77,8 @@ PATTERNS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = tuple((k,
 ))
 _HAS_DIGITS = re.compile(r"\d").search
 _HAS_TITLE = re.compile(rf"\b(?:{_TITLE})\.?[ \u00a0]").search
+_WORDS = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_TITLES = {t for v in TITLES.values() for t in v.split()}
 NEEDS_DIGITS = {"ip", "iban", "ssn", "phone", "card"}
 
 
@@ -88,6 +93,13 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             start, end = m.span(1) if pattern.groups and m[1] else m.span()
             found.append((start, priority, end, kind))
+    named = set()
+    for start, _, end, kind in found:
+        if kind == "person":
+            named.update(re.split(r"[ \u00a0-]", text[start:end])[1:])
+    named -= _TITLES
+    if named:
+        found += ((m.start(), len(PATTERNS), m.end(), "mention") for m in _WORDS.finditer(text) if m[0] in named)
     out, at = [], 0
     for start, _, end, kind in sorted(found):
         if start >= at:
@@ -128,7 +140,17 @@ class Surrogates:
         return x if n < 2 else self._walk(label, (self._walk(label, x, n, False) + 1) % n, n, True)
 
     def letters(self, kind: str, text: str, alphabets=ALPHABET_OF) -> str:
-        """The text with its letters and digits moved within their alphabets."""
+        """The text with its letters and digits moved within their alphabets.
+
+        Each piece has a permutation that depends on the pieces before it, so the whole is one to one as well.
+        """
+        if len(text) > PIECE:
+            out, before = [], hashlib.blake2b()
+            for i in range(0, len(text), PIECE):
+                piece = text[i:i + PIECE]
+                out.append(self.letters(f"{kind}\x02{before.hexdigest()}", piece, alphabets))
+                before.update(piece.encode("utf-8", "surrogatepass"))
+            return "".join(out)
         form = [alphabets.get(c) for c in text]
         n, x = 1, 0
         for c, a in zip(text, form, strict=True):
@@ -197,6 +219,9 @@ class Surrogates:
         parts = re.split(r"([ \u00a0-])", name)
         return title + gap + "".join(p if i % 2 else self._name(gender, p) for i, p in enumerate(parts))
 
+    def _mention(self, value: str) -> str:
+        return self._name("x", value)
+
     def _name(self, gender: str, part: str) -> str:
         g = GENDER_OF.get(part)
         if g:
