@@ -29,3 +29,34 @@ def test_awkward_tables(spark):
     assert cotraining.classify(docs, one).where("score != 1").count() == 0
     assert cotraining.classify(docs, labels.limit(0)).where("score != 0.5").count() == 0
     assert cotraining.classify(docs.limit(0), labels).count() == 0
+
+
+def test_copies_take_one_place(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{cases.SF}/{t}.parquet") for t in ("documents", "labels"))
+    teach = labels.where("doc_id % 3 = 0")
+    text = docs.join(teach.where("quality = 1 and toxic = 0"), "doc_id").first().text
+    copies = spark.createDataFrame([(50_000_000 + i, text, "web", "en", len(text)) for i in range(60)],
+                                   "doc_id long, text string, source string, lang string, n_chars long")
+    docs = docs.select(copies.columns).unionByName(copies).cache()
+    seen = []
+
+    class Counted(cotraining.Examples):
+        def __init__(self, rows):
+            super().__init__(rows)
+            seen.append(self.ids)
+
+    monkeypatch.setattr(cotraining, "Examples", Counted)
+    cotraining.classify(docs, teach, exchange=20)
+    taught = seen[1:]  # the first are the labelled rows
+    assert len(taught) == 4 and all(len(ids) == 40 for ids in taught), [len(x) for x in taught]
+    every = [d for ids in taught for d in ids]
+    assert len(every) == len(set(every)) and sum(d >= 50_000_000 for d in every) <= 1
+    docs.unpersist()
+
+
+def test_held_out_toxic(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    teach, test = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0 and toxic = 1")
+    got = cotraining.classify(docs, teach, max_labelled=2000).join(test, "doc_id").selectExpr("count(1) n", "avg(label) s").first()
+    print("held-out toxic documents:", got.n, "labelled good:", got.s)
+    assert got.n and got.s < 0.5

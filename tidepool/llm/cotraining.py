@@ -160,19 +160,31 @@ class Examples:
         return (np.cumsum(mask) - 1)[r[use]], f[use], v[use]
 
 
-def scored(docs: DataFrame, models: list[Model], curves, blend) -> DataFrame:
-    """doc_id, text_score, meta_score, score of every document."""
+def scored(docs: DataFrame, models: list[Model], curves, blend, hashed: bool = False) -> DataFrame:
+    """doc_id, text_score, meta_score, score of every document, and the hash of its text if asked for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             r, f, v, _ = text_view(batch.column(1))
             margins = [models[0].margin(r, f, v, batch.num_rows), models[1].margin(*meta_view(*batch.columns[2:5]), batch.num_rows)]
             z = [a * m + b for m, (a, b) in zip(margins, curves, strict=True)]
             score = sigmoid(blend[0] * z[0] + blend[1] * z[1] + blend[2])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.round(x, 9)) for x in (sigmoid(z[0]), sigmoid(z[1]), score))],
-                                             names=["doc_id", "text_score", "meta_score", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(np.round(x, 9)) for x in (sigmoid(z[0]), sigmoid(z[1]), score)), *batch.columns[5:]],
+                names=["doc_id", "text_score", "meta_score", "score", *batch.schema.names[5:]])
 
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").mapInArrow(
-        run, "doc_id long, text_score double, meta_score double, score double")
+    extra = [F.xxhash64("text").alias("text_hash")] if hashed else []
+    return docs.select("doc_id", "text", "source", "lang", "n_chars", *extra).mapInArrow(
+        run, "doc_id long, text_score double, meta_score double, score double" + ", text_hash long" * hashed)
+
+
+def confident(scores: DataFrame, column: str, y: float, n: int) -> DataFrame:
+    """doc_id, text_hash of the n rows surest of class y by one view, one row of each equal text and of each doc_id."""
+    sure = -F.col(column) if y else F.col(column)
+    order = F.struct(sure.alias("sure"), F.xxhash64("doc_id").alias("h"), "doc_id", "text_hash")
+    # The surest row of an id, and of a text the surest of those; both aggregates are combined before the shuffle.
+    rows = scores.groupBy("doc_id").agg(F.min(order).alias("o")).select("o.*")
+    rows = rows.groupBy("text_hash").agg(F.min(F.struct("sure", "h", "doc_id", "text_hash")).alias("o")).select("o.*")
+    return rows.orderBy("sure", "h", "doc_id").limit(n).select("doc_id", "text_hash")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, exchange: int = EXCHANGE, rounds: int = ROUNDS) -> DataFrame:
@@ -195,7 +207,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
         return docs.select("doc_id", *(share.alias(c) for c in ("text_score", "meta_score", "score")),
                            (share >= THRESHOLD).cast("int").alias("label"), (share >= THRESHOLD).alias("kept"))
     held = np.array([i % 4 == 3 for i in range(n)])
-    ids = set(data.ids)
+    gone: set[tuple[int, int]] = set()  # ids and text hashes of exchanged documents
     taught: list[list[Examples]] = [[], []]  # by the view that learns from them
 
     def fitted(view: int) -> Model:
@@ -211,21 +223,28 @@ def classify(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     for _ in range(rounds):
         margins = [m.margin(*data.views[i], n)[held] for i, m in enumerate(models)]
         curves = [calibration(m, data.y[held]) for m in margins]
-        scores = scored(docs, models, curves, (1.0, 1.0, 0.0)).join(known.select(F.col("doc_id").alias("k")), F.col("doc_id") == F.col("k"), "left_anti")
+        scores = scored(docs, models, curves, (1.0, 1.0, 0.0), hashed=True).where("doc_id is not null").join(known.select(F.col("doc_id").alias("k")), F.col("doc_id") == F.col("k"), "left_anti")
         scores = stage(scores, "cotraining-scores")  # ranked four times, scored once
         for view, column in enumerate(("text_score", "meta_score")):
-            new: dict[int, float] = {}
-            for sure, y in ((F.col(column).asc(), 0.0), (F.col(column).desc(), 1.0)):
-                top = scores.where("doc_id is not null").orderBy(sure, F.xxhash64("doc_id"), "doc_id").limit(exchange)
-                new.update({r.doc_id: y for r in top.select("doc_id").collect()})  # at most 2 x exchange
-            new = {d: y for d, y in new.items() if d not in ids}
+            # What was exchanged before, and other copies of it, takes no place again.
+            left = scores
+            if gone:
+                for key, values in (("doc_id", {d for d, _ in gone}), ("text_hash", {h for _, h in gone})):
+                    table = docs.sparkSession.createDataFrame([(x,) for x in sorted(values)], f"{key} long")
+                    left = left.join(F.broadcast(table), key, "left_anti")
+            new: dict[tuple[int, int], float] = {}
+            for y in (1.0, 0.0):
+                top = confident(left, column, y, exchange).collect()  # at most exchange
+                both = {x for k in new for x in (("id", k[0]), ("text", k[1]))}  # in small tables a row can stand in both rankings
+                new.update({(r.doc_id, r.text_hash): y for r in top if not {("id", r.doc_id), ("text", r.text_hash)} & both})
             if not new:
                 continue
-            table = docs.sparkSession.createDataFrame(sorted(new.items()), "doc_id long, y double")
-            rows = featured(docs.join(F.broadcast(table), "doc_id").dropDuplicates(["text"])).collect()
+            table = docs.sparkSession.createDataFrame([(*k, y) for k, y in sorted(new.items())], "doc_id long, h long, y double")
+            picked_docs = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(table), ["doc_id", "h"])
+            rows = featured(picked_docs.dropDuplicates(["text"])).collect()
             rows.sort(key=lambda r: r.doc_id)
             taught[1 - view].append(Examples(rows))
-            ids.update(new)
+            gone.update(new)
         models = [fitted(0), fitted(1)]
     margins = [m.margin(*data.views[i], n)[held] for i, m in enumerate(models)]
     y = data.y[held]
