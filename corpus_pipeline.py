@@ -3,7 +3,7 @@ replaces personal data, and encodes what is left.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents;
 the last returns doc_id, n_tokens, ids_sha256, decoded_sha256. Rows that repeat a doc_id or have none are kept or
-dropped each by its own verdict where the operator judges rows; see ``keyed``.
+dropped each by its own verdict.
 """
 
 from __future__ import annotations
@@ -20,15 +20,9 @@ NEAR_SHINGLE = 5
 NEAR_PERCENT = 80
 
 
-def keyed(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The documents whose doc_id is in ``keep`` (a null one too), with their own columns only."""
-    keep = keep.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]), "left_semi")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return keyed(docs, quality_rules.judge(docs).where("kept"))
+    return quality_rules.good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +30,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id stay, as no group can be named after them; of rows that repeat the id and its text, one stays.
     """
-    groups = jaccard_join.join(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).where("component_id is null or doc_id = component_id")
-    times = groups.groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_times"))
-    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["_kept"]))
+    groups = jaccard_join.named(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).where("component_id is null or doc_id = component_id")
+    # A row is known by its id and its text, as rows that share an id can be in different groups.
+    times = groups.groupBy(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_times"))
+    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["_kept"]) & (F.xxhash64(docs["text"]) == times["_hash"]))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    # Only rows that repeat an id need a look at their texts, which would move all texts once more.
+    # Only rows that repeat an id and its text need a look at their texts, which would move all texts once more.
     once, more = kept.where("_times = 1").select(names), kept.where("_times > 1").select(names)
     return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    return keyed(docs, decontaminate.judge(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

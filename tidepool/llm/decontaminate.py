@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, text_input
+from tidepool.llm.session_tools import ready, rows_that, text_input
 from tidepool.llm.textops import ALNUM, LOWER, gram_hash, rows_of, slices, spans, text_bytes, word_hashes
 
 WINDOW = 10
@@ -169,3 +169,19 @@ def judge(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"))
 
 
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of the documents without any benchmark passage, with all their columns."""
+    sent = [docs.sparkSession.sparkContext.broadcast(q) for q in blocks(benchmark, window, block_words)]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for batch in slices(batches, "text", SLICE):
+            words, first = words_of(batch.column(batch.schema.get_field_index("text")))
+            row = rows_of(first, len(words))
+            kept = np.ones(batch.num_rows, dtype=bool)
+            for b in sent:
+                kept[b.value.search(words, first, row)[:, 0]] = False
+            yield batch, pa.array(kept)
+
+    return rows_that(docs, keep)

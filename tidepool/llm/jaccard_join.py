@@ -185,14 +185,15 @@ def band_counts(docs: DataFrame, bands: Bands) -> dict[int, int]:
 
 
 def members(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, id of every document's set (null where empty)."""
+    """doc_id, n_shingles, id of every document's set (null where empty), and the hash of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             tokens, _, sizes = token_sets(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(signed(set_ids(tokens, sizes)), mask=sizes == 0)],
-                                             names=["doc_id", "n_shingles", "id"])
+            ids = pa.array(signed(set_ids(tokens, sizes)), mask=sizes == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, batch.column(2)], names=["doc_id", "n_shingles", "id", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, id long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        run, "doc_id long, n_shingles long, id long, text_hash long")
 
 
 def classes(docs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
@@ -273,6 +274,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: Bands | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    return named(docs, percent, shingle, bands).drop("text_hash")
+
+
+def named(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: Bands | None = None) -> DataFrame:
+    """doc_id, text_hash (xxhash64), n_shingles, component_id of every document."""
     ready(docs.sparkSession)
     docs = text_input(docs, "doc_id", "text")
     bands = bands or Bands(percent, band_counts(docs, Bands(percent)))
@@ -319,4 +325,4 @@ def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands:
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = stage(named.join(least, "root").select("id", "component_id"), "jaccard-components")
     out = members(docs, shingle).join(named, "id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

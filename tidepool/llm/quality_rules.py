@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, stage, text_input
+from tidepool.llm.session_tools import ready, rows_that, stage, text_input
 from tidepool.llm.textops import LOWER, SPACED, gram_hash, mix, prefix_sums, range_hash, rows_of, slices, spans, text_bytes, word_hashes
 
 MIN_WORDS = 50
@@ -232,3 +232,14 @@ def judge(docs: DataFrame, reference: DataFrame | None = None, class_limit: floa
               "base_failed boolean, kept boolean, class_distance double, word_distance double")
     names = [f.split()[0] for f in schema.split(", ")]
     return with_references(text_input(docs, "doc_id", "lang", "text"), reference).mapInArrow(run, schema)
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """The rows of the documents that are kept, with all their columns."""
+    rules = Judge()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for batch in slices(batches, "text"):
+            yield batch, pa.array(rules.of(batch)["kept"])
+
+    return rows_that(docs, keep, lambda plain: with_references(plain, references(plain)), reads=("text", "lang"))
