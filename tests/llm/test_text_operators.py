@@ -108,3 +108,27 @@ def test_quality_of_other_languages(spark):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
     assert [d for d, r in got.items() if not r.kept] == [400]
     assert all((r.class_distance is None) == (d in range(200, 400)) for d, r in got.items())
+
+
+def test_decontaminate_holds_one_block(spark, docs, pairs, monkeypatch):
+    items = [tuple(r) for r in spark.read.parquet(f"{cases.SF}/benchmark.parquet").select("item_id", "text").collect()] + [(None, cases.PASSAGE)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    alive, most, made = set(), [], []
+    send = type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        sent = send(context, value)
+        end = sent.destroy
+        sent.destroy = lambda *a: (alive.discard(id(sent)), end(*a))
+        alive.add(id(sent))
+        made.append(sent)
+        most.append(len(alive))
+        return sent
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = decontaminate.judge(docs, benchmark, block_words=200)
+    left = decontaminate.clean(docs, benchmark, block_words=200)
+    want = brute.decontaminate(pairs, items)
+    assert len(made) > 4 and max(most) == 1
+    assert cases.rows(got, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == cases.ordered(want)
+    assert cases.rows(left, "doc_id") == cases.ordered([(r[0],) for r in want if not r[-1]])

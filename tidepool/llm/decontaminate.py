@@ -5,8 +5,10 @@ can match at all (their first words stand in the benchmark; a bit table decides)
 ordered by their first ten words. Every suffix of every benchmark item is searched
 in it by bisection; the run of equal entries gives all its places. Hits that follow
 one another in both texts are joined into longest verbatim matches. The benchmark
-is the stated query set: it is sent to the tasks in blocks of ``block_words`` words,
-so a larger benchmark takes more passes over a slice, not more memory.
+is the stated query set: it is sent to the tasks in blocks of about ``block_words``
+words, one after another. If there are several, each block's results are written and its
+broadcast is destroyed before the one after the next is built, so a larger benchmark takes
+more passes over the documents, not more memory: the driver holds at most two blocks.
 
 An item shorter than a window is one window of its own length.
 
@@ -18,14 +20,16 @@ an empty table of documents gives no hits. Texts of any length are read whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, rows_that, text_input
+from tidepool.llm.session_tools import ready, rows_that, stage, text_input
 from tidepool.llm.textops import ALNUM, LOWER, gram_hash, rows_of, slices, spans, text_bytes, word_hashes
 
 WINDOW = 10
@@ -130,26 +134,54 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Quer
         yield Queries(ids, pa.array(texts, pa.string()), window)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words and the longest verbatim matches of every document."""
-    spark = docs.sparkSession
-    ready(spark)
-    sent = [spark.sparkContext.broadcast(q) for q in blocks(benchmark, window, block_words)]
+def last_flags(items: Iterator[Queries]) -> Iterator[tuple[Queries, bool]]:
+    """Each item and whether it is the last one."""
+    held = next(items, None)
+    while held is not None:
+        after = next(items, None)
+        yield held, after is None
+        held = after
 
+
+def searched(docs: DataFrame, sent: Broadcast | None) -> DataFrame:
+    """The columns of ``docs`` but text (doc_id, text_hash), n_words and the longest verbatim matches with one block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            words, first = words_of(batch.column(1))
+            words, first = words_of(batch.column(2))
             row = rows_of(first, len(words))
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for b in sent:
-                queries = b.value
+            if sent is not None:
+                queries = sent.value
                 for r, item, at, p, n in queries.search(words, first, row).tolist():
                     found[r].append({"item_id": queries.ids[item], "item_word": at, "doc_word": p, "n_words": n})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(found, pa.list_(MATCH))],
-                                             names=["doc_id", "n_words", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(first)), pa.array(found, pa.list_(MATCH))],
+                                             names=["doc_id", "text_hash", "n_words", "matches"])
 
-    return text_input(docs, "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_words long, matches array<struct<item_id string, item_word int, doc_word int, n_words int>>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_words long, "
+                                "matches array<struct<item_id string, item_word int, doc_word int, n_words int>>")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words and the longest verbatim matches of every document."""
+    spark = docs.sparkSession
+    ready(spark)
+    docs = text_input(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    parts = []
+    for queries, last in last_flags(blocks(benchmark, window, block_words)):
+        sent = spark.sparkContext.broadcast(queries)
+        found = searched(docs, sent)
+        if last and not parts:
+            return found.drop("text_hash")
+        # Rows that repeat an id and its text have the same matches.
+        parts.append(stage(found.where(F.size("matches") > 0).dropDuplicates(["doc_id", "text_hash"]), "decontaminate-block"))
+        sent.destroy()
+    every = searched(docs, None)
+    if not parts:
+        return every.drop("text_hash")
+    found = reduce(DataFrame.unionByName, parts).groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(
+        F.flatten(F.collect_list("matches")).alias("found"))
+    every = every.join(found, every["doc_id"].eqNullSafe(found["d"]) & (every["text_hash"] == found["h"]), "left")
+    return every.select("doc_id", "n_words", F.coalesce("found", "matches").alias("matches"))
 
 
 def covered(matches: F.Column) -> F.Column:
@@ -173,15 +205,23 @@ def judge(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of the documents without any benchmark passage, with all their columns."""
-    sent = [docs.sparkSession.sparkContext.broadcast(q) for q in blocks(benchmark, window, block_words)]
-
+    ready(docs.sparkSession)
+    for queries, last in last_flags(blocks(benchmark, window, block_words)):
+        sent = docs.sparkSession.sparkContext.broadcast(queries)
+        docs = rows_that(docs, without(sent))
+        if not last:
+            docs = stage(docs, "decontaminate-left")
+            sent.destroy()
+    return docs
+
+
+def without(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, pa.Array]]]:
+    """Marks the rows without any passage of one block."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for batch in slices(batches, "text", SLICE):
             words, first = words_of(batch.column(batch.schema.get_field_index("text")))
-            row = rows_of(first, len(words))
             kept = np.ones(batch.num_rows, dtype=bool)
-            for b in sent:
-                kept[b.value.search(words, first, row)[:, 0]] = False
+            kept[sent.value.search(words, first, rows_of(first, len(words)))[:, 0]] = False
             yield batch, pa.array(kept)
 
-    return rows_that(docs, keep)
+    return keep
