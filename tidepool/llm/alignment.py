@@ -119,6 +119,11 @@ class Tokens:
         same = np.asarray(pc.equal(whole, units.cast(pa.large_binary())))
         return cls(ids, unit, end, np.diff(offsets), same)
 
+    def only(self, good: np.ndarray) -> Tokens:
+        """Without the tokens of other units."""
+        keep = pa.array(good[np.asarray(self.unit)])
+        return Tokens(self.ids.filter(keep), self.unit.filter(keep), self.end.filter(keep), self.per_unit * good, self.same)
+
     def table(self, name: str) -> pa.Table:
         return pa.table({"unit": self.unit, "end": self.end, name: self.ids, f"{name}_at": np.arange(len(self.ids))})
 
@@ -147,6 +152,9 @@ class Aligned:
 def align_units(units: pa.StringArray, both: Coders) -> Aligned:
     lists = both.lists(units)
     a, b = Tokens.of(lists[0], both.a_bytes, units), Tokens.of(lists[1], both.b_bytes, units)
+    same = a.same & b.same
+    if not same.all():
+        a, b = a.only(same), b.only(same)
     linked = a.table("a").join(b.table("b"), ["unit", "end"], join_type="inner", use_threads=False)
     linked = linked.sort_by([("a_at", "ascending"), ("b_at", "ascending")])
     unit, end = (np.asarray(linked[c]).astype(np.int64) for c in ("unit", "end"))
@@ -162,7 +170,7 @@ def align_units(units: pa.StringArray, both: Coders) -> Aligned:
         ends = np.searchsorted(x.keys(), cut[new], side="right")
         sides.append(pc.binary_join(as_lists(ends, x.ids.cast(pa.string())), ","))
     groups = pc.binary_join(as_lists(np.cumsum(n_groups), pc.binary_join_element_wise(*sides, "|")), ";")
-    return Aligned(a.same & b.same, a.per_unit, b.per_unit, n_groups, as_lists(np.cumsum(n_links), pa.array(pair)), groups)
+    return Aligned(same, a.per_unit, b.per_unit, n_groups, as_lists(np.cumsum(n_links), pa.array(pair)), groups)
 
 
 def as_lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
