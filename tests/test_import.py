@@ -8,6 +8,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import empty_store, failing_embedder, lines_df, records_df, table_embedder
 
 from tidepool.plans import jobs
@@ -255,27 +256,45 @@ def test_search_drops_blank_queries_and_joins_after_top_k(spark):
     assert [(x.qid, x.rank, x.id) for x in got] == [(1, 2, 1)]
 
 
-def test_fail_stop_calls_the_embedder_once_per_row(spark):
+def test_fail_stop_calls_no_wave_after_the_first_failure(spark, monkeypatch):
     import pyarrow as pa
 
-    from tidepool.operators.embed import FAIL_STOP, letter_histogram
+    from tidepool.operators import embed as E
 
+    monkeypatch.setattr(E, "FIRST_WAVE", 8)
     seen = spark.sparkContext.accumulator(0)
 
-    def counting(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen.add(batch.num_rows)
-        out = letter_histogram(batch)
-        bad = pa.array([i == 3 for i in batch.column(0).to_pylist()])
-        err = pa.compute.if_else(bad, pa.scalar("down"), out.column(2))
-        v = pa.compute.if_else(bad, pa.nulls(batch.num_rows, out.column(1).type), out.column(1))
-        return pa.RecordBatch.from_arrays([out.column(0), v, err], names=["id", "v", "error"])
-
-    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 7)])
+    def counting(bad_id):
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            seen.add(batch.num_rows)
+            out = E.letter_histogram(batch)
+            bad = pa.array([i == bad_id for i in batch.column(0).to_pylist()])
+            err = pa.compute.if_else(bad, pa.scalar("down"), out.column(2))
+            v = pa.compute.if_else(bad, pa.nulls(batch.num_rows, out.column(1).type), out.column(1))
+            return pa.RecordBatch.from_arrays([out.column(0), v, err], names=["id", "v", "error"])
+        return run
+
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 301)])
     vecs = spark.createDataFrame([], "id long, v array<double>")
-    r, v, rep, _ = jobs.embed_pending(recs, vecs, embedder=counting, mode=FAIL_STOP)
-    assert rep.first().asDict() == {"succeeded": 2, "total": 6}
-    assert sorted(x.id for x in v.collect()) == [1, 2]
-    assert seen.value == 6
+    for bad, called in ((3, 8), (20, 40), (150, 200), (0, 300)):  # waves end at 8, 40, 200 and 300 rows
+        before = seen.value
+        r, v, rep, emb = jobs.embed_pending(recs, vecs, embedder=counting(bad), mode=E.FAIL_STOP)
+        good = bad - 1 if bad else 300
+        assert rep.first().asDict() == {"succeeded": good, "total": 300}
+        assert sorted(x.id for x in v.collect()) == list(range(1, good + 1))
+        assert {x.error for x in emb.where(F.col("id") > bad).collect()} == ({"stopped"} if bad else {None})
+        assert seen.value - before == called
+
+
+@pytest.mark.parametrize("depth", [20_000, 200_000])
+def test_deeply_nested_lines_are_malformed(spark, depth):
+    deep = "[" * depth + "]" * depth
+    objects = '{"a":' * (depth // 4) + "1" + "}" * (depth // 4)
+    lines = ['{"instruction":"a","output":"b","x":' + deep + "}", deep, '{"instruction":"a","output":"' + deep + '"}',
+             '{"instruction":"a","output":"b","x":' + objects + "}", '{"instruction":"a","output":"b","x":"\\"' + "[" * 5000 + '"}',
+             '{"instruction":"a","output":"b","x":[' + "[]," * 5000 + "1]}"]
+    got = {r.line_no: r.status for r in jobs.line_status(lines_df(spark, lines), ["line_no"]).collect()}
+    assert [got[i] for i in range(6)] == ["malformed", "malformed", "valid", "malformed", "valid", "valid"]
 
 
 def test_long_and_partial_lines(spark):

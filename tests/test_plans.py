@@ -1,4 +1,4 @@
-"""Physical-plan properties that matter at scale, checked on the executed plans."""
+"""Physical-plan properties that matter at scale."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from conftest import records_df
 from pyspark.sql import functions as F
 
 from tidepool.operators import similarity as S
-from tidepool.operators.dedup import anti_join_keys
+from tidepool.operators.dedup import anti_join_keys, key_hash, key_hits, prefix_of
+from tidepool.session import stage
 from tidepool.sources import store as ST
 
 
@@ -16,7 +17,7 @@ def plan_of(df) -> str:
     spark = df.sparkSession
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")  # untruncated scan details
     try:
-        df.write.format("noop").mode("overwrite").save()  # final adaptive plan
+        df.write.format("noop").mode("overwrite").save()
         return df._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
@@ -40,26 +41,67 @@ def test_similarity_plans_have_no_pair_joins(spark, monkeypatch):
             assert "MapInArrow" in p and "Exchange" in p  # only the final top-k merge shuffles
 
 
+def scanned_files(df) -> int:
+    """Files that the executed plan's scans read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.nodeName().startswith("Adaptive") else plan
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if "Scan parquet" in node.nodeName():
+            total += node.metrics().apply("numFiles").value()
+        node = node.plan() if node.nodeName().endswith("QueryStage") else node
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())] if not node.nodeName().endswith("QueryStage") else []
+    return total
+
+
 def test_store_side_of_duplicate_check_is_not_shuffled(spark, tmp_root):
-    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 200)])
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 2000)])
     st = ST.Store(spark, tmp_root + "/s")
-    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 199, dim=4)
+    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 1999, dim=4)
     rows = spark.createDataFrame([("q5", "", "a", 1), ("new", "", "b", 2)],
                                  "instruction string, input string, output string, line_no long")
-    new = anti_join_keys(rows, st.records(), st.key_index(), lambda ids: ST.lookup(st.records(), ids))
+    new = anti_join_keys(rows, st.records(), st.key_index(), st.lookup)
     assert [r.instruction for r in new.collect()] == ["new"]
-    p = plan_of(new)
-    # The stored hashes are read alone and probed against a broadcast of the new hashes.
-    assert re.search(r"BroadcastHashJoin \[_key_hash#\d+L\], \[_h#\d+L\], LeftSemi, BuildRight", p)
-    assert "EqualTo(id,5)" in p or "In(id, [5])" in p  # only the colliding row is read
-
-
-def test_lookup_pushes_ids_to_the_scan(spark, tmp_root):
-    recs = records_df(spark, [(i, "a", "", "b", "", None) for i in range(1, 50)])
+    hashed = stage(rows.withColumn("_h", key_hash()).withColumn("_prefix", prefix_of("_h")), "test-keys")
+    hits = key_hits(st.key_index(), hashed)
+    p = plan_of(hits)
+    # The stored hashes are read alone and probed against a broadcast of the new hashes; prefixes without one are not read.
+    assert re.search(r"BroadcastHashJoin \[_prefix#\d+, _h#\d+L\], \[_prefix#\d+, _h#\d+L\], LeftSemi, BuildRight", p)
+    assert "dynamicpruning" in p
+    assert scanned_files(hits) <= 2 + hashed.rdd.getNumPartitions() < st.key_index().inputFiles().__len__()
+
+
+def test_lookup_reads_the_wanted_blocks_only(spark, tmp_root, monkeypatch):
+    monkeypatch.setattr(ST, "BLOCK_IDS", 100)
+    recs = records_df(spark, [(i, "a", "", "b", "", None) for i in range(1, 3000)])
     st = ST.Store(spark, tmp_root + "/l")
-    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 49, dim=4)
-    df = ST.lookup(st.records(), spark.createDataFrame([(7,), (9,)], "id long"))
-    assert "PushedFilters: [In(id, [7,9])" in plan_of(df)
+    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 2999, dim=4)
+    files = len(st.records().inputFiles())
+    for wanted in ([7, 9], list(range(1, 3000, 7))):  # one plan at every number of ids
+        ids = stage(spark.createDataFrame([(i,) for i in wanted], "id long"), "test-ids")
+        df = st.lookup(ids)
+        p = plan_of(df)
+        assert "dynamicpruning" in p and "LeftSemi" in p and "In(id" not in p
+        assert sorted(r.id for r in df.collect()) == wanted
+    few = stage(spark.createDataFrame([(7,), (9,)], "id long"), "test-ids")
+    assert files >= 30 and scanned_files(st.lookup(few)) <= 2 + few.rdd.getNumPartitions()
+
+
+def test_report_of_an_import_reads_no_lines(spark):
+    from conftest import empty_store, lines_df
+
+    from tidepool.plans import jobs
+
+    lines = lines_df(spark, ['{"instruction":"a","output":"b"}', '{"instruction":"a","output":"b"}', "nope"])
+    import datetime as dt
+
+    res = jobs.import_lines(lines, *empty_store(spark), 0, dt.datetime(2021, 1, 1), order_cols=["line_no"])
+    assert "InMemoryTableScan" not in plan_of(res.report)
+    assert tuple(res.report.first()) == (1, 1, 1, 0)
+    res.release()
 
 
 def test_first_wins_aggregates_before_the_shuffle(spark):

@@ -145,7 +145,7 @@ def test_incremental_stream_equals_single_import(spark, tmp_root):
     stamp_arrival(spark, [f"{tmp_root}/in/{i}" for i in range(3)])
     st = S.Store(spark, tmp_root + "/st")
     st.create(26)
-    import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF)
+    import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF, max_files_per_trigger=1)
     one = S.Store(spark, tmp_root + "/one")
     one.create(26)
     with open(tmp_root + "/all.jsonl", "w") as f:
@@ -156,6 +156,14 @@ def test_incremental_stream_equals_single_import(spark, tmp_root):
     b = sorted(tuple(r) for r in one.records().select(*cols).collect())
     assert a == b and list(st.current().batch.values()) == [2]
     assert st.records().where(F.col("embedding").isNotNull()).count() == len(a)
+    # The ledger has each batch, and together they are the one import's report.
+    ledger = st.ledger().orderBy("batch_id").collect()
+    assert [(r.stream, r.batch_id) for r in ledger] == [(f"{tmp_root}/ck", i) for i in range(3)]
+    counts = ("added", "duplicate", "invalid", "near_duplicate")
+    whole = one.ledger().first()
+    assert whole.stream == "" and whole.batch_id is None
+    assert [sum(r[c] for r in ledger) for c in counts] == [whole[c] for c in counts]
+    assert st.compact() and st.ledger().count() == 3
 
 
 def test_import_appends_and_compacts(spark, tmp_root):
@@ -205,12 +213,10 @@ def test_update_trims_trailing_newlines_when_asked(spark):
     assert r.first().instruction == "q\n\n"
 
 
-def test_lookup_small_and_large_id_sets(spark, monkeypatch):
+def test_lookup_small_and_large_id_sets(spark):
     recs = records_df(spark, [(i, "a", "", "b", "", None) for i in range(1, 30)])
     ids = spark.createDataFrame([(3,), (5,), (99,), (5,)], "id long")
     assert sorted(r.id for r in S.lookup(recs, ids).collect()) == [3, 5]
-    monkeypatch.setattr(S, "IN_LIST_MAX", 1)
-    assert sorted(r.id for r in S.lookup(recs, ids).collect()) == [3, 5]
     assert S.lookup(recs, spark.createDataFrame([], "id long")).count() == 0
 
 
@@ -306,10 +312,10 @@ def test_changes_rewrite_only_touched_segments(spark, tmp_root):
     assert sorted(r.id for r in st.vectors().collect()) == [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
 
 
-def test_import_against_store_index_both_fetch_paths(spark, tmp_root, monkeypatch):
+def test_import_against_store_index(spark, tmp_root, monkeypatch):
     recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 21)])
-    for limit in (10_000, 1):
-        monkeypatch.setattr(S, "IN_LIST_MAX", limit)
+    for limit in (1 << 18, 4):
+        monkeypatch.setattr(S, "BLOCK_IDS", limit)
         st = S.Store(spark, f"{tmp_root}/s{limit}")
         st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 20, dim=26)
         src = f"{tmp_root}/in{limit}.jsonl"
@@ -428,3 +434,94 @@ def test_export_counts_each_row_once_and_keeps_id_order(spark, tmp_root):
     lines = number_lines(read_lines(spark, path), list(ORDER_COLS))
     got = jobs.line_status(lines, ["line_no"]).orderBy("line_no").collect()
     assert [r.instruction for r in got] == [f"q{i}" for i in range(1, 501)]
+
+
+def test_legacy_store_with_text_embeddings(spark, tmp_root):
+    old = spark.createDataFrame([(1, "a", "", "b", "[0.5, 1.0]"), (2, "c", "", "d", ""), (3, "e", "", "f", None)],
+                                "id long, instruction string, input string, output string, embedding string")
+    ts = F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+    old = old.withColumns({"created_at": ts, "updated_at": ts})
+    got = {r.id: r.embedding for r in S.migrate(old).collect()}
+    assert got == {1: [0.5, 1.0], 2: None, 3: None}
+    root = tmp_root + "/legacy"
+    old.write.parquet(f"{root}/records/v=0")
+    spark.createDataFrame([], "id long, v array<double>").write.parquet(f"{root}/vectors/v=0")
+    S._create_text(spark, f"{root}/_versions/{0:020d}.json", json.dumps(
+        {"version": 0, "high_water": 3, "batch": {}, "dim": 2, "records": ["records/v=0"], "vectors": ["vectors/v=0"]}))
+    st = jobs.open_store(S.Store(spark, root), 2)
+    assert [(r.id, r.v) for r in st.vectors().collect()] == [(1, [0.5, 1.0])]
+    assert st.key_index().count() == 3 and sorted(r.id for r in st.pending().collect()) == [2, 3]
+    assert [r.id for r in st.lookup(spark.createDataFrame([(2,), (9,)], "id long")).collect()] == [2]
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        S.migrate(old.withColumn("embedding", F.lit("[1, oops"))).collect()
+
+
+def test_change_set_is_one_version(spark, tmp_root):
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 6)])
+    st = S.Store(spark, tmp_root + "/s")
+    st.publish(recs, spark.createDataFrame([], "id long, v array<double>"), 5, dim=26)
+    before = st.current().version
+    ch = spark.createDataFrame([(1, 2, "update", "new", "", "x", ""), (2, 3, "delete", None, None, None, None), (3, None, "insert", "own", "", "y", "")],
+                               "seq int, id long, op string, instruction string, input string, output string, source string")
+    jobs.change_store(st, ch, AS_OF, "seq")
+    assert st.current().version == before + 1
+    assert sorted((r.id, r.instruction) for r in st.records().collect()) == [(1, "q1"), (2, "new"), (4, "q4"), (5, "q5"), (6, "own")]
+    jobs.change_store(st, ch.where("op = 'insert'"), AS_OF, "seq")
+    assert st.current().version == before + 2 and st.current().high_water == 7
+
+
+def test_export_keeps_the_old_one_when_it_fails(spark, tmp_root):
+    recs = records_df(spark, [(i, f"q{i}", "", "a", "", None) for i in range(1, 300)])
+    path = tmp_root + "/out"
+    assert jobs.export_jsonl(recs, path) == 299
+    old = spark.read.text(path).count()
+    bad = recs.withColumn("output", F.when(F.col("id") == 77, F.raise_error(F.lit("boom"))).otherwise(F.col("output")))
+    with pytest.raises(Exception, match="boom"):
+        jobs.export_jsonl(bad, path)
+    assert spark.read.text(path).count() == old
+    assert sorted(os.listdir(tmp_root)) == ["out"]
+    assert jobs.export_jsonl(recs.limit(0), path) == 0 and spark.read.text(path).count() == old
+
+
+def test_export_to_one_file(spark, tmp_root):
+    recs = records_df(spark, [(i, f"q{i}", "", "naïve", "", None) for i in range(500, 0, -1)])
+    path = tmp_root + "/all.jsonl"
+    for _ in range(2):  # a second one replaces the first
+        assert jobs.export_jsonl(recs, path, one_file=True) == 500
+    assert os.path.isfile(path)
+    with open(path, encoding="utf-8") as f:
+        assert [json.loads(x)["instruction"] for x in f] == [f"q{i}" for i in range(1, 501)]
+    assert sorted(x for x in os.listdir(tmp_root) if not x.startswith(".")) == ["all.jsonl"]
+
+
+def test_stream_takes_the_stores_dimension(spark, tmp_root):
+    import pyarrow as pa
+
+    from tidepool.streaming.incremental import import_stream
+
+    def three(batch):
+        v = pa.array([[1.0, 2.0, float(i)] for i in batch.column(0).to_pylist()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), v, pa.nulls(batch.num_rows, pa.string())], names=["id", "v", "error"])
+
+    os.makedirs(f"{tmp_root}/in")
+    with open(f"{tmp_root}/in/a.jsonl", "w") as f:
+        f.write(json.dumps({"instruction": "a", "output": "b"}) + "\n")
+    st = S.Store(spark, tmp_root + "/st")
+    st.create(3)
+    import_stream(st, f"{tmp_root}/in", f"{tmp_root}/ck", as_of=AS_OF, embedder=three)
+    assert [len(r.v) for r in st.vectors().collect()] == [3]
+
+
+def test_jobs_release_what_they_staged(spark, tmp_root):
+    from tidepool.session import checkpoint_root
+
+    staged = os.path.join(checkpoint_root(spark).replace("file:", ""), "staged")
+    before = set(os.listdir(staged)) if os.path.isdir(staged) else set()
+    src = tmp_root + "/in.jsonl"
+    with open(src, "w") as f:
+        f.write(json.dumps({"instruction": "apple", "output": "pie"}) + "\n")
+    st = S.Store(spark, tmp_root + "/s")
+    st.create(26)
+    assert jobs.import_jsonl(st, src, AS_OF).first().added == 1
+    jobs.embed_store(st)
+    assert set(os.listdir(staged)) == before

@@ -56,6 +56,18 @@ def test_trim_trailing_newlines_and_score_format(spark):
     assert got == [f"{0.0625:.3f}", f"{0.9305:.3f}", "1.000", None]
 
 
+def test_score_format_rounds_as_python_does(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    values = [x / 16000 for x in range(-16000, 16001, 7)] + [rng.uniform(-1, 1) for _ in range(3000)] + [k / 2000 for k in range(-2000, 2001)]
+    values += [math.nextafter(k / 2000, s) for k in range(-2000, 2001, 3) for s in (-9, 9)] + [-0.0, -0.0001, 1e-300, 5e-324, math.inf, -math.inf, 1234567.8905]
+    df = spark.createDataFrame([(float(x),) for x in values] + [(math.nan,)], "x double")
+    got = [r.s for r in df.select(T.score_format("x").alias("s")).collect()]
+    assert got == [f"{x:.3f}" for x in values] + [None]
+
+
 def test_record_json_is_ordered_and_unescaped(spark):
     import json
 

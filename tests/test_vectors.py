@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import vector as V
 from tidepool.operators import changes as C
 from tidepool.operators import similarity as S
+from tidepool.operators.pruning import Counters
 
 
 def vecs(spark, rows):
@@ -241,22 +242,15 @@ def test_vectors_of_different_dimensions_raise(spark, strategy, index, queries):
         S.top_k(vecs(spark, index), vecs(spark, queries), 2, strategy=strategy).collect()
 
 
-def test_grid_has_several_cells_for_small_inputs(spark, monkeypatch):
-    seen = {}
-    real = S._grid
-
-    def spy(*args):
-        out = real(*args)
-        seen["plan"] = out._jdf.queryExecution().analyzed().toString()
-        return out
-
-    monkeypatch.setattr(S, "_grid", spy)
+def test_grid_has_several_cells_for_small_inputs(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(a) for a in r]) for i, r in enumerate(rng.normal(size=(900, 4)))]
-    df = vecs(spark, rows)
-    got = S.max_similarity(df, df, strategy="grid").collect()
-    assert len(got) == 900 and all(r.score == pytest.approx(1.0) for r in got)
-    assert "sequence(0, 0" not in seen["plan"]  # more than one group on either side
+    x = rng.normal(size=(900, 4))
+    index = vecs(spark, [(i, [float(a) for a in r]) for i, r in enumerate(x)])
+    queries = vecs(spark, [(i, [float(a) for a in r]) for i, r in enumerate(x + 1e-3)])
+    seen = Counters(spark.sparkContext)
+    got = S.max_similarity(index, queries, strategy="grid", counters=seen).collect()
+    assert len(got) == 900 and all(r.score > 0.99 for r in got)
+    assert seen.values()["cells"] > 4
 
 
 def test_last_vector_by_order_wins(spark):

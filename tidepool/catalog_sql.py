@@ -76,6 +76,8 @@ fx_all_lines AS (
    WHEN 7 THEN '   '
    WHEN 8 THEN json_object('instruction', instruction, 'output', "output")::VARCHAR
    WHEN 9 THEN '  ' || json_object('instruction', instruction, 'input', "input", 'output', "output", 'source', source)::VARCHAR || '  '
+   WHEN 12 THEN CASE WHEN doc_id % 200 = 12 THEN '{{"instruction":"a","output":"b","x":' || repeat('[', 20000) || repeat(']', 20000) || '}}'
+     ELSE json_object('instruction', instruction, 'input', "input", 'output', "output", 'source', source)::VARCHAR END
    WHEN 11 THEN json_object('instruction', chr(12288), 'input', "input", 'output', "output")::VARCHAR
    ELSE json_object('instruction', instruction, 'input', "input", 'output', "output", 'source', source)::VARCHAR
    END AS line
@@ -110,6 +112,7 @@ fx_new_vec AS (
 CLS = """
 fx_nb AS (SELECT line_no, trim(line, w) AS line FROM fx_lines, ws WHERE trim(line, w) <> ''),
 fx_cls AS (SELECT line_no, line, CASE
+    WHEN contains(line, repeat('[', 2001)) THEN 'malformed' -- nested deeper than 2,000 levels
     WHEN NOT json_valid(line) THEN 'malformed'
     WHEN json_type(line) <> 'OBJECT' THEN 'not_object'
     WHEN coalesce(json_type(line, '$.instruction'), 'VARCHAR') <> 'VARCHAR'

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidepool.schema import ELLIPSIS, FIELDS, PREVIEW_LIMIT, WS
 
@@ -54,19 +52,10 @@ def record_json(prefix: str = "") -> Column:
     return F.to_json(F.struct(*[F.col(prefix + f).alias(f) for f in FIELDS]))
 
 
-@F.pandas_udf(T.StringType())
-def _format3(s: pd.Series) -> pd.Series:
-    # Display only: Python's formatting rounds the exact binary value.
-    return s.map(lambda x: None if pd.isna(x) else f"{x:.3f}")
-
-
 def score_format(c: Column | str) -> Column:
-    """Three-decimal score text as the listing shows it."""
-    from pyspark.sql import SparkSession
-
-    from tidepool.session import ship_package
-
-    active = SparkSession.getActiveSession()
-    if active is not None:
-        ship_package(active)
-    return _format3(_c(c))
+    """Three-decimal score text as the listing shows it: half-even on the exact binary value; NULL for NaN."""
+    x = _c(c)
+    # The JVM takes 0.0005 for a tie between 0.000 and 0.001; the double is above it.
+    least = F.when(x > 0, F.lit("0.001")).otherwise(F.lit("-0.001"))
+    infinite = F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf"))
+    return F.when(x.isNull() | F.isnan(x), F.lit(None)).when(F.abs(x) == F.lit(float("inf")), infinite).when(F.abs(x) == F.lit(0.0005), least).otherwise(F.call_function("format_number", x, F.lit("0.000")))

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.schema import KEY
+from tidepool.session import stage
+
+PREFIX_BITS = 6
 
 
 def key_hash(cols: Sequence[str] = KEY):
@@ -46,6 +49,21 @@ def first_wins(rows: DataFrame, order_cols: Sequence[str], carry: Sequence[str]
     )
 
 
+def prefix_of(hash_col: str) -> F.Column:
+    """The leading bits of a key hash, as a number from 0; the partition column of a stored key index."""
+    return F.shiftrightunsigned(F.col(hash_col), 64 - PREFIX_BITS).cast("int")
+
+
+def key_hits(index: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(id if the index has it, _h): the index rows whose hash some row of ``hashed`` (_h, _prefix) has.
+
+    The join is on prefix and hash: where the index lies in folders by prefix, those without a row
+    of ``hashed`` are not read (dynamic partition pruning).
+    """
+    wanted = hashed.select("_prefix", "_h").distinct().where(F.col("_prefix") >= 0)
+    return index.join(wanted, ["_prefix", "_h"], "left_semi").drop("_prefix")
+
+
 def anti_join_keys(rows: DataFrame, store: DataFrame, store_index: DataFrame | None = None,
                    fetch: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows whose triple is not in ``store``.
@@ -55,23 +73,24 @@ def anti_join_keys(rows: DataFrame, store: DataFrame, store_index: DataFrame | N
     rows (the small side, which Spark can broadcast), leaving only the store
     hashes that some incoming row shares. Rows without such a hash are new
     without a text compare; the others are checked against the store's full
-    triples, so a hash collision can never drop a row.
+    triples, so a hash collision can never drop a row. The incoming rows and the hits are
+    staged, so both are computed once.
 
-    ``store_index`` (``id``, ``_h``: the hashes a store keeps) and ``fetch``
+    ``store_index`` (``id``, ``_h``, ``_prefix``: the hashes a store keeps) and ``fetch``
     (ids -> records) let the check read the texts of only the store rows whose
     hash matches, instead of scanning every stored text.
     """
-    h = key_hash()
-    cand = rows.withColumn("_h", h)
-    cand_h = cand.select("_h").distinct()
-    index = store_index if store_index is not None else store.select(h.alias("_h"))
-    hits = index.join(cand_h, "_h", "left_semi")
-    hit_h = hits.select("_h").distinct()
-    sure_new = cand.join(hit_h, "_h", "left_anti")
-    maybe = cand.join(hit_h, "_h", "left_semi")
+    hashed = lambda df: df.withColumn("_h", key_hash()).withColumn("_prefix", prefix_of("_h"))
+    cand = stage(hashed(rows), "import-keys")
+    index = store_index if store_index is not None else hashed(store).select("_h", "_prefix")
+    hits = stage(key_hits(index, cand), "key-hits")
+    hit_h = hits.select("_h").distinct().withColumn("_hit", F.lit(True))
+    flagged = cand.drop("_prefix").join(hit_h, "_h", "left")
+    sure_new = flagged.where(F.col("_hit").isNull())
+    maybe = flagged.where(F.col("_hit"))
     if store_index is not None and fetch is not None:
         same_hash = fetch(hits.select("id")).select(*KEY).distinct()
     else:
-        same_hash = store.withColumn("_h", h).join(hit_h, "_h", "left_semi").select(*KEY).distinct()
+        same_hash = store.withColumn("_h", key_hash()).join(hit_h, "_h", "left_semi").select(*KEY).distinct()
     checked = maybe.join(same_hash, list(KEY), "left_anti")
-    return sure_new.unionByName(checked).drop("_h")
+    return sure_new.unionByName(checked).drop("_h", "_hit")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions.vector import finite
-from tidepool.session import ship_package
+from tidepool.session import ship_package, stage
 
 Embedder = Callable[[pa.RecordBatch], pa.RecordBatch]
 EMBED_SCHEMA = "id long, v array<double>, error string"
@@ -144,23 +144,51 @@ def embed(df: DataFrame, text_col: str = "text", id_col: str = "id",
     )
 
 
-def apply_failure_mode(embedded: DataFrame, mode: str = PER_ROW) -> DataFrame:
-    """D3. ``per_row``: a failed row stays pending, the others keep their vector.
-    ``fail_stop``: rows at or after the first failure (in id order) get none.
+FIRST_WAVE = 256  # rows; each wave after it is WAVE_GROWTH times as long
+WAVE_GROWTH = 4
+
+
+def embed_in_waves(df: DataFrame, id_col: str = "id", **how) -> DataFrame:
+    """D3: ``embed`` in waves of growing size, in id order, that end at the first failure.
+
+    Of the wave that holds the first failed id, rows at or after it get no vector; later waves
+    are not embedded at all (error ``stopped``). The number of waves grows with the logarithm
+    of the rows, so large inputs run in parallel. Every wave is staged: one model call a row.
     """
+    n = df.count()
+    ends, size = [], FIRST_WAVE
+    while size < n:
+        ends.append(size / n)
+        size *= 1 + WAVE_GROWTH
+    cuts = sorted(set(df.agg(F.percentile_approx(id_col, ends, 100_000)).first()[0])) if ends else []
+    done = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        wave = df if low is None else df.where(F.col(id_col) > F.lit(low))
+        wave = wave if high is None else wave.where(F.col(id_col) <= F.lit(high))
+        out = stage(embed(wave, id_col=id_col, **how), "embedded")
+        first = out.where(F.col("error").isNotNull()).agg(F.min("id")).first()[0]
+        if first is not None:
+            out = _stopped(out, int(first))
+        done = out if done is None else done.unionByName(out)
+        if first is not None:
+            if high is not None:
+                rest = df.where(F.col(id_col) > F.lit(high)).select(F.col(id_col).cast("long").alias("id"))
+                done = done.unionByName(rest.select("id", F.lit(None).cast("array<double>").alias("v"), F.lit("stopped").alias("error")))
+            break
+    return done
+
+
+def embed_by_mode(df: DataFrame, mode: str = PER_ROW, **how) -> DataFrame:
+    """Embedded rows, staged. ``per_row``: a failed row stays pending, the others keep their
+    vector. ``fail_stop``: rows at or after the first failure (in id order) get none (D3)."""
     if mode == PER_ROW:
-        return embedded
+        return stage(embed(df, **how), "embedded")
     if mode != FAIL_STOP:
         raise ValueError(f"unknown failure mode {mode!r}")
-    first = embedded.where(F.col("error").isNotNull()).agg(F.min("id").alias("f")).first()
-    if first is None or first.f is None:
-        return embedded
-    stop = int(first.f)
-    return embedded.withColumn(
-        "v", F.when(F.col("id") < F.lit(stop), F.col("v"))
-    ).withColumn(
-        "error",
-        F.when(F.col("id") < F.lit(stop), F.col("error")).otherwise(
-            F.coalesce(F.col("error"), F.lit("stopped"))
-        ),
-    )
+    return embed_in_waves(df, **how)
+
+
+def _stopped(embedded: DataFrame, first: int) -> DataFrame:
+    before = F.col("id") < F.lit(first)
+    return embedded.withColumn("v", F.when(before, F.col("v"))).withColumn(
+        "error", F.when(before, F.col("error")).otherwise(F.coalesce(F.col("error"), F.lit("stopped"))))

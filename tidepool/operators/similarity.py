@@ -14,17 +14,20 @@ Two physical plans share one NumPy kernel:
   32 MiB of vectors, checked at run time by one aggregate) its matrix is
   broadcast and every index partition is scored in place, in sub-blocks of
   bounded size: no shuffle of the index at all;
-* **grid** - otherwise queries are hashed into R row groups and index rows
-  into C column groups, sized so that one group fits a bounded number of bytes
-  and that there are a few cells for every core.
-  Each query row is sent to the C cells of its row group, each index row to the
-  R cells of its column group, and ``cogroup(...).applyInArrow`` scores one cell
-  (a bounded query table against a bounded index table) in sub-blocks, keeping
-  a running top-k / max per query. A final ``row_number`` / ``max`` over the
-  cells gives the exact answer. Work is O(|Q| |X| d) as for any exact search;
-  the shuffle is |Q| C + |X| R vectors. As C and R grow with the row counts this
-  is quadratic too, smaller than the number of pairs by the rows of a cell's side.
-  No row pair is ever materialised.
+* **grid** - otherwise index rows are put into groups by ball (nearest pivot of a bounded
+  sample) and by range of order value, queries into groups by ball, both in parts that fit
+  a bounded number of bytes. A query row is sent to those index groups only that the
+  bounds of ``pruning.py`` leave (and, where only earlier rows count, to groups with an earlier
+  row: cells above the diagonal are not shipped); an index row to the query groups of
+  which some query needs its group. ``cogroup(...).applyInArrow`` scores one cell (a
+  bounded query table against a bounded index table) in sub-blocks, skipping by prefix bounds,
+  keeping a running top-k / max per query. A final ``row_number`` / ``max`` over the cells
+  gives the exact answer. In the worst case (nothing can be pruned) work is O(|Q| |X| d) as for
+  any exact search. No row pair is ever materialised.
+
+For the best similarity, equal vectors are one class (by a 128-bit fingerprint) in the grid: only the
+row with the least order value is an index row, and a query with an equal vector before it has
+its answer, 1.0, without a cell.
 """
 
 from __future__ import annotations
@@ -33,16 +36,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions.vector import finite, nonzero
-from tidepool.session import ship_package
+from tidepool.operators.pruning import MIN_PRUNED_ROWS, SLACK, Counters, Groups, Model, heads, leading_axes, units
+from tidepool.session import ship_package, stage
 
 CELL_BYTES = 64 << 20  # vector bytes of one side of one grid cell
 MAX_BLOCK_ROWS = 2048  # sub-block rows: bounds one score matrix (32 MiB)
 CELLS_PER_CORE = 3
-MIN_GROUP_ROWS = 64  # a group this small is not split for parallelism
+SAMPLE_BYTES = 4 << 20  # of the index, for pivots, axes and floors
+MAX_BALLS = 256
+ORDER_RANGES = 32
 BROADCAST_ROWS = 65536  # query rows that may be broadcast ...
 BROADCAST_BYTES = 32 << 20  # ... and their vector bytes
 
@@ -82,35 +89,36 @@ class _TopK:
     def __init__(self, qids: np.ndarray, k: int):
         self.qids = qids
         self.k = k
-        self.scores = np.full((len(qids), 0), -np.inf)
-        self.ids = np.zeros((len(qids), 0), dtype=np.int64)
+        self.scores = np.full((len(qids), k), -np.inf)
+        self.ids = np.full((len(qids), k), np.iinfo(np.int64).max)
 
-    def add(self, s: np.ndarray, xids: np.ndarray) -> None:
+    def floor(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def add(self, rows: np.ndarray, s: np.ndarray, xids: np.ndarray) -> None:
+        """Scores of some query rows against some index rows."""
         kk = min(self.k, s.shape[1])
         if kk == 0:
             return
         if s.shape[1] > kk:
             part = np.argpartition(-s, kk - 1, axis=1)[:, :kk]
-            top = np.take_along_axis(s, part, axis=1)
-            kth = top.min(axis=1)
+            cand_s, cand_i = np.take_along_axis(s, part, axis=1), xids[part]
+            kth = cand_s.min(axis=1)
             ties = (s >= kth[:, None]).sum(axis=1) > kk
-            cand_s, cand_i = top, xids[part]
             if ties.any():  # equal scores straddle the cut: decide by id, rows at once
-                rows = np.nonzero(ties)[0]
-                sub = s[rows]
+                at = np.nonzero(ties)[0]
+                sub = s[at]
                 order = np.lexsort((np.broadcast_to(xids, sub.shape), -sub), axis=-1)[:, :kk]
-                cand_s = cand_s.copy()
-                cand_i = cand_i.copy()
-                cand_s[rows] = np.take_along_axis(sub, order, axis=1)
-                cand_i[rows] = xids[order]
+                cand_s[at] = np.take_along_axis(sub, order, axis=1)
+                cand_i[at] = xids[order]
         else:
             cand_s = s
             cand_i = np.broadcast_to(xids, s.shape)
-        all_s = np.concatenate([self.scores, cand_s], axis=1)
-        all_i = np.concatenate([self.ids, cand_i], axis=1)
+        all_s = np.concatenate([self.scores[rows], cand_s], axis=1)
+        all_i = np.concatenate([self.ids[rows], cand_i], axis=1)
         order = np.lexsort((all_i, -all_s), axis=-1)[:, : self.k]
-        self.scores = np.take_along_axis(all_s, order, axis=1)
-        self.ids = np.take_along_axis(all_i, order, axis=1)
+        self.scores[rows] = np.take_along_axis(all_s, order, axis=1)
+        self.ids[rows] = np.take_along_axis(all_i, order, axis=1)
 
     def batch(self) -> pa.RecordBatch:
         keep = np.isfinite(self.scores)
@@ -132,9 +140,12 @@ class _Max:
         self.qids = qids
         self.best = np.full(len(qids), -np.inf)
 
-    def add(self, s: np.ndarray, xids: np.ndarray) -> None:
+    def floor(self) -> np.ndarray:
+        return self.best
+
+    def add(self, rows: np.ndarray, s: np.ndarray, xids: np.ndarray) -> None:
         if s.shape[1]:
-            self.best = np.maximum(self.best, s.max(axis=1))
+            self.best[rows] = np.maximum(self.best[rows], s.max(axis=1))
 
     def batch(self) -> pa.RecordBatch:
         keep = np.isfinite(self.best)
@@ -148,22 +159,53 @@ def _new_state(mode: str, k: int, qids: np.ndarray):
     return _TopK(qids, k) if mode == "topk" else _Max(qids)
 
 
-def _by_ord(ids: np.ndarray, ords: np.ndarray, mat: np.ndarray):
-    """Sort rows by order value, so sub-blocks cover narrow order ranges."""
-    o = np.argsort(ords, kind="stable")
-    return ids[o], ords[o], mat[o]
+class _Side:
+    """One side's rows of a cell, by order value, so that sub-blocks cover narrow order ranges."""
+
+    def __init__(self, ids, ords, mat, axes, floors=None):
+        o = np.argsort(ords, kind="stable")
+        self.ids, self.ords, self.mat, self.norms = ids[o], ords[o], mat[o], _norms(mat[o])
+        self.floors = np.full(len(o), -np.inf) if floors is None else floors[o]
+        self.head, self.rest = heads(self.mat / self.norms[:, None], axes) if axes is not None else (None, None)
+
+    def block(self, i: int, n: int) -> _Side:
+        part = _Side.__new__(_Side)
+        for name, value in vars(self).items():
+            setattr(part, name, None if value is None else value[i:i + n])
+        return part
+
 
+def _side(t, axes, floors=None) -> _Side:
+    n = t.num_rows
+    number = lambda c: np.asarray(t.column(c)).astype(np.int64)
+    return _Side(number("id"), number("ord"), _matrix(t.column("v"), n), axes, floors)
 
-def _score_block(state, q, qn, qids, qord, x, xids, xord, earlier_only: bool) -> None:
-    if len(xids) == 0 or len(qids) == 0:
+
+def _score_block(state, q: _Side, x: _Side, earlier_only: bool, counters: Counters | None = None) -> None:
+    if len(x.ids) == 0 or len(q.ids) == 0:
+        return
+    if counters:
+        counters.add("blocks", 1)
+    rows, cols = np.arange(len(q.ids)), np.arange(len(x.ids))
+    if earlier_only and x.ords.min() >= q.ords.max():
+        rows = rows[:0]  # no index row precedes any query row: nothing to compare
+    elif q.head is not None and min(len(rows), len(cols)) >= MIN_PRUNED_ROWS:
+        floor = np.maximum(q.floors, state.floor()) - SLACK
+        if np.isfinite(floor).any():
+            may = q.head @ x.head.T + np.multiply.outer(q.rest, x.rest) >= floor[:, None]
+            if earlier_only:
+                may &= x.ords[None, :] < q.ords[:, None]
+            rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
+    if not len(rows):
+        if counters:
+            counters.add("skipped", 1)
         return
-    if earlier_only and xord.min() >= qord.max():
-        return  # no index row precedes any query row: nothing to compare
-    xn = _norms(x)
-    s = _scores(q, x, qn, xn)
+    if counters:
+        counters.add("pairs", len(rows) * len(cols))
+    s = _scores(q.mat[rows], x.mat[cols], q.norms[rows], x.norms[cols])
     if earlier_only:
-        s = np.where(xord[None, :] < qord[:, None], s, -np.inf)
-    state.add(s, xids)
+        s = np.where(x.ords[None, cols] < q.ords[rows, None], s, -np.inf)
+    state.add(rows, s, x.ids[cols])
 
 
 def _prepare(df: DataFrame, id_col: str, v_col: str, ord_col: str | None = None) -> DataFrame:
@@ -188,47 +230,112 @@ def _stats(df: DataFrame) -> tuple[int, int]:
     return int(row.n), int(row.lo)
 
 
+def _sample(index: DataFrame, dim: int, nx: int, balls: int) -> Model:
+    """A bounded sample of the index, in an order that its ids do not determine."""
+    n = max(64, SAMPLE_BYTES // (8 * max(1, dim)))
+    h = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30))
+    few = index.where(h < F.lit(math.ceil(min(1.0, 2 * n / nx) * (1 << 30))))  # about twice as many as are taken
+    t = few.orderBy(h, "id").limit(n).toArrow()
+    return Model.of(np.asarray(t.column("id")), np.asarray(t.column("ord")), _matrix(t.column("v"), t.num_rows), balls)
+
+
 def _grid(index: DataFrame, queries: DataFrame, mode: str, k: int, earlier_only: bool,
-          dim: int, nq: int, nx: int) -> DataFrame:
+          dim: int, nq: int, nx: int, least: float = -np.inf, counters: Counters | None = None) -> DataFrame:
+    sc = index.sparkSession.sparkContext
     rows = _cell_rows(dim)
-    r = max(1, math.ceil(nq / rows))  # query row groups
-    c = max(1, math.ceil(nx / rows))  # index column groups
-    # Small inputs: more cells than memory asks for, so that every core has some.
-    want = CELLS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism
-    while r * c < want and max(nq / r, nx / c) > MIN_GROUP_ROWS:
-        if nq / r > nx / c:
-            r *= 2
-        else:
-            c *= 2
-    qg = F.pmod(F.xxhash64("id"), F.lit(r))
-    xg = F.pmod(F.xxhash64("id", F.lit("x")), F.lit(c))
-    qrep = queries.withColumn("cg", F.explode(F.sequence(F.lit(0), F.lit(c - 1)))).withColumn(
-        "cell", (qg * F.lit(c) + F.col("cg")).cast("long")).select("cell", "id", "v", "ord")
-    xrep = index.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(r - 1)))).withColumn(
-        "cell", (F.col("qg") * F.lit(c) + xg).cast("long")).select("cell", "id", "v", "ord")
+    # Small inputs: a few balls more than memory asks for, so that every core has some cells.
+    balls = max(math.ceil(math.sqrt(CELLS_PER_CORE * sc.defaultParallelism)), math.ceil(nx / rows), math.ceil(nq / rows))
+    model = sc.broadcast(_sample(index, dim, nx, min(balls, MAX_BALLS)))
+    # Index groups: by ball and, where order counts, by range of order value.
+    bounds = np.empty(0, np.int64)
+    if earlier_only:
+        cuts = [i / ORDER_RANGES for i in range(1, ORDER_RANGES)]
+        bounds = np.array(sorted({int(x) for x in index.agg(F.percentile_approx("ord", cuts, 1000)).first()[0]}))
+
+    def placed(rb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group key, ball and angle of each row."""
+        ball, angles = model.value.place(units(_matrix(rb.column(1), rb.num_rows)))
+        reach = np.searchsorted(bounds, np.asarray(rb.column(2)))
+        return ball * ORDER_RANGES + reach, ball, angles[np.arange(len(ball)), ball]
+
+    def describe(batches):
+        for rb in batches:
+            if rb.num_rows:
+                key, ball, angle = placed(rb)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ball), rb.column(2), pa.array(angle)], names=["key", "ball", "ord", "angle"])
+
+    known = index.mapInArrow(describe, "key long, ball long, ord long, angle double").groupBy("key", "ball").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ord").alias("earliest"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("key").collect()
+    # Long groups go in parts by id.
+    first = np.concatenate([[0], np.cumsum([math.ceil(g.n / rows) for g in known])])
+    keys = np.array([g.key for g in known])
+    groups = sc.broadcast(Groups(*(np.array([g[c] for g in known]) for c in ("ball", "low", "high", "earliest")), first))
+
+    def assign(batches):
+        for rb in batches:
+            if rb.num_rows:
+                at = np.searchsorted(keys, placed(rb)[0])
+                xg = first[at] + np.asarray(rb.column(3)) % (first[at + 1] - first[at])
+                yield pa.RecordBatch.from_arrays([pa.array(xg), *rb.columns[:3]], names=["xg", "id", "v", "ord"])
+
+    keyed = index.select("id", "v", "ord", F.pmod(F.xxhash64("id", F.lit("x")), F.lit(1 << 30)).alias("h"))
+    xrows = keyed.mapInArrow(assign, "xg long, id long, v array<double>, ord long")
+    # Query groups: by ball, long ones in parts by id.
+    counts = {r.ball: r["count"] for r in queries.select("id", "v", "ord").mapInArrow(
+        describe, "key long, ball long, ord long, angle double").groupBy("ball").count().collect()}
+    splits = [math.ceil(counts.get(b, 0) / rows) for b in range(max(counts) + 1)]
+    qfirst = sc.broadcast(np.concatenate([[0], np.cumsum(splits)]))
+
+    def route(batches, with_vectors: bool):
+        m, g, at = model.value, groups.value, qfirst.value
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            u = units(_matrix(rb.column(1), rb.num_rows))
+            ids, ords = (np.asarray(rb.column(c)).astype(np.int64) for c in (0, 2))
+            ball, angles = m.place(u)
+            floors = m.floors(u, ords, k, earlier_only, least)
+            qg = at[ball] + np.asarray(rb.column(3)).astype(np.int64) % np.maximum(at[ball + 1] - at[ball], 1)
+            who, group = g.needed(angles, floors, ords, earlier_only)
+            n = g.first[group + 1] - g.first[group]
+            who = np.repeat(who, n)
+            xg = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(g.first[group], n)
+            if not with_vectors:
+                both = np.unique(np.stack([qg[who], xg], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["qg", "xg"])
+                continue
+            # A query row for each of its groups, in bounded batches.
+            for i in range(0, len(who), 4096):
+                w = who[i:i + 4096]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qg[w]), pa.array(xg[i:i + 4096]), pa.array(ids[w]), rb.column(1).take(pa.array(w)), pa.array(ords[w]), pa.array(floors[w])],
+                    names=["qg", "xg", "id", "v", "ord", "floor"])
+
+    keyed = queries.select("id", "v", "ord", F.pmod(F.xxhash64("id", F.lit("q")), F.lit(1 << 30)).alias("h"))
+    needed = keyed.mapInArrow(lambda b: route(b, False), "qg long, xg long").distinct()
+    qrep = keyed.mapInArrow(lambda b: route(b, True), "qg long, xg long, id long, v array<double>, ord long, floor double")
+    xrep = xrows.join(needed, "xg").select("qg", "xg", "id", "v", "ord")
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
     sub = MAX_BLOCK_ROWS
 
     def score_cell(qt: pa.Table, xt: pa.Table) -> pa.Table:
-        nq_, nx_ = qt.num_rows, xt.num_rows
-        if nq_ == 0 or nx_ == 0:
+        if qt.num_rows == 0 or xt.num_rows == 0:
             return pa.Table.from_batches([], schema=_arrow_schema(mode))
-        qids, qord, q = _by_ord(qt.column("id").to_numpy().astype(np.int64),
-                                qt.column("ord").to_numpy().astype(np.int64), _matrix(qt.column("v"), nq_))
-        xids, xord, x = _by_ord(xt.column("id").to_numpy().astype(np.int64),
-                                xt.column("ord").to_numpy().astype(np.int64), _matrix(xt.column("v"), nx_))
+        if counters:
+            for name, n in (("cells", 1), ("query_rows", qt.num_rows), ("index_rows", xt.num_rows)):
+                counters.add(name, n)
+        axes = model.value.axes
+        q, x = _side(qt, axes, np.asarray(qt.column("floor"))), _side(xt, axes)
         out = []
-        for i in range(0, nq_, sub):
-            qs = q[i:i + sub]
-            state = _new_state(mode, k, qids[i:i + sub])
-            qn = _norms(qs)
-            for j in range(0, nx_, sub):
-                _score_block(state, qs, qn, qids[i:i + sub], qord[i:i + sub],
-                             x[j:j + sub], xids[j:j + sub], xord[j:j + sub], earlier_only)
+        for i in range(0, len(q.ids), sub):
+            qs = q.block(i, sub)
+            state = _new_state(mode, k, qs.ids)
+            for j in range(0, len(x.ids), sub):
+                _score_block(state, qs, x.block(j, sub), earlier_only, counters)
             out.append(state.batch())
         return pa.Table.from_batches(out)
 
-    return qrep.groupBy("cell").cogroup(xrep.groupBy("cell")).applyInArrow(score_cell, schema)
+    return qrep.groupBy("qg", "xg").cogroup(xrep.groupBy("qg", "xg")).applyInArrow(score_cell, schema)
 
 
 def _arrow_schema(mode: str) -> pa.Schema:
@@ -237,38 +344,50 @@ def _arrow_schema(mode: str) -> pa.Schema:
     return pa.schema([("qid", pa.int64()), ("score", pa.float64())])
 
 
-def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only: bool) -> DataFrame:
-    n = tbl.num_rows
-    qids, qord, q = _by_ord(tbl.column("id").to_numpy().astype(np.int64),
-                            tbl.column("ord").to_numpy().astype(np.int64), _matrix(tbl.column("v"), n))
-    bq = index.sparkSession.sparkContext.broadcast((qids, qord, q))
+def _broadcast(index: DataFrame, tbl: pa.Table, mode: str, k: int, earlier_only: bool,
+               least: float = -np.inf, counters: Counters | None = None) -> DataFrame:
+    whole = _matrix(tbl.column("v"), tbl.num_rows)
+    # Axes of the queries themselves: the bound holds for any.
+    axes = leading_axes(units(whole[:max(64, SAMPLE_BYTES // (8 * max(1, whole.shape[1])))]))
+    bq = index.sparkSession.sparkContext.broadcast((_side(tbl, axes, np.full(tbl.num_rows, least)), axes))
     schema = _TOPK_SCHEMA if mode == "topk" else _MAX_SCHEMA
 
     sub = MAX_BLOCK_ROWS
 
     def kernel(batches):
-        qids_, qord_, q_ = bq.value
+        q, axes_ = bq.value
         # One running state per query sub-block keeps every score matrix
         # at most sub x sub.
-        parts = [(i, _new_state(mode, k, qids_[i:i + sub]), _norms(q_[i:i + sub]))
-                 for i in range(0, len(qids_), sub)]
+        parts = [(qs, _new_state(mode, k, qs.ids)) for qs in (q.block(i, sub) for i in range(0, len(q.ids), sub))]
         for rb in batches:
-            x = _matrix(rb.column(1), rb.num_rows)
-            if x.shape[0] and x.shape[1] != q_.shape[1]:
-                raise ValueError(f"index dimension {x.shape[1]} differs from query dimension {q_.shape[1]}")
-            xids, xord, x = _by_ord(rb.column(0).to_numpy().astype(np.int64),
-                                    rb.column(2).to_numpy().astype(np.int64), x)
-            for j in range(0, len(xids), sub):
-                for i, state, qn in parts:
-                    _score_block(state, q_[i:i + sub], qn, qids_[i:i + sub], qord_[i:i + sub],
-                                 x[j:j + sub], xids[j:j + sub], xord[j:j + sub], earlier_only)
-        for _, state, _ in parts:
+            if not rb.num_rows:
+                continue
+            if (width := pc.list_value_length(rb.column(1)).to_numpy(zero_copy_only=False)).max() != q.mat.shape[1] or width.min() != q.mat.shape[1]:
+                raise ValueError(f"index dimension {width.min()} to {width.max()} differs from query dimension {q.mat.shape[1]}")
+            x = _side(rb, axes_)
+            for j in range(0, len(x.ids), sub):
+                block = x.block(j, sub)
+                for qs, state in parts:
+                    _score_block(state, qs, block, earlier_only, counters)
+        for _, state in parts:
             yield state.batch()
 
     return index.mapInArrow(kernel, schema)
 
 
-def _plan(index, queries, mode, k, earlier_only, strategy):
+def _fingerprinted(df: DataFrame) -> DataFrame:
+    """With two 64-bit hashes of the vector: equal vectors have equal ones (a negative zero is a zero)."""
+    return df.withColumns({"f1": F.xxhash64("v"), "f2": F.xxhash64(F.lit(1), "v")})
+
+
+def _classes(index: DataFrame) -> DataFrame:
+    """id, v, ord, f1, f2 of one row of each class of equal vectors: the one with the least order value."""
+    least = F.min_by(F.struct("id", "v"), F.struct("ord", "id")).alias("row")
+    return stage(_fingerprinted(index).groupBy("f1", "f2").agg(least, F.min("ord").alias("ord")).select("row.id", "row.v", "ord", "f1", "f2"), "vector-classes")
+
+
+def _plan(index, queries, mode, k, earlier_only, strategy, least=-np.inf, counters=None):
+    """Candidates (qid, [id,] score) that hold each query's answer; None if there are none."""
     ship_package(index.sparkSession)
     nq, qdim = _stats(queries)
     if nq == 0:
@@ -276,26 +395,45 @@ def _plan(index, queries, mode, k, earlier_only, strategy):
     small = nq <= BROADCAST_ROWS and (strategy == "broadcast" or nq * qdim * 8 <= BROADCAST_BYTES)
     if small and strategy not in ("grid", "blocked"):
         # The index is only scanned; the kernel checks the dimension of its rows.
-        return _broadcast(index, queries.toArrow(), mode, k, earlier_only)
+        return _broadcast(index, queries.toArrow(), mode, k, earlier_only, least, counters)
+    if mode == "max":
+        index = _classes(index)
     nx, dim = _stats(index)
     if nx == 0:
         return None
     if qdim != dim:
         raise ValueError(f"query dimension {qdim} differs from index dimension {dim}")
-    return _grid(index, queries, mode, k, earlier_only, dim, nq, nx)
+    if mode != "max":
+        return _grid(index, queries, mode, k, earlier_only, dim, nq, nx, least, counters)
+    # A query with an equal vector before it needs no cell; of the rest, equal ones that look at the same rows are one.
+    first = index.select("f1", "f2", F.col("ord").alias("first"))
+    met = F.col("first").isNotNull() & ((F.col("first") < F.col("ord")) if earlier_only else F.lit(True))
+    marked = _fingerprinted(queries).join(first, ["f1", "f2"], "left").withColumn("met", met)
+    answered = marked.where("met").select(F.col("id").alias("qid"), F.lit(1.0).alias("score"))
+    open_ = marked.where("not met")
+    alike = ["f1", "f2"] + ["ord"] * earlier_only
+    one = open_.groupBy(*alike).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("rep"), *([] if earlier_only else [F.min("ord").alias("ord")]))
+    one = stage(one.select(F.col("rep").alias("id"), "v", "ord", "f1", "f2"), "query-classes")
+    n_open, _ = _stats(one)
+    if n_open == 0:
+        return answered
+    found = _grid(index, one, mode, k, earlier_only, dim, n_open, nx, least, counters).groupBy("qid").agg(F.max("score").alias("score"))
+    members = open_.select(F.col("id").alias("member"), *alike).join(one.select(F.col("id").alias("qid"), *alike), alike)
+    return answered.unionByName(members.join(found, "qid").select(F.col("member").alias("qid"), "score"))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, *, index_id: str = "id",
           index_v: str = "v", query_id: str = "id", query_v: str = "v",
-          strategy: str = "auto") -> DataFrame:
+          strategy: str = "auto", counters: Counters | None = None) -> DataFrame:
     """The k most similar index rows per query row.
 
-    Returns ``(qid, rank, id, score)``; rank starts at 1.
+    Returns ``(qid, rank, id, score)``; rank starts at 1. In the grid, each query's k-th best score in a
+    bounded sample of the index is the floor that prunes the groups it is sent to.
     """
     spark = index.sparkSession
     x = _prepare(index, index_id, index_v)
     q = _prepare(queries, query_id, query_v)
-    cand = _plan(x, q, "topk", k, False, strategy)
+    cand = _plan(x, q, "topk", k, False, strategy, counters=counters)
     if cand is None:
         return spark.createDataFrame([], "qid long, rank int, id long, score double")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("id").asc())
@@ -309,7 +447,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, *, index_id: str = "id",
 def max_similarity(index: DataFrame, queries: DataFrame, *, earlier_only: bool = False,
                    index_id: str = "id", index_v: str = "v", query_id: str = "id",
                    query_v: str = "v", ord_col: str | None = None,
-                   strategy: str = "auto") -> DataFrame:
+                   strategy: str = "auto", counters: Counters | None = None) -> DataFrame:
     """A2: best cosine of each query row against the index; 0.0 when none.
 
     ``earlier_only`` limits candidates to index rows whose order value (``ord_col``,
@@ -319,7 +457,7 @@ def max_similarity(index: DataFrame, queries: DataFrame, *, earlier_only: bool =
     all_q = queries.select(F.col(query_id).cast("long").alias("qid")).distinct()
     x = _prepare(index, index_id, index_v, ord_col)
     q = _prepare(queries, query_id, query_v, ord_col)
-    cand = _plan(x, q, "max", 1, earlier_only, strategy)
+    cand = _plan(x, q, "max", 1, earlier_only, strategy, counters=counters)
     if cand is None:
         return all_q.withColumn("score", F.lit(0.0))
     best = cand.groupBy("qid").agg(F.max("score").alias("score"))
@@ -329,7 +467,7 @@ def max_similarity(index: DataFrame, queries: DataFrame, *, earlier_only: bool =
 
 
 def near_duplicates(vectors: DataFrame, new_ids: DataFrame, threshold: float,
-                    *, ord_col: str | None = None, strategy: str = "auto") -> DataFrame:
+                    *, ord_col: str | None = None, strategy: str = "auto", counters: Counters | None = None) -> DataFrame:
     """New rows whose best cosine against every row with a smaller id meets
     ``threshold``. Store rows have smaller ids than every new row, so "store or
     earlier in the load" is exactly ``other.id < new.id``.
@@ -344,7 +482,7 @@ def near_duplicates(vectors: DataFrame, new_ids: DataFrame, threshold: float,
         return best.where(F.col("score") >= F.lit(threshold)).select(F.col("qid").alias("id"), "score")
     x = _prepare(vectors, "id", "v", ord_col)
     q = _prepare(queries, "id", "v", ord_col)
-    cand = _plan(x, q, "max", 1, True, strategy)
+    cand = _plan(x, q, "max", 1, True, strategy, threshold, counters)
     if cand is None:
         return vectors.sparkSession.createDataFrame([], "id long, score double")
     # Rows without any candidate score 0.0 < threshold: no need to add them back.

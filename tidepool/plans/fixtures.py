@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidepool.session import spread
 
 FIXED_TS = "2020-01-01 00:00:00"
+DEEP = 20_000  # levels of a line nested too deep
 STORE_ORDER = -1  # order value of store rows in the near-duplicate scenario
 
 
@@ -83,6 +84,7 @@ def fx_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 7, F.lit("   "))
         .when(k == 8, _obj(("instruction", ins), ("output", out)))
         .when(k == 9, F.concat(F.lit("  "), full, F.lit("  ")))
+        .when((k == 12) & (F.col("doc_id") % 200 == 12), F.lit('{"instruction":"a","output":"b","x":' + "[" * DEEP + "]" * DEEP + "}"))
         .when(k == 11, _obj(("instruction", F.lit("　")), ("input", inp), ("output", out)))
         .otherwise(full)
     )

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import datetime as dt
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ from tidepool.operators.embed import (
     LETTERS,
     PER_ROW,
     Embedder,
-    apply_failure_mode,
     embed,
+    embed_by_mode,
     letter_histogram,
 )
 from tidepool.operators.ids import assign_ids
@@ -44,13 +45,14 @@ from tidepool.schema import (
     SEARCH_K,
     VALID,
 )
-from tidepool.session import stage
+from tidepool.session import stage, staging
 from tidepool.sources.jsonl import ORDER_COLS, classify, non_blank, read_lines, write_jsonl
-from tidepool.sources.store import Store, backfill_vectors, lookup, missing_vectors
+from tidepool.sources.store import Store, backfill_vectors, missing_vectors
 
 log = logging.getLogger(__name__)
 #: A task calls an embedder no more after that many batches in a row that failed whole.
 BREAKER = 3
+REPORT_SCHEMA = "added long, duplicate long, invalid long, near_duplicate long"
 
 
 @dataclass
@@ -91,6 +93,7 @@ def import_lines(
     mode: str = PER_ROW,
     strategy: str = "auto",
     store_index: DataFrame | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
     breaker: int | None = BREAKER,
     batch_rows: int | None = None,
 ) -> ImportResult:
@@ -98,18 +101,18 @@ def import_lines(
 
     ``embedder=None`` models an unavailable embedder: nothing is embedded and the
     near-duplicate count is 0, the import itself goes on. ``breaker`` and
-    ``batch_rows`` are those of ``embed``.
+    ``batch_rows`` are those of ``embed``; ``store_index`` and ``fetch`` those of ``anti_join_keys``.
     """
     order_cols = list(order_cols)
     # Classified lines feed the accepted rows, the status and the report.
-    # Materialise the cache once: several query stages read it concurrently
-    # and would otherwise each parse the lines before the cache exists.
+    # The counts of the report also fill the cache: several query stages read it
+    # concurrently and would otherwise each parse the lines before it exists.
     cls = line_status(lines, order_cols).persist()
-    cls.count()
+    counts = cls.agg(F.count_if(F.col("status") == F.lit(VALID)).alias("valid"),
+                     F.count_if(F.col("status").isin(*INVALID_STATUSES)).alias("invalid")).first()
     valid = cls.where(F.col("status") == F.lit(VALID))
     firsts = first_wins(valid, order_cols)
-    new = anti_join_keys(firsts, records.select(*KEY), store_index,
-                         (lambda ids: lookup(records, ids)) if store_index is not None else None)
+    new = anti_join_keys(firsts, records.select(*KEY), store_index, fetch)
     added, n_added = assign_ids(new, order_cols, high_water + 1)  # staged: stable on recompute
 
     flags = added.select(*order_cols, F.lit(True).alias("_added"))
@@ -132,8 +135,7 @@ def import_lines(
     else:
         texts = added.select("id", embedding_text("instruction", "input").alias("text"))
         # The model call is the expensive step: run it once, keep the result.
-        embedded = apply_failure_mode(stage(
-            embed(texts, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows), "embedded"), mode)
+        embedded = embed_by_mode(texts, mode, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows)
         new_vecs = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
         pool = vectors.select("id", "v").unionByName(new_vecs)
         near = near_duplicates(pool, new_vecs.select("id"), threshold, strategy=strategy)
@@ -143,16 +145,12 @@ def import_lines(
     records2 = records.select(*new_records.columns).unionByName(new_records)
     new_vectors = embedded.where(F.col("v").isNotNull() & nonzero("v")).select("id", "v")
     vectors2 = vectors.select("id", "v").unionByName(new_vectors)
-    # The accepted count is known from the id assignment, so the report is one
-    # aggregate over the classified lines and the near-duplicates (no join).
-    kinds = cls.select(F.col("status").alias("k")).unionByName(
-        near.select(F.lit("near").alias("k"))
-    )
-    report = kinds.agg(
+    # The other counts are known, so the report reads the near-duplicates only.
+    report = near.agg(
         F.lit(n_added).cast("long").alias("added"),
-        (F.count_if(F.col("k") == F.lit(VALID)) - F.lit(n_added)).alias("duplicate"),
-        F.count_if(F.col("k").isin(*INVALID_STATUSES)).alias("invalid"),
-        F.count_if(F.col("k") == F.lit("near")).alias("near_duplicate"),
+        F.lit(counts.valid - n_added).cast("long").alias("duplicate"),
+        F.lit(counts.invalid).cast("long").alias("invalid"),
+        F.count(F.lit(1)).alias("near_duplicate"),
     )
     return ImportResult(status, added, embedded, near, records2, vectors2, report,
                         high_water + n_added, new_records, new_vectors, (cls,))
@@ -166,12 +164,18 @@ def import_jsonl(store: Store, path: str | list[str], as_of: dt.datetime | None
     snap = store.current() or store.create(kw.get("dim", LETTERS))
     kw["dim"] = snap.dim or kw.get("dim", LETTERS)  # the store's dimension decides
     as_of = as_of or dt.datetime.now().replace(microsecond=0)
-    res = import_lines(read_lines(spark, path), store.records(), store.vectors(),
-                       snap.high_water, as_of, store_index=store.key_index(), **kw)
-    report = stage(res.report, "import-report")
-    store.append(res.new_records, res.new_vectors, res.high_water, batch=batch)
-    res.release()
-    return report
+    return load_lines(store, snap, read_lines(spark, path), as_of, batch, **kw)
+
+
+def load_lines(store: Store, snap, lines: DataFrame, as_of: dt.datetime, batch=None, **kw) -> DataFrame:
+    """Import ``lines`` into the store's version ``snap``: publish, note the report in the ledger, release what was staged."""
+    with staging(store.spark):
+        res = import_lines(lines, store.records(), store.vectors(), snap.high_water, as_of,
+                           store_index=store.key_index(), fetch=store.lookup, **kw)
+        report = res.report.first().asDict()
+        store.append(res.new_records, res.new_vectors, res.high_water, batch=batch, report=report)
+        res.release()
+    return store.spark.createDataFrame([tuple(report.values())], REPORT_SCHEMA)
 
 
 def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None, **kw) -> DataFrame:
@@ -179,7 +183,7 @@ def bootstrap_import(store: Store, path: str, as_of: dt.datetime | None = None,
     or unreadable file gives a report of zeros."""
     spark = store.spark
     existed = store.exists()
-    zeros = spark.createDataFrame([(0, 0, 0, 0)], "added long, duplicate long, invalid long, near_duplicate long")
+    zeros = spark.createDataFrame([(0, 0, 0, 0)], REPORT_SCHEMA)
     store.create(kw.get("dim", LETTERS))
     if existed:
         return zeros
@@ -220,8 +224,7 @@ def embed_pending(records: DataFrame, vectors: DataFrame, *, embedder: Embedder
     pending = records.where(F.col("embedding").isNull())
     texts = pending.select("id", embedding_text("instruction", "input").alias("text"))
     # Stage the model output first: it is computed once whatever reads it next.
-    embedded = apply_failure_mode(stage(
-        embed(texts, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows), "embedded"), mode)
+    embedded = embed_by_mode(texts, mode, embedder=embedder, dim=dim, breaker=breaker, batch_rows=batch_rows)
     good = embedded.where(F.col("v").isNotNull()).select("id", "v")
     r2, v2 = save_embeddings(records, vectors, good)
     report = embedded.agg(
@@ -249,9 +252,9 @@ def search(records: DataFrame, vectors: DataFrame, queries: DataFrame, *, k: int
     return best.join(records.select("id"), "id", "inner").select("qid", "rank", "id", "score")
 
 
-def export_jsonl(records: DataFrame, path: str) -> int:
+def export_jsonl(records: DataFrame, path: str, one_file: bool = False) -> int:
     """J-EXPORT / K1."""
-    return write_jsonl(records, path)
+    return write_jsonl(records, path, one_file)
 
 
 def change(records: DataFrame, vectors: DataFrame, changes: DataFrame, as_of: dt.datetime,
@@ -269,20 +272,19 @@ def embed_store(store: Store, *, embedder: Embedder = letter_histogram, dim: int
     snap = store._require()
     d = dim or snap.dim or LETTERS
     texts = store.pending().select("id", embedding_text("instruction", "input").alias("text"))
-    embedded = apply_failure_mode(stage(embed(texts, embedder=embedder, dim=d, breaker=breaker), "embedded"),
-                                  mode)
-    report = stage(embedded.agg(F.count_if(F.col("v").isNotNull()).alias("succeeded"),
-                                F.count(F.lit(1)).alias("total")), "embed-report")
-    good = embedded.where(F.col("v").isNotNull()).select("id", "v")
-    if report.first()["succeeded"]:
-        store.rewrite(good.select("id"), lambda r, v: save_embeddings(r, v, good))
-    return report
+    with staging(store.spark):
+        embedded = embed_by_mode(texts, mode, embedder=embedder, dim=d, breaker=breaker)
+        report = embedded.agg(F.count_if(F.col("v").isNotNull()).alias("succeeded"), F.count(F.lit(1)).alias("total")).first()
+        good = embedded.where(F.col("v").isNotNull()).select("id", "v")
+        if report.succeeded:
+            store.rewrite(good.select("id"), lambda r, v: save_embeddings(r, v, good))
+    return store.spark.createDataFrame([(report.succeeded, report.total)], "succeeded long, total long")
 
 
 def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = None,
                  order_col: str | None = None, trim_newlines: bool = False) -> None:
-    """J-CHANGE on a store: updates, then deletes, in the segments they touch, then
-    inserts. An insert adds a record under a new id (its own is not read) without a
+    """J-CHANGE on a store: updates, then deletes, in the segments they touch, and inserts in
+    a segment of their own, published together as one version. An insert adds a record under a new id (its own is not read) without a
     duplicate check, as W1 does; one with a blank instruction or output is refused.
     Several changes of one id, and any insert, need ``order_col``. Another ``op``
     raises before anything is written."""
@@ -301,22 +303,26 @@ def change_store(store: Store, changes: DataFrame, as_of: dt.datetime | None = N
         r1, v1 = update(records, vectors, ups, as_of, order_col, trim_newlines)
         return delete(r1, v1, dels)
 
-    store.rewrite(changes.where(F.col("op") != F.lit("insert")).select("id"), apply)
-    if "insert" in kinds:
-        rows = changes.where(F.col("op") == F.lit("insert")).select(
-            F.col(order_col).alias("_order"), *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS])
-        if trim_newlines:
-            rows = rows.select("_order", *[trim_trailing_newlines(c).alias(c) for c in FIELDS])
-        rows = rows.where(~is_blank("instruction") & ~is_blank("output"))
-        added, n = assign_ids(rows, ["_order"], store._require().high_water + 1)
-        if n:
-            snap = store._require()
-            store.append(stamp_new(added, as_of), store.vectors().limit(0), snap.high_water + n)
+    with staging(store.spark):
+        added = _inserts(store, changes, as_of, order_col, trim_newlines) if "insert" in kinds else None
+        store.rewrite(changes.where(F.col("op") != F.lit("insert")).select("id"), apply, added)
+
+
+def _inserts(store: Store, changes: DataFrame, as_of: dt.datetime, order_col: str, trim_newlines: bool):
+    """(records, vectors, high water) of a change set's inserts; None if it has none that count."""
+    rows = changes.where(F.col("op") == F.lit("insert")).select(
+        F.col(order_col).alias("_order"), *[F.coalesce(c, F.lit("")).alias(c) for c in FIELDS])
+    if trim_newlines:
+        rows = rows.select("_order", *[trim_trailing_newlines(c).alias(c) for c in FIELDS])
+    rows = rows.where(~is_blank("instruction") & ~is_blank("output"))
+    snap = store._require()
+    added, n = assign_ids(rows, ["_order"], snap.high_water + 1)
+    return (stamp_new(added, as_of), store.vectors().limit(0), snap.high_water + n) if n else None
 
 
-def export_store(store: Store, path: str) -> int:
+def export_store(store: Store, path: str, one_file: bool = False) -> int:
     """J-EXPORT of the current version; returns the number of lines written."""
-    return write_jsonl(store.records(), path)
+    return write_jsonl(store.records(), path, one_file)
 
 
 def search_store(store: Store, queries: DataFrame, *, k: int = SEARCH_K,

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -105,12 +107,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path in whatever store it names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def spread(df, *keys: str):
     """Give a small input at least one partition per core.
 
     A large input already has a partition per file split, so this never adds
     a shuffle of big data: it only hash-partitions an input whose partition
-    count is below the cluster's default parallelism (e.g. one row group).
+    count is below the cluster's default parallelism (e.g. one row group). For file
+    scans only: counting the partitions of a plan with a shuffle would run it.
     """
     sc = df.sparkSession.sparkContext
     want = sc.defaultParallelism
@@ -119,6 +128,23 @@ def spread(df, *keys: str):
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
 
+_SCOPES = threading.local()
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Tables staged inside are deleted at the end: a job that has published its result needs them no more."""
+    if not hasattr(_SCOPES, "open"):
+        _SCOPES.open = []
+    _SCOPES.open.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.open.pop():
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
+
+
 def stage(df, name: str):
     """Cut lineage: write ``df`` as Parquet under the shared work folder and read it back.
 
@@ -127,5 +153,7 @@ def stage(df, name: str):
     table survives lost executors; later stages read it instead of recomputing.
     """
     path = scratch_path(df.sparkSession, name)
+    for paths in getattr(_SCOPES, "open", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ K1  ordered export.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +22,14 @@ from tidepool.schema import (
     NOT_OBJECT,
     VALID,
 )
+from tidepool.session import hadoop_path
 
 # Order key of a scanned line: file, split start, row number inside the task.
 ORDER_COLS = ("src_file", "src_block", "src_row")
 
 _NO_CAP = str(2**31 - 1)
+#: A line whose arrays and objects are nested deeper is malformed: the parser takes a stack frame a level.
+MAX_DEPTH = 2000
 #: Strict JSON, without the parser's own limits on strings, numbers and nesting.
 _STRICT = {"allowSingleQuotes": "false", "maxStringLen": _NO_CAP, "maxNumLen": _NO_CAP, "maxNestingDepth": _NO_CAP}
 _VARIANT_FIELDS = ",".join(f"{f}:variant" for f in FIELDS)
@@ -61,23 +66,41 @@ def non_blank(lines: DataFrame, line_col: str = "line") -> DataFrame:
     return lines.withColumn(line_col, stripped).where(F.col(line_col) != F.lit(""))
 
 
+def _without_strings(s: Column) -> Column:
+    return F.regexp_replace(s, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')  # possessive: no stack per character
+
+
 def _bad_non_numeric(s: Column) -> Column:
     """Non-finite literals that the JVM parser accepts but a strict decoder refuses.
 
     NaN, Infinity and -Infinity are accepted by both; +INF, +Infinity and -INF only
     by the JVM parser. String contents are blanked first so text is not matched.
     """
-    outside = F.regexp_replace(s, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', '""')  # possessive: no stack per character
+    outside = _without_strings(s)
     hit = outside.rlike(r"(?:^|[^A-Za-z0-9_])(?:\+INF|\+Infinity|-INF(?!inity))")
     guard = s.contains("INF") | s.contains("+Infinity")
     return F.when(guard, hit).otherwise(F.lit(False))
 
 
+def too_deep(s: Column, limit: int = MAX_DEPTH) -> Column:
+    """Whether brackets outside strings are nested deeper than ``limit``, found without a parser.
+
+    Only a line with more opening brackets than that, strings included, is looked at closer.
+    """
+    brackets = F.regexp_replace(_without_strings(s), r"[^\[\]{}]++", "")
+    steps = F.transform(F.split(brackets, ""), lambda c: F.when(c.isin("[", "{"), F.lit(1)).when(c.isin("]", "}"), F.lit(-1)).otherwise(F.lit(0)))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    walked = F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")))
+    openers = F.length(s) - F.length(F.translate(s, "[{", ""))
+    return F.when(openers > F.lit(limit), walked.getField("most") > F.lit(limit)).otherwise(F.lit(False))
+
+
 def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``status`` and the four string fields of a non-blank line.
 
     Status, tested in this order: bad_utf8 (the raw bytes are not UTF-8; the
-    text reader does not validate), malformed (not one JSON value), not_object,
+    text reader does not validate), malformed (not one JSON value, or nested deeper
+    than ``MAX_DEPTH``), not_object,
     bad_type (a present field that is not a string, including null),
     blank_required (instruction or output blank after the strip), valid.
     Fields default to '' when missing and are NULL when the line is not valid.
@@ -85,7 +108,8 @@ def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
     spark = lines.sparkSession
     # A duplicate key nested in an ignored value must not make the line malformed.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    s = F.col(line_col)
+    lines = lines.withColumn("_shallow", F.when(~too_deep(F.col(line_col)), F.col(line_col)))
+    s = F.col("_shallow")
     wrapped_obj = F.concat(F.lit('{"r":'), s, F.lit("}"))
     wrapped_arr = F.concat(F.lit("["), s, F.lit("]"))
     a = F.from_json(wrapped_obj, f"struct<r:struct<{_VARIANT_FIELDS}>>", _STRICT)
@@ -116,7 +140,7 @@ def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
         f: F.coalesce(F.variant_get(field(f), "$", "string"), F.lit("")) for f in FIELDS
     }
     status = (
-        F.when(~F.is_valid_utf8(s), F.lit(BAD_UTF8))
+        F.when(~F.is_valid_utf8(F.col(line_col)), F.lit(BAD_UTF8))
         .when(is_object & type_ok & ~is_blank(values["instruction"]) & ~is_blank(values["output"]), F.lit(VALID))
         .when(is_object & type_ok, F.lit(BLANK_REQUIRED))
         .when(is_object, F.lit(BAD_TYPE))
@@ -126,19 +150,64 @@ def classify(lines: DataFrame, line_col: str = "line") -> DataFrame:
     out = parsed.withColumn("status", status)
     for f in FIELDS:
         out = out.withColumn(f, F.when(F.col("status") == F.lit(VALID), values[f]))
-    return out.drop("_a", "_b")
+    return out.drop("_a", "_b", "_shallow")
 
 
-def write_jsonl(records: DataFrame, path: str) -> int:
+def write_jsonl(records: DataFrame, path: str, one_file: bool = False) -> int:
     """K1: write every record as one JSON line, in id order; returns the row count.
 
     The sort is a range-partitioned global sort, so part files in name order are
-    in id order. Nothing is written for an empty store (returns 0).
+    in id order. ``one_file``: the parts are joined in that order into one file at ``path``.
+    Everything is written beside the target, which is swapped at the end, so a failed job
+    leaves an older export as it was. Nothing is written for an empty store (returns 0).
     """
-    if records.isEmpty():
-        return 0
+    spark = records.sparkSession
     written = Observation()
     out = records.orderBy("id").select(record_json().alias("value"))
-    # Observed above the sort, so that its range sample is not counted.
-    out.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite").text(path)
-    return int(written.get["n"])
+    aside = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex[:12]}"
+    fs, target = hadoop_path(spark, path.rstrip("/"))
+    _, parts = hadoop_path(spark, aside)
+    try:
+        # Observed above the sort, so that its range sample is not counted.
+        out.observe(written, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").text(aside)
+        n = int(written.get["n"])
+        if n and one_file:
+            _, joined = hadoop_path(spark, f"{aside}.joined")
+            _join_parts(spark, fs, parts, joined)
+            _swap(spark, fs, joined, target)
+        elif n:
+            _swap(spark, fs, parts, target)
+        return n
+    finally:
+        fs.delete(parts, True)
+
+
+def _join_parts(spark: SparkSession, fs, parts, joined) -> None:
+    """The part files of a folder, in name order, as one file: bytes stream from file to file."""
+    jvm = spark.sparkContext._jvm
+    names = sorted(st.getPath().getName() for st in fs.listStatus(parts) if st.getPath().getName().startswith("part-"))
+    out = fs.create(joined, False)
+    try:
+        for name in names:
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
+def _swap(spark: SparkSession, fs, new, target) -> None:
+    """Put ``new`` in the place of ``target``; the older one goes last."""
+    jvm = spark.sparkContext._jvm
+    older = jvm.org.apache.hadoop.fs.Path(f"{target.toString()}.older-{uuid.uuid4().hex[:12]}")
+    had = fs.exists(target)
+    if had and not fs.rename(target, older):
+        raise OSError(f"cannot move {target.toString()} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(older, target)
+        raise OSError(f"cannot move the export to {target.toString()}")
+    if had:
+        fs.delete(older, True)

@@ -3,7 +3,8 @@
 Each micro-batch is one import into the store (the store is the state; no
 ``dropDuplicates`` state is kept). ``foreachBatch`` may replay a batch after a
 failure, so the published snapshot records its ``batch_id`` and a batch that is
-already published is skipped. Files are taken in arrival (modification-time)
+already published is skipped. Each batch's report is published with its version:
+``Store.ledger()`` has a row for each stream (its checkpoint folder) and batch. Files are taken in arrival (modification-time)
 order and, inside a batch, in path order.
 """
 
@@ -14,20 +15,21 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.operators.embed import LETTERS
 from tidepool.plans import jobs
 from tidepool.sources.jsonl import ORDER_COLS
 from tidepool.sources.store import Store
 
 
 def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.datetime | None = None,
-                  max_files_per_trigger: int | None = 1, **kw):
+                  max_files_per_trigger: int | None = None, **kw):
     """Run the stream until every available file is imported (availableNow).
 
-    The store is created when absent. Arrival order is the file source's
+    The store is created when absent; an existing one's vector dimension decides. Arrival order is the file source's
     (modification time); inside a batch, lines keep their path and line order.
     """
     spark = store.spark
-    store.create(kw.get("dim", 26))
+    dim = store.create(kw.pop("dim", LETTERS)).dim
     reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
@@ -44,11 +46,8 @@ def import_stream(store: Store, in_dir: str, checkpoint_dir: str, *, as_of: dt.d
         staged = batch.withColumn("src_row", F.monotonically_increasing_id()).select(
             *ORDER_COLS, "line"
         )
-        res = jobs.import_lines(staged, store.records(), store.vectors(), snap.high_water,
-                                as_of or dt.datetime.now().replace(microsecond=0),
-                                store_index=store.key_index(), **kw)
-        store.append(res.new_records, res.new_vectors, res.high_water, batch={checkpoint_dir: batch_id})
-        res.release()
+        jobs.load_lines(store, snap, staged, as_of or dt.datetime.now().replace(microsecond=0),
+                   {checkpoint_dir: batch_id}, **{"dim": dim or LETTERS, **kw})
 
     query = (
         lines.writeStream.foreachBatch(one_batch)
