@@ -85,3 +85,30 @@ def test_url_templates_of_deep_paths(spark):
     assert len({by[i].template for i in range(60)}) == 1 and by[0].template.endswith("/world/*")
     assert len({by[i].template for i in range(60, 120)}) == 1 and by[60].template.endswith("/f/*/*")
     assert {by[i].verdict for i in range(60)} == {"block"}  # as its template on z.net, where it is labelled
+
+
+def test_one_long_url_costs_no_jobs(spark):
+    """Thousands of segments: no more jobs than without it, and the same verdicts elsewhere."""
+    normal = [(i, f"http://h{i % 4}.org/{'ab'[i % 2]}/x{chr(97 + i % 26)}/p{i}") for i in range(60)] + [(100 + i, f"http://z.net/es/s{i}") for i in range(9)]
+    long = [(900, "http://long.org" + "/s" * 5000), (901, "http://z.net/es" + "/q" * 3000), (902, "http://h1.org/" + "x" * 50_000)]
+    tracker = spark.sparkContext.statusTracker()
+
+    def run(rows, group):
+        spark.sparkContext.setJobGroup(group, group)
+        got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+        return {r.page_id: r for r in got}, len(tracker.getJobIdsForGroup(group))
+
+    plain, jobs = run(normal, "plain")
+    both, more = run(normal + long, "both")
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(more - jobs) <= 2
+    assert {i: both[i].verdict for i in plain} == {i: r.verdict for i, r in plain.items()}
+    assert both[900].verdict == "allow" and both[901].verdict == "block" and both[901].rule == "net/es/"
+
+
+def test_chains_without_siblings_need_no_walk(spark):
+    """What the closed form gives is what the SQL's walk gives."""
+    urls = ["http://a.com/x/y", "http://a.net/es/y", "http://a.net/fr/y/z", "http://b.org/x/y", "http://b.org/", "http://a.net/es", "http://c.net/es/q", "http://c.net/de/q"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge(pages)
+    assert cases.rows(got, *got.columns) == sql(url_filter.oracle("p"), p=pages)

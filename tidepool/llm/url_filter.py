@@ -4,18 +4,24 @@ Explicit rules come first: (host, path prefix) pairs that hold for the host and
 subdomains; the longest that fits decides. URLs under a rule are the labelled ones.
 The rest is judged by templates. Runs of digits and long hexadecimal runs in a path
 become wildcards, which gives each host's leaves with their page and label counts.
-Then, segment by segment to the end of the longest path, a branch becomes a wildcard if it is one of many small ones
+Then, segment by segment, a branch becomes a wildcard if it is one of many small ones
 (a variable segment), or if its share of blocked pages is statistically like that of
 all its siblings together (similar branches merge). A template's purity is its blocked
 share, smoothed towards the same template on all hosts and then towards the whole;
 templates above ``MAX_PURITY`` are rejected.
 
+The path of a host with no other leaf of as many segments is a chain with one child at
+every level: it meets no sibling, so its template is known without a walk (labelled ones merge
+with themselves, wildcard by wildcard; others stay). Of a longer path, what follows segment
+``LEVELS - 1`` counts as one last segment, so no URL makes the walk longer than ``LEVELS``.
+
 All joins are between tables of distinct leaves, made with partial aggregation, so a
 host that holds a third of all pages is a few rows before any shuffle.
 
 Cases: a null url or one without ``://`` has an empty host and path; no rule fits
 those; with no labelled page everything else is allowed; repeated rows are judged
-each; other columns are not read; an empty table gives an empty result.
+each; urls of any length are read whole; rules of equal length that fit one url go by their text,
+and no other step has ties; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +36,9 @@ from tidepool.llm.session_tools import stage, text_input
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule); a rule is a host and a path prefix. Fixed values of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Segments that the SQL form covers; the query covers all that occur.
+#: Segments that the SQL form covers.
 DEPTH = 3
+LEVELS = 32
 MANY_CHILDREN = 20
 FEW_PAGES = 5
 Z = 2.0
@@ -62,17 +69,28 @@ def leaf_of(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"\b[0-9a-fA-F]{16,}\b", "<h>"), r"[0-9]+", "<n>")
 
 
+def segments_of(path: str) -> Column:
+    """The path's segments after an empty first one; beyond LEVELS the rest is one."""
+    return F.split(path, "/", LEVELS + 1)
+
+
 def masked(template: str, k: int) -> Column:
     """The template with its k-th segment (from 1) as a wildcard; shorter ones stay."""
-    return F.concat_ws("/", F.transform(F.split(template, "/", -1), lambda x, i: F.when(i == F.lit(k), F.lit("*")).otherwise(x)))
+    return F.concat_ws("/", F.transform(segments_of(template), lambda x, i: F.when(i == F.lit(k), F.lit("*")).otherwise(x)))
 
 
 def tree(leaves: DataFrame) -> DataFrame:
     """host, leaf, template, pages, labelled, blocked: leaves with generalised and merged templates."""
-    df = stage(leaves.withColumn("template", F.col("leaf")), "url-leaves")
-    segments = F.size(F.split("leaf", "/", -1)) - 1
+    segments = F.size(segments_of("leaf")) - 1
+    df = stage(leaves.withColumns({"template": F.col("leaf"), "depth": segments}), "url-leaves")
+    alike = df.groupBy("host", "depth").agg(F.count(F.lit(1)).alias("m"))
+    df = stage(df.join(alike, ["host", "depth"]), "url-leaves")
+    chain = F.transform(segments_of("leaf"), lambda x, i: F.when(i == 0, x).otherwise(F.lit("*")))
+    columns = ["host", "leaf", "template", "pages", "labelled", "blocked"]
+    alone = df.where("m = 1").withColumn("template", F.when(F.col("labelled") > 0, F.concat_ws("/", chain)).otherwise(F.col("leaf")))
+    done = [alone.select(columns)]
+    df = df.where("m > 1").select(columns)
     deepest = df.agg(F.max(segments)).first()[0] or 0
-    done = []
     for k in range(1, deepest + 1):
         # A template with a wildcard in segment k has that many, so leaves with fewer are as they will be.
         done.append(df.where(segments < k))
