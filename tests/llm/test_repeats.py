@@ -57,6 +57,20 @@ def test_null_and_repeated_ids(spark):
     assert cases.rows(suffix_dedup.digests(alone), "doc_id", "n_removed") == [(5, 0), (5, 0), (7, 0)]
 
 
+def test_rows_that_share_an_id_keep_what_is_unique(spark):
+    p = cases.PASSAGE
+    q = " ".join(f"q{i}y{i * 5 % 11}" for i in range(60))
+    for ids in ((3, 5, 5), (None, None, None), (5, 5, 5)):
+        docs = cases.documents(spark, list(zip(ids, ("x " + p, p, q))))
+        got = [r.n_removed for r in phrase_dedup.digests(docs).orderBy("n_words", "kept_sha256").collect()]
+        assert sorted(got) == [0, 0, 60]  # one of the two keeps its passage, q is whole
+        left = [r.n_removed for r in suffix_dedup.digests(docs).collect()]
+        assert sorted(left) == [0, len(p), len(p)]
+    twice = cases.documents(spark, [(None, p)] * 40 + [(5, q)] * 40).repartition(8)
+    assert {r.n_removed for r in phrase_dedup.digests(twice, block_bytes=300).collect()} == {0}
+    assert {r.n_removed for r in suffix_dedup.digests(twice).collect()} == {0}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert phrase_dedup.digests(empty).count() == suffix_dedup.digests(empty).count() == 0

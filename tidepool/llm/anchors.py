@@ -13,6 +13,9 @@ window can recur only if its anchor does. The steps:
 4. segments meet by anchor, ordered by first place, for an operator's own work.
 
 Every step streams; no step holds more than a slice of text or one document.
+
+A document is known by its doc_id and the hash of its text, so rows that share an id or have
+none are documents of their own; rows equal in both are one document.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ class Units:
 
 
 def anchors(docs: DataFrame, units: Units, with_doc: bool) -> DataFrame:
-    """anchor and either doc_id or n (places): a row for each anchor of a document, or of a slice of documents."""
+    """anchor and either doc_id and text_hash or n (places): a row for each anchor of a document, or of a slice of documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             _, _, _, first, values = units.read(batch.column(1))
@@ -74,25 +77,31 @@ def anchors(docs: DataFrame, units: Units, with_doc: bool) -> DataFrame:
             if with_doc:
                 _, one = np.unique(grams[at] + mix(row[at].astype(np.uint64) + np.uint64(1)), return_index=True)
                 at = at[one]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), batch.column(0).take(pa.array(row[at]))],
-                                                 names=["anchor", "doc_id"])
+                who = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(grams[at])), batch.column(0).take(who), batch.column(2).take(who)],
+                                                 names=["anchor", "doc_id", "text_hash"])
             else:
                 known, n = np.unique(grams[at], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(known)), pa.array(n)], names=["anchor", "n"])
 
-    return docs.mapInArrow(run, "anchor long, doc_id long" if with_doc else "anchor long, n long")
+    return docs.mapInArrow(run, "anchor long, doc_id long, text_hash long" if with_doc else "anchor long, n long")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, text_hash."""
+    return text_input(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
 
 
 def segments(docs: DataFrame, units: Units) -> DataFrame:
-    """anchor, doc_id, place (of the first copy), text, places (pairs of doc_id and unit), by anchor."""
+    """anchor, doc_id, text_hash, place (of the first copy), text, places (doc_id, text hash and unit of each), by anchor."""
     spark = docs.sparkSession
     ready(spark)
-    docs = text_input(docs, "doc_id", "text")
+    docs = hashed(docs)
     recurring = anchors(docs, units, False).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     recurring = stage(recurring, "anchors")  # a table of its own, so that the join can split a hot anchor's places
     found = anchors(docs, units, True).join(recurring, "anchor", "left_semi")
-    found = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set("anchor").alias("anchors"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["d"])).select("doc_id", "text", "anchors")
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_set("anchor").alias("anchors"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["d"]) & (docs["text_hash"] == found["h"])).select("doc_id", "text", "anchors", "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -126,38 +135,39 @@ def segments(docs: DataFrame, units: Units) -> DataFrame:
             left, right = starts[head], ends[head + length + units.window - 2]
             print_of = range_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), left, right)
             ids = np.asarray(batch.column(0).fill_null(NO_ID))
+            hashes = np.asarray(batch.column(3))
             place = head - first[row[head]]
             raw = data.tobytes()
-            for a, p, b, e, d, u in zip(signed(low[head]).tolist(), print_of.tolist(), left.tolist(), right.tolist(),
-                                        ids[row[head]].tolist(), place.tolist(), strict=True):
+            for a, p, b, e, d, h, u in zip(signed(low[head]).tolist(), print_of.tolist(), left.tolist(), right.tolist(),
+                                           ids[row[head]].tolist(), hashes[row[head]].tolist(), place.tolist(), strict=True):
                 entry = held.get((a, p))
                 if entry is None:
-                    held[a, p] = [raw[b:e], d, u]
+                    held[a, p] = [raw[b:e], d, h, u]
                     size += e - b + 100
                 else:
-                    entry += (d, u)
-                    size += 16
+                    entry += (d, h, u)
+                    size += 24
             if size >= COMBINE_BYTES:
                 yield from flush(held)
                 held, size = {}, 0
         yield from flush(held)
 
-    schema = "anchor long, doc_id long, place long, text binary, places binary"
+    schema = "anchor long, doc_id long, text_hash long, place long, text binary, places binary"
     # Not cut at one row per key: rows of one anchor are distinct texts or come from different tasks.
     out = joined.mapInArrow(run, schema)
-    return out.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id", "place")
+    return out.repartition(F.col("anchor")).sortWithinPartitions("anchor", "doc_id", "text_hash", "place")
 
 
 def flush(held: dict) -> Iterator[pa.RecordBatch]:
     rows = []
     for (anchor, _), entry in held.items():
-        places = sorted(zip(entry[1::2], entry[2::2], strict=True))
+        places = sorted(set(zip(entry[1::3], entry[2::3], entry[3::3], strict=True)))
         rows.append((anchor, *places[0], entry[0], np.array(places, dtype=np.int64).tobytes()))
     for i in range(0, len(rows), 5000):
         columns = zip(*rows[i:i + 5000], strict=True)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        kinds = (*[pa.int64()] * 4, pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                                         names=["anchor", "doc_id", "place", "text", "places"])
+                                         names=["anchor", "doc_id", "text_hash", "place", "text", "places"])
 
 
 @dataclass
@@ -167,7 +177,7 @@ class Block:
     anchor: np.ndarray
     data: np.ndarray
     offsets: np.ndarray
-    places: np.ndarray  # (doc_id, unit) of every copy
+    places: np.ndarray  # (doc_id, text hash, unit) of every copy
     first: np.ndarray  # each segment's first row in places
     goes_on: bool  # the last anchor has more segments in the next block
 
@@ -180,10 +190,10 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Block]:
     def block(parts: list[pa.RecordBatch], goes_on: bool) -> Block:
         t = pa.Table.from_batches(parts).combine_chunks()
         text, places = t["text"].to_pylist(), t["places"].to_pylist()
-        counts = np.array([len(p) // 16 for p in places])
+        counts = np.array([len(p) // 24 for p in places])
         return Block(np.asarray(t["anchor"]), np.frombuffer(b"".join(text), dtype=np.uint8),
                      np.concatenate([[0], np.cumsum([len(x) for x in text])]).astype(np.int64),
-                     np.frombuffer(b"".join(places), dtype=np.int64).reshape(-1, 2),
+                     np.frombuffer(b"".join(places), dtype=np.int64).reshape(-1, 3),
                      np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), goes_on)
 
     for batch in slices_of_rows(batches, limit):
@@ -223,17 +233,21 @@ def runs(flags: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
-def span_batch(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-    ids = pa.array(doc, mask=doc == NO_ID)
-    return pa.RecordBatch.from_arrays([ids, pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64))],
-                                      names=["doc_id", "start", "stop"])
+SPANS = "doc_id long, text_hash long, start long, stop long"
+
+
+def span_batch(places: np.ndarray, start: np.ndarray | int, stop: np.ndarray | int) -> pa.RecordBatch:
+    """Spans of units from ``start`` to ``stop`` after each place."""
+    ids = pa.array(places[:, 0], mask=places[:, 0] == NO_ID)
+    return pa.RecordBatch.from_arrays([ids, pa.array(places[:, 1]), pa.array(places[:, 2] + start), pa.array(places[:, 2] + stop)],
+                                      names=["doc_id", "text_hash", "start", "stop"])
 
 
 def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text, spans (start, stop) of every document, those without any included."""
-    docs = text_input(docs, "doc_id", "text")
-    found = found.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["d"]), "left").select("doc_id", "text", "spans")
+    docs = hashed(docs)
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["d"]) & (docs["text_hash"] == found["h"]), "left").select("doc_id", "text", "spans")
 
 
 def marked(lists: pa.ListArray, first: np.ndarray, n: int) -> np.ndarray:

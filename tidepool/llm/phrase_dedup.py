@@ -11,8 +11,9 @@ A shard's automaton holds the phrases of one block of segments, so its memory do
 grow with the corpus. An anchor with more segments than a block goes on in the next
 one, which knows the phrases seen so far by their 128-bit fingerprints.
 
-Cases: a null or empty text has no words; rows that repeat a doc_id are one document,
-so equal places of theirs are one place, and a span found in one is applied to each; a
+Cases: a null or empty text has no words; rows that share a doc_id or have none are documents of
+their own, in the order of their texts' hashes; rows equal in id and text are one document, so
+equal places of theirs are one place, and a span found in one is applied to each; a
 null doc_id counts as smaller than any; other columns are not read; an empty table
 gives an empty result. Texts of any length are read whole.
 """
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepool.llm.anchors import Block, Units, blocks, marked, runs, segments, span_batch, with_spans
+from tidepool.llm.anchors import SPANS, Block, Units, blocks, marked, runs, segments, span_batch, with_spans
 from tidepool.llm.session_tools import ready
 from tidepool.llm.textops import _BASE, _BASE2, SPACED, gram_hash, rows_of, slices, spans, text_bytes, word_hashes
 
@@ -50,7 +51,7 @@ class Shard:
 
     def __init__(self, n: int):
         self.n = n
-        self.seen: set[tuple[int, int]] = set()  # of the anchor that goes on
+        self.seen: dict[tuple[int, int], tuple] = {}  # of the anchor that goes on: phrases and their first places
 
     def take(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each phrase place of the block: its segment, its place in it, and whether it has an earlier copy."""
@@ -61,8 +62,10 @@ class Shard:
         places = np.flatnonzero(np.arange(len(hashes)) + n <= first[segment + 1])
         a, b = gram_hash(hashes, n, _BASE)[places], gram_hash(hashes, n, _BASE2)[places]
         earlier = np.zeros(len(places), dtype=bool)
+        where = block.places[block.first[segment[places]]]
+        where = [*map(tuple, np.column_stack([where[:, :2], where[:, 2] + places - first[segment[places]]]).tolist())] if self.seen or block.goes_on else []
         if self.seen:
-            earlier |= np.fromiter(((x, y) in self.seen for x, y in zip(a.tolist(), b.tolist(), strict=True)), bool, len(places))
+            earlier |= np.fromiter((self.seen.get(k, w) != w for k, w in zip(zip(a.tolist(), b.tolist(), strict=True), where, strict=True)), bool, len(places))
         # Candidates: phrases whose fingerprint stands twice in the block.
         order = np.argsort(a, kind="stable")
         same = a[order][1:] == a[order][:-1]
@@ -74,30 +77,35 @@ class Shard:
         if len(phrases):
             numbers = np.unique(hashes, return_inverse=True)[1].tolist()
             found = automaton(numbers, phrases.tolist(), n)
-            met = bytearray(len(phrases))
+            met: list = [None] * len(phrases)  # where each phrase stands first
+            lead = [tuple(x) for x in block.places[block.first[:-1]].tolist()]
             index = np.full(len(hashes), -1, dtype=np.int64)
             index[places] = np.arange(len(places))
             index = index.tolist()
             again = []
             for s in np.unique(segment[places[twice]]).tolist():  # in the order of first places
                 base = int(first[s])
+                doc, text, unit = lead[s]
                 for end, phrase in found.iter(tuple(numbers[base:first[s + 1]])):
-                    if met[phrase]:
+                    at = (doc, text, unit + end)
+                    if met[phrase] is None:
+                        met[phrase] = at
+                    elif met[phrase] != at:  # not another row of the same document
                         again.append(index[base + end - n + 1])
-                    met[phrase] = 1
             earlier[again] = True
         if block.goes_on:
             mine = block.anchor[segment[places]] == block.anchor[-1]
             if len(block.anchor) and (block.anchor[0] != block.anchor[-1]):
                 self.seen.clear()
-            self.seen.update(zip(a[mine].tolist(), b[mine].tolist(), strict=True))
+            for i in np.flatnonzero(mine).tolist():
+                self.seen.setdefault((int(a[i]), int(b[i])), where[i])
         else:
             self.seen.clear()
         return segment[places], places - first[segment[places]], earlier
 
 
 def repeated(docs: DataFrame, n: int = PHRASE_WORDS, gram: int = GRAM_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, start, stop of word ranges whose phrases all start earlier too (ranges may overlap)."""
+    """doc_id, text_hash, start, stop of word ranges whose phrases all start earlier too (ranges may overlap)."""
     units = Units(words=True, window=n, gram=gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +115,7 @@ def repeated(docs: DataFrame, n: int = PHRASE_WORDS, gram: int = GRAM_WORDS, blo
             begin, end = runs(earlier, segment)
             if len(begin):
                 lead = block.places[block.first[segment[begin]]]
-                yield span_batch(lead[:, 0], lead[:, 1] + inside[begin], lead[:, 1] + inside[end] + n)
+                yield span_batch(lead, inside[begin], inside[end] + n)
             # Other copies of a segment have the first one before them, so all their phrases do.
             total = np.bincount(segment, minlength=len(block.anchor)) + n - 1
             copies = np.diff(block.first) - 1
@@ -116,9 +124,9 @@ def repeated(docs: DataFrame, n: int = PHRASE_WORDS, gram: int = GRAM_WORDS, blo
                 where = block.places[np.setdiff1d(np.arange(len(block.places)), block.first[:-1])]
                 lead = block.places[block.first[which]]
                 other = (where != lead).any(axis=1)
-                yield span_batch(where[other, 0], where[other, 1], (where[:, 1] + total[which])[other])
+                yield span_batch(where[other], 0, total[which][other])
 
-    return segments(docs, units).mapInArrow(run, "doc_id long, start long, stop long")
+    return segments(docs, units).mapInArrow(run, SPANS)
 
 
 def digests(docs: DataFrame, **parameters) -> DataFrame:

@@ -11,7 +11,8 @@ added as a new level; levels of like size are merged, so a shard that has taken
 suffixes keeps O(log n) levels. A level keeps one entry for each distinct suffix, and
 levels are dropped when their anchor is done.
 
-Cases: a null or empty text has no bytes; rows that repeat a doc_id are one document,
+Cases: a null or empty text has no bytes; rows that share a doc_id or have none are documents of
+their own; rows equal in id and text are one document,
 so equal places of theirs are one place, and a span found in one is applied to each;
 matches never cross documents; other columns are not read; an empty table gives an
 empty result. Texts of any length are read whole.
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidepool.llm.anchors import Units, blocks, marked, runs, segments, span_batch, with_spans
+from tidepool.llm.anchors import SPANS, Units, blocks, marked, runs, segments, span_batch, with_spans
 from tidepool.llm.session_tools import ready
 from tidepool.llm.textops import _BASE2, _BASE, _POWERS, mix, prefix_sums, rows_of, slices, text_bytes
 
@@ -48,8 +49,8 @@ def fingerprints(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray,
 class Level:
     """A suffix array: distinct suffixes in order, one place each, and whether it has been reported."""
 
-    def __init__(self, a, b, doc, place, told):
-        self.a, self.b, self.doc, self.place, self.told = a, b, doc, place, told
+    def __init__(self, a, b, place, told):
+        self.a, self.b, self.place, self.told = a, b, place, told
 
     def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merge scan: which of the sorted suffixes stand here, and where."""
@@ -63,7 +64,7 @@ class Level:
         return Level(*(x[order] for x in joined))
 
     def columns(self):
-        return self.a, self.b, self.doc, self.place, self.told
+        return self.a, self.b, self.place, self.told
 
 
 class Family:
@@ -72,15 +73,15 @@ class Family:
     def __init__(self):
         self.levels: list[Level] = []
 
-    def add(self, a, b, doc, place, many) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Take a batch. Returns which of its suffixes recur, and places of older ones that now do.
+    def add(self, a, b, place, many) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Take a batch. Returns which of its suffixes recur, and places (document, text, byte) of older ones that now do.
 
         ``many``: suffixes whose segment has several places already.
         """
         order = np.lexsort((b, a))  # the batch's suffix array
         sa, sb = a[order], b[order]
         same = (sa[1:] == sa[:-1]) & (sb[1:] == sb[:-1])
-        elsewhere = same & ((doc[order][1:] != doc[order][:-1]) | (place[order][1:] != place[order][:-1]))
+        elsewhere = same & (place[order][1:] != place[order][:-1]).any(axis=1)
         first = np.flatnonzero(np.concatenate([[True], ~same]))
         group = np.cumsum(np.concatenate([[True], ~same])) - 1
         recurs = np.zeros(len(first), dtype=bool)
@@ -91,14 +92,14 @@ class Family:
         older = []
         for level in self.levels:
             hit, at = level.find(a[one], b[one])
-            moved = hit & ((level.doc[at] != doc[one]) | (level.place[at] != place[one]))
+            moved = hit & (level.place[at] != place[one]).any(axis=1)
             recurs |= moved | (hit & level.told[at])
             late = np.unique(at[hit & recurs & ~level.told[at]])
-            older.append((level.doc[late], level.place[late]))
+            older.append(level.place[late])
             level.told[late] = True
             keep &= ~hit
         new = one[keep]
-        self.push(Level(a[new], b[new], doc[new], place[new], recurs[keep].copy()))
+        self.push(Level(a[new], b[new], place[new], recurs[keep].copy()))
         out = np.zeros(len(a), dtype=bool)
         out[order] = recurs[group]
         return out, older
@@ -113,7 +114,7 @@ class Family:
 
 
 def repeated(docs: DataFrame, n: int = MATCH_BYTES, gram: int = GRAM_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, start, stop of byte ranges whose n-byte strings all start elsewhere too (ranges may overlap)."""
+    """doc_id, text_hash, start, stop of byte ranges whose n-byte strings all start elsewhere too (ranges may overlap)."""
     units = Units(words=False, window=n, gram=gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +129,11 @@ def repeated(docs: DataFrame, n: int = MATCH_BYTES, gram: int = GRAM_BYTES, bloc
             # The last anchor may go on: then the family must know its suffixes only.
             lead = block.places[block.first[owner]]
             inside = at - block.offsets[owner]
-            flags, older = family.add(a, b, lead[:, 0], lead[:, 1] + inside, several[owner])
-            for doc, place in older:
-                if len(doc):
-                    yield span_batch(doc, place, place + n)
+            lead = np.column_stack([lead[:, :2], lead[:, 2] + inside])
+            flags, older = family.add(a, b, lead, several[owner])
+            for place in older:
+                if len(place):
+                    yield span_batch(place, 0, n)
             begin, end = runs(flags, owner)
             who = owner[begin]
             copies = block.first[who + 1] - block.first[who]
@@ -139,11 +141,11 @@ def repeated(docs: DataFrame, n: int = MATCH_BYTES, gram: int = GRAM_BYTES, bloc
             index = np.arange(len(which)) - np.repeat(np.cumsum(copies) - copies, copies) + block.first[who][which]
             where = block.places[index]
             if len(where):
-                yield span_batch(where[:, 0], where[:, 1] + inside[begin][which], where[:, 1] + inside[end][which] + n)
+                yield span_batch(where, inside[begin][which], inside[end][which] + n)
             if not block.goes_on:
                 family = Family()
 
-    return segments(docs, units).mapInArrow(run, "doc_id long, start long, stop long")
+    return segments(docs, units).mapInArrow(run, SPANS)
 
 
 def digests(docs: DataFrame, **parameters) -> DataFrame:
