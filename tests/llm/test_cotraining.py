@@ -59,4 +59,25 @@ def test_held_out_toxic(spark):
     teach, test = labels.where("doc_id % 3 != 0"), labels.where("doc_id % 3 = 0 and toxic = 1")
     got = cotraining.classify(docs, teach, max_labelled=2000).join(test, "doc_id").selectExpr("count(1) n", "avg(label) s").first()
     print("held-out toxic documents:", got.n, "labelled good:", got.s)
-    assert got.n and got.s < 0.5
+    assert got.n > 100 and got.s < 0.15
+
+
+def test_telling_words(spark):
+    """The words that stand mostly in toxic texts, against plain Python."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [*((f"You {w}! x{i} common", 1) for i, w in enumerate(["oaf", "OAF", "Oaf,", "oaf"])), ("oaf common", 0), *((f"nice common y{i}", 0) for i in range(3))]
+    rows += [("twice told", 1)] * 9  # equal texts count once
+    got = cotraining.telling_words(spark.createDataFrame(rows, "text string, toxic int"))
+    word = lambda w: int(cotraining.plain_words(pa.array([w]))[0][0])
+    assert got.tolist() == sorted([word("oaf"), word("you")])
+    assert cotraining.told(pa.array(["an oaf, an OAF", None, "you oaf", ""]), got).tolist() == [1, 0, 2, 0]
+    assert cotraining.told(pa.array(["x"]), np.empty(0, np.uint64)).tolist() == [0]
+
+
+def test_repeated_ids_do_not_depend_on_the_partitioning(spark):
+    docs = cases.documents(spark, [(i % 30, f"text number {i} " * (i % 7 + 1)) for i in range(90)], extra=False)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(30)], "doc_id long, quality int, toxic int")
+    first = cases.rows(cotraining.classify(docs.repartition(1), labels, exchange=3), "doc_id", "score")
+    assert cases.rows(cotraining.classify(docs.repartition(7, "n_chars"), labels, exchange=3), "doc_id", "score") == first
