@@ -58,7 +58,7 @@ def test_run_with_five_words(spark):
     left = [(r.doc_id, docs[r.doc_id]) for r in quality_rules.judge(spark.read.parquet(f"{cases.SF}/documents.parquet")).collect() if r.kept]
     left = [(d, docs[d]) for d, label in components(sorted(left)).items() if d == label]
     left = [(r[0], docs[r[0]]) for r in brute.decontaminate(left, items) if not r[-1]]
-    coder, surrogates = bpe.load(bpe.default_vocabulary()), pii.Surrogates()
+    coder, surrogates = bpe.load(bpe.default_vocabulary()), pii.Surrogates(pii.session_key(spark))
     want = []
     for d, text in left:
         ids = coder.encode(pii.rewritten(text, surrogates, {})[0])

@@ -4,38 +4,45 @@ A surrogate is made by a keyed permutation without fixed points over all strings
 entity's form: digits stay digits, letters stay letters of their case and script, and
 separators stay. Equal entities so get equal surrogates in every document (coreference),
 different entities different ones (distinctness), with no table to share; ``collisions``
-checks both over a whole corpus. By type:
+checks both over a whole corpus and tells which surrogates equal a real entity, and ``report``
+runs it. Whoever has the key can undo the surrogates, so there is no default one: it is an
+argument, and the registered queries take the session's (``spark.tidepool.surrogateKey``, else a
+random one that only lives as long as the session). By type:
 
-- e-mail: the local part and the domain labels are permuted, below the reserved domain ``example``;
-  identity ignores case, the written case is put back;
+- e-mail (international domains too): the local part and the domain labels are permuted, below the
+  reserved domain ``example``; identity ignores case, the written case is put back;
 - phone, social security and card numbers: digits only, so any way of writing a number leads to
-  the same digits; a phone keeps its country code, a card number its checksum's validity;
-- IP address: another address;
-- IBAN and secrets: letters and digits in place, hexadecimal stays hexadecimal;
-- person after a title: the title, which tells the gender, stays; a known given name becomes
-  another one of that gender, other names other letters of their script; the same names elsewhere
-  in that document, without a title, become the same.
+  the same digits; a phone keeps its country code or leading zero, a card number its checksum's validity;
+- IP address, of either version: another address, the same however the address is written;
+- IBAN and secrets (values of named fields, bearer tokens, keys, private-key blocks): letters and
+  digits in place, hexadecimal stays hexadecimal;
+- person after a title or an introduction ("my name is"): the title, which tells the gender, stays; a known
+  given name becomes another one of that gender, other names change vowels for vowels and consonants
+  for consonants of their script; the same names elsewhere in that document become the same.
 
 Cases: a null text stays null, an empty one empty; an entity that overlaps an earlier
 one is part of it; repeated rows are treated alike; other columns pass through in ``replace``;
 an empty table gives an empty result. Texts of any length are read whole, in time about
-linear in their length.
+linear in their length. Not found: names without a title or introduction anywhere in the document,
+postal addresses, local phone numbers without a leading zero or area code.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.session_tools import ready, text_input
+from tidepool.llm.session_tools import ready, stage, text_input
 from tidepool.llm.textops import slices
 
-KEY = "tidepool-surrogates"
+KEY_SETTING = "spark.tidepool.surrogateKey"
 ROUNDS = 8
 #: Longer entities are moved in pieces of so many characters.
 PIECE = 1024
@@ -59,44 +66,63 @@ GIVEN = {
 }
 GENDER_OF = {n: g for g, names in GIVEN.items() for n in names.split()}
 _TITLE = "|".join(sorted({t for v in TITLES.values() for t in v.split()}, key=lambda t: (-len(t), t)))
-_NAME = r"[^\W\d_a-z][^\W\d_]++"
+_NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’](?=[^\W\d_a-z]))++"
+_KNOWN = "|".join(sorted(n.lower() for n in GENDER_OF))
+_HEXES = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+#: Letters of names: vowels replace vowels, consonants consonants, by script and case.
+NAME_ALPHABET_OF = ALPHABET_OF | {c: a for v, a_ in (("aeiouy", LOWER), ("аеёиоуыэюя", ALPHABETS[5]), ("αεηιουω", ALPHABETS[7]))
+                                  for vowels, letters in ((v, a_), (v.upper(), a_.upper()))
+                                  for a in ("".join(c for c in letters if c in vowels), "".join(c for c in letters if c not in vowels)) for c in a}
 
 #: (kind, pattern, what makes it possible at all). The entity is group 1 where there is one. Earlier kinds win ties.
 PATTERNS: tuple[tuple[str, re.Pattern, Callable[[str], bool]], ...] = tuple((k, re.compile(p), f) for k, p, f in (
-    ("email", r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda t: "@" in t),
+    ("email", r"(?<![\w.%+-])[\w.%+-]++@[^\W_][\w-]*+(?:\.[\w-]++)++", lambda t: "@" in t),
+    ("secret", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s{0,4}([A-Za-z0-9+/=\s]{8,}+)-----END", lambda t: "PRIVATE KEY" in t),
+    ("secret", r"(?i:\bbearer\s{1,3})(?=\S*\d)([A-Za-z0-9._~+/=-]{16,}+)", lambda t: "earer" in t or "EARER" in t),
+    ("secret", r"""(?i:\b(?:passw(?:or)?d|passwort|passphrase)\s{1,3}(?:is|ist)\s{1,3})["']?(?=[^\s"'<>]*\d)([^\s"'<>]{8,}+)""", lambda t: "is" in t or "IS" in t),
     ("secret", r"""(?i:\b(?:token|secret|api[_-]?key|passw(?:or)?d|passwd)\b)["']?\s{0,3}[=:]\s{0,3}["']?([^\s"'<>]{8,}+)""",
      lambda t: "=" in t or ":" in t),
     ("secret", r"\b((?:AKIA|ASIA)[0-9A-Z]{16,}+\b|gh[pousr]_[0-9A-Za-z]{36,}+\b|sk-[0-9A-Za-z_-]{20,}+)", lambda t: "AKIA" in t or "ASIA" in t or "gh" in t or "sk-" in t),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)", lambda t: "." in t),
+    ("ip6", rf"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:{_HEXES}{{7}}|(?:{_HEXES}{{0,6}})?::(?:{_HEXES}{{0,6}})?)(?![\w:])", lambda t: ":" in t),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", lambda t: True),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", lambda t: "-" in t),
+    ("ssn", r"\b(?:SSN|ssn)(?: is)?:? ?(\d{3}[ -]?\d{2}[ -]?\d{4})(?![\d-])", lambda t: "SSN" in t or "ssn" in t),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)", lambda t: "+" in t),
     ("phone", r"(?<![\w(+])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)", lambda t: True),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\d]|[ -]\d)", lambda t: True),
-    ("person", rf"\b(?:{_TITLE})\.?[ \u00a0]{_NAME}(?:[ \u00a0-]{_NAME}){{0,2}}", lambda t: True),
+    ("phone", r"(?<![\w.+-])0[1-9](?:([ .-])\d{2})(?:\1\d{2}){3}(?!\w|[.-]\d)", lambda t: "0" in t),
+    ("phone", r"(?<![\w.+/-])0[1-9]\d{1,3}[-/ ]\d{5,8}(?!\w|[.-]\d)", lambda t: "0" in t),
+    ("phone", r"(?<!\w)\(0[1-9]\d{0,3}\) ?\d{4,9}(?!\w)", lambda t: "(0" in t),
+    ("card", r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\d|[ -]\d)", lambda t: True),
+    ("person", rf"\b(?:{_TITLE})\.?[ \u00a0]{_NAME}(?:[ \u00a0-]{_NAME}){{0,2}}", lambda t: bool(_HAS_TITLE(t))),
+    ("person", rf"\b(?:mr|mrs|ms|miss|dr|prof)\.? (?:{_KNOWN}) [a-z]{{2,}}+", lambda t: "m" in t or "dr" in t or "prof" in t),
+    ("name", rf"\b(?:[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo)[ \u00a0]({_NAME}(?:[ \u00a0-]{_NAME}){{0,2}})", lambda t: "me" in t or "eiss" in t or "eiß" in t or "appelle" in t),
 ))
 _HAS_DIGITS = re.compile(r"\d").search
 _HAS_TITLE = re.compile(rf"\b(?:{_TITLE})\.?[ \u00a0]").search
 _WORDS = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 _TITLES = {t for v in TITLES.values() for t in v.split()}
-NEEDS_DIGITS = {"ip", "iban", "ssn", "phone", "card"}
+NEEDS_DIGITS = {"ip", "ip6", "iban", "ssn", "phone", "card"}
+#: Patterns whose entity is their first group (in others a group is only referred to).
+_INNER = {"secret", "ssn", "name"}
 
 
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a text, in order, without overlaps."""
     found = []
     digits = bool(_HAS_DIGITS(text))
-    titled = bool(_HAS_TITLE(text))
     for priority, (kind, pattern, possible) in enumerate(PATTERNS):
-        if (kind in NEEDS_DIGITS and not digits) or (kind == "person" and not titled) or not possible(text):
+        if (kind in NEEDS_DIGITS and not digits) or not possible(text):
             continue
         for m in pattern.finditer(text):
-            start, end = m.span(1) if pattern.groups and m[1] else m.span()
+            start, end = m.span(1) if kind in _INNER and pattern.groups else m.span()
+            if kind == "ip6" and not _is_ip6(m[0]):
+                continue
             found.append((start, priority, end, kind))
     named = set()
     for start, _, end, kind in found:
-        if kind == "person":
-            named.update(re.split(r"[ \u00a0-]", text[start:end])[1:])
+        if kind in ("person", "name"):
+            named.update(re.split(r"[ \u00a0-]", text[start:end])[kind == "person":])
     named -= _TITLES
     if named:
         found += ((m.start(), len(PATTERNS), m.end(), "mention") for m in _WORDS.finditer(text) if m[0] in named)
@@ -108,10 +134,27 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _is_ip6(value: str) -> bool:
+    try:
+        return len(value) > 4 and bool(ipaddress.IPv6Address(value))
+    except ValueError:
+        return False
+
+
+_SESSION_KEYS: dict[str, str] = {}
+
+
+def session_key(spark) -> str:
+    """The session's secret key: its setting, else a random one for as long as the application lives."""
+    return spark.conf.get(KEY_SETTING, None) or _SESSION_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 class Surrogates:
     """Keyed surrogates. Each ``kind`` and form of a string has a permutation of its own."""
 
-    def __init__(self, key: str = KEY):
+    def __init__(self, key: str):
+        if not key:
+            raise ValueError("surrogates need a secret key")
         self.key = hashlib.sha256(key.encode()).digest()
 
     def _round(self, label: bytes, i: int, x: int, bits: int) -> int:
@@ -169,7 +212,7 @@ class Surrogates:
         return str(self.moved(f"{kind}\x01{len(digits)}".encode(), int(digits), 10 ** len(digits))).zfill(len(digits))
 
     def of(self, kind: str, value: str) -> str:
-        return getattr(self, f"_{kind}")(value)
+        return self._called(value) if kind == "name" else getattr(self, f"_{kind}")(value)
 
     def _email(self, value: str) -> str:
         low = value.lower() if len(value.lower()) == len(value) else value
@@ -189,6 +232,9 @@ class Surrogates:
         x = self.moved(b"ip", x, 1 << 32)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
+    def _ip6(self, value: str) -> str:
+        return str(ipaddress.IPv6Address(self.moved(b"ip6", int(ipaddress.IPv6Address(value)), 1 << 128)))
+
     def _iban(self, value: str) -> str:
         flat = value.replace(" ", "")
         return refill(value, flat[:2] + self.letters("iban", flat[2:]), str.isalnum)
@@ -197,10 +243,10 @@ class Surrogates:
         return refill(value, self.digits("ssn", "".join(filter(str.isdigit, value))), str.isdigit)
 
     def _phone(self, value: str) -> str:
-        code = re.match(r"\+(?:1|7|[2-9]\d{1,2}?(?=[ .(-])|[2-9]\d)", value)
+        code = re.match(r"\+(?:1|7|[2-9]\d{1,2}?(?=[ .(-])|[2-9]\d)|\(?0[1-9]", value)
         head = code[0] if code else ""
         rest = value[len(head):]
-        return head + refill(rest, self.digits(f"phone{head}", "".join(filter(str.isdigit, rest))), str.isdigit)
+        return head + refill(rest, self.digits(f"phone{head.strip('(')}", "".join(filter(str.isdigit, rest))), str.isdigit)
 
     def _card(self, value: str) -> str:
         digits = "".join(filter(str.isdigit, value))
@@ -215,21 +261,27 @@ class Surrogates:
 
     def _person(self, value: str) -> str:
         title, gap, name = re.match(r"(\S+?\.?)([ \u00a0])(.*)", value, re.S).groups()
-        gender = next((g for g, v in TITLES.items() if title.rstrip(".") in v.split()), "x")
+        gender = next((g for g, v in TITLES.items() if title.rstrip(".").capitalize() in v.split()), "x")
         parts = re.split(r"([ \u00a0-])", name)
         return title + gap + "".join(p if i % 2 else self._name(gender, p) for i, p in enumerate(parts))
 
     def _mention(self, value: str) -> str:
         return self._name("x", value)
 
+    def _called(self, value: str) -> str:
+        """A name without a title."""
+        return "".join(p if i % 2 else self._name("x", p) for i, p in enumerate(re.split(r"([ \u00a0-])", value)))
+
     def _name(self, gender: str, part: str) -> str:
+        if part.islower():
+            return self._name(gender, part.capitalize()).lower()
         g = GENDER_OF.get(part)
         if g:
             names = GIVEN[g].split()
             return names[self.moved(f"given-{g}".encode(), names.index(part), len(names))]
-        new = self.letters("name", part)
-        while new in GENDER_OF:  # given names have a permutation of their own
-            new = self.letters("name", new)
+        new = self.letters("name", part, NAME_ALPHABET_OF)
+        while new in GENDER_OF or new == part:  # given names have a permutation of their own
+            new = self.letters("name", new, NAME_ALPHABET_OF)
         return new
 
 
@@ -276,7 +328,7 @@ def _run(docs: DataFrame, key: str, schema, row) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace(docs: DataFrame, key: str) -> DataFrame:
     """The same rows and columns with surrogates in ``text`` (and ``n_chars`` after it, where there is one)."""
     names = docs.columns
 
@@ -294,8 +346,12 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     return _run(plain, key, plain.schema, row).toDF(*names)
 
 
-def report(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text, n_entities, kinds (sorted, comma-joined) of every document."""
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text, n_entities, kinds (sorted, comma-joined) of every document; raises if distinctness is broken anywhere."""
+    broken = collisions(docs, key).where("fault != 'real'")
+    if not broken.isEmpty():
+        raise ValueError(f"surrogates are not one to one: {broken.limit(5).collect()}")
+
     def row(batch, _, done):
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array([None if d is None else d[0] for d in done], pa.string()),
@@ -306,7 +362,7 @@ def report(docs: DataFrame, key: str = KEY) -> DataFrame:
     return _run(text_input(docs, "doc_id", "text"), key, "doc_id long, text string, n_entities long, kinds string", row)
 
 
-def mapping(docs: DataFrame, key: str = KEY) -> DataFrame:
+def mapping(docs: DataFrame, key: str) -> DataFrame:
     """kind, entity, surrogate: every distinct entity of the corpus."""
     def row(batch, _, done):
         used = sorted({u for d in done if d for u in d[1]})
@@ -315,8 +371,15 @@ def mapping(docs: DataFrame, key: str = KEY) -> DataFrame:
     return _run(text_input(docs, "doc_id", "text"), key, "kind string, entity string, surrogate string", row).distinct()
 
 
-def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """Surrogates that stand for two entities, or entities that were left as they are: none, by construction."""
-    found = mapping(docs, key)
-    same = found.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1").select("kind", "surrogate")
-    return same.union(found.where("entity = surrogate").select("kind", "surrogate"))
+def collisions(docs: DataFrame, key: str) -> DataFrame:
+    """fault, kind, surrogate: ``shared`` if it stands for two entities, ``unchanged`` if for itself (neither by
+    construction), ``real`` if another entity of the corpus happens to read like it.
+
+    Ways of writing one entity differ in case and separators only, and so do their surrogates.
+    """
+    found = stage(mapping(docs, key), "surrogates")
+    same = found.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n")).where("n > 1")
+    real = found.where("entity != surrogate").join(found.select("kind", F.col("entity").alias("surrogate")), ["kind", "surrogate"], "left_semi")
+    faults = (("shared", same), ("unchanged", found.where("entity = surrogate")), ("real", real))
+    parts = [df.select(F.lit(name).alias("fault"), "kind", "surrogate") for name, df in faults]
+    return parts[0].union(parts[1]).union(parts[2])

@@ -45,7 +45,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op11_bottomk(spark: SparkSession, sf_dir: str) -> DataFrame:
