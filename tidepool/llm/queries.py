@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import alignment, bottomk, bpe, cotraining, decontaminate, jaccard_join, license_scan, phrase_dedup, pii, quality_rules, spelling, suffix_dedup, url_filter
+from tidepool.llm import alignment, bottomk, bpe, cotraining, decontaminate, jaccard_join, license_scan, oracles, phrase_dedup, pii, quality_rules, spelling, suffix_dedup, url_filter
 from tidepool.llm.session_tools import table
 
 
@@ -64,4 +64,4 @@ QUERIES = {"op1_license_scan": op1_license_scan, "op7_url_filter": op7_url_filte
            "op8_phrase_dedup": op8_phrase_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_pii": op10_pii, "op6_cotraining": op6_cotraining,
            "op2_bpe": op2_bpe, "op3_quality_rules": op3_quality_rules, "op4_jaccard_join": op4_jaccard_join, "op5_decontaminate": op5_decontaminate,
            "op11_bottomk": op11_bottomk, "op12_spelling": op12_spelling, "op13_alignment": op13_alignment}
-ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), **oracles.ORACLES}
