@@ -51,16 +51,23 @@ def test_neighbourhoods(spark):
 
 
 def test_costs():
-    few, many = jaccard_join.allocation(1, 10, 100), jaccard_join.allocation(1, 10, 10**9)
-    assert few == (2, 0) and many == (0, 1)
+    few, many = jaccard_join.allocation(20, 200, 10**4), jaccard_join.allocation(20, 50, 10**4)
+    assert few[1] > 0 and few[2] == 0  # full segments: all are kept
+    assert many == (41, 0, 20)  # thin ones: the rarest of twice as many
     for most in range(1, 60):
         for n in (0, 10**4, 10**12):
-            exact, near = jaccard_join.allocation(most, most * 9.5, n)
-            assert exact + 2 * near >= most + 1
+            exact, near, spare = jaccard_join.allocation(most, most * 9.5, n)
+            assert exact - spare + 2 * near >= most + 1
+    # At 80 percent and a moderate corpus, the rarest signatures are the cheaper index.
+    bands = jaccard_join.Bands(80, dict.fromkeys(range(60), 20_000))
+    assert bands.near[bands.of(np.array([272]))[0]] == 0
     bands = jaccard_join.Bands(90)
     sizes = np.arange(1, 5000)
     group = bands.of(sizes)
     assert (np.asarray(bands.edges)[group] <= sizes).all() and (sizes < np.asarray(bands.edges)[group + 1]).all()
+    for percent in (80, 94, 97, 99):
+        bands = jaccard_join.Bands(percent)
+        assert len(bands.edges) <= 1 << bands.group_bits
 
 
 def test_sample(spark):
@@ -78,3 +85,13 @@ def test_null_and_repeated_ids(spark):
 
 def test_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_ids_multiply_nothing(spark):
+    """All texts under one id, or none, give the same sets and links as under ids of their own."""
+    rows = edited(6)
+    with_ids = {(r.n_shingles, r.text_hash) for r in jaccard_join.named(cases.documents(spark, rows)).collect()}
+    none = jaccard_join.named(cases.documents(spark, [(None, t) for _, t in rows])).collect()
+    one = jaccard_join.named(cases.documents(spark, [(7, t) for _, t in rows])).collect()
+    assert {(r.n_shingles, r.text_hash) for r in none} == with_ids and len(none) == len(one) == len(rows)
+    assert {r.component_id for r in none} == {None} and {r.component_id for r in one} == {7}

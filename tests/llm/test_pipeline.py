@@ -1,32 +1,15 @@
-"""The pipeline against its stages in plain Python."""
+"""The pipeline's stages on awkward rows; test_pipeline_near.py has the whole run against plain Python."""
 
 from __future__ import annotations
 
 import pytest
 
 import corpus_pipeline
-from tests.llm import brute, cases
-from tidepool.llm import bpe, pii, quality_rules
+from tests.llm import cases
 
 pytestmark = pytest.mark.skipif(not cases.HAVE, reason="driver tables not present")
 
 
-def test_run(spark):
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{cases.SF}/documents.parquet").collect()}
-    items = [tuple(r) for r in spark.read.parquet(f"{cases.SF}/benchmark.parquet").select("item_id", "text").collect()]
-    kept = {r.doc_id for r in quality_rules.judge(spark.read.parquet(f"{cases.SF}/documents.parquet")).collect()
-            if r.kept and not brute.quality_base(docs[r.doc_id])[-1]}
-    left = [(d, docs[d]) for d in sorted(kept)]
-    left = [(d, docs[d]) for d, _, c in brute.components(left) if d == c]
-    left = [(r[0], docs[r[0]]) for r in brute.decontaminate(left, items) if not r[-1]]
-    coder, surrogates = bpe.load(bpe.default_vocabulary()), pii.Surrogates()
-    want = []
-    for d, text in left:
-        ids = coder.encode(pii.rewritten(text, surrogates, {})[0])
-        want.append((d, len(ids), brute.sha(",".join(map(str, ids)))))
-    assert cases.rows(corpus_pipeline.run(spark, cases.SF), "doc_id", "n_tokens", "ids_sha256") == cases.ordered(want)
-
-
 def test_stages_take_awkward_rows(spark):
     docs = cases.documents(spark, [*cases.ODD, *cases.ODD[7:9], (None, cases.PASSAGE), (None, None)])
     empty = docs.limit(0)

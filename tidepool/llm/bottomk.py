@@ -9,8 +9,8 @@ but for a chance of 10**-12 a pair.
 1. Inverted lists: each retained value names the documents that retained it. Of k values
    at least c are shared by similar documents, so if each document keeps all but its c - 1
    most frequent ones (in one order for all), similar ones still meet in a list; values of
-   common passages are left out by that. Lists with the same least document are one group.
-2. In a group, overlaps of sketches and the estimate from the union sketch filter the pairs.
+   common passages are left out by that. Sets of lists with one lead are put together in cells.
+2. In a cell, overlaps of sketches and the estimate from the union sketch filter the pairs.
 3. The rest is verified on the full sets; links become components (see set_groups.py).
 
 Equal sets are one class and are compared once. Lists and groups have no caps; large groups
@@ -25,7 +25,6 @@ table gives an empty result. Texts of any length are read whole.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,38 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.jaccard_join import components, set_ids, token_sets
+from tidepool.llm.jaccard_join import components, set_ids, token_sets, with_components
 from tidepool.llm.session_tools import ready, stage, text_input
-from tidepool.llm.set_groups import linked, shared_counts
+from tidepool.llm.set_groups import least_shared, linked, shared_counts, shared_of, token_table
 from tidepool.llm.textops import signed, slices
 
 SHINGLE = 4
 PERCENT = 80
 SKETCH = 96
-MISS = 1e-12
-
-
-def least_shared(k: int, percent: int, miss: float = MISS) -> int:
-    """The most values that similar sets share of k of their union, but for a chance of ``miss`` (Chernoff, without replacement)."""
-    p = percent / 100
-
-    def tail(c: int) -> float:
-        """A bound on the chance of fewer than c."""
-        q = (c - 1) / k
-        if q <= 0:
-            return (1 - p) ** k
-        return math.exp(-k * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p)))) if q < p else 1.0
-
-    if percent >= 100:
-        return k
-    return max((c for c in range(1, k + 1) if tail(c) <= miss), default=1)
 
 
 def needed(sizes: np.ndarray, k: int, percent: int) -> np.ndarray:
     """How many of the rarest values of a document's sketch hold one in common with each similar document."""
-    small = sizes * 100 <= k * percent  # a similar set is retained whole too
-    shared = np.where(small, -(-sizes * percent // 100), least_shared(k, percent))
-    return np.minimum(sizes, k) - np.minimum(shared, np.minimum(sizes, k)) + 1
+    return np.minimum(sizes, k) - shared_of(sizes, k, percent) + 1
 
 
 def sketches(docs: DataFrame, shingle: int, k: int, percent: int) -> DataFrame:
@@ -92,8 +72,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return sets.select("id", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "size", "need", "sketch")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """lead, id: sets of one inverted list, named after its least member."""
+def inverted(sets: DataFrame) -> DataFrame:
+    """key, id: the inverted lists of the values that each set keeps."""
     values = sets.select("id", "need", F.explode("sketch").alias("value"))
     often = stage(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch-often")
     shared = values.join(often, "value")
@@ -102,9 +82,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     shared = shared.join(size, "id").withColumns({
         "alone": F.col("retained") - F.count(F.lit(1)).over(mine),  # values that no other document retained
         "rank": F.row_number().over(mine.orderBy("n", "value"))})
-    rare = stage(shared.where("rank + alone <= need").select("value", "id"), "sketch-rare")
-    leads = stage(rare.groupBy("value").agg(F.min("id").alias("lead")), "sketch-leads")
-    return rare.join(leads, "value").where("id != lead").select("lead", "id").distinct()
+    return stage(shared.where("rank + alone <= need").select(F.col("value").alias("key"), "id"), "sketch-lists")
 
 
 def estimate(k: int, percent: int):
@@ -146,13 +124,10 @@ def components_of(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGL
     docs = text_input(docs, "doc_id", "text")
     known = stage(sketches(docs, shingle, k, percent), "sketches")
     sets = stage(classes(known), "sketch-classes")
-    roots = linked(docs, sets, candidates(sets), percent, shingle, token_sets, set_ids, components, may=estimate(k, percent), **cells)
-    named = sets.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
-    named = stage(named, "sketch-roots")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("id", "component_id")
-    out = known.select("doc_id", "text_hash", "n_shingles", "id").join(named, "id", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    lists = inverted(sets)
+    tokens = token_table(docs, sets, lists.select("id").distinct(), token_sets, set_ids, shingle)
+    roots = linked(tokens, sets, lists, percent, components, may=estimate(k, percent), **cells)
+    return with_components(known, sets, roots)
 
 
 def judge(docs: DataFrame, **parameters) -> DataFrame:

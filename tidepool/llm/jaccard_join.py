@@ -12,16 +12,16 @@ expected from the number of documents in the group.
 A group without neighbourhoods gets twice as many segments as it needs. Then a pair
 agrees in that many more, and each document can leave out its most frequent signatures
 (allocation 0): the rarest ones, in one order for all and one more than the largest
-difference that its size allows, still hold a common one.
+difference that its size allows, still hold a common one. The cost model prices this path, too.
 
-Equal sets are one class and take part once. Candidates are not all pairs of a segment's
-documents: each is paired with the segment's first one, checked exactly, and the links'
-components are formed; then only pairs of different components remain to be checked, as
-pairs of one component need no further link. What is lost is no link between components.
+Equal sets are one class and take part once. Before they are indexed, sets of whose ``SKETCH``
+least hashes too few are in any other set leave: they have no similar one (but for a chance of
+10**-12 a pair), and most documents are like that. Sets that share a kept signature are compared
+exactly, in cells of bounded size (see set_groups.py); no link between components is lost.
 
 Cases: a null or empty text has the empty set, is linked with nothing and is its own
 component; a text of fewer words than a shingle is one shingle; rows that repeat a doc_id
-are judged each; a null doc_id takes part, and a component's id is the least that is not
+or have none are judged each; a component's id is the least that is not
 null (null if there is none); other columns are not read; an empty table gives an empty
 result. Texts of any length are read whole.
 """
@@ -37,16 +37,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.session_tools import ready, stage, text_input
-from tidepool.llm.textops import LOWER, SPACED, gram_hash, mix, prefix_sums, range_hash, rows_of, signed, slices, spans, text_bytes, word_hashes
+from tidepool.llm.set_groups import linked, shared_of, sketched, token_table
+from tidepool.llm.textops import LOWER, SLICE_BYTES, SPACED, gram_hash, mix, prefix_sums, range_hash, rows_of, signed, slices, spans, text_bytes, word_hashes
 
 SHINGLE = 3
 PERCENT = 90
+#: Least hashes that tell the sets that can have a similar one.
+SKETCH = 48
 #: A band is as wide as this many steps of the threshold.
 BAND_STEPS = 3
 #: For cost estimates only: the chance that two documents agree in a token, and what a candidate costs in index rows.
-AGREE = 0.05
+AGREE = 0.01
 CANDIDATE_COST = 20.0
-GROUP_BITS = 7
 
 
 class Bands:
@@ -66,9 +68,8 @@ class Bands:
             most = self.difference(high - 1, self.partner(high - 1))
             n = counts.get(b, 0) + counts.get(b + 1, 0)
             plans.append(allocation(most, (low + high) / 2, n))
-        self.exact, self.near = (np.array(x) for x in zip(*plans, strict=True))
-        self.spare = np.where(self.near == 0, np.maximum(self.exact - 1, 0), 0)
-        self.exact += self.spare
+        self.exact, self.near, self.spare = (np.array(x) for x in zip(*plans, strict=True))
+        self.group_bits = len(self.edges).bit_length()
 
     def budgets(self) -> tuple[list[int], list[int]]:
         """Of each group: its segments, and how many of a document's signatures are to be kept whatever its size."""
@@ -90,23 +91,32 @@ class Bands:
         return np.searchsorted(self.edges, sizes, side="right") - 1
 
 
-def allocation(most: int, size: float, n: int) -> tuple[int, int]:
-    """(segments with allocation 1, with allocation 2) of least cost; none if only equal sets are similar."""
+def allocation(most: int, size: float, n: int) -> tuple[int, int, int]:
+    """(segments with allocation 1, with allocation 2, spare ones among the first) of least cost; none if only equal sets are similar.
+
+    With spare segments, the allocations 0 and 1 are left to each document: it keeps its rarest signatures.
+    """
     if most == 0:
-        return 0, 0
+        return 0, 0, 0
+
+    def candidates(meet: float) -> float:
+        return CANDIDATE_COST * n / 2 * meet
 
-    def cost(near: int) -> float:
+    def neighbourhoods(near: int) -> float:
         exact = most + 1 - 2 * near
         t = size / max(exact + near, 1)
-        rows = exact + near * (1 + t)
         empty = math.exp(-2 * t)
         meet = exact * (empty + AGREE ** t) + near * (empty * (1 + 2 * t) + (1 + 2 * t) * AGREE ** max(t - 1, 0))
-        return rows + CANDIDATE_COST * n / 2 * meet
+        return exact + near * (1 + t) + candidates(meet)
 
+    # All signatures are counted, half of them kept: the fuller half, with about twice the median's tokens.
+    rarest = 2 * most + 1 + (most + 1) + candidates((most + 1) * AGREE ** (2 * size / (2 * most + 1)))
     # Costs are smooth in the number of neighbourhoods; a grid of at most 33 values is enough.
     top = (most + 1) // 2
-    near = min({round(top * i / 32) for i in range(33)}, key=lambda x: (cost(x), x))
-    return max(most + 1 - 2 * near, 0), near
+    near = min({round(top * i / 32) for i in range(33)} - {0}, key=lambda x: (neighbourhoods(x), x), default=0)
+    if near and neighbourhoods(near) < rarest:
+        return max(most + 1 - 2 * near, 0), near, 0
+    return 2 * most + 1, 0, most
 
 
 def token_sets(column, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,9 +146,9 @@ def set_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(sums[end] - sums[end - sizes] + sizes.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def tagged(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+def tagged(x: np.ndarray, group: np.ndarray, bits: int) -> np.ndarray:
     """A signature with its group in the last bits."""
-    return (mix(x) << np.uint64(GROUP_BITS)) | group.astype(np.uint64)
+    return (mix(x) << np.uint64(bits)) | group.astype(np.uint64)
 
 
 def signatures(tokens: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
@@ -164,91 +174,81 @@ def signatures(tokens: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Ba
         slot_row = np.repeat(np.arange(len(sizes)), m)
         label = mix((g[slot_row].astype(np.uint64) << np.uint64(40)) + (np.arange(start[-1]) - start[slot_row]).astype(np.uint64) + np.uint64(1))
         out_row.append(slot_row)
-        out.append(tagged(sums + label, g[slot_row]))
+        out.append(tagged(sums + label, g[slot_row], bands.group_bits))
         wide = segment >= exact[r]
         if wide.any():
             out_row.append(r[wide])
-            out.append(tagged(sums[slot[wide]] - weight[mine][wide] + label[slot[wide]], g[r[wide]]))
+            out.append(tagged(sums[slot[wide]] - weight[mine][wide] + label[slot[wide]], g[r[wide]], bands.group_bits))
     return np.concatenate(out_row), np.concatenate(out)
 
 
-def band_counts(docs: DataFrame, bands: Bands) -> dict[int, int]:
-    """Documents by band of estimated size, for the cost model only: a row for each band."""
-    size = F.greatest(F.lit(1.0), F.length("text") / 7.0)
-    step = math.log(bands.edges[40] / bands.edges[30]) / 10
-    got = docs.select(F.floor(F.log(size) / step).cast("int").alias("k")).where("k is not null").groupBy("k").count().collect()
-    out: dict[int, int] = {}
-    for k, n in got:
-        b = int(bands.of(np.array([max(1, int(math.exp(k * step)))]))[0])
-        out[b] = out.get(b, 0) + n
-    return out
+def band_counts(sets: DataFrame, bands: Bands) -> dict[int, int]:
+    """Sets (size) by band, for the cost model only: a row for each band that occurs."""
+    edges = F.array(*[F.lit(e) for e in bands.edges])
+    band = F.size(F.filter(edges, lambda e: e <= F.col("size"))) - 1
+    return {r.b: r["count"] for r in sets.groupBy(band.alias("b")).count().collect()}
 
 
-def members(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, id of every document's set (null where empty), and the hash of its text."""
+def members(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, id of every document's set (null where empty), least and sketch (its least hashes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            tokens, _, sizes = token_sets(batch.column(1), shingle)
-            ids = pa.array(signed(set_ids(tokens, sizes)), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), ids, batch.column(2)], names=["doc_id", "n_shingles", "id", "text_hash"])
+            tokens, row, sizes = token_sets(batch.column(1), shingle)
+            low = np.arange(len(tokens)) - (np.cumsum(sizes) - sizes)[row] < SKETCH  # tokens of a row are sorted
+            at = np.concatenate([[0], np.cumsum(np.minimum(sizes, SKETCH))])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(signed(set_ids(tokens, sizes)), mask=sizes == 0),
+                 pa.array(shared_of(sizes, SKETCH, percent), pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(tokens[low])))],
+                names=["doc_id", "text_hash", "n_shingles", "id", "least", "sketch"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
-        run, "doc_id long, n_shingles long, id long, text_hash long")
+        run, "doc_id long, text_hash long, n_shingles long, id long, least int, sketch array<long>")
 
 
-def classes(docs: DataFrame, bands: Bands, shingle: int) -> DataFrame:
-    """id, rep (least doc_id), signatures of every distinct set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            tokens, row, sizes = token_sets(batch.column(1), shingle)
-            ids = set_ids(tokens, sizes)
-            _, one = np.unique(ids, return_index=True)  # copies in one slice share the signatures
-            chosen = np.zeros(len(sizes), dtype=bool)
-            chosen[one] = True
-            sig_row, sig = signatures(tokens, row, np.where(chosen, sizes, 0), bands)
-            order = np.argsort(sig_row, kind="stable")
-            counts = np.bincount(sig_row, minlength=len(sizes))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(signed(sig[order])))
-            keep = pa.array(sizes > 0)
-            need = pa.array(bands.needed(sizes), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(ids)).filter(keep), batch.column(0).filter(keep), pa.array(sizes, pa.int32()).filter(keep),
-                 need.filter(keep), lists.filter(keep)], names=["id", "doc_id", "size", "need", "sigs"])
+def classes(known: DataFrame) -> DataFrame:
+    """id, rep (least doc_id that is not null), rep_hash, size, least, sketch of every distinct set."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    sets = known.where("id is not null").groupBy("id").agg(
+        first, F.max("n_shingles").alias("size"), F.max("least").alias("least"), F.max("sketch").alias("sketch"))
+    return sets.select("id", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), "size", "least", "sketch")
 
-    out = docs.mapInArrow(run, "id long, doc_id long, size int, need int, sigs array<long>")
-    # Copies have one need and one list, or an empty one where another copy of the slice has it.
-    return out.groupBy("id").agg(F.min("doc_id").alias("rep"), F.max("size").alias("size"), F.max("need").alias("need"), F.max("sigs").alias("sigs"))
 
+def index_rows(tokens: DataFrame, bands: Bands) -> DataFrame:
+    """id, need, sig: the signatures of every set of ``tokens`` (id, tokens)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            ids = np.asarray(batch.column(0))
+            sets = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in batch.column(1)]
+            sizes = np.array([len(t) for t in sets])
+            row, sig = signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes, bands)
+            need = bands.needed(sizes)
+            for i in range(0, len(sig), 1 << 16):
+                r = row[i:i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(need[r], pa.int32()), pa.array(signed(sig[i:i + (1 << 16)]))],
+                                                 names=["id", "need", "sig"])
+
+    def pieces(batches):
+        for batch in batches:
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for i in range(0, batch.num_rows, step):
+                yield batch.slice(i, step)
 
-def verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Those pairs (a, b) of set ids that are similar, checked on the whole sets."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(reps.select("id", "rep"), "id")
-    found = docs.join(needed, docs["doc_id"].eqNullSafe(needed["rep"])).select("id", "text")
+    return tokens.mapInArrow(run, "id long, need int, sig long")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            tokens, _, sizes = token_sets(batch.column(1), shingle)
-            raw, end = tokens.tobytes(), np.cumsum(sizes) * 8
-            same = signed(set_ids(tokens, sizes)) == np.asarray(batch.column(0))  # not another text of that doc_id
-            data = [raw[e - 8 * n:e] for e, n in zip(end.tolist(), sizes.tolist(), strict=True)]
-            keep = pa.array(same)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array(data, pa.binary()).filter(keep)], names=["id", "tokens"])
-
-    # One row for each id: rows may repeat a doc_id with its text.
-    tokens = stage(found.mapInArrow(sets, "id long, tokens binary").groupBy("id").agg(F.max("tokens").alias("tokens")), "jaccard-sets")
-    both = pairs.join(tokens.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = both.join(tokens.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(check, "a long, b long")
+def indexed(rows: DataFrame, bands: Bands) -> DataFrame:
+    """key, id: the lists of the signatures that each set keeps."""
+    # Signatures that several sets share, with how often each stands. A table of its own, not a window over sig,
+    # so that the join can broadcast it or split a hot signature.
+    often = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-often")
+    g = F.col("sig").bitwiseAND(F.lit((1 << bands.group_bits) - 1)).cast("int").alias("g")
+    counted = rows.join(often, "sig").select("id", "need", "sig", "n", g)
+    segments, kept = (F.get(F.array(*map(F.lit, x)), F.col("g")) for x in bands.budgets())
+    mine = Window.partitionBy("id", "g")
+    alone = segments - F.count(F.lit(1)).over(mine)  # signatures that no other set has
+    rank = F.row_number().over(mine.orderBy("n", "sig"))
+    rare = counted.withColumns({"alone": alone, "rank": rank})
+    return stage(rare.where(F.col("rank") + F.col("alone") <= F.greatest("need", kept)).select(F.col("sig").alias("key"), "id"), "jaccard-lists")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -274,55 +274,48 @@ def components(links: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: Bands | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return named(docs, percent, shingle, bands).drop("text_hash")
+    return named(docs, percent, shingle, bands).drop("text_hash", "root")
 
 
 def named(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: Bands | None = None) -> DataFrame:
-    """doc_id, text_hash (xxhash64), n_shingles, component_id of every document."""
+    """doc_id, text_hash (xxhash64), n_shingles, component_id, root (a component's own id, null without a set) of every document."""
     ready(docs.sparkSession)
     docs = text_input(docs, "doc_id", "text")
-    bands = bands or Bands(percent, band_counts(docs, Bands(percent)))
-    sets = stage(classes(docs, bands, shingle), "jaccard-classes")
-    # Signatures that several sets share; of each set's, the rarest that its group needs.
-    # Tables of their own, not windows over sig, so that the joins can broadcast them or split a hot signature.
-    rows = sets.select("id", "size", "need", F.explode("sigs").alias("sig"))
-    group = F.col("sig").bitwiseAND(F.lit((1 << GROUP_BITS) - 1)).cast("int").alias("g")
-    often = stage(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-often")
-    counted = stage(rows.join(often, "sig").select("id", "size", "need", "sig", "n", group), "jaccard-counted")
-    segments, kept = bands.budgets()
-    mine = Window.partitionBy("id", "g")
-    alone = F.get(F.array(*map(F.lit, segments)), F.col("g")) - F.count(F.lit(1)).over(mine)  # signatures that no other set has
-    rank = F.row_number().over(mine.orderBy("n", "sig"))
-    rare = counted.withColumns({"alone": alone, "rank": rank})
-    least = F.greatest("need", F.get(F.array(*map(F.lit, kept)), F.col("g")))
-    rare = stage(rare.where(F.col("rank") + F.col("alone") <= least).select("sig", "id"), "jaccard-rare")
-    leads = rare.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
-    shared = stage(rare.join(stage(leads.select("sig", "lead"), "jaccard-leads"), "sig"), "jaccard-shared")
-    first = stage(shared.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "jaccard-pairs")
-    links = stage(verified(docs, sets, first, percent, shingle), "jaccard-links")
-    roots = components(links)
-    # What is left: pairs of different components that share a signature and were not checked.
-    at = shared.select("sig", "id").join(roots, "id", "left").select("sig", "id", F.coalesce("root", "id").alias("root"))
-    mixed = at.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("sig")
-    mixed = stage(mixed, "jaccard-unlike")
-    at = at.join(mixed, "sig", "left_semi").select("*", group)
-    # A pair must agree in all segments but as many as it may differ in: counted on its signatures in the join itself.
-    lists = counted.groupBy("id", "g").agg(F.max("size").alias("size"), F.collect_list("sig").alias("sigs"))
-    at = stage(at, "jaccard-mixed")
-    lists = lists.join(at.groupBy("id", "g").agg(F.collect_list("sig").alias("own")), ["id", "g"])
-    at = stage(at.join(lists, ["id", "g"]), "jaccard-lists").select("sig", "g", "id", "root", "size", "sigs", "own")
-    left, right = at.toDF("sig", "g", "a", "ra", "na", "xa", "ya"), at.drop("g").toDF("sig", "b", "rb", "nb", "xb", "yb")
-    may = F.floor((F.col("na") + F.col("nb")) * F.lit(100 - percent) / F.lit(100 + percent))
-    agree = F.when(F.get(F.array(*map(F.lit, kept)), F.col("g")) > 0, F.lit(1)).otherwise(F.get(F.array(*map(F.lit, segments)), F.col("g")) - may)
-    unlike = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
-    once = left["sig"] == F.array_min(F.array_intersect("ya", "yb"))  # not again for each signature in common
-    rest = left.join(right, (left["sig"] == right["sig"]) & unlike & once & (F.size(F.array_intersect("xa", "xb")) >= agree))
-    rest = rest.select("a", "b").distinct()
-    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = stage(verified(docs, sets, rest, percent, shingle), "jaccard-links")
-    roots = components(links.union(more))
+    known = stage(members(docs, percent, shingle), "jaccard-members")
+    sets = stage(classes(known), "jaccard-classes")
+    some = stage(sketched(sets), "jaccard-some")
+    tokens = token_table(docs, sets, some, token_sets, set_ids, shingle)
+    bands = bands or Bands(percent, band_counts(sets.join(some, "id", "left_semi"), Bands(percent)))
+    roots = linked(tokens, sets, indexed(index_rows(tokens, bands), bands), percent, components)
+    return with_components(known, sets, roots)
+
+
+def with_components(known: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, root: the least doc_id of the component of a document's set, or its own without a set."""
     named = sets.select("id", "rep").join(roots, "id", "left").select("id", "rep", F.coalesce("root", "id").alias("root"))
+    named = stage(named, "set-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(named.join(least, "root").select("id", "component_id"), "jaccard-components")
-    out = members(docs, shingle).join(named, "id", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = named.join(least, "root").select("id", "component_id", "root")
+    out = known.select("doc_id", "text_hash", "n_shingles", "id").join(named, "id", "left")
+    own = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "text_hash", "n_shingles", own, "root")
+
+
+def keep_one(docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """One row of each component, with all its columns: the one with the least doc_id (null last), then the least text hash.
+
+    Rows without any word are no copies of each other and stay. Of rows that repeat an id and its text, any one stays.
+    """
+    groups = stage(named(docs, percent, shingle), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    chosen = groups.where("root is not null").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_hash"))
+    rows = groups.groupBy(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).agg(
+        F.count(F.lit(1)).alias("_times"), F.max("root").alias("_root"))
+    chosen = chosen.join(rows, chosen["_kept"].eqNullSafe(rows["_kept"]) & (chosen["_hash"] == rows["_hash"])).select(chosen["*"], "_times")
+    # Rows without a set are all kept, each as often as it stands.
+    chosen = stage(chosen.union(rows.where("_root is null").select("_kept", "_hash", F.lit(1).alias("_times"))), "chosen-rows")
+    kept = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["_kept"]) & (F.xxhash64(docs["text"].cast("string")) == chosen["_hash"]))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Only rows that repeat an id and its text need a look at their texts, which would move all texts once more.
+    once, more = kept.where("_times = 1").select(names), kept.where("_times > 1").select(names)
+    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))

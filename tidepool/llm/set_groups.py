@@ -1,19 +1,27 @@
-"""Exact similarity inside candidate groups, shared by the operators that join shingle sets.
-
-A group is a lead and the sets that may be similar to each other: whatever index named
-them, two similar sets must share a group. Groups are worked off in cells, each with a
-bounded number of sets and tokens: a cell compares its rows with its columns exactly, as
-products of 0/1 matrices over the tokens that several of its sets hold, and gives back a
-spanning forest of the links it found, never all pairs.
-
-A group of one cell is done at once. In a larger one every set is first compared with the
-lead; the sets that are not in the group's largest component then meet all its sets in a
-grid of cells. Two sets of one component need no further link, so no link between
-components is lost.
+"""Exact similarity inside candidate lists, shared by the operators that join shingle sets.
+
+A list is a key and the sets that an index has under it: whatever the index, two similar
+sets must share a key. Sets are compared in cells, each with a bounded number of sets and tokens:
+a cell compares its rows with its columns exactly, as products of 0/1 matrices over
+the tokens that several of its sets hold, and gives back a spanning forest of the links it
+found, never all pairs.
+
+1. Every list is led by its least set. Each set is first put with the lead that it shares most
+   keys with; such a group is one cell, or, if it is large, its lead against blocks of the rest.
+   The links give a first set of components, which take up most near copies.
+2. Only lists that still hold several components matter then. Sets that share such a list's lead
+   are a group again: one cell, or, if it is large, a grid of those outside the group's largest
+   component against all of it. Two sets of one component need no further link, so no link
+   between components is lost.
+
+``sketched`` drops beforehand the sets that cannot have a similar one: of the k least hashes of
+a set (a uniform sample), similar sets share at least ``least_shared`` but for a chance of
+10**-12 a pair (Chernoff), so a set of whose k fewer are in any other set is alone.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,8 +32,9 @@ from pyspark.sql import functions as F
 from tidepool.llm.session_tools import stage
 from tidepool.llm.textops import signed, slices
 
-CELL_SETS = 512
+CELL_SETS = 256
 CELL_TOKENS = 1 << 20
+MISS = 1e-12
 #: Columns of one 0/1 matrix.
 CHUNK = 8192
 
@@ -158,43 +167,87 @@ def compared(cells: DataFrame, tokens: DataFrame, percent: int, may: Filter | No
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, shingle: int, token_sets, set_ids, components,
+def linked(tokens: DataFrame, sets: DataFrame, lists: DataFrame, percent: int, components,
            may: Filter | None = None, cell_sets: int = CELL_SETS, cell_tokens: int = CELL_TOKENS) -> DataFrame:
     """id, root of every set that is linked with another: the least id of its component.
 
-    ``sets``: id, rep, rep_hash, size. ``groups``: lead, id, distinct, without the leads themselves.
+    ``tokens``: id, tokens. ``sets``: id, size. ``lists``: key, id (staged).
     """
-    everyone = groups.union(groups.select("lead", F.col("lead").alias("id")).distinct())
-    everyone = stage(everyone.join(sets.select("id", "size"), "id").select("lead", "id", "size"), "groups")
-    tokens = token_table(docs, sets, everyone.select("id").distinct(), token_sets, set_ids, shingle)
-    # How many rows and columns of cells a group takes.
-    weight = F.greatest(F.ceil(F.count(F.lit(1)) / cell_sets), F.ceil(F.sum("size") / cell_tokens)).cast("int")
-    large = everyone.groupBy("lead").agg(weight.alias("k")).where("k > 1")
-    large = stage(large, "large-groups")
+    sizes = sets.select("id", "size")
     yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
-    small = everyone.join(large, "lead", "left_anti").select("lead", zero.alias("r"), zero.alias("c"), "id", F.col("id").alias("root"), yes.alias("x"), yes.alias("y"))
-    hot = everyone.join(large, "lead").select("lead", "id", "size", "k")
-    block = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    # Each set of a large group with its lead, which goes to every block of them.
-    spread = F.explode(F.sequence(zero, F.col("k") - 1))
-    star = hot.where("id != lead").select("lead", zero.alias("r"), block.alias("c"), "id", F.col("id").alias("root"), no.alias("x"), yes.alias("y"))
-    star = star.union(hot.where("id = lead").select("lead", zero, spread.alias("c"), "id", F.col("id").alias("root"), yes, no))
-    near_lead = stage(compared(star, tokens, percent, may), "group-links")
-    # Those outside the largest component of their group, against all of it.
-    rooted = hot.join(components(near_lead), "id", "left").select("lead", "id", "size", F.coalesce("root", "id").alias("root"))
-    rooted = stage(rooted, "rooted")
-    most = rooted.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(
-        F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"))
-    most = stage(most.select("lead", F.col("most.root").alias("main"), (F.col("all") - F.col("most.n")).alias("others"), "all").where("others > 0"), "main-roots")
-    rooted = rooted.join(most, "lead").withColumn("outside", F.col("root") != F.col("main"))
-    blocks = rooted.groupBy("lead").agg(
-        *(F.greatest(F.lit(1), F.ceil(F.count(F.when(cond, 1)) / cell_sets), F.ceil(F.sum(F.when(cond, F.col("size"))) / cell_tokens)).cast("int").alias(name)
-          for name, cond in (("kr", F.col("outside")), ("kc", F.lit(True)))))
-    rooted = rooted.join(stage(blocks, "group-blocks"), "lead")
     own = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(zero, F.col(k) - 1))
-    rows = rooted.where("outside").select("lead", own("kr").alias("r"), each("kc").alias("c"), "id", "root", yes.alias("x"), no.alias("y"))
-    columns = rooted.select("lead", each("kr").alias("r"), own("kc").alias("c"), "id", "root", no.alias("x"), yes.alias("y"))
-    cells = small.union(rows).union(columns)
-    found = stage(compared(cells, tokens, percent, may), "group-links")
+
+    def blocks(cond: F.Column | bool = True) -> F.Column:
+        """How many blocks the rows of a group take."""
+        cond = F.lit(cond) if cond is True else cond
+        n, total = F.count(F.when(cond, 1)), F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0))
+        return F.greatest(F.lit(1), F.ceil(n / cell_sets), F.ceil(total / cell_tokens)).cast("int")
+
+    def led(rows: DataFrame) -> DataFrame:
+        """key, id with the key's lead."""
+        leads = rows.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
+        return rows.join(stage(leads.select("key", "lead"), "list-leads"), "key")
+
+    def with_lead(groups: DataFrame) -> DataFrame:
+        """lead, id, size: the groups and their leads."""
+        everyone = groups.select("lead", "id").union(groups.select("lead", F.col("lead").alias("id"))).distinct()
+        return stage(everyone.join(sizes, "id").select("lead", "id", "size"), "groups")
+
+    # First, each set with the lead that it shares most keys with.
+    shared = led(lists).where("id != lead").groupBy("lead", "id").agg(F.count(F.lit(1)).alias("n"))
+    best = with_lead(shared.groupBy("id").agg(F.max(F.struct("n", "lead")).alias("b")).select(F.col("b.lead").alias("lead"), "id"))
+    counts = stage(best.groupBy("lead").agg(blocks().alias("k")), "group-blocks")
+    best = best.join(counts, "lead")
+    both = best.where("k = 1 or id != lead").select(
+        "lead", zero.alias("r"), own("k").alias("c"), "id", F.col("id").alias("root"), (F.col("k") == 1).alias("x"), yes.alias("y"))
+    leads = best.where("k > 1 and id = lead").select("lead", zero.alias("r"), each("k").alias("c"), "id", F.col("id").alias("root"), yes.alias("x"), no.alias("y"))
+    near_lead = stage(compared(both.union(leads), tokens, percent, may), "group-links")
+    # Then lists that hold several components.
+    rooted = stage(lists.join(components(near_lead), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    rooted = rooted.join(stage(mixed, "mixed-lists"), "key")
+    roots = rooted.select("id", "root").distinct()
+    groups = with_lead(led(rooted.select("key", "id"))).join(roots, "id")
+    most = groups.groupBy("lead", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("lead").agg(F.max(F.struct("n", "root")).alias("most"))
+    most = stage(most.select("lead", F.col("most.root").alias("main")), "main-roots")
+    groups = stage(groups.join(most, "lead"), "groups")
+    outside = F.col("root") != F.col("main")
+    shape = groups.groupBy("lead").agg(blocks().alias("kc"), blocks(outside).alias("kr"))
+    groups = groups.join(stage(shape, "group-blocks"), "lead")
+    small = groups.where("kc = 1").select("lead", zero.alias("r"), zero.alias("c"), "id", "root", yes.alias("x"), yes.alias("y"))
+    rows = groups.where((F.col("kc") > 1) & outside).select("lead", own("kr").alias("r"), each("kc").alias("c"), "id", "root", yes.alias("x"), no.alias("y"))
+    columns = groups.where("kc > 1").select("lead", each("kr").alias("r"), own("kc").alias("c"), "id", "root", no.alias("x"), yes.alias("y"))
+    found = stage(compared(small.union(rows).union(columns), tokens, percent, may), "group-links")
     return components(found.union(near_lead))
+
+
+def least_shared(k: int, percent: int, miss: float = MISS) -> int:
+    """The most values that similar sets share of k of their union, but for a chance of ``miss`` (Chernoff, without replacement)."""
+    p = percent / 100
+
+    def tail(c: int) -> float:
+        """A bound on the chance of fewer than c."""
+        q = (c - 1) / k
+        if q <= 0:
+            return (1 - p) ** k
+        return math.exp(-k * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p)))) if q < p else 1.0
+
+    if percent >= 100:
+        return k
+    return max((c for c in range(1, k + 1) if tail(c) <= miss), default=1)
+
+
+def shared_of(sizes: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """How many of a set's k least hashes a similar set has among its own."""
+    small = sizes * 100 <= k * percent  # a similar set is retained whole too
+    shared = np.where(small, -(-sizes * percent // 100), least_shared(k, percent))
+    return np.minimum(shared, np.minimum(sizes, k))
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """id of the sets that can have a similar one. ``sets``: id, least, sketch (its least hashes, ``least`` of which a similar set shares)."""
+    values = sets.select("id", "least", F.explode("sketch").alias("value"))
+    often = stage(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value"), "sketch-often")
+    met = values.join(often, "value").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    return met.where("n >= least").select("id")
