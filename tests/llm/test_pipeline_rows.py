@@ -24,3 +24,13 @@ def test_each_row_has_its_own_verdict(spark):
     copy = " ".join(w if i != 40 else "changed" for i, w in enumerate(third.split()))
     kept = [(None, good), (5, other), (3, third)]
     assert left(spark, "near_duplicates", [*kept, (5, copy), (None, copy + " more")]) == cases.ordered(kept)
+
+
+def test_copies_without_ids_of_their_own_leave_one(spark):
+    a, b = (" ".join(f"{c}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(80)) for c in ("x", "y"))
+    near = lambda t: " ".join(w if i != 40 else "changed" for i, w in enumerate(t.split()))
+    rows = [(None, a), (None, near(a)), (None, a), (5, b), (5, near(b)), (5, b), (None, ""), (None, ""), (5, None), (7, near(a) + " end")]
+    out = left(spark, "near_duplicates", rows)
+    assert [r for r in out if r[1] in ("", None)] == cases.ordered([(None, ""), (None, ""), (5, None)])
+    assert [r for r in out if r[1] and r[1][0] == "x"] == [(7, near(a) + " end")]  # an id goes before none
+    assert len([r for r in out if r[1] and r[1][0] == "y"]) == 1
