@@ -9,7 +9,6 @@ dropped each by its own verdict.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, decontaminate, jaccard_join, pii, quality_rules
 from tidepool.llm.session_tools import stage, table
@@ -26,32 +25,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one that gives the group its id.
-
-    Documents without an id stay, as no group can be named after them; of rows that repeat the id and its text, one stays.
-    """
-    groups = jaccard_join.named(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE).where("component_id is null or doc_id = component_id")
-    # A row is known by its id and its text, as rows that share an id can be in different groups.
-    times = groups.groupBy(F.col("doc_id").alias("_kept"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_times"))
-    kept = docs.join(times, docs["doc_id"].eqNullSafe(times["_kept"]) & (F.xxhash64(docs["text"]) == times["_hash"]))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    # Only rows that repeat an id and its text need a look at their texts, which would move all texts once more.
-    once, more = kept.where("_times = 1").select(names), kept.where("_times > 1").select(names)
-    return once.unionByName(more.dropDuplicates(["doc_id", "text"]))
+    """One document of each group of near copies."""
+    return jaccard_join.keep_one(docs, percent=NEAR_PERCENT, shingle=NEAR_SHINGLE)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any benchmark passage."""
+    """Documents without any benchmark passage; those without words stay, and an item without words matches nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with surrogates for personal data."""
+    """The documents with surrogates for personal data, row by row; a null or empty text stays as it is."""
     return pii.replace(docs, pii.session_key(spark))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the documents' tokens."""
+    """Digests of the documents' tokens, row by row; a null or empty text has none."""
     return bpe.digests(docs)
 
 
