@@ -40,6 +40,8 @@ from tidepool.llm.session_tools import ready, stage, text_input
 from tidepool.llm.textops import slices, text_bytes
 
 SLICE_TEXT = 4 << 20
+#: Units that a tokenizer sees at once: its own results are larger than the ids.
+ENCODED_UNITS = 8192
 #: An id pair is one number: A's id above, B's below.
 B_BITS = 24
 PRINTABLE = np.zeros(256, dtype=bool)
@@ -77,11 +79,14 @@ class Coders:
 
     def lists(self, units: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of each unit; a unit starts with a space, which B adds itself."""
-        texts = units.to_pylist()
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = self.b.encode([t[1:] for t in texts], num_threads=1) if texts else []
         kind = pa.list_(pa.int32())
-        return pa.array(a, kind), pa.array(b, kind)
+        parts = [(pa.array([], kind), pa.array([], kind))]
+        for i in range(0, len(units), ENCODED_UNITS):
+            texts = units.slice(i, ENCODED_UNITS).to_pylist()
+            a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+            b = self.b.encode([t[1:] for t in texts], num_threads=1)
+            parts.append((pa.array(a, kind), pa.array(b, kind)))
+        return tuple(pa.concat_arrays(x) for x in zip(*parts, strict=True))
 
 
 def public(name: str) -> str:
