@@ -7,9 +7,9 @@ automaton over word numbers (pyahocorasick), and streams every segment through i
 locate every occurrence. The first occurrence (smaller doc_id, then earlier start)
 stays; words that any other covers are removed.
 
-A shard's automaton holds the phrases of one block of segments, so its memory does not
-grow with the corpus. An anchor with more segments than a block goes on in the next
-one, which knows the phrases seen so far by their 128-bit fingerprints.
+A shard's automaton holds the phrases of one block of segments. An anchor with more segments
+than a block goes on in the next one: phrases of the next block that have been seen before
+(known by 128-bit fingerprints and their first places) are confirmed, too, and go into its automaton.
 
 Cases: a null or empty text has no words; rows that share a doc_id or have none are documents of
 their own, in the order of their texts' hashes; rows equal in id and text are one document, so
@@ -62,43 +62,44 @@ class Shard:
         places = np.flatnonzero(np.arange(len(hashes)) + n <= first[segment + 1])
         a, b = gram_hash(hashes, n, _BASE)[places], gram_hash(hashes, n, _BASE2)[places]
         earlier = np.zeros(len(places), dtype=bool)
-        where = block.places[block.first[segment[places]]]
-        where = [*map(tuple, np.column_stack([where[:, :2], where[:, 2] + places - first[segment[places]]]).tolist())] if self.seen or block.goes_on else []
-        if self.seen:
-            earlier |= np.fromiter((self.seen.get(k, w) != w for k, w in zip(zip(a.tolist(), b.tolist(), strict=True), where, strict=True)), bool, len(places))
-        # Candidates: phrases whose fingerprint stands twice in the block.
+        # Confirmed phrases: those whose fingerprint stands twice in the block, or in an earlier block of its first anchor.
         order = np.argsort(a, kind="stable")
         same = a[order][1:] == a[order][:-1]
-        twice = np.zeros(len(places), dtype=bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
+        recurs = np.zeros(len(places), dtype=bool)
+        recurs[order[1:][same]] = recurs[order[:-1][same]] = True
         begin = np.ones(len(places), dtype=bool)
         begin[order[1:][same]] = False  # one place of each
-        phrases = places[twice & begin]
-        if len(phrases):
+        if self.seen:
+            recurs |= np.fromiter((k in self.seen for k in zip(a.tolist(), b.tolist(), strict=True)), bool, len(places))
+        chosen = np.flatnonzero(recurs & begin)
+        if len(chosen):
             numbers = np.unique(hashes, return_inverse=True)[1].tolist()
-            found = automaton(numbers, phrases.tolist(), n)
-            met: list = [None] * len(phrases)  # where each phrase stands first
+            found = automaton(numbers, places[chosen].tolist(), n)
+            # Where each phrase stands first: in an earlier block, or where it is first met.
+            met = [self.seen.get((int(a[i]), int(b[i]))) for i in chosen.tolist()]
             lead = [tuple(x) for x in block.places[block.first[:-1]].tolist()]
             index = np.full(len(hashes), -1, dtype=np.int64)
             index[places] = np.arange(len(places))
             index = index.tolist()
             again = []
-            for s in np.unique(segment[places[twice]]).tolist():  # in the order of first places
+            for s in np.unique(segment[places[recurs]]).tolist():  # in the order of first places
                 base = int(first[s])
                 doc, text, unit = lead[s]
                 for end, phrase in found.iter(tuple(numbers[base:first[s + 1]])):
-                    at = (doc, text, unit + end)
+                    at = (doc, text, unit + end - n + 1)
                     if met[phrase] is None:
                         met[phrase] = at
                     elif met[phrase] != at:  # not another row of the same document
                         again.append(index[base + end - n + 1])
             earlier[again] = True
         if block.goes_on:
-            mine = block.anchor[segment[places]] == block.anchor[-1]
+            mine = np.flatnonzero(block.anchor[segment[places]] == block.anchor[-1])
             if len(block.anchor) and (block.anchor[0] != block.anchor[-1]):
                 self.seen.clear()
-            for i in np.flatnonzero(mine).tolist():
-                self.seen.setdefault((int(a[i]), int(b[i])), where[i])
+            at = block.places[block.first[segment[places[mine]]]]
+            at = np.column_stack([at[:, :2], at[:, 2] + places[mine] - first[segment[places[mine]]]]).tolist()
+            for i, place in zip(mine.tolist(), at, strict=True):
+                self.seen.setdefault((int(a[i]), int(b[i])), tuple(place))
         else:
             self.seen.clear()
         return segment[places], places - first[segment[places]], earlier
