@@ -248,6 +248,10 @@ def test_store_level_jobs_and_cli(spark, tmp_root, capsys):
     assert st.vectors().count() == 0
     rep = jobs.embed_store(st).first()
     assert (rep.succeeded, rep.total) == (3, 3) and st.vectors().count() == 3
+    capsys.readouterr()
+    assert main(["ledger", store]) == 0 and "'added': 2" in capsys.readouterr().out
+    assert main(["export", store, tmp_root + "/one.jsonl", "--one-file"]) == 0 and os.path.isfile(tmp_root + "/one.jsonl")
+    assert main(["embed", store, "--embedder", "tidepool.operators.embed:letter_histogram"]) == 0
     assert main(["export", store, tmp_root + "/out"]) == 0
     assert jobs.export_store(st, tmp_root + "/out2") == 3
     before = st.current()

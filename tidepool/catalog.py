@@ -167,7 +167,8 @@ def q_bootstrap_import(spark, sf):
     return jobs.bootstrap_import(store, path, AS_OF)
 
 
-def q_incremental_import(spark, sf):
+def _streamed(spark, sf) -> S.Store:
+    """fx_store after the stream has taken fx_lines in three deliveries."""
     from tidepool.streaming.incremental import import_stream, stamp_arrival
 
     root = scratch_path(spark, "incoming")
@@ -185,7 +186,17 @@ def q_incremental_import(spark, sf):
     # About three micro-batches; any batching gives the same store.
     import_stream(store, f"{root}/in", f"{root}/checkpoint", as_of=AS_OF,
                   max_files_per_trigger=max(1, -(-n_files // 3)))
-    return store.records().select("id", "instruction", "input", "output", "source")
+    return store
+
+
+def q_incremental_import(spark, sf):
+    return _streamed(spark, sf).records().select("id", "instruction", "input", "output", "source")
+
+
+def q_incremental_ledger(spark, sf):
+    """ST1: the stream's ledger, its batches taken together."""
+    counts = ("added", "duplicate", "invalid", "near_duplicate")
+    return _streamed(spark, sf).ledger().agg(*[F.sum(c).alias(c) for c in counts])
 
 
 # --- store reads ------------------------------------------------------------
@@ -400,6 +411,7 @@ _REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "import_near_duplicates": q_import_near_duplicates,
     "bootstrap_import": q_bootstrap_import,
     "incremental_import": q_incremental_import,
+    "incremental_ledger": q_incremental_ledger,
     "existing_keys": q_existing_keys,
     "record_listing": q_record_listing,
     "preview": q_preview,

@@ -176,6 +176,7 @@ WHERE rank <= {_K}"""
 
 _ORACLES = {
     "import_report": _IMPORT + _REPORT,
+    "incremental_ledger": _IMPORT + _REPORT,
     "jsonl_lines": _W + """SELECT line_no, line FROM (
   SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, trim(line, w) AS line FROM fx_all_lines, ws)
 WHERE line <> ''""",
