@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidepool.schema import KEY
 from tidepool.session import stage
 
-PREFIX_BITS = 6
+PREFIX_BITS = 4
 
 
 def key_hash(cols: Sequence[str] = KEY):
