@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepool.operators import similarity as S
@@ -163,3 +167,68 @@ def test_approximate_recall(spark):
     assert 0.96 < expected_recall(0.93) < 0.97 and expected_recall(0.99) > 0.999
     with pytest.raises(ValueError, match="positive"):
         near_duplicates_approx(df, df, 0.0)
+
+
+def peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_floors_of_many_queries_take_bounded_memory():
+    x = np.random.default_rng(12).normal(size=(6000, 8))
+    m = Model.of(np.arange(3000), np.arange(3000), x[:3000], 8)
+    q, ords = units(x[3000:]), np.arange(3000) + 1500
+    assert peak_mb(lambda: m.floors(q, ords, 1, True, 0.5)) < 32  # all pairs in double precision: 69 MB
+    s = np.where(np.arange(3000) < ords[:, None], q @ units(x[:3000]).T, -np.inf).max(axis=1)
+    got = m.floors(q, ords, 1, True, 0.5)
+    assert (got <= np.maximum(s, 0.5)).all() and got == pytest.approx(np.maximum(s, 0.5), abs=1e-4)
+
+
+def cell_rows(ids, v, query):
+    n = len(ids)
+    zero = pa.array(np.zeros(n, np.int64))
+    v = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), v.shape[1]).cast(pa.list_(pa.float64()))
+    return pa.RecordBatch.from_arrays(
+        [zero, zero, pa.array(np.full(n, query)), pa.array(ids), v, pa.array(ids), pa.array(np.full(n, -np.inf))],
+        names=["qg", "xg", "query", "id", "v", "ord", "floor"])
+
+
+@pytest.mark.parametrize("mode, k", [("max", 1), ("topk", 3)])
+def test_query_rows_of_a_cell_stream_by(mode, k):
+    rng = np.random.default_rng(13)
+    index, queries = rng.normal(size=(500, 16)), rng.normal(size=(20_000, 16))
+    ids = np.arange(500, 20_500)
+    found = []
+
+    def run():
+        batches = [cell_rows(np.arange(500), index, 0)]
+        stream = itertools.chain(batches, (cell_rows(ids[i:i + 500], queries[i:i + 500], 1) for i in range(0, 20_000, 500)))
+        for b in S._score_cells(stream, None, mode, k, False):
+            if not found or len(found) < 3:
+                found.append(b)
+
+    assert peak_mb(run) < 24
+    s = units(queries[:500]) @ units(index).T
+    want = np.sort(s, axis=1)[:, ::-1][:, :k]
+    assert np.asarray(found[0]["score"]).reshape(500, k) == pytest.approx(want, abs=1e-12)
+
+
+def test_many_equal_vectors_tie_by_id(spark, small_cells):
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.integers(-9, 9, size=(6, 8)).astype(float), 60, axis=0)
+    got = {}
+    for r in S.top_k(vecs(spark, x), vecs(spark, x[::60] + 0.0), 5, strategy="grid").orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    scores = (x[::60] @ x.T) / np.sqrt(np.multiply.outer((x[::60] ** 2).sum(axis=1), (x ** 2).sum(axis=1)))
+    for i, row in enumerate(np.round(scores, 12)):
+        assert got[i] == np.lexsort((np.arange(len(x)), -row))[:5].tolist()
+
+
+def test_short_neighbours_in_a_ball_are_one_group():
+    of, merged = S._merged([(0, 3, 0.1, 0.2, 7), (0, 4, 0.0, 0.15, 2), (0, 5, 0.3, 0.4, 9), (1, 1, 0.2, 0.2, 4)], 8)
+    assert of.tolist() == [0, 0, 1, 2]
+    assert merged == [(0, 7, 0.0, 0.2, 2), (0, 5, 0.3, 0.4, 9), (1, 1, 0.2, 0.2, 4)]
