@@ -126,3 +126,15 @@ def test_pending_scan_does_not_read_embeddings(spark, tmp_root):
     p = plan_of(df)
     assert "embedding" not in p.split("ReadSchema:")[1].splitlines()[0]
     assert "EqualTo(_pending,true)" in p
+
+
+def test_a_filter_on_the_status_does_not_repeat_the_parse(spark):
+    from tidepool.plans import jobs
+    from tidepool.sources.jsonl import classify
+
+    lines = spark.createDataFrame([(0, '{"instruction":"a","output":"b"}'), (1, "{"), (2, '{"instruction":"a","output":" "}')], "line_no long, line string")
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("from_json")
+    status = jobs.line_status(lines.join(lines.select("line_no"), "line_no"), ["line_no"])
+    assert parses(status.where("status = 'valid'")) <= parses(status)
+    assert {r.line_no: r.status for r in classify(lines).collect()} == {0: "valid", 1: "malformed", 2: "blank_required"}
+    assert [r.instruction for r in status.where("status = 'valid'").collect()] == ["a"]
