@@ -95,3 +95,31 @@ def test_null_ids_multiply_nothing(spark):
     one = jaccard_join.named(cases.documents(spark, [(7, t) for _, t in rows])).collect()
     assert {(r.n_shingles, r.text_hash) for r in none} == with_ids and len(none) == len(one) == len(rows)
     assert {r.component_id for r in none} == {None} and {r.component_id for r in one} == {7}
+
+
+def family(n):
+    """Texts of 60 words that share all but their own 8: alike, but not similar enough to be linked, and each third one with a copy that is."""
+    common = [f"w{i}" for i in range(52)]
+    texts = [" ".join(common + [f"u{i}x{j}" for j in range(8)]) for i in range(n)]
+    return list(enumerate(texts + [t + " more" for t in texts[::3]]))
+
+
+def test_a_large_family_is_not_copied_for_each_block(spark, monkeypatch):
+    from tidepool.llm import jaccard_join, set_groups
+
+    seen, compared = [], set_groups.compared
+    monkeypatch.setattr(set_groups, "compared", lambda cells, *a: seen.append(cells.count()) or compared(cells, *a))
+    sets = spark.range(600).selectExpr("id", "1L size", "0L key")
+    tokens = spark.range(600).selectExpr("id", "unhex(lpad(hex(id), 16, '0')) tokens")
+    assert set_groups.linked(tokens, sets.select("id", "size"), sets.select("key", "id"), 90, jaccard_join.components).count() == 0
+    assert seen == [600, 600]  # each set once a round; in cells of 256 sets the second round had 3,600
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_blocks_of_a_cell_lose_no_link(spark, monkeypatch, block):
+    from tidepool.llm import set_groups
+
+    monkeypatch.setattr(set_groups, "BLOCK_SETS", block)
+    rows = family(45)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 45 else 3 * (i - 45) for i, _ in rows}
