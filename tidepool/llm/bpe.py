@@ -206,9 +206,12 @@ def _apply(docs: DataFrame, vocabulary: str | None, schema: str, row) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for batch in slices(batches, "text"):
-            rows = [row(bpe, t or "") for t in batch.column(1).to_pylist()]
-            arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f for f, _ in fields])
+        try:
+            for batch in slices(batches, "text"):
+                rows = [row(bpe, t or "") for t in batch.column(1).to_pylist()]
+                arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[f for f, _ in fields])
+        finally:
+            bpe.clear()  # the worker lives on, with other stages' tasks
 
     return text_input(docs, "doc_id", "text").mapInArrow(run, schema)
